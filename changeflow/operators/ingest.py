@@ -216,25 +216,19 @@ def choose_fetch_route(attempts: DataFrame) -> DataFrame:
 # ---- validation --------------------------------------------------------------
 
 
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+# fixed values: special-purpose IPv4 blocks, as prefixes of a dotted address
+_PRIVATE_IPV4 = (
+    r"^(?:(?:0|10|127)\.|169\.254\.|172\.(?:1[6-9]|2\d|3[01])\.|192\.0\.[02]\.|192\.168\.|198\.1[89]\.|"
+    r"198\.51\.100\.|203\.0\.113\.|(?:24\d|25[0-5])\.)"
+)
+# fixed values: loopback, mapped, unique-local, link-local and documentation IPv6 prefixes
+_PRIVATE_IPV6 = r"^(?:::|f[cd]|fe[89ab]|2001:db8|::ffff:)"
+
+
 def _private_ipv4(host: Column) -> Column:
     """True for a dotted IPv4 literal in a private, loopback, link-local or reserved block."""
-    octets = F.split(host, r"\.")
-    number = F.lit(0).cast("long")
-    for i in range(4):
-        number = number * 256 + F.element_at(octets, i + 1).cast("long")
-    # fixed values: special-purpose IPv4 blocks (base, prefix length)
-    blocks = [
-        ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12),
-        ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24),
-        ("203.0.113.0", 24), ("240.0.0.0", 4),
-    ]
-    inside = F.lit(False)
-    for base, bits in blocks:
-        a, b, c, d = (int(x) for x in base.split("."))
-        low = ((a * 256 + b) * 256 + c) * 256 + d
-        inside = inside | number.between(low, low + 2 ** (32 - bits) - 1)
-    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    return F.when(host.rlike(rf"^{octet}(\.{octet}){{3}}$"), inside).otherwise(False)
+    return host.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$") & host.rlike(_PRIVATE_IPV4)
 
 
 def url_problem(url: Column) -> Column:
@@ -244,7 +238,7 @@ def url_problem(url: Column) -> Column:
     bare = F.regexp_replace(authority, r"^.*@", "")
     bracketed = F.lower(F.regexp_extract(bare, r"^\[([^\]]*)\]", 1))
     host = F.lower(F.when(bare.startswith("["), bracketed).otherwise(F.regexp_replace(bare, r":.*$", "")))
-    private_ipv6 = bare.startswith("[") & host.rlike(r"^(::|f[cd]|fe[89ab]|2001:db8|::ffff:)")
+    private_ipv6 = bare.startswith("[") & host.rlike(_PRIVATE_IPV6)
     return (
         F.when(~scheme.isin("http", "https"), "scheme_not_allowed")
         .when(F.length(host) == 0, "no_hostname")

@@ -105,7 +105,7 @@ def monitors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").selectExpr(
         "s_suppkey AS monitor_id",
         "CAST(s_nationkey AS BIGINT) AS user_id",
-        "concat('https://site', s_suppkey % 40, '.example.com/p', s_suppkey % 50) AS url",
+        "concat('https://site', s_suppkey % 4, '.example.com/p', s_suppkey % 3) AS url",
         "s_name AS name",
         "concat('comp', s_suppkey % 30) AS competitor_name",
         """element_at(array('pricing', 'changelog', 'homepage', 'jobs', 'blog', 'docs', 'other'), CAST(s_suppkey % 7 AS INT) + 1)
