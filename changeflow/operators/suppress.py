@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from changeflow.functions import constants as k
 from changeflow.functions import scans
-from changeflow.functions.text import PY_FLAGS, collapse_ws, hours, micros, severity_name, severity_rank
+from changeflow.functions.text import PY_FLAGS, collapse_ws, hours, lookup, micros, severity_name, severity_rank
 
 WINDOW = hours(k.SUPPRESS_HOURS)
 
@@ -136,6 +136,10 @@ CREATED, SAME, BELOW, FLIPS = 0, 1, 2, 3
 OUTCOMES = {CREATED: "created", SAME: "same_summary", BELOW: "severity", FLIPS: "oscillation"}
 
 
+def outcome_name(code: Column) -> Column:
+    return lookup(code, OUTCOMES, None)
+
+
 def suppress_run(times, ranks, texts, flips, alive: list[tuple[int, int, str]]):
     """Decide one monitor's candidates in time order from the alerts still `alive`.
 
@@ -236,12 +240,9 @@ def suppress_alerts(
             F.format_string("Page oscillating between 2 states (%d flips in last %d snapshots)", F.col("flips"), F.col("n_hashes")),
         )
     )
-    outcome = F.when(F.col("_outcome") == CREATED, "created").when(F.col("_outcome") == SAME, "same_summary").when(
-        F.col("_outcome") == BELOW, "severity"
-    ).otherwise("oscillation")
     return (
         flagged.join(decided.withColumnsRenamed({"outcome": "_outcome", "recent": "_recent"}), "diff_id")
-        .withColumns({"outcome": outcome, "reason": reason})
+        .withColumns({"outcome": outcome_name(F.col("_outcome")), "reason": reason})
         .select(*candidates.columns, "outcome", "reason")
     )
 

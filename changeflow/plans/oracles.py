@@ -332,11 +332,7 @@ cte(
       coalesce(lang <> 'en' AND regexp_matches(m, '(?i)^visits:\\s+.+?$'), false) AS v FROM residual_v))""",
     ("residual_v",),
 )
-oracle(
-    "valid_patterns",
-    """SELECT true AS is_valid, count(*) AS patterns FROM (SELECT DISTINCT unnest(string_split(text, chr(10))) AS p FROM documents) HAVING count(*) > 0""",
-)
-del ORACLES["valid_patterns"]  # whether a pattern compiles is a matter of the dialect
+# valid_patterns has no oracle: whether a pattern compiles is a matter of the dialect.
 oracle("strip_noise", "SELECT diff_id, seq, sha256(residual) AS residual_hash FROM marked_v WHERE op <> ' '", ("marked_v",))
 oracle(
     "classify_noise_lines",
@@ -934,3 +930,26 @@ oracle(
     """SELECT email_normalized, first(c_custkey ORDER BY created_at, c_custkey) AS signup_id, count(*) AS requests FROM
     (SELECT lower(c_mktsegment) || '+' || c_nationkey || '@example.com' AS email_normalized, c_custkey, c_custkey * 7919 % 100000 AS created_at FROM customer) GROUP BY 1""",
 )
+
+# ---- L: the streams must give what the batch rules give --------------------------------------
+
+ORACLES["stream_pairs"] = ORACLES["pair_snapshots"]
+oracle("stream_suppress", _REPLAY + "SELECT id AS diff_id, outcome FROM replay", ("candidates_v",), recursive=True)
+oracle(
+    "stream_clusters",
+    f"+WITH replay AS ({_FIRST} UNION ALL {_LATER}) SELECT id AS alert_id, cluster_id, round(merge_score, 6) AS merge_score FROM replay",
+    ("ordered_alerts_v",),
+    recursive=True,
+)
+oracle(
+    "stream_rate_limit",
+    """SELECT client, minute, requests, greatest(0, requests - 1) AS rejected FROM (SELECT client, date_trunc('minute', ts) AS minute, count(*) AS requests
+    FROM request_log_v WHERE path NOT LIKE '/api/v1/health%' GROUP BY 1, 2)
+    WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM request_log_v WHERE path NOT LIKE '/api/v1/health%') - INTERVAL 1 MINUTE""",
+    ("request_log_v",),
+)
+oracle("stream_dedupe", "SELECT snapshot_id, monitor_id, text_hash, created_at FROM snapshots_v", ("snapshots_v",))
+ORACLES["stream_digest"] = ORACLES["build_digests"]
+
+# ---- the flagship ------------------------------------------------------------------------------
+# The diff itself is not SQL; the balance of its lines, and the text on both sides, are checked above.

@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeflow.operators import change, classify, cluster, ingest, learning, lifecycle, noise, notify, reports, suppress
+from changeflow.plans import monitoring
+from changeflow.plans.storage import new_folder
 from changeflow.sources import adapters as a
 from changeflow.sources.tables import append_once, upsert_state
+from changeflow.streaming import stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -829,7 +832,70 @@ def dedupe_signups(spark, sf):
     return lifecycle.dedupe_signups(signups, ["created_at", "signup_id"]).select("email_normalized", "signup_id", "requests")
 
 
-# ---- the flagship: from versions of pages to meaningful changes per monitor -------------------------------------
+# ---- L. streaming: the table is read as a stream of files, what comes out is stored and read back ------------------
+
+
+def _streamed(spark, stream: DataFrame, name: str) -> DataFrame:
+    folder = new_folder(spark, name)
+    stages.run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query
+def stream_pairs(spark, sf):
+    pairs = stages.stream_pairs(a.snapshots(spark, sf, a.stream_table))
+    return _streamed(spark, pairs, "pairs").select("snapshot_id", "before_id", "before_hash")
+
+
+@query
+def stream_suppress(spark, sf):
+    snaps = a.snapshots(spark, sf, a.stream_table)
+    asked = classify.alert_candidates(a.analyses(spark, sf, a.stream_table), "severity")
+    decided = _streamed(spark, stages.stream_suppress(stages.suppression_input(snaps, asked)), "suppressed")
+    return decided.select("diff_id", suppress.outcome_name(F.col("outcome")).alias("outcome"))
+
+
+@query
+def stream_clusters(spark, sf):
+    placed = stages.stream_clusters(a.alerts(spark, sf, a.stream_table))
+    return _streamed(spark, placed, "clusters").select("alert_id", "cluster_id", r6("merge_score"))
+
+
+@query
+def stream_rate_limit(spark, sf):
+    """Windows that the end of the data has closed."""
+    counted = _streamed(spark, stages.stream_rate_limit(a.request_log(spark, sf, a.stream_table), limit=1), "limits")
+    return counted.select("client", F.col("minute").cast("timestamp_ntz").alias("minute"), "requests", "rejected")
+
+
+@query
+def stream_dedupe(spark, sf):
+    rows = a.snapshots(spark, sf, a.stream_table)
+    return _streamed(spark, stages.stream_dedupe(rows.union(rows), ["snapshot_id"], "created_at"), "deduped")
+
+
+@query
+def stream_digest(spark, sf):
+    folder = new_folder(spark, "digests")
+    alerts = a.alerts(spark, sf, a.stream_table)
+    stages.queue_digests(alerts, a.settings(spark, sf), f"{folder}/queue", f"{folder}/checkpoint").awaitTermination()
+    digests = stages.due_digests(spark, f"{folder}/queue", a.monitors(spark, sf), 9)
+    return digests.select("user_id", "channel", "part", "alerts", F.sha2("text", 256).alias("text_hash"))
+
+
+# ---- the whole chain, and the flagship: from versions of pages to meaningful changes per monitor -------------------------------------
+
+
+@query
+def watched_changes(spark, sf):
+    """Every stage from page texts to clustered alerts, with the stand-in model."""
+    docs = a.table(spark, sf, "documents").select(F.col("doc_id").alias("monitor_id"), "lang", "source")
+    monitors = docs.selectExpr(
+        "monitor_id", "monitor_id % 40 AS user_id", "concat('comp', monitor_id % 40) AS competitor_name", "lang AS page_type",
+        "concat('https://example.com/', monitor_id) AS url", "CAST(array() AS ARRAY<STRING>) AS noise_patterns",
+    )
+    stages_out = monitoring.watch(a.versions(spark, sf), monitors, stub_model)
+    return stages_out["alerts"].select("alert_id", "monitor_id", "severity", "cluster_id")
 
 
 @query

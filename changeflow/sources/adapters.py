@@ -16,8 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of files."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque*")
+
+
+def analyses(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
+    return read(spark, sf_dir, "events").selectExpr(
         "event_id AS diff_id",
         "user_id AS monitor_id",
         "user_id % 10 AS user_id",
@@ -31,9 +37,9 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alerts(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     return (
-        analyses(spark, sf_dir)
+        analyses(spark, sf_dir, read)
         .filter(F.col("severity").isin("critical", "high", "medium"))
         .withColumnRenamed("diff_id", "alert_id")
         .withColumn("is_acknowledged", F.col("alert_id") % 3 == 0)
@@ -41,8 +47,8 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+def snapshots(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
+    return read(spark, sf_dir, "events").selectExpr(
         "event_id AS snapshot_id", "user_id AS monitor_id", "event_type AS text_hash", "ts AS created_at"
     )
 
@@ -161,8 +167,8 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+def request_log(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
+    return read(spark, sf_dir, "events").selectExpr(
         "event_id AS request_id",
         "ts",
         "user_id AS client",
