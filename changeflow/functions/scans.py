@@ -7,14 +7,23 @@ along the order). Rows are windowed inside (key, slice); one summary row per
 third of all rows is spread over as many tasks as it has slices, and the second
 level sees at most one row per slice. Each slice is exact; nothing is capped.
 
+Rows are shuffled once. The windows and the summaries read the same exchange: both are
+made to need every column (a digest that is tested and dropped), so that column pruning
+cannot tell them apart and Spark reuses it. Whatever came before a scan therefore runs
+once, however many scans follow each other. Pass narrow rows in.
+
 `slices` may list several columns (day, then id block, say); together they must be
-non-decreasing along `order`.
+non-decreasing along `order`. Keys and slices must not be null: a row without them
+has no place on a time line.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def by_day(c: str | Column) -> Column:
@@ -25,155 +34,183 @@ def by_hour(c: str | Column) -> Column:
     return F.date_trunc("hour", F.col(c) if isinstance(c, str) else c)
 
 
-def _with_slices(df: DataFrame, slices: list[Column]) -> tuple[DataFrame, list[str]]:
-    names = [f"_slice{i}" for i in range(len(slices))]
-    return df.withColumns(dict(zip(names, slices))), names
+@dataclass
+class Track:
+    """One thing to follow along the key.
 
+    Up to and including this row: count (of non-null values), sum, max, min, last (the
+    latest non-null value). Around it: prev (array of up to `n` values before this row,
+    oldest first), next (the value of the following row).
+    """
 
-def _key_window(keys: list[str]):
-    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    kind: str
+    value: Column | None = None
+    n: int = 1
 
 
-def running(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    slices: list[Column],
-    aggs: dict[str, tuple[str, Column | None]],
-) -> DataFrame:
-    """Running aggregates from the first row of the key up to and including this row.
+def count(value: Column | None = None) -> Track:
+    return Track("count", F.lit(1) if value is None else value)
 
-    `aggs` maps an output name to (kind, column); kinds are count, sum, max, min and
-    last (the latest non-null value). `order` must be unique within a key for count
-    and sum to be deterministic.
-    """
-    cut, names = _with_slices(df, slices)
-    here = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = _key_window(keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-
-    local, totals, carries, combined = {}, [], [], {}
-    for out, (kind, col) in aggs.items():
-        c, t, p = f"_local_{out}", f"_total_{out}", f"_carry_{out}"
-        if kind == "count":
-            col = F.lit(1) if col is None else col
-            local[c] = F.count(col).over(here)
-            totals.append(F.count(col).alias(t))
-            carries.append(F.sum(t).over(before).alias(p))
-            combined[out] = F.col(c) + F.coalesce(F.col(p), F.lit(0))
-        elif kind == "sum":
-            local[c] = F.sum(col).over(here)
-            totals.append(F.sum(col).alias(t))
-            carries.append(F.sum(t).over(before).alias(p))
-            combined[out] = F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(p), F.lit(0))
-        elif kind in ("max", "min"):
-            fn, pick = (F.max, F.greatest) if kind == "max" else (F.min, F.least)
-            local[c] = fn(col).over(here)
-            totals.append(fn(col).alias(t))
-            carries.append(fn(t).over(before).alias(p))
-            combined[out] = pick(F.col(c), F.col(p))
-        elif kind == "last":
-            local[c] = F.last(col, ignorenulls=True).over(here)
-            newest = F.max(F.when(col.isNotNull(), F.struct(*order, col.alias("_value"))))
-            totals.append(newest.getField("_value").alias(t))
-            carries.append(F.last(t, ignorenulls=True).over(before).alias(p))
-            combined[out] = F.coalesce(F.col(c), F.col(p))
-        else:
-            raise ValueError(f"unknown scan kind: {kind}")
-
-    carry = cut.groupBy(*keys, *names).agg(*totals).select(*keys, *names, *carries)
-    scanned = cut.withColumns(local).join(carry, [*keys, *names], "left")
-    return scanned.select(*df.columns, *[expr.alias(out) for out, expr in combined.items()])
-
-
-def previous_rows(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    slices: list[Column],
-    payload: Column,
-    n: int = 1,
-    name: str = "prev",
-) -> DataFrame:
-    """Add `name`: the payloads of up to `n` preceding rows of the key, oldest first."""
-    cut, names = _with_slices(df, slices)
-    ordered = Window.partitionBy(*keys, *names).orderBy(*order)
-    newest_first = Window.partitionBy(*keys, *names).orderBy(*[F.col(c).desc() for c in order])
-
-    local = cut.withColumn("_local", F.collect_list(payload).over(ordered.rowsBetween(-n, -1)))
-    # Only the last n rows of a slice can be seen from later slices.
-    tails = (
-        cut.withColumn("_rank", F.row_number().over(newest_first))
-        .filter(F.col("_rank") <= n)
-        .withColumn("_payload", payload)
-        .groupBy(*keys, *names)
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("_rank")).alias("r"), F.col("_payload").alias("v")))).alias("_t"))
-        .withColumn("_tail", F.transform("_t", lambda s: s["v"]))
-        .drop("_t")
-    )
-    # Every slice has a row, so n slices back always hold the n rows needed.
-    back = _key_window(keys).orderBy(*names).rowsBetween(-n, -1)
-    carry = tails.select(*keys, *names, F.flatten(F.collect_list("_tail").over(back)).alias("_carry"))
-    both = F.concat(F.coalesce("_carry", F.array()), F.col("_local"))
-    return (
-        local.join(carry, [*keys, *names], "left")
-        .withColumn(name, F.when(F.size(both) > n, F.slice(both, -n, n)).otherwise(both))
-        .select(*df.columns, name)
-    )
 
+def total(value: Column) -> Track:
+    return Track("sum", value)
+
+
+def highest(value: Column) -> Track:
+    return Track("max", value)
+
+
+def lowest(value: Column) -> Track:
+    return Track("min", value)
+
+
+def latest(value: Column) -> Track:
+    return Track("last", value)
 
-def next_value(
-    df: DataFrame, keys: list[str], order: list[str], slices: list[Column], value: str, name: str = "next"
-) -> DataFrame:
-    """`value` of the following row of the key, null for the last row."""
-    cut, names = _with_slices(df, slices)
-    here = Window.partitionBy(*keys, *names).orderBy(*order)
-    after = _key_window(keys).orderBy(*names)
-    firsts = (
-        cut.groupBy(*keys, *names)
-        .agg(F.min(F.struct(*order, F.col(value).alias("_v"))).getField("_v").alias("_first"))
-        .withColumn("_carry", F.lead("_first").over(after))
-        .drop("_first")
-    )
-    return (
-        cut.withColumn("_local", F.lead(value).over(here))
-        .join(firsts, [*keys, *names], "left")
-        .withColumn(name, F.coalesce("_local", "_carry"))
-        .select(*df.columns, name)
-    )
 
+def before(value: Column, n: int = 1) -> Track:
+    return Track("prev", value, n)
 
-def count_back(
-    df: DataFrame,
-    keys: list[str],
-    ts: str,
-    row_id: str,
-    span_micros: int,
-    slices_of,
-    name: str,
-) -> DataFrame:
+
+def following(value: Column) -> Track:
+    return Track("next", value)
+
+
+def _cut(df: DataFrame, keys: list[str], slices: list[Column]) -> tuple[DataFrame, list[str]]:
+    """Slice columns added, rows placed by (key, slice)."""
+    names = [f"_slice{i}" for i in range(len(slices))]
+    cut = df.withColumns(dict(zip(names, slices)))
+    for name in (*keys, *names):
+        cut = cut.filter(F.col(name).isNotNull())
+    return cut.repartition(*keys, *names), names
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.MapType):
+        return False
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return True
+
+
+def scan(df: DataFrame, keys: list[str], order: list[str], slices: list[Column], **tracks: Track) -> DataFrame:
+    """Add one column per track. `order` must be unique within a key for a stable result."""
+    cut, names = _cut(df, keys, slices)
+    ordered = Window.partitionBy(*keys, *names).orderBy(*order)
+    here = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    along = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*names)
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct(*order)
+
+    local: dict[str, Column] = {}
+    totals: list[Column] = []
+    carries: list[Column] = []
+    out: list[Column] = []
+    deepest = max((t.n for t in tracks.values() if t.kind == "prev" and t.n > 1), default=0)
+    for name, track in tracks.items():
+        mine, sliced, carried = f"_local_{name}", f"_total_{name}", f"_carry_{name}"
+        value, m, p = track.value, F.col(f"_local_{name}"), F.col(f"_carry_{name}")
+        if track.kind in ("count", "sum"):
+            fn = F.count if track.kind == "count" else F.sum
+            local[mine] = fn(value).over(here)
+            totals.append(fn(value).alias(sliced))
+            carries.append(F.sum(sliced).over(earlier).alias(carried))
+            result = F.coalesce(m, F.lit(0)) + F.coalesce(p, F.lit(0))
+        elif track.kind in ("max", "min"):
+            fn, pick = (F.max, F.greatest) if track.kind == "max" else (F.min, F.least)
+            local[mine] = fn(value).over(here)
+            totals.append(fn(value).alias(sliced))
+            carries.append(fn(sliced).over(earlier).alias(carried))
+            result = pick(m, p)
+        elif track.kind == "last":
+            local[mine] = F.last(value, ignorenulls=True).over(here)
+            totals.append(F.max_by(value, F.when(value.isNotNull(), place)).alias(sliced))
+            carries.append(F.last(sliced, ignorenulls=True).over(earlier).alias(carried))
+            result = F.coalesce(m, p)
+        elif track.kind == "next":
+            local[mine] = F.lead(value).over(ordered)
+            totals.append(F.min_by(value, place).alias(sliced))
+            carries.append(F.lead(sliced).over(along).alias(carried))
+            result = F.coalesce(m, p)
+        elif track.kind == "prev":
+            # Every slice has a row, so n slices back always hold the n rows needed.
+            back = along.rowsBetween(-track.n, -1)
+            local[mine] = F.collect_list(value).over(ordered.rowsBetween(-track.n, -1))
+            if track.n == 1:
+                totals.append(F.array(F.max_by(value, place)).alias(sliced))
+            else:
+                tail = F.collect_list(F.when(F.col("_from_end") <= track.n, F.struct((-F.col("_from_end")).alias("r"), value.alias("v"))))
+                totals.append(F.transform(F.array_sort(tail), lambda s: s["v"]).alias(sliced))
+            carries.append(F.flatten(F.collect_list(sliced).over(back)).alias(carried))
+            both = F.concat(F.coalesce(p, F.array()), m)
+            result = F.when(F.size(both) > track.n, F.slice(both, -track.n, track.n)).otherwise(both)
+        else:
+            raise ValueError(f"unknown track: {track.kind}")
+        out.append(result.alias(name))
+
+    # A digest over every column keeps the two readers of the exchange alike.
+    digest = F.bit_xor(F.xxhash64(*[f.name for f in cut.schema.fields if _hashable(f.dataType)]))
+    local["_mark"] = digest.over(here)
+    summary = cut
+    if deepest:
+        summary = summary.withColumn("_from_end", F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*[F.col(c).desc() for c in order])))
+    summary = summary.groupBy(*keys, *names).agg(*totals, digest.alias("_digest"))
+    carry = summary.filter(F.col("_digest").isNotNull()).select(*keys, *names, *carries)
+    scanned = cut.withColumns(local).filter(F.col("_mark").isNotNull())
+    return scanned.join(carry, [*keys, *names]).select(*df.columns, *out)
+
+
+def count_back(df: DataFrame, keys: list[str], ts: str, row_id: str, span_micros: int, slices_of, name: str) -> DataFrame:
     """How many rows of the key lie in [this row's time - span, this row], counting this row.
 
     Two points of one running count: the row itself and a probe placed `span` earlier,
-    which sorts before the rows of its own instant (so the bound is inclusive).
-    `slices_of(column)` cuts the time.
+    which sorts before the rows of its own instant (so the bound is inclusive). Probes
+    travel without the other columns. `slices_of(column)` cuts the time.
     """
-    narrow = df.select(*keys, F.col(row_id), F.col(ts).alias("_at"))
-    probe = narrow.select(
-        *keys, row_id, (F.col("_at") - F.expr(f"INTERVAL {span_micros // 1_000_000} SECONDS")).alias("_at"), F.lit(0).alias("_hit")
+    rest = [c for c in df.columns if c not in (*keys, row_id)]
+    shift = F.expr(f"INTERVAL {span_micros // 1_000_000} SECONDS")
+    points = F.array(
+        F.struct(F.lit(1).alias("hit"), F.col(ts).alias("at")),
+        F.struct(F.lit(0).alias("hit"), (F.col(ts) - shift).alias("at")),
     )
-    marked = narrow.select(*keys, row_id, "_at", F.lit(1).alias("_hit")).unionByName(probe)
-    counted = running(
-        marked, keys, ["_at", "_hit", row_id], [slices_of("_at")], {"_n": ("sum", F.col("_hit"))}
-    )
-    window_size = counted.groupBy(*keys, row_id).agg(
-        F.sum(F.when(F.col("_hit") == 1, F.col("_n")).otherwise(-F.col("_n"))).cast("long").alias(name)
+    marked = df.withColumn("_p", F.explode(points)).select(
+        *keys, row_id, F.col("_p.hit").alias("_hit"), F.col("_p.at").alias("_at"),
+        F.when(F.col("_p.hit") == 1, F.struct(*rest)).alias("_row"),
+    )
+    counted = scan(marked, keys, ["_at", "_hit", row_id], [slices_of("_at")], _n=total(F.col("_hit")))
+    size = F.sum(F.when(F.col("_hit") == 1, F.col("_n")).otherwise(-F.col("_n"))).cast("long")
+    paired = counted.groupBy(*keys, row_id).agg(F.max_by("_row", "_hit").alias("_row"), size.alias(name))
+    return paired.select(*keys, row_id, "_row.*", name).select(*df.columns, name)
+
+
+def islands(df: DataFrame, keys: list[str], micros: str, gap_micros: int) -> DataFrame:
+    """Add `island`: a number that goes up wherever a key is quiet for longer than the gap (a day or more).
+
+    Such a gap lies between two days that have rows, so it shows in the first and last
+    times per (key, day); only those are scanned. `micros` is a time in microseconds.
+    """
+    day = 86_400_000_000
+    if gap_micros < day:
+        raise ValueError("a gap shorter than a day can lie inside a day")
+    cut, names = _cut(df, keys, [F.floor(F.col(micros) / day)])
+    along = Window.partitionBy(*keys).orderBy(*names)
+    digest = F.bit_xor(F.xxhash64(*[f.name for f in cut.schema.fields if _hashable(f.dataType)]))
+    spans = cut.groupBy(*keys, *names).agg(F.min(micros).alias("_first"), F.max(micros).alias("_last"), digest.alias("_digest"))
+    jump = F.coalesce(F.col("_first") - F.lag("_last").over(along) > gap_micros, F.lit(False)).cast("int")
+    numbered = (
+        spans.filter(F.col("_digest").isNotNull())
+        .withColumn("_jump", jump)
+        .select(*keys, *names, F.sum("_jump").over(along).alias("island"))
     )
-    return df.join(window_size, [*keys, row_id], "left")
+    return cut.join(numbered, [*keys, *names]).select(*df.columns, "island")
 
 
 def newest(df: DataFrame, keys: list[str], order: list[str], slices: list[Column], n: int, rank: str = "recency") -> DataFrame:
     """The `n` latest rows of each key, ranked from 1. Each slice first keeps its own `n` latest."""
-    cut, names = _with_slices(df, slices)
+    names = [f"_slice{i}" for i in range(len(slices))]
+    cut = df.withColumns(dict(zip(names, slices)))
     backwards = [F.col(c).desc() for c in order]
     kept = cut.withColumn(
         rank, F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*backwards))

@@ -20,12 +20,12 @@ def pair_snapshots(snapshots: DataFrame, slices: list[Column] | None = None) ->
     Only narrow columns travel; texts are joined later, for changed pairs alone.
     """
     narrow = snapshots.select("monitor_id", "snapshot_id", "text_hash", "created_at")
-    seen = scans.previous_rows(
+    seen = scans.scan(
         narrow,
         ["monitor_id"],
         ORDER,
         slices or [scans.by_day("created_at")],
-        F.struct("snapshot_id", "text_hash", "created_at"),
+        prev=scans.before(F.struct("snapshot_id", "text_hash", "created_at")),
     )
     prev = F.try_element_at("prev", F.lit(-1))
     return seen.select(

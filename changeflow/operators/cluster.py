@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from changeflow.functions import constants as k
 from changeflow.functions import scans
 from changeflow.functions.text import hours, micros, severity_name, severity_rank, string_array, title_words, trim_ws
-from changeflow.operators.suppress import islands
 
 WINDOW = hours(k.CLUSTER_WINDOW_HOURS)
 DECAY_PER_HOUR = math.log(2) / k.TEMPORAL_HALF_LIFE_HOURS
@@ -48,12 +47,12 @@ def alert_similarity(categories: Column, keywords: Column, at: Column, other_cat
 def consecutive_similarity(alerts: DataFrame) -> DataFrame:
     """Similarity of each alert to the one before it of the same user and competitor."""
     featured = alerts.withColumn("keywords", extract_keywords(F.col("summary")))
-    seen = scans.previous_rows(
+    seen = scans.scan(
         featured,
         ["user_id", "competitor_name"],
         ["created_at", "alert_id"],
         [scans.by_day("created_at")],
-        F.struct("alert_id", "categories", "keywords", "created_at"),
+        prev=scans.before(F.struct("alert_id", "categories", "keywords", "created_at")),
     ).withColumn("p", F.try_element_at("prev", F.lit(-1)))
     score = alert_similarity(
         F.col("categories"), F.col("keywords"), F.col("created_at"), F.col("p.categories"), F.col("p.keywords"), F.col("p.created_at")
@@ -153,11 +152,11 @@ def assign_clusters(alerts: DataFrame, partitions: int | None = None) -> DataFra
         F.length("competitor_name") > 0
     )
     narrow = named.select(
-        "user_id", "competitor_name", "alert_id", "created_at", micros(F.col("created_at")).alias("t"),
+        "user_id", "competitor_name", "alert_id", micros(F.col("created_at")).alias("t"),
         F.coalesce("categories", F.array().cast("array<string>")).alias("categories"),
         extract_keywords(F.col("summary")).alias("keywords"),
     )
-    replay = islands(narrow, ["user_id", "competitor_name"], "created_at", "alert_id", WINDOW)
+    replay = scans.islands(narrow, ["user_id", "competitor_name"], "t", WINDOW)
     keys = ["user_id", "competitor_name", "island"]
     placed = replay.repartition(partitions, *keys) if partitions else replay.repartition(*keys)
     id_type = alerts.schema["alert_id"].dataType.simpleString()

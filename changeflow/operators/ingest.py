@@ -144,9 +144,7 @@ def due_monitors(monitors: DataFrame, now: Column, batch_size: int = k.SCRAPE_BA
     due = monitors.filter(
         F.col("is_active") & F.col("deleted_at").isNull() & (F.col("next_check_at") <= now)
     )
-    ranked = scans.running(
-        due, [], ["next_check_at", "monitor_id"], [scans.by_hour("next_check_at")], {"place": ("count", None)}
-    )
+    ranked = scans.scan(due, [], ["next_check_at", "monitor_id"], [scans.by_hour("next_check_at")], place=scans.count())
     return ranked.withColumn("batch_no", F.floor((F.col("place") - 1) / batch_size))
 
 
@@ -160,19 +158,12 @@ def skip_recent(monitors: DataFrame, now: Column, minutes: int = k.RECENT_MINUTE
 def attempt_streaks(attempts: DataFrame, id_col: str = "attempt_id") -> DataFrame:
     """Per attempt: how many failures in a row it closes (0 for a success)."""
     order = ["attempted_at", id_col]
-    counted = scans.running(
-        attempts, ["monitor_id"], order, [scans.by_day("attempted_at")], {"_n": ("count", None), "_ok": ("count", F.when(F.col("ok"), 1))}
-    )
-    # Two counters that only grow: the attempts seen at the latest success is a running max.
-    reset = scans.running(
-        counted,
-        ["monitor_id"],
-        order,
-        [scans.by_day("attempted_at")],
-        {"_n_at_ok": ("max", F.when(F.col("ok"), F.col("_n")))},
-    )
+    days = [scans.by_day("attempted_at")]
+    counted = scans.scan(attempts, ["monitor_id"], order, days, _n=scans.count())
+    # The count only grows, so its value at the latest success is a running maximum.
+    reset = scans.scan(counted, ["monitor_id"], order, days, _n_at_ok=scans.highest(F.when(F.col("ok"), F.col("_n"))))
     streak = F.col("_n") - F.coalesce("_n_at_ok", F.lit(0))
-    return reset.withColumn("consecutive_failures", streak.cast("int")).drop("_n", "_ok", "_n_at_ok")
+    return reset.withColumn("consecutive_failures", streak.cast("int")).drop("_n", "_n_at_ok")
 
 
 def fold_attempts(
@@ -313,9 +304,7 @@ def validate_monitors(
     marked = checked.join(first, ["user_id", "url"], "left").withColumn(
         "_candidate", sound & (F.struct(*order) == F.col("_first"))
     )
-    ranked = scans.running(
-        marked, ["user_id"], order, slices, {"_taken": ("count", F.when(F.col("_candidate"), 1))}
-    )
+    ranked = scans.scan(marked, ["user_id"], order, slices, _taken=scans.count(F.when(F.col("_candidate"), 1)))
     before = F.col("_taken") - F.col("_candidate").cast("long")
     reason = (
         F.when(~live, "deleted")

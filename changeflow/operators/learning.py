@@ -142,12 +142,12 @@ def learning_gate(diffs: DataFrame, snapshots: DataFrame, pair_counts: DataFrame
     `pair_counts` is (diff_id, pairs); leave it out when only diffs with pairs matter.
     `diffs` may carry `changed_lines`; 0 means an empty diff.
     """
-    seen = scans.running(
+    seen = scans.scan(
         snapshots.select("monitor_id", "snapshot_id", "created_at"),
         ["monitor_id"],
         ["created_at", "snapshot_id"],
         [scans.by_day("created_at")],
-        {"snapshots_seen": ("count", None)},
+        snapshots_seen=scans.count(),
     ).select(F.col("snapshot_id").alias("diff_id"), "snapshots_seen")
     empty = F.col("changed_lines") == 0 if "changed_lines" in diffs.columns else F.lit(False)
     reason = F.when(empty, "empty_diff").when(
@@ -200,31 +200,35 @@ def _by_day() -> list[Column]:
     return [scans.by_day("observed_at")]
 
 
-def pattern_history(observations: DataFrame) -> DataFrame:
-    """Running support, mean similarity, first and last seen, and review state per observation.
-
-    A diff counts once per pattern. Review is sticky; the blocked reason is the latest one.
-    """
+def _once_per_diff(observations: DataFrame) -> DataFrame:
+    """A diff counts once per pattern: its first observation."""
     rest = [c for c in observations.columns if c not in (*_PATTERN_KEY, "diff_id")]
-    once = (
+    return (
         observations.groupBy(*_PATTERN_KEY, "diff_id")
         .agg(F.min_by(F.struct(*rest), "observed_at").alias("_row"))
         .select(*_PATTERN_KEY, "diff_id", "_row.*")
     )
-    history = scans.running(
-        once,
-        _PATTERN_KEY,
-        _PATTERN_ORDER,
-        _by_day(),
-        {
-            "support_count": ("count", None),
-            "_similarity": ("sum", F.col("similarity")),
-            "first_seen_at": ("min", F.col("observed_at")),
-            "review_required": ("max", F.col("blocked_reason").isNotNull()),
-            "latest_blocked_reason": ("last", F.col("blocked_reason")),
-        },
-    )
-    return history.withColumn("avg_similarity", F.col("_similarity") / F.col("support_count")).drop("_similarity")
+
+
+def _history_tracks() -> dict[str, scans.Track]:
+    return {
+        "support_count": scans.count(),
+        "_similarity": scans.total(F.col("similarity")),
+        "first_seen_at": scans.lowest(F.col("observed_at")),
+        "_blocked": scans.count(F.col("blocked_reason")),
+        "latest_blocked_reason": scans.latest(F.col("blocked_reason")),
+    }
+
+
+def pattern_history(observations: DataFrame) -> DataFrame:
+    """Running support, mean similarity, first seen and review state per observation.
+
+    Review is sticky; the blocked reason is the latest one.
+    """
+    history = scans.scan(_once_per_diff(observations), _PATTERN_KEY, _PATTERN_ORDER, _by_day(), **_history_tracks())
+    return history.withColumns(
+        {"avg_similarity": F.col("_similarity") / F.col("support_count"), "review_required": F.col("_blocked") > 0}
+    ).drop("_similarity", "_blocked")
 
 
 def recent_diff_count(diffs: DataFrame, lookback_days: int = k.LOOKBACK_DAYS) -> DataFrame:
@@ -240,32 +244,46 @@ def recent_diff_count(diffs: DataFrame, lookback_days: int = k.LOOKBACK_DAYS) ->
     )
 
 
+def _may_activate(review: Column, support: Column, score: Column) -> Column:
+    return ~review & (support >= k.MIN_SUPPORT) & (score >= k.MIN_CONFIDENCE)
+
+
 def pattern_state(observations: DataFrame, diffs: DataFrame) -> DataFrame:
     """The stored state of every pattern after each of its observations.
 
     At an observation the pattern was just seen, so its decay is 1 there; it may have
-    decayed since the observation before, which ends an active spell.
+    decayed since the observation before, which ends an active spell. The state before is
+    worked out from the same running sums less this row, so one scan gives both.
     """
     recent = recent_diff_count(diffs).select("monitor_id", "diff_id", "recent_diffs")
-    scored = (
-        pattern_history(observations)
+    observed = (
+        _once_per_diff(observations)
         .join(recent, ["monitor_id", "diff_id"], "left")
         .withColumn("recent_diffs", F.coalesce("recent_diffs", F.lit(0)))
-        .withColumn("confidence", confidence(F.col("support_count"), F.col("avg_similarity"), F.col("recent_diffs"), F.lit(1.0)))
-        .withColumn(
-            "is_active",
-            ~F.col("review_required") & (F.col("support_count") >= k.MIN_SUPPORT) & (F.col("confidence") >= k.MIN_CONFIDENCE),
-        )
-    )
-    with_prev = scans.previous_rows(
-        scored, _PATTERN_KEY, _PATTERN_ORDER, _by_day(), F.struct("observed_at", "is_active"), 1, "_prev"
     )
+    seen = scans.scan(
+        observed, _PATTERN_KEY, _PATTERN_ORDER, _by_day(),
+        **_history_tracks(), _prev=scans.before(F.struct("observed_at", "recent_diffs")),
+    )
+    n, similarity, blocked = F.col("support_count"), F.col("_similarity"), F.col("_blocked")
     prev = F.try_element_at("_prev", F.lit(-1))
-    was_active = F.coalesce(prev["is_active"] & (decay_score(prev["observed_at"], F.col("observed_at")) >= k.MIN_DECAY), F.lit(False))
-    marked = with_prev.withColumn("promoted", F.col("is_active") & ~was_active).drop("_prev")
-    return scans.running(
+    before = confidence(n - 1, (similarity - F.col("similarity")) / F.nullif(n - 1, F.lit(0)), prev["recent_diffs"], F.lit(1.0))
+    review_before = blocked - F.col("blocked_reason").isNotNull().cast("int") > 0
+    undecayed = decay_score(prev["observed_at"], F.col("observed_at")) >= k.MIN_DECAY
+    scored = seen.withColumns(
+        {
+            "avg_similarity": similarity / n,
+            "review_required": blocked > 0,
+            "confidence": confidence(n, similarity / n, F.col("recent_diffs"), F.lit(1.0)),
+            "_was_active": F.coalesce(_may_activate(review_before, n - 1, before) & undecayed, F.lit(False)),
+        }
+    ).withColumn("is_active", _may_activate(F.col("review_required"), n, F.col("confidence")))
+    marked = scored.withColumn("promoted", F.col("is_active") & ~F.col("_was_active")).drop(
+        "_prev", "_was_active", "_similarity", "_blocked"
+    )
+    return scans.scan(
         marked, _PATTERN_KEY, _PATTERN_ORDER, _by_day(),
-        {"promoted_at": ("last", F.when(F.col("promoted"), F.col("observed_at")))},
+        promoted_at=scans.latest(F.when(F.col("promoted"), F.col("observed_at"))),
     )
 
 

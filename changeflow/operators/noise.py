@@ -201,13 +201,12 @@ def patterns_as_of(diffs: DataFrame, state: DataFrame) -> DataFrame:
     by day and meets the diffs by (monitor, day), never monitor by monitor.
     """
     longest = 49
-    upto = scans.next_value(
+    upto = scans.scan(
         state.select("monitor_id", "pattern", "observed_at", "is_active"),
         ["monitor_id", "pattern"],
         ["observed_at"],
         [scans.by_day("observed_at")],
-        "observed_at",
-        "valid_to",
+        valid_to=scans.following(F.col("observed_at")),
     ).filter("is_active")
     first_day = F.to_date("observed_at")
     last_day = F.least(F.coalesce(F.to_date("valid_to"), F.date_add(first_day, longest)), F.date_add(first_day, longest))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeflow.functions import constants as k
@@ -55,9 +55,7 @@ def queued_alerts(routes: DataFrame) -> DataFrame:
     numbered by one task.
     """
     digest = routes.filter(F.col("route") == "digest").withColumn("digest_hour_utc", digest_hour(F.col("digest_hour_utc")))
-    ranked = scans.running(
-        digest, _QUEUE, ["created_at", "alert_id"], [scans.by_day("created_at")], {"place": ("count", None)}
-    )
+    ranked = scans.scan(digest, _QUEUE, ["created_at", "alert_id"], [scans.by_day("created_at")], place=scans.count())
     return ranked.withColumn("part", F.floor((F.col("place") - 1) / QUEUE_PART).cast("int"))
 
 
@@ -74,16 +72,17 @@ def build_digests(routes: DataFrame, monitors: DataFrame, hour: int) -> DataFram
     the header. Empty digests do not exist.
     """
     queued = queued_alerts(routes).filter(F.col("digest_hour_utc") == hour)
-    totals = queued.groupBy(*_QUEUE).agg(F.count(F.lit(1)).alias("alerts"))
     named = queued.join(monitors.select("monitor_id", F.col("name").alias("monitor_name")), "monitor_id", "left")
     line = F.concat(
         F.lit("• ["), F.upper("severity"), F.lit("] "), F.coalesce("monitor_name", F.lit("Unknown")), F.lit(": "),
         F.substring("summary", 1, 100),
     )
     lines = F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda s: s["line"])
-    parts = named.groupBy(*_QUEUE, "part").agg(F.array_join(lines, "\n").alias("body"))
+    parts = named.groupBy(*_QUEUE, "part").agg(F.array_join(lines, "\n").alias("body"), F.max("place").alias("_last"))
+    # Places are numbered from 1, so the highest is the total; by now there is one row per part.
+    parts = parts.withColumn("alerts", F.max("_last").over(Window.partitionBy(*_QUEUE)))
     header = F.concat(F.lit("📊 **Daily Digest** — "), F.col("alerts").cast("string"), F.lit(" alert(s)\n\n"))
-    return parts.join(totals, _QUEUE).select(
+    return parts.select(
         *_QUEUE, "part", "alerts", F.concat(F.when(F.col("part") == 0, header).otherwise(""), F.col("body")).alias("text")
     )
 

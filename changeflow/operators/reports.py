@@ -198,8 +198,8 @@ def rate_limit_flags(log: DataFrame, limit: int = k.REQUESTS_PER_MINUTE, id_col:
     Requests are numbered by a scan over seconds, so one flooding client is spread out.
     """
     limited = log.filter(~F.col("path").startswith("/api/v1/health")).withColumn("minute", F.date_trunc("minute", "ts"))
-    numbered = scans.running(
-        limited, ["client", "minute"], ["ts", id_col], [F.date_trunc("second", F.col("ts"))], {"nth": ("count", None)}
+    numbered = scans.scan(
+        limited, ["client", "minute"], ["ts", id_col], [F.date_trunc("second", F.col("ts"))], nth=scans.count()
     )
     return numbered.withColumn("rejected", F.col("nth") > limit)
 

@@ -45,12 +45,12 @@ def same_summary_rule(candidates: DataFrame, history: DataFrame) -> DataFrame:
     Needs only the time of the latest alert with that text, so no pairs are formed.
     """
     merged = _with_history(candidates, history, ["monitor_id"], {"_text": normalize_summary(F.col("summary"))})
-    seen = scans.running(
+    seen = scans.scan(
         merged,
         ["monitor_id", "_text"],
         ["created_at", "_side", "_row"],
         [scans.by_day("created_at")],
-        {"_last": ("max", F.when(F.col("_side") == 0, F.col("created_at")))},
+        _last=scans.highest(F.when(F.col("_side") == 0, F.col("created_at"))),
     )
     recent = micros(F.col("_last")) >= micros(F.col("created_at")) - WINDOW
     return seen.filter("_side = 1").select("diff_id", F.coalesce(recent, F.lit(False)).alias("same_summary"))
@@ -62,13 +62,13 @@ def severity_rule(candidates: DataFrame, history: DataFrame, severity_col: str =
     One latest-time column per severity replaces the range join.
     """
     merged = _with_history(candidates, history, ["monitor_id"], {"_rank": severity_rank(F.col(severity_col))})
-    seen = scans.running(
+    seen = scans.scan(
         merged,
         ["monitor_id"],
         ["created_at", "_side", "_row"],
         [scans.by_day("created_at")],
-        {
-            f"_last{rank}": ("max", F.when((F.col("_side") == 0) & (F.col("_rank") == rank), F.col("created_at")))
+        **{
+            f"_last{rank}": scans.highest(F.when((F.col("_side") == 0) & (F.col("_rank") == rank), F.col("created_at")))
             for rank in k.SEVERITY_ORDER.values()
         },
     )
@@ -82,13 +82,12 @@ def severity_rule(candidates: DataFrame, history: DataFrame, severity_col: str =
 
 def oscillation_flags(snapshots: DataFrame, slices: list[Column] | None = None) -> DataFrame:
     """Per snapshot: whether the newest six hashes up to it flip between two states, with counts."""
-    seen = scans.previous_rows(
+    seen = scans.scan(
         snapshots.select("monitor_id", "snapshot_id", "text_hash", "created_at").filter(F.col("text_hash").isNotNull()),
         ["monitor_id"],
         ["created_at", "snapshot_id"],
         slices or [scans.by_day("created_at")],
-        F.col("text_hash"),
-        k.OSCILLATION_WINDOW - 1,
+        prev=scans.before(F.col("text_hash"), k.OSCILLATION_WINDOW - 1),
     )
     hashes = F.concat("prev", F.array("text_hash"))
     n = F.size("hashes")
@@ -108,26 +107,29 @@ def oscillation_flags(snapshots: DataFrame, slices: list[Column] | None = None)
 
 
 def oscillation_at(candidates: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Candidates with `oscillates`, `flips` and `n_hashes` of the latest snapshot up to their time (as-of, by one scan)."""
+    """Per candidate: `oscillates`, `flips` and `n_hashes` of the latest snapshot up to its time (as-of, by one scan).
+
+    Keeps monitor_id, diff_id, created_at, rank and text of the candidates.
+    """
     flags = oscillation_flags(snapshots).select(
-        "monitor_id", "created_at", F.lit(0).alias("_side"), F.col("snapshot_id").alias("_row"),
+        "monitor_id", "created_at", F.lit(0).alias("_side"), F.col("snapshot_id").alias("diff_id"),
+        F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("text"),
         F.struct("oscillates", "flips", "n_hashes").alias("_flag"),
     )
     asked = candidates.select(
-        "monitor_id", "created_at", F.lit(1).alias("_side"), F.col("diff_id").alias("_row"),
+        "monitor_id", "created_at", F.lit(1).alias("_side"), "diff_id", "rank", "text",
         F.lit(None).cast(flags.schema["_flag"].dataType).alias("_flag"),
     )
-    seen = scans.running(
-        flags.unionByName(asked), ["monitor_id"], ["created_at", "_side", "_row"],
-        [scans.by_day("created_at")], {"_seen": ("last", F.col("_flag"))},
+    seen = scans.scan(
+        flags.unionByName(asked), ["monitor_id"], ["created_at", "_side", "diff_id"],
+        [scans.by_day("created_at")], _seen=scans.latest(F.col("_flag")),
     )
-    answers = seen.filter("_side = 1").select(
-        F.col("_row").alias("diff_id"),
+    return seen.filter("_side = 1").select(
+        "monitor_id", "diff_id", "created_at", "rank", "text",
         F.coalesce("_seen.oscillates", F.lit(False)).alias("oscillates"),
-        F.col("_seen.flips").alias("flips"),
-        F.col("_seen.n_hashes").alias("n_hashes"),
-    )
-    return candidates.join(answers, "diff_id")
+        F.coalesce("_seen.flips", F.lit(0)).alias("flips"),
+        F.coalesce("_seen.n_hashes", F.lit(0)).alias("n_hashes"),
+    )
 
 
 # ---- the chain: only alerts that were created count as history --------------------
@@ -195,7 +197,13 @@ def _fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             outcomes.append(done)
             recents.append(recent)
         yield pd.DataFrame(
-            {"diff_id": batch["diff_id"], "outcome": np.concatenate(outcomes), "recent": np.concatenate(recents)}
+            {
+                "diff_id": batch["diff_id"],
+                "_outcome": np.concatenate(outcomes),
+                "_recent": np.concatenate(recents),
+                "_flips": batch["flips"],
+                "_n_hashes": batch["n_hashes"],
+            }
         )
 
 
@@ -211,23 +219,18 @@ def suppress_alerts(
     streamed through in Arrow batches with a state of at most five alerts: a long island
     costs time in one task, never memory.
     """
-    flagged = oscillation_at(candidates, snapshots)
-    narrow = flagged.select(
-        "monitor_id",
-        "diff_id",
-        "created_at",
-        micros(F.col("created_at")).alias("t"),
-        severity_rank(F.col(severity_col)).alias("rank"),
-        normalize_summary(F.col("summary")).alias("text"),
-        "oscillates",
-    )
-    replay = islands(narrow, ["monitor_id"], "created_at", "diff_id", WINDOW)
+    narrow = candidates.select(
+        "monitor_id", "diff_id", "created_at",
+        severity_rank(F.col(severity_col)).alias("rank"), normalize_summary(F.col("summary")).alias("text"),
+    )
+    flagged = oscillation_at(narrow, snapshots).withColumn("t", micros(F.col("created_at"))).drop("created_at")
+    replay = scans.islands(flagged, ["monitor_id"], "t", WINDOW)
     placed = replay.repartition(partitions, "monitor_id", "island") if partitions else replay.repartition("monitor_id", "island")
     id_type = candidates.schema["diff_id"].dataType.simpleString()
     decided = (
         placed.sortWithinPartitions("monitor_id", "island", "t", "diff_id")
-        .select("monitor_id", "island", "diff_id", "t", "rank", "text", "oscillates")
-        .mapInPandas(_fold_sorted, f"diff_id {id_type}, outcome tinyint, recent tinyint")
+        .select("monitor_id", "island", "diff_id", "t", "rank", "text", "oscillates", "flips", "n_hashes")
+        .mapInPandas(_fold_sorted, f"diff_id {id_type}, _outcome tinyint, _recent tinyint, _flips int, _n_hashes int")
     )
     reason = (
         F.when(F.col("_outcome") == SAME, f"Similar alert sent within last {k.SUPPRESS_HOURS}h")
@@ -237,25 +240,16 @@ def suppress_alerts(
         )
         .when(
             F.col("_outcome") == FLIPS,
-            F.format_string("Page oscillating between 2 states (%d flips in last %d snapshots)", F.col("flips"), F.col("n_hashes")),
+            F.format_string("Page oscillating between 2 states (%d flips in last %d snapshots)", F.col("_flips"), F.col("_n_hashes")),
         )
     )
     return (
-        flagged.join(decided.withColumnsRenamed({"outcome": "_outcome", "recent": "_recent"}), "diff_id")
+        candidates.join(decided, "diff_id")
         .withColumns({"outcome": outcome_name(F.col("_outcome")), "reason": reason})
         .select(*candidates.columns, "outcome", "reason")
     )
 
 
-def islands(df: DataFrame, keys: list[str], ts: str, row_id: str, gap_micros: int, slices: list[Column] | None = None) -> DataFrame:
-    """Add `island`: a number that goes up whenever a key was quiet for longer than the gap."""
-    slices = slices or [scans.by_day(ts)]
-    seen = scans.previous_rows(df, keys, [ts, row_id], slices, F.col(ts), 1, "_prev")
-    jump = micros(F.col(ts)) - micros(F.try_element_at("_prev", F.lit(-1))) > gap_micros
-    marked = seen.withColumn("_jump", F.coalesce(jump, F.lit(False)).cast("int")).drop("_prev")
-    return scans.running(marked, keys, [ts, row_id], slices, {"island": ("sum", F.col("_jump"))}).drop("_jump")
-
-
 def created_alerts(decided: DataFrame) -> DataFrame:
     return decided.filter(F.col("outcome") == "created").drop("outcome", "reason")
 
