@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.functions import scans
+from changeflow.functions.spread import python_tasks
 
 ORDER = ["created_at", "snapshot_id"]
 
@@ -121,8 +122,7 @@ def diff_snapshots(
     Pairs are spread by diff id, so a busy monitor does not meet itself in one task.
     The rows come out in Arrow batches; everything after this step is native.
     """
-    spread = pairs.repartition(partitions, "diff_id") if partitions else pairs.repartition("diff_id")
-    spread = spread.select("diff_id", *carry, "text_before", "text_after")
+    spread = pairs.repartition(partitions or python_tasks(pairs), "diff_id").select("diff_id", *carry, "text_before", "text_after")
     types = {f.name: f.dataType.simpleString() for f in spread.schema}
     head = ", ".join(f"{c} {types[c]}" for c in ("diff_id", *carry))
     schema = f"{head}, seq int, hunk_no int, before_start int, after_start int, op string, text string"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from changeflow.functions import constants as k
 from changeflow.functions import scans
+from changeflow.functions.spread import python_tasks
 from changeflow.functions.text import hours, micros, severity_name, severity_rank, string_array, title_words, trim_ws
 
 WINDOW = hours(k.CLUSTER_WINDOW_HOURS)
@@ -158,7 +159,7 @@ def assign_clusters(alerts: DataFrame, partitions: int | None = None) -> DataFra
     )
     replay = scans.islands(narrow, ["user_id", "competitor_name"], "t", WINDOW)
     keys = ["user_id", "competitor_name", "island"]
-    placed = replay.repartition(partitions, *keys) if partitions else replay.repartition(*keys)
+    placed = replay.repartition(partitions or python_tasks(replay), *keys)
     id_type = alerts.schema["alert_id"].dataType.simpleString()
     assigned = (
         placed.sortWithinPartitions(*keys, "t", "alert_id")
