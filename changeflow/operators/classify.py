@@ -56,6 +56,7 @@ def classify_with(prompts: DataFrame, model: Callable[[pd.DataFrame], pd.DataFra
     the default analysis; the job goes on.
     """
     columns = ["diff_id", "body", "is_structured", "prompt_tokens", "completion_tokens", "error"]
+    id_type = prompts.schema["diff_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -70,9 +71,13 @@ def classify_with(prompts: DataFrame, model: Callable[[pd.DataFrame], pd.DataFra
                 answer = pd.DataFrame({"diff_id": batch["diff_id"]}).assign(
                     body=None, is_structured=False, prompt_tokens=0, completion_tokens=0, error=str(failure)
                 )
-            yield answer.reindex(columns=columns)
+            answer = answer.reindex(columns=columns)
+            # Plain objects, whatever string type the model's frame uses; no token count is none used.
+            for text in ("diff_id", "body", "error") if id_type == "string" else ("body", "error"):
+                answer[text] = answer[text].astype(object).where(answer[text].notna(), None)
+            answer["is_structured"] = answer["is_structured"].fillna(False).astype(bool)
+            yield answer.fillna({"prompt_tokens": 0, "completion_tokens": 0})
 
-    id_type = prompts.schema["diff_id"].dataType.simpleString()
     schema = (
         f"diff_id {id_type}, body string, is_structured boolean, prompt_tokens int, completion_tokens int, error string"
     )
