@@ -14,8 +14,11 @@ RETENTION_DAYS = {"snapshots": k.SNAPSHOT_DAYS, "diffs": k.DIFF_DAYS, "analyses"
 
 
 def keep_recent(df: DataFrame, now: Column, keep_days: int, ts: str = "created_at") -> DataFrame:
-    """Rows not older than `keep_days`. The bound is a literal on the stored column, so date folders prune."""
-    return df.filter(F.col(ts) >= now - F.expr(f"INTERVAL {keep_days} DAYS"))
+    """Rows not older than `keep_days`. A table stored in `day` folders is also cut by folder, so old ones are not read."""
+    oldest = now - F.expr(f"INTERVAL {keep_days} DAYS")
+    if "day" in df.columns:
+        df = df.filter(F.col("day") >= F.to_date(oldest))
+    return df.filter(F.col(ts) >= oldest)
 
 
 def retention_counts(tables: dict[str, DataFrame], now: Column, keep: dict[str, int] | None = None) -> DataFrame:
