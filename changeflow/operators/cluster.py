@@ -180,38 +180,58 @@ def cluster_title(competitor: Column, categories: Column, summary: Column) -> Co
 def cluster_rollup(alerts: DataFrame) -> DataFrame:
     """One row per cluster: counts, severity, title and the unions of categories and keywords.
 
-    Words are made distinct per cluster before they are gathered, so a cluster of many
-    alike alerts moves only its vocabulary.
+    The alerts are read once: each gives a row for itself and one per word, which are
+    combined per (cluster, word) before the shuffle, so a cluster of many alike alerts
+    moves only its vocabulary.
     """
-    member = alerts.filter(F.col("cluster_id").isNotNull())
-    first = F.min_by(F.struct("user_id", "competitor_name", "categories", "summary"), F.struct("created_at", "alert_id"))
-    base = member.groupBy("cluster_id").agg(
-        first.alias("f"),
-        F.count(F.lit(1)).alias("alert_count"),
-        severity_name(F.max(severity_rank(F.col("severity")))).alias("severity"),
-        F.min("created_at").alias("created_at"),
-        F.max("created_at").alias("updated_at"),
+    tagged = lambda tag, values: F.transform(values, lambda w: F.struct(F.lit(tag).alias("tag"), w.alias("word")))
+    cells = F.concat(
+        F.array(F.struct(F.lit("").alias("tag"), F.lit("").alias("word"))),
+        tagged("c", F.array_distinct(F.coalesce("categories", F.array().cast("array<string>")))),
+        tagged("k", extract_keywords(F.col("summary"))),
     )
+    whole = F.col("tag") == ""
+    head = F.when(whole, F.struct("user_id", "competitor_name", "categories", "summary"))
+    words = (
+        alerts.filter(F.col("cluster_id").isNotNull())
+        .withColumn("_cell", F.explode(cells))
+        .select("*", "_cell.tag", "_cell.word")
+        .groupBy("cluster_id", "tag", "word")
+        .agg(
+            F.min_by(head, F.when(whole, F.struct("created_at", "alert_id"))).alias("f"),
+            F.count(F.lit(1)).alias("n"),
+            F.max(severity_rank(F.col("severity"))).alias("rank"),
+            F.min("created_at").alias("first_at"),
+            F.max("created_at").alias("last_at"),
+        )
+    )
+
+    def of_alerts(value) -> Column:
+        return F.max(F.when(whole, value))
 
-    def union_of(values: Column, name: str) -> DataFrame:
-        words = member.select("cluster_id", F.explode(values).alias("w")).distinct()
-        return words.groupBy("cluster_id").agg(F.array_sort(F.collect_list("w")).alias(name))
+    def gathered(tag: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("tag") == tag, F.col("word"))))
 
+    base = words.groupBy("cluster_id").agg(
+        F.first("f", ignorenulls=True).alias("f"),
+        of_alerts(F.col("n")).alias("alert_count"),
+        severity_name(of_alerts(F.col("rank"))).alias("severity"),
+        of_alerts(F.col("first_at")).alias("created_at"),
+        of_alerts(F.col("last_at")).alias("updated_at"),
+        gathered("c").alias("categories"),
+        gathered("k").alias("keywords"),
+    )
     name = trim_ws(F.col("f.competitor_name"))
-    return (
-        base.join(union_of(F.col("categories"), "categories"), "cluster_id", "left")
-        .join(union_of(extract_keywords(F.col("summary")), "keywords"), "cluster_id", "left")
-        .select(
-            "cluster_id",
-            "f.user_id",
-            name.alias("competitor_name"),
-            cluster_title(name, F.col("f.categories"), F.col("f.summary")).alias("title"),
-            "severity",
-            "alert_count",
-            F.coalesce("categories", F.array().cast("array<string>")).alias("categories"),
-            F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"),
-            F.lit(False).alias("is_resolved"),
-            "created_at",
-            "updated_at",
-        )
+    return base.select(
+        "cluster_id",
+        "f.user_id",
+        name.alias("competitor_name"),
+        cluster_title(name, F.col("f.categories"), F.col("f.summary")).alias("title"),
+        "severity",
+        "alert_count",
+        "categories",
+        "keywords",
+        F.lit(False).alias("is_resolved"),
+        "created_at",
+        "updated_at",
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 
@@ -12,11 +13,15 @@ from pyspark.sql import types as T
 
 from changeflow.functions import constants as k
 from changeflow.functions import scans
-from changeflow.functions.text import PY_FLAGS_NOCASE, matches, micros, remove_all, trim_ws
+from changeflow.functions.text import PY_FLAGS_NOCASE, days, matches, remove_all, trim_ws
 from changeflow.operators.change import FILE_HEADER, _range_text
 from changeflow.operators.ingest import compiles
 
 
+# How long a pattern stays in force after it was last seen.
+DECAY_MICROS = int(days(k.DECAY_HALF_LIFE_DAYS * math.log2(1 / k.MIN_DECAY)))
+
+
 def valid_patterns(patterns: DataFrame) -> DataFrame:
     """Add `is_valid` to (source, pattern) rows. Each distinct pattern is compiled once."""
     verdict = patterns.select("pattern").distinct().withColumn("is_valid", compiles("pattern"))
@@ -192,31 +197,40 @@ def filter_diffs(lines: DataFrame, min_residual: int = k.MIN_RESIDUAL_CHARS, wit
     return diffs.withColumn("learned_hits", tally).drop("hits")
 
 
-def patterns_as_of(diffs: DataFrame, state: DataFrame) -> DataFrame:
-    """(diff_id, pattern): learned patterns in force for each diff.
+def active_spells(state: DataFrame) -> DataFrame:
+    """(monitor_id, pattern, spell_from, spell_to): stretches in which a pattern was in force without a break.
 
-    `state` is a pattern history (monitor_id, pattern, observed_at, is_active). A state
-    holds from just after its observation until the next one of the same pattern, at
-    most until it decays; decay bounds that to 49 days, so an active state is laid out
-    by day and meets the diffs by (monitor, day), never monitor by monitor.
+    A state holds from just after its observation until the next one, at most until it
+    decays. Observations of one promotion follow each other without a break, so they
+    are merged: what is left per pattern is one row per promotion, however often the
+    pattern was seen.
     """
-    longest = 49
-    upto = scans.scan(
-        state.select("monitor_id", "pattern", "observed_at", "is_active"),
+    seen = scans.scan(
+        state.select("monitor_id", "pattern", "observed_at", "is_active", "promoted_at"),
         ["monitor_id", "pattern"],
         ["observed_at"],
         [scans.by_day("observed_at")],
         valid_to=scans.following(F.col("observed_at")),
     ).filter("is_active")
-    first_day = F.to_date("observed_at")
-    last_day = F.least(F.coalesce(F.to_date("valid_to"), F.date_add(first_day, longest)), F.date_add(first_day, longest))
-    laid_out = upto.withColumn("day", F.explode(F.sequence(first_day, last_day)))
+    gone = F.col("observed_at") + F.expr(f"INTERVAL {DECAY_MICROS // 1_000_000} SECONDS {DECAY_MICROS % 1_000_000} MICROSECONDS")
+    return seen.groupBy("monitor_id", "pattern", "promoted_at").agg(
+        F.min("observed_at").alias("spell_from"), F.max(F.least(F.col("valid_to"), gone)).alias("spell_to")
+    ).drop("promoted_at")
+
+
+def patterns_as_of(diffs: DataFrame, state: DataFrame) -> DataFrame:
+    """(diff_id, monitor_id, pattern): learned patterns in force for each diff, from states strictly before it.
+
+    `state` is a pattern history (monitor_id, pattern, observed_at, is_active, promoted_at).
+    A spell is laid out by day and meets the diffs by (monitor, day), never monitor by
+    monitor; apart from the first and last day of a spell every pair that meets is a
+    result, so the join makes no more rows than it returns.
+    """
+    laid_out = active_spells(state).withColumn("day", F.explode(F.sequence(F.to_date("spell_from"), F.to_date("spell_to"))))
     dated = diffs.select("diff_id", "monitor_id", F.col("created_at").alias("_t"), F.to_date("created_at").alias("day"))
-    age_days = (micros(F.col("_t")) - micros(F.col("observed_at"))) / 86_400_000_000
     return (
         dated.join(laid_out, ["monitor_id", "day"])
-        .filter((F.col("observed_at") < F.col("_t")) & (F.col("valid_to").isNull() | (F.col("_t") <= F.col("valid_to"))))
-        .filter(F.pow(F.lit(0.5), age_days / k.DECAY_HALF_LIFE_DAYS) >= k.MIN_DECAY)
+        .filter((F.col("spell_from") < F.col("_t")) & (F.col("_t") <= F.col("spell_to")))
         .select("diff_id", "monitor_id", "pattern")
     )
 

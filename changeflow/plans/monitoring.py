@@ -24,35 +24,35 @@ def watch(
     then joined to the diffs as of their time; no stage waits for its own output except
     suppression and clustering, which replay narrow rows per key.
 
-    The line diff (Python) and the model answers are stored once and read by every later
-    stage, so they are not computed again when a branch or a lost executor asks for them.
+    Steps that more than one later stage reads (line diffs, model answers, decisions) are
+    stored once, so a branch or a lost executor never makes them run again.
     """
     snaps = ingest.fingerprint_text(snapshots)
     pairs = change.pair_snapshots(snaps)
     texts = change.changed_pairs(snaps, pairs)
-    lines = cut_lineage(change.diff_snapshots(texts))
+    lines = cut_lineage(change.diff_snapshots(texts), "diff_lines")
     heads = lines.select("diff_id", "monitor_id", "created_at").distinct()
 
-    observations = cut_lineage(learning.observe_patterns(lines, heads, snaps, monitors))
-    state = cut_lineage(learning.pattern_state(observations, heads))
+    observations = cut_lineage(learning.observe_patterns(lines, heads, snaps, monitors), "observations")
+    state = cut_lineage(learning.pattern_state(observations, heads), "pattern_state")
     in_force = noise.pattern_lists(noise.patterns_as_of(heads, state))
 
     patterned = noise.attach_patterns(lines, monitors, in_force)
     diffs = noise.filter_diffs(patterned, carry=("monitor_id", "created_at"))
-    diffs = cut_lineage(diffs.withColumn("snapshot_after_id", F.col("diff_id")))
+    diffs = cut_lineage(diffs.withColumn("snapshot_after_id", F.col("diff_id")), "diffs")
 
     meaningful = diffs.filter(~F.col("is_empty_after_filter"))
     prompts = classify.classification_inputs(meaningful, monitors)
-    responses = cut_lineage(classify.classify_with(prompts, model))
+    responses = cut_lineage(classify.classify_with(prompts, model), "responses")
     analyses = classify.build_analyses(diffs, monitors, responses)
 
     owners = monitors.select("monitor_id", "user_id", "competitor_name")
     candidates = classify.alert_candidates(analyses).withColumnRenamed("significance_level", "severity").join(owners, "monitor_id")
-    decided = cut_lineage(suppress.suppress_alerts(candidates, snaps))
+    decided = cut_lineage(suppress.suppress_alerts(candidates, snaps), "decisions")
     created = suppress.created_alerts(decided).withColumn("alert_id", F.col("diff_id")).withColumn(
         "notified_at", F.lit(None).cast("timestamp")
     )
-    alerts = cluster.assign_clusters(created)
+    alerts = cut_lineage(cluster.assign_clusters(created), "alerts")
 
     out = {
         "snapshots": change.snapshot_status(pairs, diffs, analyses),

@@ -26,7 +26,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store `df` reliably and go on from the stored rows: dear steps run once, lost executors do not matter."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def cut_lineage(df: DataFrame, name: str) -> DataFrame:
+    """Store `df` as a Parquet table in the shared folder and go on from it.
+
+    Dear steps run once, lost executors do not matter, and later stages read only the
+    columns they use. The folder is the caller's to keep or drop.
+    """
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -83,8 +83,11 @@ def test_filter_diffs_drops_empty_hunks(spark):
 
 def test_patterns_as_of(spark, at):
     state = spark.createDataFrame(
-        [("m", "p", at(0), True), ("m", "p", at(100), False), ("m", "p", at(200), True), ("m", "q", at(0), True), ("n", "p", at(0), True)],
-        "monitor_id string, pattern string, observed_at timestamp, is_active boolean",
+        [
+            ("m", "p", at(0), True, at(0)), ("m", "p", at(50), True, at(0)), ("m", "p", at(100), False, at(0)), ("m", "p", at(200), True, at(200)),
+            ("m", "q", at(0), True, at(0)), ("n", "p", at(0), True, at(0)),
+        ],
+        "monitor_id string, pattern string, observed_at timestamp, is_active boolean, promoted_at timestamp",
     )
     decay_hours = 24 * 48.7
     times = {"at_start": 0, "early": 1, "at_end": 100, "gap": 150, "late": 201, "just_alive": decay_hours, "just_gone": 24 * 48.8, "p_gone": 200 + 24 * 48.8}
