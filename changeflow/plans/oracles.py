@@ -59,6 +59,18 @@ def strip(c: str) -> str:
     return STRIP.format(c=c)
 
 
+def _stripped(c: str) -> str:
+    for pattern in k.GLOBAL_NOISE_PATTERNS:
+        if "(?=" in pattern:
+            # No look-ahead here: the ending is captured and put back.
+            bare = pattern.replace("(?=", "(")
+            c = f"regexp_replace({c}, {lit(bare)}, '\\1', 'gi')"
+        else:
+            wide = pattern.replace(r"[\w-]", r"[\w\p{L}\p{N}-]").replace(r"\w+", r"[\w\p{L}\p{N}]+")
+            c = f"regexp_replace({c}, {lit(wide)}, '', 'gi')"
+    return c
+
+
 # ---- adapters --------------------------------------------------------------------------
 
 cte(
@@ -94,7 +106,7 @@ cte(
 cte(
     "versions_v",
     """SELECT doc_id * 100 + version AS snapshot_id, doc_id AS monitor_id, CAST(version AS INTEGER) AS version,
-    array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: i % (version + 7) <> 0), chr(10))
+    array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x, i: (i - 1) || ': ' || x), lambda x, i: i % (version + 7) <> 0), chr(10))
       || chr(10) || 'Last updated: March ' || version AS extracted_text,
     TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(version AS INTEGER)) AS created_at
     FROM documents, range(0, 12) AS r(version)""",
@@ -302,21 +314,83 @@ oracle(
     "SELECT diff_id, CAST(len(string_split(after_text, chr(10))) - len(string_split(before_text, chr(10))) AS BIGINT) AS net_lines FROM version_pairs_v",
     ("version_pairs_v",),
 )
-oracle("last_change", "SELECT monitor_id, max(created_at) AS last_change_at FROM analyses_v GROUP BY monitor_id", ("analyses_v",))
+# The lines of a version are numbered, so no line occurs twice and common lines keep their order:
+# the only diff that keeps all of them removes what is not in the later text and adds what is not
+# in the earlier one. Context is three lines around a change; a longer quiet stretch parts hunks.
+cte(
+    "version_lines_v",
+    """SELECT diff_id, monitor_id, side, CAST(unnest(range(len(l))) AS INTEGER) AS idx, unnest(l) AS text FROM
+    (SELECT diff_id, monitor_id, 'b' AS side, string_split(before_text, chr(10)) AS l FROM version_pairs_v
+     UNION ALL SELECT diff_id, monitor_id, 'a', string_split(after_text, chr(10)) FROM version_pairs_v)""",
+    ("version_pairs_v",),
+)
+cte(
+    "merged_v",
+    """SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY anchor, kind, idx) AS m FROM
+    (SELECT *, CASE WHEN shared THEN 2 WHEN side = 'b' THEN 0 ELSE 1 END AS kind, CASE WHEN shared THEN ' ' WHEN side = 'b' THEN '-' ELSE '+' END AS op,
+      count(*) FILTER (shared) OVER (PARTITION BY diff_id, side ORDER BY idx) - CASE WHEN shared THEN 1 ELSE 0 END AS anchor
+     FROM (SELECT *, count(*) OVER (PARTITION BY diff_id, text) = 2 AS shared FROM version_lines_v)) WHERE NOT (shared AND side = 'a')""",
+    ("version_lines_v",),
+)
+cte(
+    "diff_v",
+    """SELECT diff_id, monitor_id, op, text, b_pos, a_pos, CAST(row_number() OVER w - 1 AS INTEGER) AS seq, CAST(sum(jump) OVER w - 1 AS INTEGER) AS hunk_no FROM
+    (SELECT *, CASE WHEN m - lag(m) OVER (PARTITION BY diff_id ORDER BY m) = 1 THEN 0 ELSE 1 END AS jump FROM
+      (SELECT *, max(CASE WHEN op <> ' ' THEN m END) OVER p AS back, min(CASE WHEN op <> ' ' THEN m END) OVER f AS ahead,
+        count(*) FILTER (op <> '+') OVER p - CASE WHEN op <> '+' THEN 1 ELSE 0 END AS b_pos, count(*) FILTER (op <> '-') OVER p - CASE WHEN op <> '-' THEN 1 ELSE 0 END AS a_pos
+       FROM merged_v WINDOW p AS (PARTITION BY diff_id ORDER BY m ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY diff_id ORDER BY m ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+     WHERE m - back <= 3 OR ahead - m <= 3) WINDOW w AS (PARTITION BY diff_id ORDER BY m ROWS UNBOUNDED PRECEDING)""",
+    ("merged_v",),
+)
 
-# ---- D ------------------------------------------------------------------------------------
 
+def _range(start: str, n: str) -> str:
+    return f"CASE {n} WHEN 0 THEN {start} || ',0' WHEN 1 THEN CAST({start} + 1 AS VARCHAR) ELSE ({start} + 1) || ',' || {n} END"
 
-def _stripped(c: str) -> str:
-    for pattern in k.GLOBAL_NOISE_PATTERNS:
-        if "(?=" in pattern:
-            # No look-ahead here: the ending is captured and put back.
-            bare = pattern.replace("(?=", "(")
-            c = f"regexp_replace({c}, {lit(bare)}, '\\1', 'gi')"
-        else:
-            wide = pattern.replace(r"[\w-]", r"[\w\p{L}\p{N}-]").replace(r"\w+", r"[\w\p{L}\p{N}]+")
-            c = f"regexp_replace({c}, {lit(wide)}, '', 'gi')"
-    return c
+
+cte(
+    "noted_v",
+    f"""SELECT *, op <> ' ' AND length({strip(_stripped("text"))}) < 5 AS is_noise FROM diff_v""",
+    ("diff_v",),
+)
+cte(
+    "hunks_v",
+    f"""SELECT *, '@@ -' || {_range("b_start", "n_before")} || ' +' || {_range("a_start", "n_after")} || ' @@' AS header FROM
+    (SELECT diff_id, hunk_no, any_value(monitor_id) AS monitor_id, min(b_pos) AS b_start, min(a_pos) AS a_start, count(*) FILTER (op <> '+') AS n_before, count(*) FILTER (op <> '-') AS n_after,
+      count(*) FILTER (op = '+') AS added, count(*) FILTER (op = '-') AS removed, sum(strlen(text) + 2) AS bytes, count(*) FILTER (is_noise) AS noise,
+      string_agg(op || text, chr(10) ORDER BY seq) AS body, string_agg(op || text, chr(10) ORDER BY seq) FILTER (NOT is_noise) AS kept
+     FROM noted_v GROUP BY diff_id, hunk_no)""",
+    ("noted_v",),
+)
+oracle("diff_snapshots", "SELECT diff_id, seq, hunk_no, op, sha256(text) AS text_hash FROM diff_v", ("diff_v",))
+oracle(
+    "diff_stats",
+    """SELECT diff_id, CAST(sum(added) AS BIGINT) AS lines_added, CAST(sum(removed) AS BIGINT) AS lines_removed, count(*) AS changed_hunks,
+    CAST(sum(bytes + strlen(header) + 1) + 25 AS BIGINT) AS diff_size_bytes FROM hunks_v GROUP BY diff_id""",
+    ("hunks_v",),
+)
+oracle(
+    "render_unified",
+    """SELECT diff_id, strlen(t) AS bytes, sha256(t) AS text_hash FROM (SELECT diff_id, '--- previous' || chr(10) || '+++ current' || chr(10)
+    || string_agg(header || chr(10) || body, chr(10) ORDER BY hunk_no) || chr(10) AS t FROM hunks_v GROUP BY diff_id)""",
+    ("hunks_v",),
+)
+oracle(
+    "filtered_text",
+    """SELECT diff_id, count(*) FILTER (added + removed > noise) = 0 AS is_empty_after_filter, sha256('--- previous' || chr(10) || '+++ current' || chr(10)
+    || string_agg(header || chr(10) || kept, chr(10) ORDER BY hunk_no) FILTER (added + removed > noise)) AS text_hash FROM hunks_v GROUP BY diff_id""",
+    ("hunks_v",),
+)
+oracle(
+    "meaningful_changes",
+    """SELECT monitor_id, count(*) AS diffs, count(*) FILTER (changed = noise) AS noise_only_diffs, CAST(sum(changed) AS BIGINT) AS changed_lines, CAST(sum(noise) AS BIGINT) AS noise_lines,
+    round(100.0 * sum(noise) / sum(changed), 4) AS noise_percent FROM
+    (SELECT diff_id, any_value(monitor_id) AS monitor_id, sum(added + removed) AS changed, sum(noise) AS noise FROM hunks_v GROUP BY diff_id) GROUP BY monitor_id""",
+    ("hunks_v",),
+)
+oracle("last_change", "SELECT monitor_id, max(created_at) AS last_change_at FROM analyses_v GROUP BY monitor_id", ("analyses_v",))
+
+# ---- D ------------------------------------------------------------------------------------
 
 
 cte(
@@ -788,6 +862,33 @@ oracle(
     || '---' || chr(10) || 'Sent by changeflow' AS mail_plain FROM rendered_v""",
     ("rendered_v",),
 )
+_MD = "'{{\"type\":\"mrkdwn\",\"text\":' || to_json({0}) || '}}'"
+_HTML_CELL = "'<tr><td><strong>{0}</strong></td><td>' || {1} || '</td></tr>'"
+
+
+def _html(c: str) -> str:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = f"replace({c}, '{raw}', '{safe}')"
+    return f"replace({c}, chr(39), '&#x27;')"
+
+
+_FIELDS = " || ',' || ".join(
+    _MD.format(c) for c in ("'*Page Type:* ' || page_type", "'*Monitor:* ' || name", "'*Categories:* ' || cats", "'*URL:* <' || url || '|View Page>'")
+)
+_CELLS = " || ".join(_HTML_CELL.format(t, _html(c)) for t, c in (("Monitor", "name"), ("Page Type", "page_type"), ("Categories", "cats"), ("URL", "url")))
+_COLOR = "CASE severity WHEN 'critical' THEN '#DC2626' WHEN 'high' THEN '#EA580C' WHEN 'medium' THEN '#CA8A04' ELSE '#6B7280' END"
+_LINK = "'https://dash.example.com/alerts/' || alert_id"
+oracle(
+    "render_payloads",
+    f"""SELECT alert_id, channel, '{{"text":' || to_json({_EMOJI} || ' [' || upper(severity) || '] Change detected on ' || who || ' (' || page_type || ')') || ',"blocks":['
+    || '{{"type":"header","text":{{"type":"plain_text","text":' || to_json({_EMOJI} || ' ' || upper(severity) || ': Change on ' || who) || '}}}},'
+    || '{{"type":"section","text":' || {_MD.format("summary")} || '}},' || '{{"type":"section","fields":[' || {_FIELDS} || ']}},'
+    || '{{"type":"actions","elements":[{{"type":"button","text":{{"type":"plain_text","text":"View Details"}},"url":' || to_json({_LINK}) || ',"style":"primary"}}]}}]}}' AS chat_payload,
+    sha256('<!DOCTYPE html><html><head><meta charset="utf-8"></head><body><div style="background-color: ' || {_COLOR} || '"><h1>' || upper(severity) || ': Change Detected</h1><p>'
+    || {_html("who")} || ' &mdash; ' || {_html("page_type")} || '</p></div><p>' || {_html("summary")} || '</p><table>' || {_CELLS} || '</table><a href="' || {_LINK}
+    || '">View Details</a><p>Sent by changeflow</p></body></html>') AS html_hash FROM (SELECT *, array_to_string(categories, ', ') AS cats FROM rendered_v)""",
+    ("rendered_v",),
+)
 cte(
     "deliveries_v",
     "SELECT attempt_id // 2 AS alert_id, CASE attempt_id % 2 WHEN 0 THEN 'slack' ELSE 'email' END AS channel, ok, error, attempted_at AS done_at FROM attempts_v",
@@ -950,6 +1051,3 @@ oracle(
 )
 oracle("stream_dedupe", "SELECT snapshot_id, monitor_id, text_hash, created_at FROM snapshots_v", ("snapshots_v",))
 ORACLES["stream_digest"] = ORACLES["build_digests"]
-
-# ---- the flagship ------------------------------------------------------------------------------
-# The diff itself is not SQL; the balance of its lines, and the text on both sides, are checked above.

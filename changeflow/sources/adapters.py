@@ -85,8 +85,9 @@ def filter_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve dated versions of every document: a footer that counts up, some lines dropped."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    """Twelve dated versions of every document: numbered lines, some of them dropped, and a footer that counts up."""
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.concat(i.cast("string"), F.lit(": "), x))
+    docs = table(spark, sf_dir, "documents").select("doc_id", numbered.alias("lines"))
     exploded = docs.withColumn("version", F.explode(F.sequence(F.lit(0), F.lit(VERSIONS - 1))))
     kept = F.filter("lines", lambda x, i: (i + 1) % (F.col("version") + 7) != 0)
     footer = F.concat(F.lit("Last updated: March "), F.col("version").cast("string"))
