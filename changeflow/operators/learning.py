@@ -372,9 +372,11 @@ def learning_overview(summary: DataFrame, monitors: DataFrame, user_id=None) ->
 OVERVIEW_ORDER = ["lines_filtered_7d desc", "learned_patterns desc", "avg_confidence desc", "monitor_id"]
 
 
-def monitor_patterns(used: DataFrame, monitor_id) -> DataFrame:
-    """Patterns of one monitor, most trusted first."""
-    return used.filter(F.col("monitor_id") == monitor_id).orderBy(F.desc("confidence"), "pattern")
+def monitor_patterns(used: DataFrame, monitor_id=None) -> DataFrame:
+    """Patterns of one monitor (or of each), most trusted first."""
+    if monitor_id is not None:
+        used = used.filter(F.col("monitor_id") == monitor_id)
+    return used.orderBy("monitor_id", F.desc("confidence"), "pattern")
 
 
 def learning_run_stats(state: DataFrame) -> DataFrame:

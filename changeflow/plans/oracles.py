@@ -209,7 +209,7 @@ oracle(
 
 oracle(
     "extract_page_text",
-    f"""SELECT page_id, sha256(txt) AS text_hash, length(txt) AS text_length FROM (SELECT page_id,
+    f"""SELECT page_id, sha256(txt) AS text_hash, CAST(length(txt) AS INTEGER) AS text_length FROM (SELECT page_id,
     {strip("regexp_replace(regexp_replace(body, chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), ' +', ' ', 'g')".replace("{{", "{").replace("}}", "}"))} AS txt FROM
     (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(array_to_string(list_filter(list_transform(
       string_split_regex(regexp_replace(regexp_replace(html, '(?is)<(head|script|style|noscript|iframe|svg)\\b[^>]*>.*?</(head|script|style|noscript|iframe|svg)>', '<x>', 'g'),
@@ -221,7 +221,7 @@ oracle(
     f"""SELECT doc_id, sha256({strip("regexp_replace(regexp_replace(replace(replace(text, chr(10), repeat(chr(10), 4)), ' ', '  '), chr(10) || '{3,}', chr(10) || chr(10), 'g'), ' +', ' ', 'g')")}) AS text_hash
     FROM documents""",
 )
-oracle("fingerprint_text", "SELECT doc_id, sha256(text) AS text_hash, length(text) AS text_length FROM documents")
+oracle("fingerprint_text", "SELECT doc_id, sha256(text) AS text_hash, CAST(length(text) AS INTEGER) AS text_length FROM documents")
 oracle(
     "flag_js_pages",
     f"""SELECT page_id, f AS needs_rendering, CASE WHEN f THEN {DUE_AT} + INTERVAL 5 MINUTES END AS recheck_at FROM
@@ -371,7 +371,7 @@ oracle(
 )
 oracle(
     "render_unified",
-    """SELECT diff_id, strlen(t) AS bytes, sha256(t) AS text_hash FROM (SELECT diff_id, '--- previous' || chr(10) || '+++ current' || chr(10)
+    """SELECT diff_id, CAST(strlen(t) AS INTEGER) AS bytes, sha256(t) AS text_hash FROM (SELECT diff_id, '--- previous' || chr(10) || '+++ current' || chr(10)
     || string_agg(header || chr(10) || body, chr(10) ORDER BY hunk_no) || chr(10) AS t FROM hunks_v GROUP BY diff_id)""",
     ("hunks_v",),
 )
@@ -569,6 +569,14 @@ oracle(
     WHERE deleted_at IS NULL ORDER BY lines_filtered_7d DESC, learned_patterns DESC, avg_confidence DESC, m.monitor_id LIMIT 100""",
     ("monitors_v", "summary_v"),
 )
+oracle(
+    "monitor_patterns",
+    """SELECT s.monitor_id, s.pattern, s.confidence, CAST(coalesce(total, 0) AS BIGINT) AS total_lines_filtered, last_matched_at FROM
+    (SELECT *, row_number() OVER (PARTITION BY monitor_id, pattern ORDER BY observed_at DESC, diff_id DESC) AS rn FROM state_v) s
+    LEFT JOIN (SELECT monitor_id, pattern, sum(count) AS total, max(used_at) AS last_matched_at FROM filter_events_v GROUP BY 1, 2) u
+      ON s.monitor_id = u.monitor_id AND s.pattern = u.pattern WHERE rn = 1""",
+    ("state_v", "filter_events_v"),
+)
 oracle(
     "learning_run_stats",
     "SELECT diff_id, count(*) AS candidates, count(*) AS updated, count(*) FILTER (promoted) AS promoted, count(*) FILTER (blocked_reason IS NOT NULL) AS blocked FROM state_v GROUP BY diff_id",
@@ -1026,6 +1034,12 @@ oracle(
     LEFT JOIN (SELECT event_id + user_id AS alert_id, min(ts) AS clicked_at FROM events WHERE event_type = 'click' GROUP BY 1) c ON a.alert_id = c.alert_id""",
     ("alerts_v",),
 )
+oracle(
+    "resolve_clusters",
+    """SELECT r.cluster_id, seen IS NOT NULL AS is_resolved, seen AS resolved_at FROM rollup_v r
+    LEFT JOIN (SELECT cluster_id, min(created_at) AS seen FROM daily_v WHERE is_acknowledged GROUP BY 1) s ON r.cluster_id = s.cluster_id""",
+    ("daily_v", "rollup_v"),
+)
 oracle(
     "dedupe_signups",
     """SELECT email_normalized, first(c_custkey ORDER BY created_at, c_custkey) AS signup_id, count(*) AS requests FROM

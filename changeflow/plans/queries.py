@@ -408,6 +408,13 @@ def learning_overview(spark, sf):
     )
 
 
+@query
+def monitor_patterns(spark, sf):
+    """The patterns of every monitor, most trusted first."""
+    listed = learning.monitor_patterns(_used_patterns(spark, sf))
+    return listed.select("monitor_id", "pattern", "confidence", "total_lines_filtered", "last_matched_at")
+
+
 @query
 def learning_run_stats(spark, sf):
     obs = a.observations(spark, sf)
@@ -821,6 +828,14 @@ def acknowledge_alerts(spark, sf):
     return done.select("alert_id", "is_acknowledged", "acknowledged_at")
 
 
+@query
+def resolve_clusters(spark, sf):
+    """A cluster is resolved when the first of its alerts that is acknowledged came in."""
+    alerts = _daily_clusters(spark, sf)
+    actions = alerts.filter("is_acknowledged").select("cluster_id", F.col("created_at").alias("at"))
+    return lifecycle.resolve(cluster.cluster_rollup(alerts), actions).select("cluster_id", "is_resolved", "resolved_at")
+
+
 @query
 def dedupe_signups(spark, sf):
     """Customers sign up under addresses that differ in case and blanks."""
