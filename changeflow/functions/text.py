@@ -68,6 +68,12 @@ def severity_name(rank: Column) -> Column:
     return lookup(rank, {v: k for k, v in SEVERITY_ORDER.items()}, "noise")
 
 
+def steady_round(c: Column, places: int) -> Column:
+    """Round a result of float sums. Noise from the order of summation is cut off first, so a
+    decimal tie falls the same way however the rows were partitioned."""
+    return F.round(F.round(c, 10), places)
+
+
 def string_array(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 

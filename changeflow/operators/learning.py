@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from changeflow.functions import constants as k
 from changeflow.functions import scans
-from changeflow.functions.text import PY_FLAGS, collapse_ws, days, matches, micros, string_array
+from changeflow.functions.text import PY_FLAGS, collapse_ws, days, matches, micros, steady_round, string_array
 
 _TOKEN = re.compile(r"\s+|\S+")
 
@@ -189,7 +189,7 @@ def decay_score(last_seen: Column, now: Column) -> Column:
 def confidence(support: Column, avg_similarity: Column, recent_diffs: Column, decay: Column) -> Column:
     ratio = F.least(F.lit(1.0), support / F.greatest(recent_diffs, F.lit(1)))
     score = 0.45 * ratio + 0.35 * avg_similarity + 0.20 * decay
-    return F.round(F.least(F.lit(0.995), F.greatest(F.lit(0.0), score)), 4)
+    return steady_round(F.least(F.lit(0.995), F.greatest(F.lit(0.0), score)), 4)
 
 
 _PATTERN_KEY = ["monitor_id", "pattern"]
@@ -303,6 +303,11 @@ def latest_state(state: DataFrame, now: Column | None = None) -> DataFrame:
     )
 
 
+def recent_diff_ids(observations: DataFrame, n: int = k.MAX_DIFF_IDS) -> DataFrame:
+    """The newest `n` diffs of each pattern, ranked by recency."""
+    return recent_examples(observations.select(*_PATTERN_KEY, "diff_id", "observed_at").distinct(), n)
+
+
 def recent_examples(observations: DataFrame, n: int = k.MAX_EXAMPLES) -> DataFrame:
     """The newest `n` observations of each pattern, ranked by recency."""
     return scans.newest(observations, _PATTERN_KEY, _PATTERN_ORDER, _by_day(), n)
@@ -353,7 +358,7 @@ def summarize_patterns(used: DataFrame, monitors: DataFrame | None = None) -> Da
         F.count_if("review_required").alias("manual_review_patterns"),
         F.sum("total_lines_filtered").alias("total_lines_filtered"),
         F.sum("lines_filtered_7d").alias("lines_filtered_7d"),
-        F.round(F.avg("confidence"), 3).alias("avg_confidence"),
+        steady_round(F.avg("confidence"), 3).alias("avg_confidence"),
     )
     if monitors is None:
         return summary

@@ -211,10 +211,10 @@ oracle(
     "extract_page_text",
     f"""SELECT page_id, sha256(txt) AS text_hash, CAST(length(txt) AS INTEGER) AS text_length FROM (SELECT page_id,
     {strip("regexp_replace(regexp_replace(body, chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), ' +', ' ', 'g')".replace("{{", "{").replace("}}", "}"))} AS txt FROM
-    (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(array_to_string(list_filter(list_transform(
+    (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(array_to_string(list_filter(list_transform(
       string_split_regex(regexp_replace(regexp_replace(html, '(?is)<(head|script|style|noscript|iframe|svg)\\b[^>]*>.*?</(head|script|style|noscript|iframe|svg)>', '<x>', 'g'),
         '(?s)<!--.*?-->', '<x>', 'g'), '<[^>]*>'), lambda x: {strip("replace(x, '&nbsp;', chr(160))")}), lambda x: x <> ''), chr(10)),
-      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS body FROM pages))""",
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') AS body FROM pages))""",
 )
 oracle(
     "normalize_page_text",
@@ -486,7 +486,7 @@ cte(
     FROM (SELECT *, is_active AND NOT coalesce(prev_active AND pow(0.5, (epoch_us(observed_at) - epoch_us(prev_at)) / 86400000000.0 / 21.0) >= 0.2, false) AS promoted
     FROM (SELECT *, lag(is_active) OVER w AS prev_active, lag(observed_at) OVER w AS prev_at, lead(observed_at) OVER w AS valid_to
     FROM (SELECT *, NOT review_required AND support_count >= 3 AND confidence >= 0.78 AS is_active
-    FROM (SELECT *, round(least(0.995, greatest(0.0, 0.45 * least(1.0, CAST(support_count AS DOUBLE) / greatest(recent_diffs, 1)) + 0.35 * avg_similarity + 0.2)), 4) AS confidence FROM history_v))
+    FROM (SELECT *, CAST(round(CAST(least(0.995, greatest(0.0, 0.45 * least(1.0, CAST(support_count AS DOUBLE) / greatest(recent_diffs, 1)) + 0.35 * avg_similarity + 0.2)) AS DECIMAL(18, 10)), 4) AS DOUBLE) AS confidence FROM history_v))
     WINDOW w AS (PARTITION BY monitor_id, pattern ORDER BY observed_at, diff_id)))""",
     ("history_v",),
 )
@@ -547,7 +547,7 @@ cte(
     f"""SELECT s.monitor_id, count(*) AS learned_patterns,
     count(*) FILTER (is_active AND pow(0.5, greatest(epoch_us({LEARNED_AT}) - epoch_us(observed_at), 0) / 86400000000.0 / 21.0) >= 0.2) AS active_patterns,
     count(*) FILTER (review_required) AS manual_review_patterns, CAST(coalesce(sum(total), 0) AS BIGINT) AS total_lines_filtered,
-    CAST(coalesce(sum(week), 0) AS BIGINT) AS lines_filtered_7d, round(avg(confidence), 3) AS avg_confidence
+    CAST(coalesce(sum(week), 0) AS BIGINT) AS lines_filtered_7d, CAST(round(CAST(avg(confidence) AS DECIMAL(18, 10)), 3) AS DOUBLE) AS avg_confidence
     FROM (SELECT *, row_number() OVER (PARTITION BY monitor_id, pattern ORDER BY observed_at DESC, diff_id DESC) AS rn FROM state_v) s
     LEFT JOIN (SELECT monitor_id, pattern, sum(count) AS total, sum(count) FILTER (used_at >= {USED_AT} - INTERVAL 7 DAYS AND rn <= 240) AS week
       FROM (SELECT *, row_number() OVER (PARTITION BY monitor_id, pattern ORDER BY used_at DESC, diff_id DESC) AS rn FROM filter_events_v) GROUP BY 1, 2) u
@@ -610,7 +610,7 @@ oracle(
     "fallback_parse",
     f"""SELECT conv_id, turn, CASE {_LEVEL} ELSE 'medium' END AS level,
     CASE WHEN len(found) = 0 THEN 'other' ELSE array_to_string(found, ',') END AS categories, sha256({strip("left(text, 1000)")}) AS summary_hash
-    FROM (SELECT *, list_filter([{in_list(sorted(k.CATEGORIES))}], lambda x: contains(lower(text), x) OR contains(lower(text), replace(x, '_', ' '))) AS found FROM free_text_v)""",
+    FROM (SELECT *, list_filter([{in_list(k.CATEGORIES)}], lambda x: contains(lower(text), x) OR contains(lower(text), replace(x, '_', ' '))) AS found FROM free_text_v)""",
     ("free_text_v",),
 )
 oracle(
