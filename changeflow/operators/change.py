@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.functions import scans
-from changeflow.functions.spread import python_tasks
 
 ORDER = ["created_at", "snapshot_id"]
 
@@ -68,23 +67,22 @@ def snapshot_status(pairs: DataFrame, diffs: DataFrame | None = None, analyses:
 
 
 def changed_pairs(snapshots: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Both texts of every pair whose hash differs; the diff is named after the later snapshot."""
+    """Both texts of every pair whose hash differs; the diff is named after the later snapshot.
+
+    The earlier text is fetched first, then the later one, whose id is the diff's: the
+    texts are placed by id once for both joins, only the earlier text moves again, and
+    the pairs end up placed by diff.
+    """
     pairs = pair_snapshots(snapshots) if pairs is None else pairs
     changed = pairs.filter(F.col("before_id").isNotNull() & ~F.col("text_hash").eqNullSafe(F.col("before_hash")))
     texts = snapshots.select("snapshot_id", "extracted_text")
     before = texts.select(F.col("snapshot_id").alias("before_id"), F.col("extracted_text").alias("text_before"))
+    after = texts.select(F.col("snapshot_id").alias("diff_id"), F.col("extracted_text").alias("text_after"))
     return (
-        changed.select("monitor_id", "snapshot_id", "before_id", "created_at")
-        .join(texts.withColumnRenamed("extracted_text", "text_after"), "snapshot_id")
+        changed.select("monitor_id", F.col("snapshot_id").alias("diff_id"), "before_id", "created_at")
         .join(before, "before_id")
-        .select(
-            F.col("snapshot_id").alias("diff_id"),
-            "monitor_id",
-            F.col("before_id").alias("snapshot_before_id"),
-            "created_at",
-            "text_before",
-            "text_after",
-        )
+        .join(after, "diff_id")
+        .select("diff_id", "monitor_id", F.col("before_id").alias("snapshot_before_id"), "created_at", "text_before", "text_after")
     )
 
 
@@ -119,10 +117,12 @@ def diff_snapshots(
 ) -> DataFrame:
     """Line diff of every pair, one row per line: (diff_id, carry.., seq, hunk_no, before_start, after_start, op, text).
 
-    Pairs are spread by diff id, so a busy monitor does not meet itself in one task.
-    The rows come out in Arrow batches; everything after this step is native.
+    Pairs from `changed_pairs` are already placed by diff id, so a busy monitor does not
+    meet itself in one task; give `partitions` for pairs that lie unevenly. The rows come
+    out in Arrow batches; everything after this step is native.
     """
-    spread = pairs.repartition(partitions or python_tasks(pairs), "diff_id").select("diff_id", *carry, "text_before", "text_after")
+    spread = pairs.repartition(partitions, "diff_id") if partitions else pairs
+    spread = spread.select("diff_id", *carry, "text_before", "text_after")
     types = {f.name: f.dataType.simpleString() for f in spread.schema}
     head = ", ".join(f"{c} {types[c]}" for c in ("diff_id", *carry))
     schema = f"{head}, seq int, hunk_no int, before_start int, after_start int, op string, text string"

@@ -254,6 +254,7 @@ def pattern_state(observations: DataFrame, diffs: DataFrame) -> DataFrame:
     At an observation the pattern was just seen, so its decay is 1 there; it may have
     decayed since the observation before, which ends an active spell. The state before is
     worked out from the same running sums less this row, so one scan gives both.
+    `superseded_at` is the time of the next observation of the pattern.
     """
     recent = recent_diff_count(diffs).select("monitor_id", "diff_id", "recent_diffs")
     observed = (
@@ -284,6 +285,7 @@ def pattern_state(observations: DataFrame, diffs: DataFrame) -> DataFrame:
     return scans.scan(
         marked, _PATTERN_KEY, _PATTERN_ORDER, _by_day(),
         promoted_at=scans.latest(F.when(F.col("promoted"), F.col("observed_at"))),
+        superseded_at=scans.following(F.col("observed_at")),
     )
 
 

@@ -205,16 +205,17 @@ def active_spells(state: DataFrame) -> DataFrame:
     are merged: what is left per pattern is one row per promotion, however often the
     pattern was seen.
     """
-    seen = scans.scan(
-        state.select("monitor_id", "pattern", "observed_at", "is_active", "promoted_at"),
-        ["monitor_id", "pattern"],
-        ["observed_at"],
-        [scans.by_day("observed_at")],
-        valid_to=scans.following(F.col("observed_at")),
-    ).filter("is_active")
+    columns = ["monitor_id", "pattern", "observed_at", "is_active", "promoted_at"]
+    if "superseded_at" in state.columns:
+        seen = state.select(*columns, "superseded_at")
+    else:
+        seen = scans.scan(
+            state.select(*columns), ["monitor_id", "pattern"], ["observed_at"], [scans.by_day("observed_at")],
+            superseded_at=scans.following(F.col("observed_at")),
+        )
     gone = F.col("observed_at") + F.expr(f"INTERVAL {DECAY_MICROS // 1_000_000} SECONDS {DECAY_MICROS % 1_000_000} MICROSECONDS")
-    return seen.groupBy("monitor_id", "pattern", "promoted_at").agg(
-        F.min("observed_at").alias("spell_from"), F.max(F.least(F.col("valid_to"), gone)).alias("spell_to")
+    return seen.filter("is_active").groupBy("monitor_id", "pattern", "promoted_at").agg(
+        F.min("observed_at").alias("spell_from"), F.max(F.least(F.col("superseded_at"), gone)).alias("spell_to")
     ).drop("promoted_at")
 
 
