@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,16 @@ def by_day(c: str | Column) -> Column:
     return F.to_date(F.col(c) if isinstance(c, str) else c)
 
 
+SLICE_CONF = "spark.changeflow.slice"
+
+
+def by_time(c: str | Column) -> Column:
+    """The slice the operators use: a day, or the unit the session names (hour, minute, second)
+    where a key may hold very many rows of one day."""
+    unit = SparkSession.active().conf.get(SLICE_CONF, "day")
+    return by_day(c) if unit == "day" else F.date_trunc(unit, F.col(c) if isinstance(c, str) else c)
+
+
 def by_hour(c: str | Column) -> Column:
     return F.date_trunc("hour", F.col(c) if isinstance(c, str) else c)
 

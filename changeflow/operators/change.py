@@ -24,7 +24,7 @@ def pair_snapshots(snapshots: DataFrame, slices: list[Column] | None = None) ->
         narrow,
         ["monitor_id"],
         ORDER,
-        slices or [scans.by_day("created_at")],
+        slices or [scans.by_time("created_at")],
         prev=scans.before(F.struct("snapshot_id", "text_hash", "created_at")),
     )
     prev = F.try_element_at("prev", F.lit(-1))

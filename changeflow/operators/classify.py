@@ -218,8 +218,6 @@ def build_analyses(
         F.coalesce("_missing", "error").alias("error"),
         "created_at",
     )
-    if existing is None:
-        existing = out.limit(0)
     return append_once(existing, out, ["diff_id"], ["created_at"])
 
 

@@ -52,7 +52,7 @@ def consecutive_similarity(alerts: DataFrame) -> DataFrame:
         featured,
         ["user_id", "competitor_name"],
         ["created_at", "alert_id"],
-        [scans.by_day("created_at")],
+        [scans.by_time("created_at")],
         prev=scans.before(F.struct("alert_id", "categories", "keywords", "created_at")),
     ).withColumn("p", F.try_element_at("prev", F.lit(-1)))
     score = alert_similarity(

@@ -158,7 +158,7 @@ def skip_recent(monitors: DataFrame, now: Column, minutes: int = k.RECENT_MINUTE
 def attempt_streaks(attempts: DataFrame, id_col: str = "attempt_id") -> DataFrame:
     """Per attempt: how many failures in a row it closes (0 for a success)."""
     order = ["attempted_at", id_col]
-    days = [scans.by_day("attempted_at")]
+    days = [scans.by_time("attempted_at")]
     counted = scans.scan(attempts, ["monitor_id"], order, days, _n=scans.count())
     # The count only grows, so its value at the latest success is a running maximum.
     reset = scans.scan(counted, ["monitor_id"], order, days, _n_at_ok=scans.highest(F.when(F.col("ok"), F.col("_n"))))
@@ -273,7 +273,7 @@ def validate_monitors(
     when it was itself accepted. Order of checks: field bounds, limit, URL, duplicate,
     patterns.
     """
-    slices = slices or [scans.by_day("created_at")]
+    slices = slices or [scans.by_time("created_at")]
     bounds = F.when(~F.length("name").between(1, 255), "bad_name")
     if "competitor_name" in monitors.columns:
         bounds = bounds.when(F.length("competitor_name") > 255, "bad_competitor_name")

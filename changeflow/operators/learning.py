@@ -146,7 +146,7 @@ def learning_gate(diffs: DataFrame, snapshots: DataFrame, pair_counts: DataFrame
         snapshots.select("monitor_id", "snapshot_id", "created_at"),
         ["monitor_id"],
         ["created_at", "snapshot_id"],
-        [scans.by_day("created_at")],
+        [scans.by_time("created_at")],
         snapshots_seen=scans.count(),
     ).select(F.col("snapshot_id").alias("diff_id"), "snapshots_seen")
     empty = F.col("changed_lines") == 0 if "changed_lines" in diffs.columns else F.lit(False)
@@ -197,7 +197,7 @@ _PATTERN_ORDER = ["observed_at", "diff_id"]
 
 
 def _by_day() -> list[Column]:
-    return [scans.by_day("observed_at")]
+    return [scans.by_time("observed_at")]
 
 
 def _once_per_diff(observations: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def recent_diff_count(diffs: DataFrame, lookback_days: int = k.LOOKBACK_DAYS) ->
         "created_at",
         "diff_id",
         days(lookback_days),
-        scans.by_day,
+        scans.by_time,
         "recent_diffs",
     )
 
@@ -333,7 +333,7 @@ def usage_totals(events: DataFrame) -> DataFrame:
 
 def tracked_events(events: DataFrame, n: int = k.MAX_FILTER_EVENTS) -> DataFrame:
     """The newest `n` events per pattern: the part the weekly sum may look at."""
-    return scans.newest(events, _PATTERN_KEY, ["at", "diff_id"], [scans.by_day("at")], n).drop("recency")
+    return scans.newest(events, _PATTERN_KEY, ["at", "diff_id"], [scans.by_time("at")], n).drop("recency")
 
 
 def recent_filter_sum(events: DataFrame, now: Column, within_days: int = 7) -> DataFrame:

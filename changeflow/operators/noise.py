@@ -210,7 +210,7 @@ def active_spells(state: DataFrame) -> DataFrame:
         seen = state.select(*columns, "superseded_at")
     else:
         seen = scans.scan(
-            state.select(*columns), ["monitor_id", "pattern"], ["observed_at"], [scans.by_day("observed_at")],
+            state.select(*columns), ["monitor_id", "pattern"], ["observed_at"], [scans.by_time("observed_at")],
             superseded_at=scans.following(F.col("observed_at")),
         )
     gone = F.col("observed_at") + F.expr(f"INTERVAL {DECAY_MICROS // 1_000_000} SECONDS {DECAY_MICROS % 1_000_000} MICROSECONDS")

@@ -55,7 +55,7 @@ def queued_alerts(routes: DataFrame) -> DataFrame:
     numbered by one task.
     """
     digest = routes.filter(F.col("route") == "digest").withColumn("digest_hour_utc", digest_hour(F.col("digest_hour_utc")))
-    ranked = scans.scan(digest, _QUEUE, ["created_at", "alert_id"], [scans.by_day("created_at")], place=scans.count())
+    ranked = scans.scan(digest, _QUEUE, ["created_at", "alert_id"], [scans.by_time("created_at")], place=scans.count())
     return ranked.withColumn("part", F.floor((F.col("place") - 1) / QUEUE_PART).cast("int"))
 
 

@@ -50,7 +50,7 @@ def same_summary_rule(candidates: DataFrame, history: DataFrame) -> DataFrame:
         merged,
         ["monitor_id", "_text"],
         ["created_at", "_side", "_row"],
-        [scans.by_day("created_at")],
+        [scans.by_time("created_at")],
         _last=scans.highest(F.when(F.col("_side") == 0, F.col("created_at"))),
     )
     recent = micros(F.col("_last")) >= micros(F.col("created_at")) - WINDOW
@@ -67,7 +67,7 @@ def severity_rule(candidates: DataFrame, history: DataFrame, severity_col: str =
         merged,
         ["monitor_id"],
         ["created_at", "_side", "_row"],
-        [scans.by_day("created_at")],
+        [scans.by_time("created_at")],
         **{
             f"_last{rank}": scans.highest(F.when((F.col("_side") == 0) & (F.col("_rank") == rank), F.col("created_at")))
             for rank in k.SEVERITY_ORDER.values()
@@ -87,7 +87,7 @@ def oscillation_flags(snapshots: DataFrame, slices: list[Column] | None = None)
         snapshots.select("monitor_id", "snapshot_id", "text_hash", "created_at").filter(F.col("text_hash").isNotNull()),
         ["monitor_id"],
         ["created_at", "snapshot_id"],
-        slices or [scans.by_day("created_at")],
+        slices or [scans.by_time("created_at")],
         prev=scans.before(F.col("text_hash"), k.OSCILLATION_WINDOW - 1),
     )
     hashes = F.concat("prev", F.array("text_hash"))
@@ -123,7 +123,7 @@ def oscillation_at(candidates: DataFrame, snapshots: DataFrame) -> DataFrame:
     )
     seen = scans.scan(
         flags.unionByName(asked), ["monitor_id"], ["created_at", "_side", "diff_id"],
-        [scans.by_day("created_at")], _seen=scans.latest(F.col("_flag")),
+        [scans.by_time("created_at")], _seen=scans.latest(F.col("_flag")),
     )
     return seen.filter("_side = 1").select(
         "monitor_id", "diff_id", "created_at", "rank", "text",

@@ -34,6 +34,8 @@ def build_session(app: str = "changeflow", master: str | None = None, cpus: int
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cpus))
+        # Small local data: keep all cores busy instead of merging partitions up to a megabyte.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config(
             "spark.sql.streaming.stateStore.providerClass",
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

@@ -31,7 +31,9 @@ def write_table(df: DataFrame, path: str, time_col: str | None = None, mode: str
     writer.mode(mode).parquet(path)
 
 
-def append_once(existing: DataFrame, incoming: DataFrame, key: list[str], version: list[str] | None = None) -> DataFrame:
+def append_once(
+    existing: DataFrame | None, incoming: DataFrame, key: list[str], version: list[str] | None = None
+) -> DataFrame:
     """Rows of `incoming` to append: one per key, and none for a key already stored.
 
     Of several incoming rows with one key the first by `version` is kept. The pick is
@@ -45,7 +47,7 @@ def append_once(existing: DataFrame, incoming: DataFrame, key: list[str], versio
         .select(*key, "_row.*")
         .select(*incoming.columns)
     )
-    return fresh.join(existing.select(*key), key, "left_anti")
+    return fresh if existing is None else fresh.join(existing.select(*key), key, "left_anti")
 
 
 def upsert_state(current: DataFrame, changes: DataFrame, key: list[str], version: list[str | Column]) -> DataFrame:

@@ -100,6 +100,22 @@ def test_one_monitor_with_most_rows_and_any_partitioning(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("unit", ["hour", "minute"])
+def test_finer_slices_give_the_same(spark, unit):
+    from changeflow.functions.scans import SLICE_CONF
+
+    start = datetime(2024, 1, 1)
+    rows = [("m", i, "ab"[i % 3 == 0], start + timedelta(minutes=7 * i)) for i in range(400)]
+    snaps = spark.createDataFrame(rows, "monitor_id string, snapshot_id int, text_hash string, created_at timestamp")
+    want = {r.snapshot_id: r.flips for r in suppress.oscillation_flags(snaps).collect()}
+    spark.conf.set(SLICE_CONF, unit)
+    try:
+        got = {r.snapshot_id: r.flips for r in suppress.oscillation_flags(snaps).collect()}
+    finally:
+        spark.conf.unset(SLICE_CONF)
+    assert got == want
+
+
 def test_rules_against_a_given_history(spark, at):
     history = spark.createDataFrame(
         [(1, "m", "high", "Price 10", at(0)), (2, "m", "low", "Other", at(20))],
