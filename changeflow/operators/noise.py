@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +16,6 @@ from changeflow.functions.text import PY_FLAGS_NOCASE, days, matches, remove_all
 from changeflow.operators.change import FILE_HEADER, _range_text
 from changeflow.operators.ingest import compiles
 
-
 # How long a pattern stays in force after it was last seen.
 DECAY_MICROS = int(days(k.DECAY_HALF_LIFE_DAYS * math.log2(1 / k.MIN_DECAY)))
 
@@ -37,8 +35,8 @@ def strip_global(c: Column) -> Column:
     return F.when(matches(c, anywhere), stripped).otherwise(c)
 
 
-@lru_cache(maxsize=4096)
-def _listed(pattern: str):
+def _compiled(pattern: str):
+    """The pattern ready to use, or None when it is broken: a broken one is passed over."""
     try:
         return re.compile(pattern, re.IGNORECASE)
     except re.error:
@@ -47,13 +45,14 @@ def _listed(pattern: str):
 
 @F.pandas_udf(T.StringType())
 def _strip_listed(text: pd.Series, patterns: pd.Series) -> pd.Series:
-    out = []
+    out, known = [], {}
     for line, listed in zip(text, patterns):
         if line is not None and listed is not None:
             for pattern in listed:
-                compiled = _listed(pattern)
-                if compiled is not None:
-                    line = compiled.sub("", line)
+                if pattern not in known:
+                    known[pattern] = _compiled(pattern)
+                if known[pattern] is not None:
+                    line = known[pattern].sub("", line)
         out.append(line)
     return pd.Series(out, dtype=object)
 

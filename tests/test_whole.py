@@ -86,3 +86,25 @@ def test_query_equals_sql(spark, con, name):
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     assert check.rows_of(df.columns, df.collect()) == check.rows_of(columns, cursor.fetchall())
+
+
+def test_runs_from_any_folder(tmp_path):
+    """Python workers find the library wherever the driver was started."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import importlib.util
+spec = importlib.util.spec_from_file_location("__spark_entry__", {entry_point.__file__!r})
+entry = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(entry)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+for name in ("extract_page_text", "strip_noise", "valid_patterns", "candidate_patterns", "classify_with", "suppress_alerts", "assign_clusters", "stream_pairs"):
+    assert entry.queries()[name](spark, {SF!r}).collect(), name
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
+    assert "all ran" in done.stdout, done.stderr[-2000:]
