@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe
+from .near_join import ORACLE_OP3, op3_near_join
+from .packing import op6_packing
 from .quality_rules import ORACLE_OP10, op10_quality_rules
+from .sharding import op8_sharding
 
 QUERIES = {
+    "op3_near_join": op3_near_join,
+    "op5_bpe": op5_bpe,
+    "op6_packing": op6_packing,
+    "op8_sharding": op8_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES = {
+    "op3_near_join": ORACLE_OP3,
     "op10_quality_rules": ORACLE_OP10,
 }
