@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .language_id import op9_language_id
 from .near_join import ORACLE_OP3, op3_near_join
 from .packing import op6_packing
 from .quality_rules import ORACLE_OP10, op10_quality_rules
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
     "op8_sharding": op8_sharding,
+    "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 
