@@ -6,13 +6,19 @@ from .bpe import op5_bpe
 from .language_id import op9_language_id
 from .near_join import ORACLE_OP3, op3_near_join
 from .packing import op6_packing
+from .quality_model import op2_quality_model
 from .quality_rules import ORACLE_OP10, op10_quality_rules
 from .sharding import op8_sharding
+from .url_rules import op7_url_rules
+from .winnowing import op1_winnowing
 
 QUERIES = {
+    "op1_winnowing": op1_winnowing,
+    "op2_quality_model": op2_quality_model,
     "op3_near_join": op3_near_join,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
+    "op7_url_rules": op7_url_rules,
     "op8_sharding": op8_sharding,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
