@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .context_tree import op4_context_tree
 from .language_id import op9_language_id
 from .near_join import ORACLE_OP3, op3_near_join
 from .packing import op6_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_quality_model": op2_quality_model,
     "op3_near_join": op3_near_join,
+    "op4_context_tree": op4_context_tree,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
     "op7_url_rules": op7_url_rules,
