@@ -33,9 +33,11 @@ from .common import fresh, id_remainder, read
 
 PIECE, RUN, SMOOTHING = 8, 48, 0.1
 _GROUPS = (8, 12, 16, 20, 24, 32, RUN)
+#: Words handled together: their arrays should fit a core's cache.
+_ROWS = 4096
 _REMEMBERED = 1_000_000
 _LETTER = re.compile(r"[^\W\d_]")
-_SLOTS = 21
+_SLOTS = 18
 
 
 def vocabulary_path() -> str:
@@ -52,38 +54,36 @@ class Pieces:
             found = {base64.b64decode(line.split()[0]) for line in file if line.strip()}
         found |= {bytes([b]) for b in range(256)}
         self.pieces = sorted(p for p in found if len(p) <= PIECE)
-        # A length above the bytes keeps pieces with leading zero bytes apart.
         self.keys = np.array([int.from_bytes(p, "big") for p in self.pieces], np.uint64)
         self.sizes = np.array([len(p) for p in self.pieces], np.int8)
         self.slots = []
         for size in range(1, PIECE + 1):
             ids = np.flatnonzero(self.sizes == size)
-            order = np.argsort(self.keys[ids], kind="stable")
-            table = np.full(1 << _SLOTS if size > 2 else 1 << 16, -1, np.int32)
             slot = self._slot(self.keys[ids], size)
-            unique, first, count = np.unique(slot, return_index=True, return_counts=True)
-            table[unique] = ids[first]
-            table[unique[count > 1]] = -2  # found by search
-            self.slots.append((table, self.keys[ids][order], ids[order]))
+            order = np.argsort(slot, kind="stable")
+            unique, first, count = np.unique(slot[order], return_index=True, return_counts=True)
+            table = np.full(1 << _SLOTS if size > 2 else 1 << 16, -1, np.int32)
+            table[unique] = first
+            self.slots.append((table, self.keys[ids][order], ids[order], int(count.max(initial=1))))
 
     @staticmethod
     def _slot(keys: np.ndarray, size: int) -> np.ndarray:
         if size <= 2:
-            return keys.astype(np.int64)
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
-
-    def find(self, keys: np.ndarray, size: int) -> np.ndarray:
-        """Index of each key's piece, or -1."""
-        table, ordered, ids = self.slots[size - 1]
-        out = table[self._slot(keys, size)]
-        many = np.flatnonzero(out == -2)
-        if len(many):
-            at = np.minimum(np.searchsorted(ordered, keys[many]), len(ordered) - 1)
-            out[many] = np.where(ordered[at] == keys[many], ids[at], -1)
-        hit = out >= 0
-        hit[hit] = self.keys[out[hit]] == keys[hit]
-        out[~hit] = -1
-        return out
+            return keys.view(np.int64)
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).view(np.int64)
+
+    def find(self, keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are pieces, and which pieces they are; pieces of one slot lie side by side."""
+        table, own, ids, tries = self.slots[size - 1]
+        at = table[self._slot(keys, size)]
+        rows = np.flatnonzero(at >= 0)
+        at = at[rows]
+        same = own[at] == keys[rows]
+        for _ in range(tries - 1):
+            off = np.flatnonzero(~same)
+            at[off] = np.minimum(at[off] + 1, len(own) - 1)
+            same[off] = own[at[off]] == keys[rows[off]]
+        return rows[same], ids[at[same]]
 
 
 def _groups(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -93,8 +93,8 @@ def _groups(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
     for high in _GROUPS:
         at = np.flatnonzero((lengths > low) & (lengths <= high))
         low = high
-        for part in range(0, len(at), 1 << 16):
-            rows = at[part : part + (1 << 16)]
+        for part in range(0, len(at), _ROWS):
+            rows = at[part : part + _ROWS]
             joined = b"".join([words[i].ljust(high, b"\0") for i in rows])
             yield rows, lengths[rows], np.frombuffer(joined, np.uint8).reshape(len(rows), high)
 
@@ -102,15 +102,14 @@ def _groups(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 def _steps(pieces: Pieces, matrix: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(end, size, rows, pieces) for every piece that ends at `end`, ends in order."""
     n, wide = matrix.shape
-    columns = matrix.astype(np.uint64)
+    columns = np.ascontiguousarray(matrix.T).astype(np.uint64)
     for end in range(1, wide + 1):
         key = np.zeros(n, np.uint64)
         for size in range(1, min(PIECE, end) + 1):
-            key |= columns[:, end - size] << np.uint64(8 * (size - 1))
-            found = pieces.find(key, size)
-            rows = np.flatnonzero(found >= 0)
+            key |= columns[end - size] << np.uint64(8 * (size - 1))
+            rows, found = pieces.find(key, size)
             if len(rows):
-                yield end, size, rows, found[rows]
+                yield end, size, rows, found
 
 
 def word_scores(pieces: Pieces, words: list[bytes], table: np.ndarray) -> np.ndarray:
@@ -137,15 +136,17 @@ def expected_counts(pieces: Pieces, words: list[bytes], weights: np.ndarray) ->
             alpha[end][rows] += alpha[end - size][rows] * flat
         beta = np.zeros_like(alpha)
         beta[lengths, np.arange(len(at))] = 1 / alpha[lengths, np.arange(len(at))]
-        for end, size, rows, found in reversed(steps):
-            inside = beta[end][rows] > 0
-            rows, found = rows[inside], found[inside]
-            back = beta[end][rows] * flat
-            share = alpha[end - size][rows] * back
+        shares, places = [], []
+        for end, size, rows, _ in reversed(steps):
+            back = beta[end][rows] * flat  # nothing comes back from beyond a word's end
+            shares.append(alpha[end - size][rows] * back)
+            places.append(rows)
             beta[end - size][rows] += back
-            for k in range(weights.shape[1]):
-                weight = share * weights[at[rows], k]
-                out[:, k] += np.bincount(found, weight, len(out))
+        if not steps:
+            continue
+        found, share, place = np.concatenate([s[3] for s in reversed(steps)]), np.concatenate(shares), at[np.concatenate(places)]
+        for k in range(weights.shape[1]):
+            out[:, k] += np.bincount(found, share * weights[place, k], len(out))
     return out
 
 
