@@ -63,11 +63,12 @@ MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.78
 DECAY_HALF_LIFE_DAYS = 21.0
 MIN_DECAY = 0.20
-PROTECTED_WORDS = """
-price pricing plan plans tier tiers free enterprise starter business premium professional
-trial discount launch launched announce announced announcement deprecate deprecated
-deprecation remove removed retire retired release released introduce introduced
-""".split()
+PROTECTED_WORDS = [
+    "price", "pricing", "plan", "plans", "tier", "tiers", "free", "enterprise", "starter", "business",
+    "premium", "professional", "trial", "discount", "launch", "launched", "announce", "announced",
+    "announcement", "deprecate", "deprecated", "deprecation", "remove", "removed", "retire", "retired",
+    "release", "released", "introduce", "introduced",
+]
 PRICE_PATTERN = r"(\$\s?\d|\d+(?:\.\d+)?\s?%|\b(?:usd|eur|gbp|cad|aud)\b)"
 ACTION_PATTERN = r"\b(launch(?:ed)?|deprecat(?:e|ed|ion)|remove(?:d)?|announce(?:d|ment)?|release(?:d)?)\b"
 BUSINESS_TERMS = ["tier", "plan", "free", "enterprise", "starter", "pro", "business", "premium"]
@@ -97,13 +98,14 @@ MERGE_THRESHOLD = 0.45
 WEIGHT_TEMPORAL = 0.40
 WEIGHT_CATEGORY = 0.30
 WEIGHT_KEYWORD = 0.30
-STOP_WORDS = """
-the a an is are was were be been being have has had do does did will would could should
-may might shall can to of in for on with at by from as into through during before after
-above below between out off over under again further then once and but or nor not no so
-if than too very just about change changed changes detected updated update page new now
-added removed
-""".split()
+STOP_WORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does",
+    "did", "will", "would", "could", "should", "may", "might", "shall", "can", "to", "of", "in", "for", "on",
+    "with", "at", "by", "from", "as", "into", "through", "during", "before", "after", "above", "below",
+    "between", "out", "off", "over", "under", "again", "further", "then", "once", "and", "but", "or", "nor",
+    "not", "no", "so", "if", "than", "too", "very", "just", "about", "change", "changed", "changes",
+    "detected", "updated", "update", "page", "new", "now", "added", "removed",
+]
 
 # ---- fixed values: messages --------------------------------------------------
 SEVERITY_EMOJI = {"critical": "🔴", "high": "🟠", "medium": "🟡", "low": "🔵"}

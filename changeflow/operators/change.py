@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeflow.functions import scans
+from changeflow.functions import align, scans
 
 ORDER = ["created_at", "snapshot_id"]
 
@@ -99,17 +98,9 @@ def line_diff(before: str | None, after: str | None, context: int = 3):
     old, new = _keep_ends(before), _keep_ends(after)
     bare_old = [s.splitlines()[0] for s in old]
     bare_new = [s.splitlines()[0] for s in new]
-    for hunk, group in enumerate(difflib.SequenceMatcher(None, old, new).get_grouped_opcodes(context)):
-        start_old, start_new = group[0][1], group[0][3]
-        for kind, a, b, c, d in group:
-            if kind == "equal":
-                for text in bare_old[a:b]:
-                    yield hunk, start_old, start_new, " ", text
-                continue
-            for text in bare_old[a:b]:
-                yield hunk, start_old, start_new, "-", text
-            for text in bare_new[c:d]:
-                yield hunk, start_old, start_new, "+", text
+    for hunk, (start_old, start_new, lines) in enumerate(align.hunks(old, new, context)):
+        for op, place in lines:
+            yield hunk, start_old, start_new, op, bare_new[place] if op == "+" else bare_old[place]
 
 
 def diff_snapshots(

@@ -52,26 +52,28 @@ def build_prompts(df: DataFrame) -> DataFrame:
 def classify_with(prompts: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], retries: int = 2) -> DataFrame:
     """Run `model` on Arrow batches of (diff_id, prompt); it returns diff_id, body, is_structured and token counts.
 
-    A batch that keeps failing becomes error rows, which `parse_responses` turns into
-    the default analysis; the job goes on.
+    The rows of a batch that keeps failing are asked one by one. Those that still fail
+    become error rows, which `parse_responses` turns into the default analysis; the job goes on.
     """
     columns = ["diff_id", "body", "is_structured", "prompt_tokens", "completion_tokens", "error"]
     id_type = prompts.schema["diff_id"].dataType.simpleString()
 
+    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        failure = None
+        for _ in range(retries + 1):
+            try:
+                return model(rows).copy()
+            except Exception as problem:
+                failure = problem
+        if len(rows) > 1:
+            return pd.concat([ask(rows.iloc[i : i + 1]) for i in range(len(rows))], ignore_index=True)
+        return pd.DataFrame({"diff_id": rows["diff_id"]}).assign(
+            body=None, is_structured=False, prompt_tokens=0, completion_tokens=0, error=str(failure)
+        )
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            failure = None
-            for _ in range(retries + 1):
-                try:
-                    answer = model(batch).copy()
-                    break
-                except Exception as problem:
-                    failure = problem
-            else:
-                answer = pd.DataFrame({"diff_id": batch["diff_id"]}).assign(
-                    body=None, is_structured=False, prompt_tokens=0, completion_tokens=0, error=str(failure)
-                )
-            answer = answer.reindex(columns=columns)
+            answer = ask(batch).reindex(columns=columns)
             # Plain objects, whatever string type the model's frame uses; no token count is none used.
             for text in ("diff_id", "body", "error") if id_type == "string" else ("body", "error"):
                 answer[text] = answer[text].astype(object).where(answer[text].notna(), None)
@@ -92,7 +94,11 @@ def _first_level(text: Column) -> Column:
     return level.otherwise("medium")
 
 
-def fallback_parse(text: Column) -> Column:
+def _cut(text: Column, limit: int | None) -> Column:
+    return text if limit is None else F.substring(text, 1, limit)
+
+
+def fallback_parse(text: Column, max_summary: int | None = None) -> Column:
     """struct(level, summary, categories) from a free-text answer: words are searched for."""
     lower = F.lower(text)
     named = F.filter(
@@ -102,7 +108,7 @@ def fallback_parse(text: Column) -> Column:
     categories = F.when(F.size(named) > 0, named).otherwise(string_array(["other"]))
     found = F.struct(
         _first_level(text).alias("level"),
-        trim_ws(F.substring(text, 1, k.MAX_SUMMARY_CHARS)).alias("summary"),
+        trim_ws(_cut(text, max_summary)).alias("summary"),
         categories.alias("categories"),
     )
     return F.when(F.length(text) > 0, found).otherwise(_default())
@@ -116,27 +122,30 @@ def _default(summary: Column | None = None) -> Column:
     )
 
 
-def parse_structured(body: Column) -> Column:
-    """struct(level, summary, categories, is_exact) from a JSON answer, repaired field by field."""
+def parse_structured(body: Column, max_summary: int | None = None) -> Column:
+    """struct(level, summary, categories, is_exact) from a JSON answer, repaired field by field.
+
+    With `max_summary` a longer summary is cut, and the answer does not count as exact.
+    """
     raw = F.from_json(body, "significance_level string, summary string, categories array<string>")
     known = string_array(k.CATEGORIES)
     listed = F.filter(raw["categories"], lambda c: F.array_contains(known, c))
     exact = (
         raw["significance_level"].isin(k.SEVERITIES)
         & raw["summary"].isNotNull()
-        & (F.length(raw["summary"]) <= k.MAX_SUMMARY_CHARS)
+        & (F.lit(True) if max_summary is None else F.length(raw["summary"]) <= max_summary)
         & (F.size(raw["categories"]) > 0)
         & (F.size(listed) == F.size(raw["categories"]))
     )
     return F.struct(
         F.when(raw["significance_level"].isin(k.SEVERITIES), raw["significance_level"]).otherwise("medium").alias("level"),
-        F.substring(F.coalesce(raw["summary"], F.lit(k.UNCERTAIN_SUMMARY)), 1, k.MAX_SUMMARY_CHARS).alias("summary"),
+        _cut(F.coalesce(raw["summary"], F.lit(k.UNCERTAIN_SUMMARY)), max_summary).alias("summary"),
         F.when(F.size(listed) > 0, listed).otherwise(string_array(["other"])).alias("categories"),
         F.coalesce(exact, F.lit(False)).alias("is_exact"),
     )
 
 
-def parse_responses(responses: DataFrame) -> DataFrame:
+def parse_responses(responses: DataFrame, max_summary: int | None = None) -> DataFrame:
     """Level, summary, categories, needs_review, cost and error for every response row.
 
     Structured answers are validated and repaired, free text is searched, a row with an
@@ -144,7 +153,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     """
     structured = F.col("is_structured") if "is_structured" in responses.columns else F.lit(True)
     failed = F.col("error").isNotNull() | F.col("body").isNull()
-    both = responses.withColumns({"_s": parse_structured(F.col("body")), "_t": fallback_parse(F.col("body"))})
+    both = responses.withColumns({"_s": parse_structured(F.col("body"), max_summary), "_t": fallback_parse(F.col("body"), max_summary)})
     result = (
         F.when(failed, _default())
         .when(structured, F.struct(F.col("_s.level").alias("level"), F.col("_s.summary").alias("summary"), F.col("_s.categories").alias("categories")))
@@ -184,13 +193,17 @@ def cost_totals(analyses: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def classification_inputs(diffs: DataFrame, monitors: DataFrame) -> DataFrame:
-    """Text and context per diff to classify: the filtered diff, or the raw one when that is empty."""
+def classification_inputs(diffs: DataFrame, monitors: DataFrame, limit: int | None = None) -> DataFrame:
+    """Text and context per diff to classify: the filtered diff, or the raw one when that is empty.
+
+    The whole text goes into the prompt, unless a `limit` in characters is given.
+    """
     raw = F.col("unified_diff") if "unified_diff" in diffs.columns else F.lit("")
     text = F.when(is_blank(F.col("filtered_diff")), raw).otherwise(F.col("filtered_diff"))
     context = monitors.select("monitor_id", "competitor_name", "page_type", "url")
     rows = diffs.select("diff_id", "monitor_id", text.alias("filtered_diff")).join(context, "monitor_id")
-    return build_prompts(truncate_diffs(rows))
+    whole = rows.withColumns({"diff_text": F.col("filtered_diff"), "was_truncated": F.lit(False)})
+    return build_prompts(whole if limit is None else truncate_diffs(rows, limit=limit))
 
 
 def build_analyses(
@@ -218,7 +231,8 @@ def build_analyses(
         F.coalesce("_missing", "error").alias("error"),
         "created_at",
     )
-    return append_once(existing, out, ["diff_id"], ["created_at"])
+    # Of several responses to one diff the least by these columns counts, whatever their order.
+    return append_once(existing, out, ["diff_id"], ["created_at", "error", *[c for c in fields if c != "categories"], "categories"])
 
 
 def alert_candidates(analyses: DataFrame, level_col: str = "significance_level") -> DataFrame:

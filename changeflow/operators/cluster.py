@@ -87,8 +87,8 @@ def score_open_clusters(alerts: DataFrame, clusters: DataFrame) -> DataFrame:
         "score",
         alert_similarity(F.col("categories"), F.col("keywords"), F.col("at"), F.col("c_categories"), F.col("c_keywords"), F.col("c_at"))["combined"],
     )
-    # Of equal scores the oldest cluster wins.
-    best = F.max_by(F.struct("cluster_id", "score"), F.struct("score", -micros(F.col("c_opened")), -F.hash("cluster_id")))
+    # Of equal scores the oldest cluster wins, of equally old ones the least id.
+    best = F.min_by(F.struct("cluster_id", "score"), F.struct(-F.col("score"), F.col("c_opened"), F.col("cluster_id")))
     return scored.groupBy("alert_id").agg(best.alias("b")).select(
         "alert_id", "b.cluster_id", "b.score", (F.col("b.score") >= k.MERGE_THRESHOLD).alias("merges")
     )

@@ -167,9 +167,9 @@ def attempt_streaks(attempts: DataFrame, id_col: str = "attempt_id") -> DataFram
 
 
 def fold_attempts(
-    attempts: DataFrame, interval_hours: int = 6, id_col: str = "attempt_id", pause_after: int = k.PAUSE_AFTER_FAILURES
+    attempts: DataFrame, interval_hours: int = 6, id_col: str = "attempt_id", pause_after: int = k.PAUSE_AFTER_FAILURES, max_error: int | None = None
 ) -> DataFrame:
-    """State of each monitor after its attempt log."""
+    """State of each monitor after its attempt log; the last error whole, or its first `max_error` characters."""
     streaks = attempt_streaks(attempts, id_col)
     last = F.struct("ok", "error", "attempted_at", "consecutive_failures")
     folded = streaks.groupBy("monitor_id").agg(
@@ -182,7 +182,7 @@ def fold_attempts(
         "monitor_id",
         "attempts",
         F.when(F.col("last.ok"), "success").otherwise("failed").alias("last_status"),
-        F.when(~F.col("last.ok"), F.substring(F.col("last.error"), 1, 500)).alias("last_error"),
+        F.when(~F.col("last.ok"), F.col("last.error") if max_error is None else F.substring("last.error", 1, max_error)).alias("last_error"),
         F.col("last.consecutive_failures").alias("consecutive_failures"),
         (F.col("last.consecutive_failures") >= pause_after).alias("auto_paused"),
         "worst_streak",

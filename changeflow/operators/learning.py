@@ -57,7 +57,7 @@ def replacement_pairs(lines: DataFrame) -> DataFrame:
 
 def propose_pattern(before: str, after: str):
     """(pattern, template, similarity) for a pair of lines, or None."""
-    whole = SequenceMatcher(None, before, after)
+    whole = SequenceMatcher(None, before, after, autojunk=False)
     # Both quick ratios are upper bounds of the ratio.
     if whole.real_quick_ratio() < k.MIN_SIMILARITY or whole.quick_ratio() < k.MIN_SIMILARITY:
         return None
@@ -67,7 +67,7 @@ def propose_pattern(before: str, after: str):
     old, new = _TOKEN.findall(before), _TOKEN.findall(after)
     regex, words, fixed_chars, gaps = "", [], 0, 0
     seen_old = seen_new = 0
-    for a, b, size in SequenceMatcher(None, old, new).get_matching_blocks():
+    for a, b, size in SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks():
         if a > seen_old or b > seen_new:
             gaps += 1
             regex += ".+?"
@@ -105,13 +105,15 @@ def _proposals(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["pattern", "template", "similarity"])
 
 
-def candidate_patterns(pairs: DataFrame) -> DataFrame:
+def candidate_patterns(pairs: DataFrame, max_chars: int | None = None) -> DataFrame:
     """(diff_id, pattern, template, similarity, before, after): first pair per pattern of a diff.
 
-    Length and equality are tested natively; only what is left reaches Python.
+    Equality is tested natively; only what is left reaches Python. With `max_chars`, pairs
+    with a longer line are left out.
     """
-    short = (F.length("before") <= k.MAX_LINE_CHARS) & (F.length("after") <= k.MAX_LINE_CHARS)
-    tested = pairs.filter(short & (F.col("before") != F.col("after"))).withColumn("_p", _proposals("before", "after"))
+    if max_chars is not None:
+        pairs = pairs.filter((F.length("before") <= max_chars) & (F.length("after") <= max_chars))
+    tested = pairs.filter(F.col("before") != F.col("after")).withColumn("_p", _proposals("before", "after"))
     found = tested.filter(F.col("_p.pattern").isNotNull()).select("diff_id", "seq", "before", "after", "_p.*")
     first = F.min_by(F.struct("template", "similarity", "before", "after"), "seq")
     return found.groupBy("diff_id", "pattern").agg(first.alias("_first")).select("diff_id", "pattern", "_first.*")
@@ -332,7 +334,7 @@ def usage_totals(events: DataFrame) -> DataFrame:
 
 
 def tracked_events(events: DataFrame, n: int = k.MAX_FILTER_EVENTS) -> DataFrame:
-    """The newest `n` events per pattern: the part the weekly sum may look at."""
+    """The newest `n` events per pattern, for a caller who keeps only so many; sums are taken over all."""
     return scans.newest(events, _PATTERN_KEY, ["at", "diff_id"], [scans.by_time("at")], n).drop("recency")
 
 
@@ -347,7 +349,7 @@ def with_usage(latest: DataFrame, events: DataFrame, now: Column) -> DataFrame:
     """Latest pattern rows with their usage; zeros where a pattern was never used."""
     return (
         latest.join(usage_totals(events), _PATTERN_KEY, "left")
-        .join(recent_filter_sum(tracked_events(events), now), _PATTERN_KEY, "left")
+        .join(recent_filter_sum(events, now), _PATTERN_KEY, "left")
         .fillna(0, ["total_lines_filtered", "lines_filtered_7d"])
     )
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeflow.functions import constants as k
@@ -40,6 +41,25 @@ def apply_retention(tables: dict[str, DataFrame], now: Column, keep: dict[str, i
     return {name: keep_recent(df, now, keep[name]) for name, df in tables.items()}
 
 
+def drop_day_folders(spark: SparkSession, path: str, oldest: date, column: str = "day") -> list[str]:
+    """Delete the date folders of a stored table that lie before `oldest`; returns their names.
+
+    The folders are those of `write_table(time_col=...)`. Only names are listed, no file is
+    read, so the cost follows the number of days.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    dropped = []
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        day = name.removeprefix(f"{column}=")
+        if status.isDirectory() and day != name and day[:1].isdigit() and date.fromisoformat(day) < oldest:
+            files.delete(status.getPath(), True)
+            dropped.append(name)
+    return sorted(dropped)
+
+
 def expired_monitors(monitors: DataFrame, now: Column, keep_days: int = k.DELETED_MONITOR_DAYS) -> DataFrame:
     age = micros(now) - micros(F.col("deleted_at"))
     return monitors.filter(F.col("deleted_at").isNotNull() & (age > days(keep_days)))
@@ -73,9 +93,10 @@ def purge_counts(
 def fold_deletions(monitors: DataFrame, actions: DataFrame) -> DataFrame:
     """Monitors after their latest action: (monitor_id, action delete|restore, at).
 
-    Deleting switches a monitor off; restoring switches it on and makes it due at once.
+    Deleting switches a monitor off; restoring switches it on and makes it due at once. Of two
+    actions at one instant the restoring one counts.
     """
-    last = actions.groupBy("monitor_id").agg(F.max_by("action", "at").alias("_action"), F.max("at").alias("_at"))
+    last = actions.groupBy("monitor_id").agg(F.max_by("action", F.struct("at", "action")).alias("_action"), F.max("at").alias("_at"))
     acted = monitors.join(last, "monitor_id", "left")
     deleted, restored = F.col("_action") == "delete", F.col("_action") == "restore"
     return acted.withColumns(

@@ -106,12 +106,14 @@ def strip_noise(lines: DataFrame) -> DataFrame:
 
 
 def classify_noise_lines(lines: DataFrame, min_residual: int = k.MIN_RESIDUAL_CHARS) -> DataFrame:
-    """Add `is_noise`: a changed line with fewer than `min_residual` characters left.
+    """Add `is_noise`: a changed line of which patterns left fewer than `min_residual` characters.
 
-    A short changed line is noise even when no pattern matches it.
+    A short line that no pattern touched is not noise; a blank line is.
     """
+    bare = trim_ws(F.col("text"))
+    touched = (F.col("residual") != bare) | (bare == "")
     marked = strip_noise(lines).withColumn(
-        "is_noise", F.col("op").isin("+", "-") & (F.length("residual") < min_residual)
+        "is_noise", F.col("op").isin("+", "-") & (F.length("residual") < min_residual) & touched
     )
     # A learned pattern counts as a hit only where the line ended up noise.
     hits = F.when(F.col("is_noise"), F.col("hit_patterns")).otherwise(F.array().cast("array<string>"))

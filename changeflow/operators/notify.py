@@ -17,20 +17,25 @@ def route_alerts(alerts: DataFrame, settings: DataFrame, users: DataFrame | None
 
     Alerts already notified, or whose user or monitor is gone, are dropped. Settings hold
     at most one row per (user, channel), so the join multiplies an alert by its channels only.
+    A setting without an address falls back on the e-mail of its user, where `users` has one.
     """
     pending = alerts.filter(F.col("notified_at").isNull())
     if monitors is not None:
         pending = pending.join(monitors.select("monitor_id"), "monitor_id", "left_semi")
     if users is not None:
-        pending = pending.join(users.select("user_id"), "user_id", "left_semi")
+        known = [F.col("email") if "email" in users.columns else F.lit(None).cast("string")]
+        pending = pending.join(users.select("user_id", known[0].alias("_email")), "user_id")
+    else:
+        pending = pending.withColumn("_email", F.lit(None).cast("string"))
     enabled = settings.filter("is_enabled").select(
         "user_id", "channel", "min_severity", "webhook_url", "email_address", "digest_mode", "digest_hour_utc"
     )
-    routed = pending.join(enabled, "user_id").filter(
+    address = F.when(is_blank(F.col("email_address")), F.col("_email")).otherwise(F.col("email_address"))
+    routed = pending.join(enabled, "user_id").withColumn("email_address", address).filter(
         severity_rank(F.col("severity")) >= severity_rank(F.col("min_severity"))
     )
     return routed.withColumn("route", F.when(F.col("digest_mode"), "digest").otherwise("immediate")).drop(
-        "digest_mode", "min_severity"
+        "digest_mode", "min_severity", "_email"
     )
 
 
@@ -65,7 +70,7 @@ def digest_queue(routes: DataFrame) -> DataFrame:
     return queued_alerts(routes).groupBy(*_QUEUE, "part").agg(ids.alias("alert_ids"))
 
 
-def build_digests(routes: DataFrame, monitors: DataFrame, hour: int) -> DataFrame:
+def build_digests(routes: DataFrame, monitors: DataFrame, hour: int, max_summary: int | None = None) -> DataFrame:
     """Digest text per (user, channel) whose hour has come: a header with the total, one line per alert.
 
     A digest of more than `QUEUE_PART` alerts continues in further parts; only part 0 has
@@ -75,7 +80,7 @@ def build_digests(routes: DataFrame, monitors: DataFrame, hour: int) -> DataFram
     named = queued.join(monitors.select("monitor_id", F.col("name").alias("monitor_name")), "monitor_id", "left")
     line = F.concat(
         F.lit("• ["), F.upper("severity"), F.lit("] "), F.coalesce("monitor_name", F.lit("Unknown")), F.lit(": "),
-        F.substring("summary", 1, 100),
+        F.col("summary") if max_summary is None else F.substring("summary", 1, max_summary),
     )
     lines = F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda s: s["line"])
     parts = named.groupBy(*_QUEUE, "part").agg(F.array_join(lines, "\n").alias("body"), F.max("place").alias("_last"))
@@ -183,7 +188,7 @@ def render_messages(routes: DataFrame, dashboard_url: str | None = None, sender:
     )
 
 
-def fold_delivery(log: DataFrame) -> DataFrame:
+def fold_delivery(log: DataFrame, max_error: int | None = None) -> DataFrame:
     """Delivery state per alert from a log (alert_id, channel, ok, error, at).
 
     Errors are gathered one per channel (the latest), so the list is as long as there are channels.
@@ -198,7 +203,7 @@ def fold_delivery(log: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("channel") == "slack", F.col("sent"))), F.lit(False)).alias("notified_via_slack"),
         F.coalesce(F.max(F.when(F.col("channel") == "email", F.col("sent"))), F.lit(False)).alias("notified_via_email"),
         F.max("at").alias("notified_at"),
-        F.when(F.length(errors) > 0, F.substring(errors, 1, 500)).alias("notification_error"),
+        F.when(F.length(errors) > 0, errors if max_error is None else F.substring(errors, 1, max_error)).alias("notification_error"),
     )
 
 

@@ -21,10 +21,15 @@ def _where(df: DataFrame, tests: list[tuple[object, Column]]) -> DataFrame:
     return df
 
 
+def newest_first(df: DataFrame, id_col: str, at: str = "created_at") -> DataFrame:
+    """The order of all listings: newest first, of equal times the least id."""
+    return df.orderBy(F.desc(at), id_col)
+
+
 def list_alerts(
     alerts: DataFrame, user_id=None, severity=None, monitor_id=None, is_acknowledged=None, since=None, until=None
 ) -> DataFrame:
-    return _where(
+    listed = _where(
         alerts,
         [
             (user_id, F.col("user_id") == user_id),
@@ -35,10 +40,11 @@ def list_alerts(
             (until, F.col("created_at") <= until),
         ],
     )
+    return newest_first(listed, "alert_id") if "created_at" in listed.columns else listed
 
 
 def list_clusters(clusters: DataFrame, user_id=None, is_resolved=None, competitor_name=None) -> DataFrame:
-    return _where(
+    listed = _where(
         clusters,
         [
             (user_id, F.col("user_id") == user_id),
@@ -46,6 +52,7 @@ def list_clusters(clusters: DataFrame, user_id=None, is_resolved=None, competito
             (competitor_name, F.col("competitor_name") == competitor_name),
         ],
     )
+    return newest_first(listed, "cluster_id") if "created_at" in listed.columns else listed
 
 
 def cluster_members(clusters: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -56,7 +63,7 @@ def cluster_members(clusters: DataFrame, alerts: DataFrame) -> DataFrame:
 
 def list_monitors(monitors: DataFrame, user_id=None, is_active=None, page_type=None, search: str | None = None) -> DataFrame:
     wanted = f"%{like_literal(search)}%" if search else None
-    return _where(
+    listed = _where(
         monitors.filter(F.col("deleted_at").isNull()),
         [
             (user_id, F.col("user_id") == user_id),
@@ -65,6 +72,7 @@ def list_monitors(monitors: DataFrame, user_id=None, is_active=None, page_type=N
             (wanted, F.col("name").ilike(wanted or "") | F.col("url").ilike(wanted or "")),
         ],
     )
+    return newest_first(listed, "monitor_id") if "created_at" in listed.columns else listed
 
 
 DIFF_TEXTS = ("unified_diff", "filtered_diff", "learned_hits")
@@ -74,19 +82,21 @@ SNAPSHOT_TEXTS = ("raw_html", "extracted_text")
 def list_diffs(diffs: DataFrame, monitor_id=None, has_changes: bool | None = None) -> DataFrame:
     """Without the text columns, which a columnar scan then never reads."""
     narrow = diffs.drop(*DIFF_TEXTS)
-    return _where(
+    listed = _where(
         narrow,
         [(monitor_id, F.col("monitor_id") == monitor_id), (has_changes, F.col("is_empty_after_filter") != F.lit(has_changes))],
     )
+    return newest_first(listed, "diff_id") if "created_at" in listed.columns else listed
 
 
 def list_snapshots(snapshots: DataFrame, monitor_id=None) -> DataFrame:
-    return _where(snapshots.drop(*SNAPSHOT_TEXTS), [(monitor_id, F.col("monitor_id") == monitor_id)])
+    listed = _where(snapshots.drop(*SNAPSHOT_TEXTS), [(monitor_id, F.col("monitor_id") == monitor_id)])
+    return newest_first(listed, "snapshot_id") if "created_at" in listed.columns else listed
 
 
 def page_bounds(page: int = 1, per_page: int = 20, limit: int | None = None) -> tuple[int, int]:
-    """(offset, rows) of a page; out-of-range arguments are pulled in."""
-    rows = min(100, max(1, per_page if limit is None else limit))
+    """(offset, rows) of a page; both count from 1, and smaller numbers are taken as 1."""
+    rows = max(1, per_page if limit is None else limit)
     return (max(1, page) - 1) * rows, rows
 
 
@@ -214,3 +224,29 @@ def noise_share_report(diffs: DataFrame, by: list[str] | None = None) -> DataFra
     )
     every = F.col("changed_lines")
     return totals.withColumn("noise_percent", F.when(every > 0, F.round(100.0 * F.col("noise_lines") / every, 4)).otherwise(0.0))
+
+
+def pipeline_report(monitors: DataFrame, snapshots: DataFrame, diffs: DataFrame, alerts: DataFrame) -> DataFrame:
+    """(metric, value) rows on the whole chain: what came in, what changed, what was noise, what was alerted."""
+
+    def counts(df: DataFrame, **metrics: Column) -> DataFrame:
+        row = df.agg(*[m.cast("double").alias(n) for n, m in metrics.items()])
+        pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in metrics])).alias("p")
+        return row.select(pairs).select("p.*")
+
+    every = F.count(F.lit(1))
+    changed, noise = F.coalesce(F.sum("original_lines"), F.lit(0)), F.coalesce(F.sum("noise_lines_removed"), F.lit(0))
+    tables = [
+        counts(monitors, pages_monitored=F.count_if(F.col("deleted_at").isNull())),
+        counts(snapshots, snapshots_processed=every),
+        counts(
+            diffs,
+            diffs_computed=every,
+            changes_detected=F.count_if(~F.col("is_empty_after_filter")),
+            changed_lines=changed,
+            noise_lines_removed=noise,
+            noise_percent=F.when(changed > 0, F.round(100.0 * noise / changed, 4)).otherwise(0.0),
+        ),
+        counts(alerts, alerts_created=every),
+    ]
+    return reduce(DataFrame.unionByName, tables)

@@ -136,7 +136,6 @@ def oscillation_at(candidates: DataFrame, snapshots: DataFrame) -> DataFrame:
 # ---- the chain: only alerts that were created count as history --------------------
 
 CREATED, SAME, BELOW, FLIPS = 0, 1, 2, 3
-SHORT_RUN = 64  # rows below which a plain loop beats array operations
 OUTCOMES = {CREATED: "created", SAME: "same_summary", BELOW: "severity", FLIPS: "oscillation"}
 
 
@@ -155,20 +154,6 @@ def suppress_run(times, ranks, texts, flips, alive: list[tuple[int, int, str]]):
     n = len(times)
     outcome = np.zeros(n, dtype=np.int8)
     recent = np.full(n, -1, dtype=np.int8)
-    if n <= SHORT_RUN:
-        for i, (t, rank, text, flip) in enumerate(zip(times.tolist(), ranks.tolist(), texts, flips.tolist())):
-            alive = [a for a in alive if a[0] >= t - WINDOW]
-            top = max((a[1] for a in alive), default=-1)
-            recent[i] = top
-            if any(a[2] == text for a in alive):
-                outcome[i] = SAME
-            elif rank <= top:
-                outcome[i] = BELOW
-            elif flip:
-                outcome[i] = FLIPS
-            else:
-                alive.append((t, rank, text))
-        return outcome, recent, alive
     at = 0
     while at < n:
         alive = [a for a in alive if a[0] >= times[at] - WINDOW]

@@ -173,9 +173,9 @@ cte(
     "parsed_v",
     f"""SELECT *, total AS total_cost_usd FROM (SELECT diff_id, monitor_id, created_at, error,
     CASE WHEN error IS NOT NULL THEN 'medium' WHEN lvl IN ({in_list(k.SEVERITIES)}) THEN lvl ELSE 'medium' END AS significance_level,
-    CASE WHEN error IS NOT NULL THEN {lit(k.FAILED_SUMMARY)} ELSE left(coalesce(summ, {lit(k.UNCERTAIN_SUMMARY)}), 1000) END AS summary,
+    CASE WHEN error IS NOT NULL THEN {lit(k.FAILED_SUMMARY)} ELSE coalesce(summ, {lit(k.UNCERTAIN_SUMMARY)}) END AS summary,
     CASE WHEN error IS NOT NULL OR len(known) = 0 THEN ['other'] ELSE known END AS categories,
-    error IS NOT NULL OR lvl NOT IN ({in_list(k.SEVERITIES)}) OR summ IS NULL OR length(summ) > 1000 OR len(cats) = 0 OR len(known) <> len(cats) AS needs_review,
+    error IS NOT NULL OR lvl NOT IN ({in_list(k.SEVERITIES)}) OR summ IS NULL OR len(cats) = 0 OR len(known) <> len(cats) AS needs_review,
     CASE WHEN error IS NULL THEN p ELSE 0 END AS prompt_tokens, CASE WHEN error IS NULL THEN c ELSE 0 END AS completion_tokens,
     CASE WHEN error IS NULL THEN round(p * CAST(3e-6 AS DOUBLE) + c * CAST(15e-6 AS DOUBLE), 6) ELSE 0.0 END AS total
     FROM (SELECT *, list_filter(cats, lambda x: list_contains([{in_list(k.CATEGORIES)}], x)) AS known FROM
@@ -207,15 +207,16 @@ oracle(
 
 # ---- B ------------------------------------------------------------------------------------
 
-oracle(
-    "extract_page_text",
-    f"""SELECT page_id, sha256(txt) AS text_hash, CAST(length(txt) AS INTEGER) AS text_length FROM (SELECT page_id,
+cte(
+    "page_text_v",
+    f"""SELECT page_id, url, html,
     {strip("regexp_replace(regexp_replace(body, chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), ' +', ' ', 'g')".replace("{{", "{").replace("}}", "}"))} AS txt FROM
-    (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(array_to_string(list_filter(list_transform(
+    (SELECT page_id, url, html, regexp_replace(replace(replace(replace(replace(replace(replace(array_to_string(list_filter(list_transform(
       string_split_regex(regexp_replace(regexp_replace(html, '(?is)<(head|script|style|noscript|iframe|svg)\\b[^>]*>.*?</(head|script|style|noscript|iframe|svg)>', '<x>', 'g'),
         '(?s)<!--.*?-->', '<x>', 'g'), '<[^>]*>'), lambda x: {strip("replace(x, '&nbsp;', chr(160))")}), lambda x: x <> ''), chr(10)),
-      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') AS body FROM pages))""",
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') AS body FROM pages)""",
 )
+oracle("extract_page_text", "SELECT page_id, sha256(txt) AS text_hash, CAST(length(txt) AS INTEGER) AS text_length FROM page_text_v", ("page_text_v",))
 oracle(
     "normalize_page_text",
     f"""SELECT doc_id, sha256({strip("regexp_replace(regexp_replace(replace(replace(text, chr(10), repeat(chr(10), 4)), ' ', '  '), chr(10) || '{3,}', chr(10) || chr(10), 'g'), ' +', ' ', 'g')")}) AS text_hash
@@ -225,7 +226,9 @@ oracle("fingerprint_text", "SELECT doc_id, sha256(text) AS text_hash, CAST(lengt
 oracle(
     "flag_js_pages",
     f"""SELECT page_id, f AS needs_rendering, CASE WHEN f THEN {DUE_AT} + INTERVAL 5 MINUTES END AS recheck_at FROM
-    (SELECT page_id, length(url) < 100 AND contains(lower(html || CASE WHEN contains(url, 'example.com') THEN '<NoScript>' ELSE '' END), '<noscript') AS f FROM pages)""",
+    (SELECT page_id, length(CASE WHEN page_id % 3 = 0 THEN string_split(txt, chr(10))[1] ELSE txt END) < 100
+      AND contains(lower(html || CASE WHEN contains(url, 'example.com') THEN '<NoScript>' ELSE '' END), '<noscript') AS f FROM page_text_v)""",
+    ("page_text_v",),
 )
 oracle(
     "flag_bot_pages",
@@ -253,7 +256,7 @@ cte(
 oracle("attempt_streaks", "SELECT attempt_id, monitor_id, consecutive_failures FROM streaks_v", ("streaks_v",))
 oracle(
     "fold_attempts",
-    """SELECT s.monitor_id, t.attempts, CASE WHEN ok THEN 'success' ELSE 'failed' END AS last_status, CASE WHEN NOT ok THEN left(error, 500) END AS last_error,
+    """SELECT s.monitor_id, t.attempts, CASE WHEN ok THEN 'success' ELSE 'failed' END AS last_status, CASE WHEN NOT ok THEN error END AS last_error,
     consecutive_failures, consecutive_failures >= 5 AS auto_paused, worst_streak, last_checked_at, attempted_at + INTERVAL 6 HOURS AS next_check_at
     FROM (SELECT *, row_number() OVER (PARTITION BY monitor_id ORDER BY attempted_at DESC, attempt_id DESC) AS rn FROM streaks_v) s
     JOIN (SELECT monitor_id, count(*) AS attempts, max(consecutive_failures) AS worst_streak, max(attempted_at) FILTER (ok) AS last_checked_at
@@ -304,6 +307,13 @@ cte(
     extracted_text AS after_text FROM versions_v) WHERE before_text IS NOT NULL AND before_text <> after_text""",
     ("versions_v",),
 )
+oracle(
+    "diff_repeated_lines",
+    """SELECT doc_id AS diff_id, sha256(b) AS before_hash, sha256(a) AS after_hash, CAST(0 AS INTEGER) AS last_hunk FROM
+    (SELECT doc_id, array_to_string(l, chr(10)) AS b, array_to_string(list_filter(l, lambda x, i: (i - 1) % 5 <> 1), chr(10)) AS a FROM
+      (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: left(x, 2)), lambda x: x <> '') AS l FROM documents))
+    WHERE a <> b""",
+)
 oracle(
     "diff_roundtrip",
     "SELECT diff_id, sha256(before_text) AS before_hash, sha256(after_text) AS after_hash FROM version_pairs_v",
@@ -350,7 +360,8 @@ def _range(start: str, n: str) -> str:
 
 cte(
     "noted_v",
-    f"""SELECT *, op <> ' ' AND length({strip(_stripped("text"))}) < 5 AS is_noise FROM diff_v""",
+    f"""SELECT *, op <> ' ' AND length(left_over) < 5 AND (left_over <> {strip("text")} OR {strip("text")} = '') AS is_noise
+    FROM (SELECT *, {strip(_stripped("text"))} AS left_over FROM diff_v)""",
     ("diff_v",),
 )
 cte(
@@ -401,7 +412,7 @@ cte(
 )
 cte(
     "marked_v",
-    f"""SELECT *, coalesce(op <> ' ' AND length(residual) < 5, false) AS is_noise FROM (SELECT *, {strip("CASE WHEN b OR v THEN '' ELSE m END")} AS residual FROM
+    f"""SELECT *, coalesce(op <> ' ' AND length(residual) < 5 AND (residual <> {strip("text")} OR {strip("text")} = ''), false) AS is_noise FROM (SELECT *, {strip("CASE WHEN b OR v THEN '' ELSE m END")} AS residual FROM
     (SELECT *, coalesce(lang <> 'en' AND regexp_matches(m, '(?i)^Build\\s+.+?$'), false) AS b,
       coalesce(lang <> 'en' AND regexp_matches(m, '(?i)^visits:\\s+.+?$'), false) AS v FROM residual_v))""",
     ("residual_v",),
@@ -549,9 +560,8 @@ cte(
     count(*) FILTER (review_required) AS manual_review_patterns, CAST(coalesce(sum(total), 0) AS BIGINT) AS total_lines_filtered,
     CAST(coalesce(sum(week), 0) AS BIGINT) AS lines_filtered_7d, CAST(round(CAST(avg(confidence) AS DECIMAL(18, 10)), 3) AS DOUBLE) AS avg_confidence
     FROM (SELECT *, row_number() OVER (PARTITION BY monitor_id, pattern ORDER BY observed_at DESC, diff_id DESC) AS rn FROM state_v) s
-    LEFT JOIN (SELECT monitor_id, pattern, sum(count) AS total, sum(count) FILTER (used_at >= {USED_AT} - INTERVAL 7 DAYS AND rn <= 240) AS week
-      FROM (SELECT *, row_number() OVER (PARTITION BY monitor_id, pattern ORDER BY used_at DESC, diff_id DESC) AS rn FROM filter_events_v) GROUP BY 1, 2) u
-      ON s.monitor_id = u.monitor_id AND s.pattern = u.pattern
+    LEFT JOIN (SELECT monitor_id, pattern, sum(count) AS total, sum(count) FILTER (used_at >= {USED_AT} - INTERVAL 7 DAYS) AS week
+      FROM filter_events_v GROUP BY 1, 2) u ON s.monitor_id = u.monitor_id AND s.pattern = u.pattern
     WHERE rn = 1 GROUP BY s.monitor_id""",
     ("state_v", "filter_events_v"),
 )
@@ -566,7 +576,7 @@ oracle(
 oracle(
     "learning_overview",
     """SELECT m.monitor_id, name, learned_patterns, active_patterns, lines_filtered_7d, avg_confidence FROM monitors_v m JOIN summary_v s ON m.monitor_id = s.monitor_id
-    WHERE deleted_at IS NULL ORDER BY lines_filtered_7d DESC, learned_patterns DESC, avg_confidence DESC, m.monitor_id LIMIT 100""",
+    WHERE deleted_at IS NULL""",
     ("monitors_v", "summary_v"),
 )
 oracle(
@@ -592,8 +602,8 @@ oracle(
     "build_prompts",
     f"""SELECT doc_id, sha256('**Competitor**: ' || CASE WHEN lang <> 'en' AND source <> '' THEN source ELSE 'Unknown' END || chr(10) || '**Page Type**: ' || lang || chr(10)
     || '**URL**: https://example.com/' || doc_id || chr(10)
-    || CASE WHEN length(text) > 1000 THEN {lit(k.TRUNCATION_NOTE).replace(chr(10), "' || chr(10) || '")} || chr(10) ELSE '' END
-    || chr(10) || '**Changes Detected**:' || chr(10) || '```diff' || chr(10) || {_CUT} || chr(10) || '```') AS prompt_hash FROM documents""",
+    || CASE WHEN doc_id % 7 = 0 THEN {lit(k.TRUNCATION_NOTE).replace(chr(10), "' || chr(10) || '")} || chr(10) ELSE '' END
+    || chr(10) || '**Changes Detected**:' || chr(10) || '```diff' || chr(10) || text || chr(10) || '```') AS prompt_hash FROM documents""",
 )
 oracle(
     "parse_responses",
@@ -609,7 +619,7 @@ _LEVEL = " ".join(f"WHEN regexp_matches(text, '(?i)(^|[^\\w\\p{{L}}\\p{{N}}]){n}
 oracle(
     "fallback_parse",
     f"""SELECT conv_id, turn, CASE {_LEVEL} ELSE 'medium' END AS level,
-    CASE WHEN len(found) = 0 THEN 'other' ELSE array_to_string(found, ',') END AS categories, sha256({strip("left(text, 1000)")}) AS summary_hash
+    CASE WHEN len(found) = 0 THEN 'other' ELSE array_to_string(found, ',') END AS categories, sha256({strip("text")}) AS summary_hash
     FROM (SELECT *, list_filter([{in_list(k.CATEGORIES)}], lambda x: contains(lower(text), x) OR contains(lower(text), replace(x, '_', ' '))) AS found FROM free_text_v)""",
     ("free_text_v",),
 )
@@ -849,7 +859,7 @@ oracle(
     "build_digests",
     """SELECT user_id, channel, part, alerts, sha256(CASE WHEN part = 0 THEN '📊 **Daily Digest** — ' || alerts || ' alert(s)' || chr(10) || chr(10) ELSE '' END || body) AS text_hash FROM
     (SELECT user_id, channel, CAST((place - 1) // 1000 AS INTEGER) AS part, any_value(n) AS alerts,
-      string_agg('• [' || upper(severity) || '] ' || coalesce(name, 'Unknown') || ': ' || left(summary, 100), chr(10) ORDER BY place) AS body
+      string_agg('• [' || upper(severity) || '] ' || coalesce(name, 'Unknown') || ': ' || summary, chr(10) ORDER BY place) AS body
      FROM (SELECT q.*, m.name, count(*) OVER (PARTITION BY q.user_id, channel, hour) AS n FROM queued_v q LEFT JOIN monitors_v m ON q.monitor_id = m.monitor_id WHERE hour = 9)
      GROUP BY 1, 2, 3)""",
     ("queued_v", "monitors_v"),
@@ -905,7 +915,7 @@ cte(
 oracle(
     "fold_delivery",
     """SELECT alert_id, coalesce(bool_or(ok) FILTER (channel = 'slack'), false) AS notified_via_slack, coalesce(bool_or(ok) FILTER (channel = 'email'), false) AS notified_via_email,
-    max(done_at) AS notified_at, left(string_agg(channel || ': ' || error, '; ' ORDER BY channel) FILTER (NOT ok), 500) AS notification_error FROM deliveries_v GROUP BY alert_id""",
+    max(done_at) AS notified_at, string_agg(channel || ': ' || error, '; ' ORDER BY channel) FILTER (NOT ok) AS notification_error FROM deliveries_v GROUP BY alert_id""",
     ("deliveries_v",),
 )
 oracle(
@@ -988,6 +998,15 @@ oracle(
     ("filtered_v",),
 )
 
+oracle(
+    "pipeline_report",
+    """SELECT unnest(['pages_monitored', 'snapshots_processed', 'diffs_computed', 'changes_detected', 'changed_lines', 'noise_lines_removed', 'noise_percent', 'alerts_created']) AS metric,
+    unnest([(SELECT count(*) FILTER (deleted_at IS NULL) FROM monitors_v)::DOUBLE, (SELECT count(*) FROM versions_v)::DOUBLE, count(*)::DOUBLE,
+      count(*) FILTER (NOT is_empty_after_filter)::DOUBLE, sum(original_lines)::DOUBLE, sum(noise_lines_removed)::DOUBLE,
+      round(100.0 * sum(noise_lines_removed) / sum(original_lines), 4)::DOUBLE, (SELECT count(*) FROM alerts_v)::DOUBLE]) AS value FROM filtered_v""",
+    ("monitors_v", "versions_v", "filtered_v", "alerts_v"),
+)
+
 # ---- K ------------------------------------------------------------------------------------
 
 _OLD = {"snapshots": k.SNAPSHOT_DAYS, "diffs": k.DIFF_DAYS, "analyses": k.ANALYSIS_DAYS}

@@ -92,7 +92,10 @@ def flag_js_pages(spark, sf):
             "at": F.expr(DUE_AT),
         }
     )
-    return ingest.flag_js_pages(pages, "html", "url", "at").select("page_id", "needs_rendering", "recheck_at")
+    pages = ingest.extract_page_text(pages, "html")
+    # The pages here are long; every third one keeps its title only.
+    short = F.when(F.col("page_id") % 3 == 0, F.split("extracted_text", "\n")[0]).otherwise(F.col("extracted_text"))
+    return ingest.flag_js_pages(pages.withColumn("extracted_text", short), "html", "extracted_text", "at").select("page_id", "needs_rendering", "recheck_at")
 
 
 @query
@@ -105,7 +108,7 @@ def flag_bot_pages(spark, sf):
 
 @query
 def due_monitors(spark, sf):
-    return ingest.due_monitors(a.monitors(spark, sf), F.expr(DUE_AT)).select("monitor_id", "place", "batch_no")
+    return ingest.due_monitors(a.monitors(spark, sf).select("monitor_id", "is_active", "deleted_at", "next_check_at"), F.expr(DUE_AT)).select("monitor_id", "place", "batch_no")
 
 
 @query
@@ -115,7 +118,7 @@ def skip_recent(spark, sf):
 
 @query
 def attempt_streaks(spark, sf):
-    return ingest.attempt_streaks(a.attempts(spark, sf)).select("attempt_id", "monitor_id", "consecutive_failures")
+    return ingest.attempt_streaks(a.attempts(spark, sf).select("attempt_id", "monitor_id", "attempted_at", "ok")).select("attempt_id", "monitor_id", "consecutive_failures")
 
 
 @query
@@ -181,6 +184,26 @@ def diff_snapshots(spark, sf):
     return lines.select("diff_id", "seq", "hunk_no", "op", F.sha2("text", 256).alias("text_hash"))
 
 
+@query
+def diff_repeated_lines(spark, sf):
+    """Both sides rebuilt from the diff of texts whose lines repeat: two letters of each line, every fifth line gone."""
+    letters = F.filter(F.transform(F.split("text", "\n"), lambda x: F.substring(x, 1, 2)), lambda x: x != "")
+    docs = a.table(spark, sf, "documents").select("doc_id", letters.alias("lines"))
+    pairs = docs.select(
+        F.col("doc_id").alias("diff_id"),
+        F.array_join("lines", "\n").alias("text_before"),
+        F.array_join(F.filter("lines", lambda x, i: i % 5 != 1), "\n").alias("text_after"),
+    ).filter("text_before <> text_after")
+    rows = change.diff_snapshots(pairs, context=1_000_000_000, carry=())
+
+    def side(skipped: str) -> Column:
+        kept = F.array_sort(F.collect_list(F.when(F.col("op") != skipped, F.struct("seq", "text"))))
+        return F.sha2(F.array_join(F.transform(kept, lambda s: s["text"]), "\n"), 256)
+
+    built = rows.groupBy("diff_id").agg(side("+").alias("before_hash"), side("-").alias("after_hash"), F.max("hunk_no").alias("last_hunk"))
+    return built
+
+
 @query
 def diff_roundtrip(spark, sf):
     """With all context kept, context and removed lines give back the text before, context and added the text after."""
@@ -403,9 +426,7 @@ def summarize_patterns(spark, sf):
 @query
 def learning_overview(spark, sf):
     items = learning.learning_overview(learning.summarize_patterns(_used_patterns(spark, sf)), a.monitors(spark, sf))
-    return reports.paginate(items, learning.OVERVIEW_ORDER, 1, 100).select(
-        "monitor_id", "name", "learned_patterns", "active_patterns", "lines_filtered_7d", "avg_confidence"
-    )
+    return items.select("monitor_id", "name", "learned_patterns", "active_patterns", "lines_filtered_7d", "avg_confidence")
 
 
 @query
@@ -434,9 +455,9 @@ def truncate_diffs(spark, sf):
 def build_prompts(spark, sf):
     docs = a.table(spark, sf, "documents").selectExpr(
         "doc_id", "CASE WHEN lang <> 'en' THEN source END AS competitor_name", "lang AS page_type",
-        "concat('https://example.com/', doc_id) AS url", "text AS filtered_diff",
+        "concat('https://example.com/', doc_id) AS url", "text AS diff_text", "doc_id % 7 = 0 AS was_truncated",
     )
-    prompts = classify.build_prompts(classify.truncate_diffs(docs, limit=1000))
+    prompts = classify.build_prompts(docs)
     return prompts.select("doc_id", F.sha2("prompt", 256).alias("prompt_hash"))
 
 
@@ -648,7 +669,7 @@ def digest_queue(spark, sf):
 
 @query
 def build_digests(spark, sf):
-    digests = notify.build_digests(_routes(spark, sf), a.monitors(spark, sf), 9)
+    digests = notify.build_digests(_routes(spark, sf).select("alert_id", "monitor_id", "user_id", "channel", "severity", "summary", "created_at", "route", "digest_hour_utc"), a.monitors(spark, sf), 9)
     return digests.select("user_id", "channel", "part", "alerts", F.sha2("text", 256).alias("text_hash"))
 
 
@@ -767,7 +788,7 @@ def labelled_counters(spark, sf):
 
 @query
 def rate_limit_flags(spark, sf):
-    return reports.rate_limit_flags(a.request_log(spark, sf), limit=1).select("request_id", "nth", "rejected")
+    return reports.rate_limit_flags(a.request_log(spark, sf).select("request_id", "ts", "client", "path"), limit=1).select("request_id", "nth", "rejected")
 
 
 @query
@@ -776,6 +797,12 @@ def noise_share_report(spark, sf):
     return reports.noise_share_report(diffs)
 
 
+@query
+def pipeline_report(spark, sf):
+    diffs = noise.filter_diffs(patterned_lines(spark, sf), with_text=False)
+    return reports.pipeline_report(a.monitors(spark, sf), a.versions(spark, sf), diffs, a.alerts(spark, sf))
+
+
 # ---- K. lifecycle -------------------------------------------------------------------------------------------
 
 

@@ -243,13 +243,23 @@ def queue_digests(alerts: DataFrame, settings: DataFrame, queue_path: str, check
     )
 
 
-def due_digests(spark: SparkSession, queue_path: str, monitors: DataFrame, hour: int) -> DataFrame:
-    """Digests of the hour from everything queued."""
-    return notify.build_digests(spark.read.parquet(queue_path).drop("batch"), monitors, hour)
+def due_digests(spark: SparkSession, queue_path: str, monitors: DataFrame, hour: int, sent: DataFrame | None = None) -> DataFrame:
+    """Digests of the hour from everything queued and not yet in `sent` (see `consumed_routes`)."""
+    queue = spark.read.parquet(queue_path).drop("batch")
+    if sent is not None:
+        queue = queue.join(sent.select("alert_id", "channel"), ["alert_id", "channel"], "left_anti")
+    return notify.build_digests(queue, monitors, hour)
+
+
+def consumed_routes(spark: SparkSession, queue_path: str, hour: int, sent: DataFrame | None = None) -> DataFrame:
+    """(alert_id, channel) that the digests of the hour cover: to be appended to `sent` once those are stored."""
+    queue = spark.read.parquet(queue_path)
+    used = queue.filter(notify.digest_hour(F.col("digest_hour_utc")) == hour).select("alert_id", "channel").distinct()
+    return used if sent is None else used.join(sent.select("alert_id", "channel"), ["alert_id", "channel"], "left_anti")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, timeout: int | None = None) -> None:
-    """Process what is there into Parquet files, then stop."""
+    """Process what is there into Parquet files, then stop; an error when that takes longer than `timeout` seconds."""
     running = (
         stream.writeStream.format("parquet")
         .option("path", path)
@@ -258,4 +268,6 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, timeout: int |
         .trigger(availableNow=True)
         .start()
     )
-    running.awaitTermination(timeout)
+    if not running.awaitTermination(timeout) and timeout is not None:
+        running.stop()
+        raise TimeoutError(f"the stream was not done after {timeout} s; {path} holds part of its result")

@@ -62,7 +62,7 @@ def test_structured_responses(spark):
     assert (level.significance_level, level.needs_review) == ("medium", True)
     assert (cats.categories, cats.needs_review) == (["partnership"], True)
     assert (empty.categories, empty.needs_review) == (["other"], True)
-    assert (len(long.summary), long.needs_review) == (1000, True)
+    assert (len(long.summary), long.needs_review) == (1200, False)
     assert (missing.summary, missing.significance_level, missing.needs_review) == (k.UNCERTAIN_SUMMARY, "low", True)
     assert (broken.significance_level, broken.categories) == ("medium", ["other"])
     assert (error.significance_level, error.summary, error.total_cost_usd, error.error) == ("medium", k.FAILED_SUMMARY, 0.0, "timeout")
@@ -121,3 +121,28 @@ def test_candidates(spark):
     assert classify.cost_totals(
         spark.createDataFrame([("m", 1, 2, 0.1), ("m", 3, 4, 0.2)], "monitor_id string, prompt_tokens int, completion_tokens int, total_cost_usd double"), ["monitor_id"]
     ).select("prompt_tokens", F.col("total_cost_usd")).first() == (4, 0.3)
+
+
+def test_summary_limit_is_the_callers(spark):
+    rows = spark.createDataFrame([(json.dumps({"significance_level": "low", "summary": "y" * 1200, "categories": ["other"]}), True, 1, 1, None)], "body string, is_structured boolean, prompt_tokens int, completion_tokens int, error string")
+    cut = classify.parse_responses(rows, max_summary=1000).first()
+    assert (len(cut.summary), cut.needs_review) == (1000, True)
+
+
+def test_long_diffs_reach_the_prompt_whole(spark):
+    text = "\n".join(f"+ line {i}" for i in range(3000))
+    diffs = spark.createDataFrame([(1, "m", text)], "diff_id int, monitor_id string, filtered_diff string")
+    monitors = spark.createDataFrame([("m", "Acme", "pricing", "https://e.com")], "monitor_id string, competitor_name string, page_type string, url string")
+    assert text in classify.classification_inputs(diffs, monitors).first().prompt
+    assert len(classify.classification_inputs(diffs, monitors, limit=14_000).first().prompt) < 15_000
+
+
+def test_one_bad_prompt_costs_only_itself(spark):
+    def model(batch):
+        if batch["prompt"].str.contains("bad").any():
+            raise ValueError("no")
+        return batch[["diff_id"]].assign(body="low", is_structured=False, prompt_tokens=1, completion_tokens=1)
+
+    prompts = spark.createDataFrame([(i, "bad" if i == 7 else "good") for i in range(20)], "diff_id int, prompt string").coalesce(1)
+    got = {r.diff_id: r.error for r in classify.classify_with(prompts, model).collect()}
+    assert got == {i: "no" if i == 7 else None for i in range(20)}

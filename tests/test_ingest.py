@@ -117,7 +117,8 @@ def test_fold_attempts(spark, at):
     log += [(100 + i, "b", at(i), ok, None if ok else "e") for i, ok in enumerate([False, True])]
     df = spark.createDataFrame(log, "attempt_id int, monitor_id string, attempted_at timestamp, ok boolean, error string")
     a, b = ingest.fold_attempts(df).orderBy("monitor_id").collect()
-    assert (a.last_status, a.consecutive_failures, a.auto_paused, len(a.last_error)) == ("failed", 5, True, 500)
+    assert (a.last_status, a.consecutive_failures, a.auto_paused, len(a.last_error)) == ("failed", 5, True, 600)
+    assert len(ingest.fold_attempts(df, max_error=500).orderBy("monitor_id").first().last_error) == 500
     assert a.next_check_at == at(14) and a.last_checked_at == at(3)
     assert (b.last_status, b.consecutive_failures, b.auto_paused, b.last_error) == ("success", 0, False, None)
 

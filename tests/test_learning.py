@@ -149,3 +149,19 @@ def test_gate(spark, at):
     pairs = spark.createDataFrame([(8, 1), (9, 1)], "diff_id int, pairs int")
     got = {r.diff_id: r.skip_reason for r in learning.learning_gate(diffs, snaps, pairs).collect()}
     assert got == {8: "insufficient_snapshot_history", 9: None, 10: "no_replacement_pairs", 11: "empty_diff"}
+
+
+@pytest.mark.parametrize("length", [199, 200, 281, 400])
+def test_long_lines_are_learned_from_alike(spark, length):
+    words = ("visits today: 1234 people read this page " * 20)[: length - 6]
+    pairs = spark.createDataFrame([(1, 0, words + " 11111", words + " 22222")], "diff_id int, seq int, before string, after string")
+    found = learning.candidate_patterns(pairs).collect()
+    assert len(found) == 1 and found[0].similarity > 0.9
+    assert learning.candidate_patterns(pairs, max_chars=150).count() == 0
+
+
+def test_weekly_sum_takes_every_event(spark, at):
+    events = spark.createDataFrame([("m", "p", i, at(i * 0.1), 2) for i in range(300)], "monitor_id string, pattern string, diff_id int, at timestamp, count int")
+    latest = spark.createDataFrame([("m", "p")], "monitor_id string, pattern string")
+    row = learning.with_usage(latest, events, F.lit(at(31))).first()
+    assert (row.lines_filtered_7d, row.total_lines_filtered) == (600, 600)

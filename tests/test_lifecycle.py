@@ -58,3 +58,21 @@ def test_tables(spark, at, tmp_path):
     current = spark.createDataFrame([(1, "x", 5), (2, "y", 1)], "k int, v string, ver int")
     changes = spark.createDataFrame([(1, "late", 4), (2, "z", 2), (3, "w", 0)], "k int, v string, ver int")
     assert {tuple(r) for r in upsert_state(current, changes, ["k"], ["ver"]).collect()} == {(1, "x", 5), (2, "z", 2), (3, "w", 0)}
+
+
+def test_old_day_folders_go(spark, tmp_path):
+    from datetime import date
+
+    from changeflow.sources.tables import write_table
+
+    rows = spark.sql("SELECT id, timestamp_seconds(1704067200 + id * 43200) AS created_at FROM range(10)")
+    write_table(rows, str(tmp_path / "t"), "created_at")
+    assert lifecycle.drop_day_folders(spark, str(tmp_path / "t"), date(2024, 1, 3)) == ["day=2024-01-01", "day=2024-01-02"]
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "t")).collect()) == list(range(4, 10))
+
+
+def test_actions_at_one_instant(spark, at):
+    monitors = spark.createDataFrame([("m", True, None, at(0))], "monitor_id string, is_active boolean, deleted_at timestamp, next_check_at timestamp")
+    both = spark.createDataFrame([("m", "restore", at(1)), ("m", "delete", at(1))], "monitor_id string, action string, at timestamp")
+    for actions in (both, both.orderBy("action")):
+        assert lifecycle.fold_deletions(monitors, actions).first().is_active

