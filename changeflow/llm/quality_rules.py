@@ -82,6 +82,7 @@ def _covered(hashes: Column) -> Column:
 def measured(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """`df` with one column per measurement; also the names they got."""
     names = {m: fresh(df.columns, m) for m in MEASURES}
+    own = [f"`{c}`" for c in df.columns]
     hold = {h: fresh(df.columns, h) for h in ("ledger_words", "ledger_lines", "ledger_windows")}
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     words, lines, windows = (F.col(hold[h]) for h in hold)
@@ -90,18 +91,21 @@ def measured(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, st
     drop = lambda characters: F.length(F.translate(body, characters, ""))
     df = df.withColumns({hold["ledger_words"]: words_of(body), hold["ledger_lines"]: F.filter(F.split(body, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")})
     df = df.withColumn(hold["ledger_windows"], F.when(size >= 3, hashed).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumns(
-        {
-            names["n_words"]: size.cast("long"),
-            names["word_chars"]: drop(BLANKS).cast("long"),
-            names["n_symbols"]: (F.length(body) - drop(SYMBOLS)).cast("long"),
-            names["n_dup_lines"]: (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            names["n_repeat_words"]: F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(_covered(windows)).cast("long"),
-            names["n_lines"]: F.size(lines).cast("long"),
-            names["n_upper"]: F.regexp_count(body, F.lit(r"\p{Lu}")).cast("long"),
-        }
-    )
-    return df.drop(*hold.values()), names
+    measures = {
+        "n_words": size,
+        "word_chars": drop(BLANKS),
+        "n_symbols": F.length(body) - drop(SYMBOLS),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(_covered(windows)),
+        "n_lines": F.size(lines),
+        "n_upper": F.regexp_count(body, F.lit(r"\p{Lu}")),
+    }
+    # The measurements leave through a generator of one row. A filter on them is then not moved
+    # below it, where the optimizer would write them out again, words inside loops over words.
+    held = fresh(df.columns, "ledger_row")
+    row = F.struct(*[value.cast("long").alias(name) for name, value in measures.items()])
+    df = df.select(*own, F.explode(F.array(row)).alias(held))
+    return df.select(*own, *[F.col(f"`{held}`.{m}").alias(c) for m, c in names.items()]), names
 
 
 def ledger(df: DataFrame, text: str = "text", bits: str = "failed_bits") -> DataFrame:
