@@ -181,8 +181,10 @@ def _counter(path: str, languages: list[str]):
             nonlocal total, known, counts
             if known:
                 weights = np.zeros((len(known), len(languages)))
-                for language, ids in counts:
-                    weights[:, language] += np.bincount(ids, minlength=len(known))
+                for k in range(len(languages)):
+                    own = [ids for language, ids in counts if language == k]
+                    if own:
+                        weights[:, k] = np.bincount(np.concatenate(own), minlength=len(known))
                 total += expected_counts(pieces, list(known), weights)
             known, counts = _Known(), []
 
