@@ -171,3 +171,15 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             assert sum(r["length"] for r in after) == sum({r["doc_id"]: r["doc_tokens"] for r in after}.values())
         else:
             assert docs.columns == columns
+
+
+def test_oracle_matches(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    cursor = con.execute(near_join.ORACLE_OP3)
+    names = [d[0] for d in cursor.description]
+    got = near_join.op3_near_join(spark, "/root/testdata/sf0.001")
+    assert sorted(got.columns) == sorted(names)
+    assert Counter(map(tuple, got.select(*names).collect())) == Counter(cursor.fetchall())
