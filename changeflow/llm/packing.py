@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from changeflow.plans.storage import cut_lineage
 
-from .bpe import Encoder, Merges, tokenizer_path
+from .bpe import PATTERN, Encoder, Merges, tokenizer_path
 from .common import read
 
 CAPACITY = 1024
@@ -48,8 +48,6 @@ def ids_of(json_path: str):
     merges = Merges(json_path)
     with open(_ranks_path(json_path), "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    from .bpe import PATTERN
-
     library = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=merges.special)
     own = Encoder(merges)
     special = set(merges.special)
