@@ -37,7 +37,8 @@ from changeflow.plans.storage import cut_lineage
 from .common import fresh, read
 
 WORDS, THRESHOLD, TREES, DEPTH, TARGET = 5, 0.8, 20, 6, 0.999999
-SLICE, SLICE_SHINGLES = 256, 1 << 20
+#: Members of a slice at most, on average, and their shingles. A cell holds two slices.
+SLICE, SLICE_SHINGLES = 1024, 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
