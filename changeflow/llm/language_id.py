@@ -36,6 +36,8 @@ _GROUPS = (8, 12, 16, 20, 24, 32, RUN)
 #: Words handled together: their arrays should fit a core's cache.
 _ROWS = 4096
 _REMEMBERED = 1_000_000
+#: Words less probable than this in a language are summed again in logarithms.
+LEAST = 1e-250
 _LETTER = re.compile(r"[^\W\d_]")
 _SLOTS = 18
 
@@ -114,16 +116,31 @@ def _steps(pieces: Pieces, matrix: np.ndarray) -> Iterator[tuple[int, int, np.nd
 
 def word_scores(pieces: Pieces, words: list[bytes], table: np.ndarray) -> np.ndarray:
     """Natural log of the sum over all segmentations, per word and language."""
-    out = np.zeros((len(words), table.shape[1]))
+    out, logs = np.zeros((len(words), table.shape[1])), np.log(table)
     for at, lengths, matrix in _groups(words):
         alpha = np.zeros((matrix.shape[1] + 1, len(at), table.shape[1]))
         alpha[0] = 1
         for end, size, rows, found in _steps(pieces, matrix):
             alpha[end][rows] += alpha[end - size][rows] * table[found]
-        out[at] = np.log(alpha[lengths, np.arange(len(at))])
+        last = alpha[lengths, np.arange(len(at))]
+        # No alpha is over 1, so what got lost below LEAST on the way is nothing beside a larger end.
+        low = np.flatnonzero((last < LEAST).any(axis=1))
+        last[low] = 1
+        out[at] = np.log(last)
+        if len(low):
+            out[at[low]] = _log_scores(pieces, lengths[low], matrix[low], logs)
     return out
 
 
+def _log_scores(pieces: Pieces, lengths: np.ndarray, matrix: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """The same sums in logarithms, for words too improbable for a plain product."""
+    alpha = np.full((matrix.shape[1] + 1, len(matrix), logs.shape[1]), -np.inf)
+    alpha[0] = 0
+    for end, size, rows, found in _steps(pieces, matrix):
+        alpha[end][rows] = np.logaddexp(alpha[end][rows], alpha[end - size][rows] + logs[found])
+    return alpha[lengths, np.arange(len(matrix))]
+
+
 def expected_counts(pieces: Pieces, words: list[bytes], weights: np.ndarray) -> np.ndarray:
     """Expected count of each piece per language, all pieces equally likely before."""
     flat = 1.0 / len(pieces.pieces)

@@ -5,8 +5,10 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -179,6 +181,21 @@ def test_languages(docs, odd):
     assert {r["lang_pred"] for r in language_id.predict(untaught, "teaches", language_id.vocabulary_path()).collect()} == {"und"}
 
 
+def test_rare_script_does_not_hide_the_language():
+    """48 bytes that no language has seen, against tables of many counted pieces."""
+    path = language_id.vocabulary_path()
+    pieces = language_id.Pieces(path)
+    english, german = (language_id.expected_counts(pieces, language_id.words_in(t), np.ones((len(t.split()), 1)))[:, 0] for t in ("the and thing with nation", "der und nicht schön über"))
+    table = np.stack([german * (1e8 / german.sum()), english * (1e6 / english.sum())], axis=1)
+    table = (table + language_id.SMOOTHING) / (table.sum(axis=0) + language_id.SMOOTHING * len(table))
+    words = ["བོད་ཡིག་བོད་ཡི", "ᏣᎳᎩᏣᎳᎩᏣᎳᎩᏣᎳᎩᏣᎳᎩᏣ"]
+    assert np.isfinite(language_id.word_scores(pieces, [w.encode() for w in words], table)).all()
+    model = SimpleNamespace(value=(["de", "en"], table, np.log([0.5, 0.5])))
+    texts = pa.RecordBatch.from_arrays([pa.array([f"{'the nation and the thing ' * 40} {w} with the nation" for w in words])], names=["text"])
+    (_, names, scores), *_ = language_id._judge(iter([texts]), "text", path, model)
+    assert names == ["en", "en"] and min(scores) > 0.99
+
+
 def test_held_out_languages(spark):
     found = language_id.op9_language_id(spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang"), "doc_id")
     right = found.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
