@@ -1,6 +1,6 @@
 """Language identification by unigram pieces, with all segmentations of a word summed.
 
-The pieces are those of a fixed public vocabulary of at most `PIECE` bytes. A word (between
+The pieces are those of a fixed public vocabulary, of all lengths. A word (between
 blanks, in lower case, with a blank before it) has many segmentations into pieces; its
 probability in a language is the sum over all of them of the products of piece
 probabilities, which a forward pass gives. A text's score is the product over its words.
@@ -11,7 +11,8 @@ the tasks and then by Spark, so at most languages x vocabulary rows reach the dr
 model's own size. Words are handled once per task, many at a time, as arrays.
 
 Only text and language are learned from, over all rows that are not held out. Words of more
-than `RUN` bytes are scored in runs of that many bytes; nothing is cut off.
+than `RUN` bytes are parted where no piece of the vocabulary lies across, which leaves the sum
+as it is; what is still longer is passed over byte by byte in logarithms. Nothing is cut off.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; rows without a
 language teach nothing; without any language to learn all is `und`; repeated rows repeat;
@@ -31,15 +32,17 @@ from pyspark.sql import functions as F
 
 from .common import fresh, id_remainder, read
 
-PIECE, RUN, SMOOTHING = 8, 48, 0.1
+#: Bytes of the vocabulary's longest piece, and of the longest words that are handled as rows of a matrix.
+PIECE, RUN, SMOOTHING = 33, 48, 0.1
 _GROUPS = (8, 12, 16, 20, 24, 32, RUN)
 #: Words handled together: their arrays should fit a core's cache.
 _ROWS = 4096
-_REMEMBERED = 1_000_000
+_REMEMBERED, _REMEMBERED_BYTES = 1_000_000, 1 << 26
+#: Bytes of a long word whose pieces are looked up together.
+_AT_ONCE = 1 << 16
 #: Words less probable than this in a language are summed again in logarithms.
 LEAST = 1e-250
 _LETTER = re.compile(r"[^\W\d_]")
-_SLOTS = 18
 
 
 def vocabulary_path() -> str:
@@ -49,43 +52,71 @@ def vocabulary_path() -> str:
 
 
 class Pieces:
-    """The vocabulary's pieces of at most PIECE bytes, found by their bytes packed in a number."""
+    """The vocabulary's pieces in a tree of their bytes, read from the last byte on."""
 
     def __init__(self, path: str):
         with open(path, "rb") as file:
             found = {base64.b64decode(line.split()[0]) for line in file if line.strip()}
         found |= {bytes([b]) for b in range(256)}
-        self.pieces = sorted(p for p in found if len(p) <= PIECE)
-        self.keys = np.array([int.from_bytes(p, "big") for p in self.pieces], np.uint64)
-        self.sizes = np.array([len(p) for p in self.pieces], np.int8)
-        self.slots = []
-        for size in range(1, PIECE + 1):
-            ids = np.flatnonzero(self.sizes == size)
-            slot = self._slot(self.keys[ids], size)
+        self.pieces = sorted(found)
+        self.sizes = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces))
+        self.longest = int(self.sizes.max())
+        letters = np.frombuffer(b"".join(p.rjust(self.longest, b"\0") for p in self.pieces), np.uint8).reshape(-1, self.longest)
+        nodes, self.levels = np.zeros(len(self.pieces), np.int64), []
+        for size in range(1, self.longest + 1):
+            ids = np.flatnonzero(self.sizes >= size)
+            keys, own = np.unique(nodes[ids] << 8 | letters[ids, -size], return_inverse=True)
+            bits = 8 * size if size <= 2 else len(keys).bit_length() + 2
+            slot = self._slot(keys, size, bits)
             order = np.argsort(slot, kind="stable")
             unique, first, count = np.unique(slot[order], return_index=True, return_counts=True)
-            table = np.full(1 << _SLOTS if size > 2 else 1 << 16, -1, np.int32)
+            table = np.full(1 << bits, -1, np.int32)
             table[unique] = first
-            self.slots.append((table, self.keys[ids][order], ids[order], int(count.max(initial=1))))
+            place = np.empty(len(keys), np.int64)
+            place[order] = np.arange(len(keys))
+            nodes[ids] = place[own]
+            here = np.flatnonzero(self.sizes == size)
+            piece = np.full(len(keys), -1, np.int32)
+            piece[nodes[here]] = here
+            self.levels.append((table, keys[order], piece, int(count.max()), bits))
 
     @staticmethod
-    def _slot(keys: np.ndarray, size: int) -> np.ndarray:
+    def _slot(keys: np.ndarray, size: int, bits: int) -> np.ndarray:
         if size <= 2:
-            return keys.view(np.int64)
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).view(np.int64)
-
-    def find(self, keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are pieces, and which pieces they are; pieces of one slot lie side by side."""
-        table, own, ids, tries = self.slots[size - 1]
-        at = table[self._slot(keys, size)]
+            return keys
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+
+    def down(self, nodes: np.ndarray, letters: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which nodes have a child by their letter, and the children; nodes of one slot lie side by side."""
+        table, own, _, tries, bits = self.levels[size - 1]
+        keys = nodes << 8 | letters
+        at = table[self._slot(keys, size, bits)]
         rows = np.flatnonzero(at >= 0)
-        at = at[rows]
-        same = own[at] == keys[rows]
+        at, keys = at[rows].astype(np.int64), keys[rows]
+        same = own[at] == keys
         for _ in range(tries - 1):
             off = np.flatnonzero(~same)
             at[off] = np.minimum(at[off] + 1, len(own) - 1)
-            same[off] = own[at[off]] == keys[rows[off]]
-        return rows[same], ids[at[same]]
+            same[off] = own[at[off]] == keys[off]
+        return rows[same], at[same]
+
+    def ending(self, data: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ends, sizes, pieces) of all pieces of one word that end in low + 1 .. high, ends in order."""
+        ends = np.arange(low + 1, high + 1)
+        nodes, out = np.zeros(len(ends), np.int64), []
+        for size in range(1, self.longest + 1):
+            inside = ends >= size
+            ends, nodes = ends[inside], nodes[inside]
+            kept, nodes = self.down(nodes, data[ends - size], size)
+            ends = ends[kept]
+            if not len(ends):
+                break
+            found = self.levels[size - 1][2][nodes]
+            hits = np.flatnonzero(found >= 0)
+            out.append((ends[hits], np.full(len(hits), size), found[hits]))
+        ends, sizes, found = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(ends, kind="stable")
+        return ends[order], sizes[order], found[order]
 
 
 def _groups(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -104,18 +135,89 @@ def _groups(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 def _steps(pieces: Pieces, matrix: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(end, size, rows, pieces) for every piece that ends at `end`, ends in order."""
     n, wide = matrix.shape
-    columns = np.ascontiguousarray(matrix.T).astype(np.uint64)
+    columns = np.ascontiguousarray(matrix.T).astype(np.int64)
     for end in range(1, wide + 1):
-        key = np.zeros(n, np.uint64)
-        for size in range(1, min(PIECE, end) + 1):
-            key |= columns[end - size] << np.uint64(8 * (size - 1))
-            rows, found = pieces.find(key, size)
-            if len(rows):
-                yield end, size, rows, found
+        rows, nodes = np.arange(n), np.zeros(n, np.int64)
+        for size in range(1, min(pieces.longest, end) + 1):
+            kept, nodes = pieces.down(nodes, columns[end - size][rows], size)
+            rows = rows[kept]
+            if not len(rows):
+                break
+            found = pieces.levels[size - 1][2][nodes]
+            hits = np.flatnonzero(found >= 0)
+            if len(hits):
+                yield end, size, rows[hits], found[hits]
+
+
+def _parts(pieces: Pieces, word: bytes) -> list[bytes]:
+    """The word cut wherever no piece of the vocabulary lies across: every segmentation has these cuts."""
+    data, crossed = np.frombuffer(word, np.uint8), np.zeros(len(word) + 1, np.int64)
+    for low in range(0, len(word), _AT_ONCE):
+        ends, sizes, _ = pieces.ending(data, low, min(len(word), low + _AT_ONCE))
+        first = max(0, low - pieces.longest)  # where the earliest of these pieces can begin
+        here = np.bincount(ends - sizes + 1 - first, minlength=ends[-1] + 1 - first) - np.bincount(ends - first, minlength=ends[-1] + 1 - first)
+        crossed[first : first + len(here)] += here
+    cuts = np.flatnonzero(np.cumsum(crossed) == 0)
+    cuts = [0, *cuts[(cuts > 0) & (cuts < len(word))].tolist(), len(word)]
+    return [word[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _parted(pieces: Pieces, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(parts, words, places): the distinct parts of words over RUN bytes and the other words; which word has which."""
+    known = _Known()
+    places = [[known[p] for p in _parts(pieces, word)] if len(word) > RUN else [known[word]] for word in words]
+    return list(known), np.repeat(np.arange(len(words)), [len(p) for p in places]), np.concatenate([np.array(p) for p in places])
+
+
+def _long_score(pieces: Pieces, word: bytes, logs: np.ndarray) -> np.ndarray:
+    """A word of any length in logarithms; only the sums that a piece can reach back to are held."""
+    data, alpha = np.frombuffer(word, np.uint8), np.zeros((1, logs.shape[1]))
+    for low in range(0, len(word), _AT_ONCE):
+        high = min(len(word), low + _AT_ONCE)
+        ends, sizes, found = pieces.ending(data, low, high)
+        cuts = np.searchsorted(ends, np.arange(low + 1, high + 2)).tolist()
+        shift = len(alpha) - 1 - low
+        alpha = np.concatenate([alpha, np.zeros((high - low, logs.shape[1]))])
+        begins = ends - sizes + shift
+        for end, a, b in zip(range(low + 1, high + 1), cuts[:-1], cuts[1:], strict=True):
+            alpha[end + shift] = np.logaddexp.reduce(alpha[begins[a:b]] + logs[found[a:b]], axis=0)
+        alpha = alpha[-pieces.longest :]
+    return alpha[-1]
+
+
+def _long_counts(pieces: Pieces, word: bytes) -> np.ndarray:
+    """Expected count of each piece in a word of any length, all pieces equally likely before."""
+    data, n, flat = np.frombuffer(word, np.uint8), len(word), -np.log(len(pieces.pieces))
+    alpha, beta, out = np.zeros(n + 1), np.zeros(n + 1), np.zeros(len(pieces.pieces))
+    for low in range(0, n, _AT_ONCE):
+        high = min(n, low + _AT_ONCE)
+        ends, sizes, _ = pieces.ending(data, low, high)
+        cuts, begins = np.searchsorted(ends, np.arange(low + 1, high + 2)).tolist(), ends - sizes
+        for end, a, b in zip(range(low + 1, high + 1), cuts[:-1], cuts[1:], strict=True):
+            alpha[end] = np.logaddexp.reduce(alpha[begins[a:b]]) + flat
+    for low in reversed(range(0, n, _AT_ONCE)):
+        high = min(n, low + _AT_ONCE)
+        ends, sizes, found = pieces.ending(data, low, min(n, high + pieces.longest))
+        begins = ends - sizes
+        order = np.argsort(begins, kind="stable")
+        order = order[(begins[order] >= low) & (begins[order] < high)]
+        begins, ends, found = begins[order], ends[order], found[order]
+        cuts = np.searchsorted(begins, np.arange(low, high + 1)).tolist()
+        for begin in range(high - 1, low - 1, -1):
+            beta[begin] = np.logaddexp.reduce(beta[ends[cuts[begin - low] : cuts[begin - low + 1]]]) + flat
+        out += np.bincount(found, np.exp(alpha[begins] + beta[ends] + flat - alpha[n]), len(out))
+    return out
 
 
 def word_scores(pieces: Pieces, words: list[bytes], table: np.ndarray) -> np.ndarray:
     """Natural log of the sum over all segmentations, per word and language."""
+    if any(len(word) > RUN for word in words):
+        parts, owners, places = _parted(pieces, words)
+        longer = [i for i, part in enumerate(parts) if len(part) > RUN]
+        each = word_scores(pieces, [b"" if len(part) > RUN else part for part in parts], table)
+        for i in longer:
+            each[i] = _long_score(pieces, parts[i], np.log(table))
+        return np.stack([np.bincount(owners, each[places, k], len(words)) for k in range(table.shape[1])], axis=1)
     out, logs = np.zeros((len(words), table.shape[1])), np.log(table)
     for at, lengths, matrix in _groups(words):
         alpha = np.zeros((matrix.shape[1] + 1, len(at), table.shape[1]))
@@ -145,6 +247,12 @@ def expected_counts(pieces: Pieces, words: list[bytes], weights: np.ndarray) ->
     """Expected count of each piece per language, all pieces equally likely before."""
     flat = 1.0 / len(pieces.pieces)
     out = np.zeros((len(pieces.pieces), weights.shape[1]))
+    if any(len(word) > RUN for word in words):
+        words, owners, places = _parted(pieces, words)
+        weights = np.stack([np.bincount(places, weights[owners, k], len(words)) for k in range(weights.shape[1])], axis=1)
+        for i, word in enumerate(words):
+            if len(word) > RUN:
+                out += _long_counts(pieces, word)[:, None] * weights[i]
     for at, lengths, matrix in _groups(words):
         steps = list(_steps(pieces, matrix))
         alpha = np.zeros((matrix.shape[1] + 1, len(at)))
@@ -168,24 +276,23 @@ def expected_counts(pieces: Pieces, words: list[bytes], weights: np.ndarray) ->
 
 
 def words_in(text: str) -> list[bytes]:
-    """Words with a blank before them, long ones in runs."""
-    out = []
-    for word in text.lower().encode().split():
-        if len(word) < RUN:
-            out.append(b" " + word)
-        else:
-            word = b" " + word
-            out += [word[i : i + RUN] for i in range(0, len(word), RUN)]
-    return out
+    """Words with a blank before them."""
+    return [b" " + word for word in text.lower().encode().split()]
 
 
 class _Known(dict):
     """Word -> its number, in order of first sight."""
 
+    size = 0
+
     def __missing__(self, word: bytes) -> int:
         value = self[word] = len(self)
+        self.size += len(word)
         return value
 
+    def full(self) -> bool:
+        return len(self) > _REMEMBERED or self.size > _REMEMBERED_BYTES
+
 
 def _counter(path: str, languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +322,7 @@ def _counter(path: str, languages: list[str]):
                 texts[k] += 1
                 counts.append((k, np.fromiter(map(known.__getitem__, found), np.int32, len(found))))
                 pending += len(found)
-                if pending > 8_000_000 or len(known) > _REMEMBERED:
+                if pending > 8_000_000 or known.full():
                     settle()
                     pending = 0
         settle()
@@ -250,7 +357,7 @@ def _judge(batches: Iterator[pa.RecordBatch], column: str, path: str, model) ->
     known, scores = _Known(), np.zeros((0, len(languages)))
     for batch in batches:
         each: list[np.ndarray | None] = []
-        if len(known) > _REMEMBERED:
+        if known.full():
             known, scores = _Known(), scores[:0]
         before = len(known)
         for value in batch.column(batch.schema.get_field_index(column)):

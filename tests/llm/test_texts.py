@@ -161,6 +161,38 @@ def test_expected_counts_cover_the_words():
     assert np.allclose(counts.T @ pieces.sizes, [6 * 2 + 3, 3 + 90])
 
 
+@pytest.mark.parametrize("at_once", [1 << 16, 50])
+def test_no_piece_and_no_word_is_cut(monkeypatch, at_once):
+    """Long pieces and long words, in scripts with and without blanks, against the plain recursion."""
+    monkeypatch.setattr(language_id, "_AT_ONCE", at_once)
+    pieces = language_id.Pieces(language_id.vocabulary_path())
+    place = {p: i for i, p in enumerate(pieces.pieces)}
+    assert len(place) == 50_256 and pieces.longest == max(map(len, place)) == language_id.PIECE
+    table = np.random.default_rng(1).random((len(place), 2))
+    table /= table.sum(axis=0)
+    longest = [p for p in pieces.pieces if len(p) > 20]
+    words = [" announcement".encode(), " enormément".encode(), (" " + "これは長い文章であり、切れ目がありません。" * 9).encode(), b" " + b"".join(longest), b" " + b"abcdefghij" * 40, b" the"]
+    got, flat = language_id.word_scores(pieces, words, table), 1 / len(place)
+    for word, row in zip(words, got, strict=True):
+        n, ends = len(word), [[b for b in range(a + 1, min(a + 33, len(word)) + 1) if word[a:b] in place] for a in range(len(word))]
+        ahead, same, back = [np.full(2, -np.inf) for _ in range(n + 1)], [-np.inf] * (n + 1), [-np.inf] * (n + 1)
+        ahead[0], same[0], back[n] = np.zeros(2), 0.0, 0.0
+        for a in range(n):
+            for b in ends[a]:
+                ahead[b] = np.logaddexp(ahead[b], ahead[a] + np.log(table[place[word[a:b]]]))
+                same[b] = np.logaddexp(same[b], same[a] + np.log(flat))
+        for a in reversed(range(n)):
+            for b in ends[a]:
+                back[a] = np.logaddexp(back[a], back[b] + np.log(flat))
+        want = np.zeros(len(place))
+        for a in range(n):
+            for b in ends[a]:
+                want[place[word[a:b]]] += np.exp(same[a] + np.log(flat) + back[b] - same[n])
+        assert np.allclose(ahead[n], row)
+        assert np.allclose(language_id.expected_counts(pieces, [word], np.array([[2.0]]))[:, 0], 2 * want)
+    assert np.array_equal(language_id.word_scores(pieces, words[::-1], table)[::-1], got)
+
+
 def test_languages(docs, odd):
     rnd = random.Random(2)
     en, de = ["the", "and", "thing", "with", "nation"], ["der", "und", "nicht", "schön", "über"]
