@@ -17,7 +17,9 @@ Results: one row per document with `class_id`, the least doc_id of its component
 the number of different texts at or above the threshold, and `n_copies`, rows of its text.
 
 Defined cases: a null text counts as empty; all texts without words share one class (their
-sets are equal); equal rows share a class; null ids are carried; an empty table gives none;
+sets are equal); equal rows share a class; null ids are carried, and neither they nor an id
+of several texts bring components together (`class_key` tells them apart where `class_id`,
+the least id, cannot); an empty table gives none;
 other columns are not read (the pipeline's stage carries them unchanged).
 """
 
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeflow.plans.storage import cut_lineage
@@ -264,14 +266,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_classes(df: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, text_key, class_id, n_links, n_copies."""
+    """One row per input row: doc_id, text_key, class_key, class_id, n_links, n_copies.
+
+    `class_key` names the component, whatever its ids; `class_id` is its least id, which is null
+    without any, and which components share that share an id.
+    """
     spark = df.sparkSession
     id_type = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     run, schema = _signatures(prefix_lengths(trees, depth, threshold, target), id_type)
     signed = cut_lineage(docs.mapInArrow(run, schema), "near-signatures")
     texts = signed.groupBy("set_key", "text_key").agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles"), F.min("keys").alias("keys"))
-    sets = cut_lineage(texts.groupBy("set_key").agg(F.count(F.lit(1)).alias("n_texts"), F.min("first_id").alias("first_id"), F.min("n_shingles").alias("n_shingles"), F.min("keys").alias("keys")), "near-sets")
+    sets = cut_lineage(texts.groupBy("set_key").agg(F.count(F.lit(1)).alias("n_texts"), F.min("first_id").alias("first_id"), F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "text_key")).alias("first"), F.min("n_shingles").alias("n_shingles"), F.min("keys").alias("keys")), "near-sets")
 
     paths = sets.select("set_key", "n_shingles", F.posexplode("keys").alias("tree", "key"))
     nodes = paths.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).filter("n > 1")
@@ -285,8 +291,8 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, trees: int = TREES
     cell_schema = "cell string, set_key binary, slice int, keys array<bigint>, n_texts long"
     needed = cut_lineage(with_keys.repartition(width, "cell").sortWithinPartitions("cell").mapInArrow(_needed, cell_schema), "near-cells")
 
-    wanted = needed.select("set_key").distinct().join(sets.select("set_key", "first_id"), "set_key")
-    found = docs.join(wanted.withColumnRenamed("first_id", "doc_id"), "doc_id").mapInArrow(_shingled, "set_key binary, shingles binary")
+    wanted = needed.select("set_key").distinct().join(sets.select("set_key", F.col("first.first_id").alias("first_id"), F.col("first.text_key").alias("first_key")), "set_key")
+    found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (_text_key("text") == F.col("first_key"))).select("text", "set_key").mapInArrow(_shingled, "set_key binary, shingles binary")
     found = found.groupBy("set_key").agg(F.min("shingles").alias("shingles"))
     filled = needed.join(found, "set_key").select("cell", "set_key", "slice", "keys", "n_texts", "shingles")
     verified = cut_lineage(filled.repartition(width, "cell").sortWithinPartitions("cell").mapInArrow(_verified(threshold), "a binary, b binary, links long"), "near-links")
@@ -296,13 +302,18 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, trees: int = TREES
     of_set = sets.select("set_key", "n_texts", "first_id").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").join(links, "set_key", "left")
     of_set = of_set.withColumn("root", F.coalesce("root", "set_key"))
     least = of_set.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    of_set = of_set.join(least, "root").select("set_key", "class_id", (F.col("n_texts") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    of_set = of_set.join(least, "root").select("set_key", F.col("root").alias("class_key"), "class_id", (F.col("n_texts") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     copies = texts.select("set_key", "text_key", "n_copies").join(of_set, "set_key")
-    return signed.select("doc_id", "set_key", "text_key").join(copies.drop("set_key"), "text_key").select("doc_id", "text_key", "class_id", "n_links", "n_copies")
+    return signed.select("doc_id", "set_key", "text_key").join(copies.drop("set_key"), "text_key").select("doc_id", "text_key", "class_key", "class_id", "n_links", "n_copies")
+
+
+def _text_key(text: str) -> Column:
+    """What _signatures gives as text_key."""
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of wanted texts; another text under a wanted id is passed over."""
+    """The shingles of wanted texts."""
     hashes = _WordHashes()
     for batch in batches:
         keys, out = [], []
@@ -315,17 +326,16 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op3_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(read(spark, sf_dir, "documents")).drop("text_key")
+    return near_classes(read(spark, sf_dir, "documents")).drop("text_key", "class_key")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the least id, and of equal ids the least text digest."""
+    """One document of each component: the least id, null ids last, and of equal ids the least text digest."""
     classes = near_classes(docs)
-    kept = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_key")).alias("kept"))
+    kept = classes.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("kept"))
     mark, key = fresh(docs.columns, "kept_id"), fresh(docs.columns, "kept_key")
     kept = kept.select(F.col("kept.doc_id").alias(mark), F.col("kept.text_key").alias(key))
-    own = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    chosen = docs.join(kept, (docs["doc_id"].eqNullSafe(F.col(mark))) & (own == F.col(key)))
+    chosen = docs.join(kept, (docs["doc_id"].eqNullSafe(F.col(mark))) & (_text_key("text") == F.col(key)))
     return chosen.dropDuplicates([mark, key]).select(*[f"`{c}`" for c in docs.columns])
 
 

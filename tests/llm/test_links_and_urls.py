@@ -84,6 +84,21 @@ def test_near_stage_keeps_one(spark, docs, odd):
     assert Counter(left) == Counter({least for _, least, _, _ in plain_classes(rows)})
 
 
+def test_ids_do_not_make_classes(spark, docs):
+    """Several null ids, near copies with null ids only or among others, and one id with two different texts."""
+    words = [[f"{k}w{i}" for i in range(60)] for k in range(6)]
+    near = [" ".join([*w[:-1], "other"]) for w in words]
+    whole = [" ".join(w) for w in words]
+    rows = [(None, whole[0]), (None, near[0]), (None, whole[1]), (None, whole[1]), (None, whole[2]), (7, whole[3]), (7, whole[4]), (7, near[4]), (None, whole[5]), (9, near[5])]
+    classes = near_join.near_classes(docs(rows))
+    assert Counter(map(tuple, classes.select("doc_id", "class_id", "n_links", "n_copies").collect())) == plain_classes(rows)
+    assert classes.select("class_key").distinct().count() == 6
+    kept = [(r["doc_id"], r["text"]) for r in near_join.near_stage(spark, docs(rows), "").collect()]
+    of = {t: k for k in range(6) for t in (whole[k], near[k])}
+    assert sorted(of[t] for _, t in kept) == [0, 1, 2, 3, 4, 5]
+    assert {of[t]: i for i, t in kept} == {0: None, 1: None, 2: None, 3: 7, 4: 7, 5: 9}
+
+
 def plain_host_path(url):
     if url is None or "://" not in url:
         return "", ""
