@@ -2,9 +2,9 @@
 
 A text is its set of five-word shingles (a shorter text is one shingle of all its words).
 Texts with equal sets are handled once. Each of `TREES` tries holds a signature of MinHash
-values; two texts meet in a trie when a prefix of their signatures is equal. All tries start
-at full depth, and prefixes are shortened, trie by trie, until a pair exactly at the
-threshold is met with the target recall.
+values; two texts meet in a trie when a prefix of their signatures is equal. The prefixes'
+lengths are fixed beforehand, shortened from full depth until a pair exactly at the threshold
+is met with the target recall; so the tries are bands, and only their hashes are kept.
 
 A pair that meets in several tries belongs to the first of them, which both texts' prefix
 keys tell without looking elsewhere; so no pair is ever written out or made distinct. Big
