@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .context_tree import op4_context_tree
+from .fill_in_middle import ORACLE_OP12, op12_fill_in_middle
 from .language_id import op9_language_id
 from .near_join import ORACLE_OP3, op3_near_join
 from .packing import op6_packing
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLES = {
     "op3_near_join": ORACLE_OP3,
     "op10_quality_rules": ORACLE_OP10,
+    "op12_fill_in_middle": ORACLE_OP12,
 }
