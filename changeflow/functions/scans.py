@@ -105,54 +105,87 @@ def _hashable(kind: T.DataType) -> bool:
     return True
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], slices: list[Column], **tracks: Track) -> DataFrame:
-    """Add one column per track. `order` must be unique within a key for a stable result."""
+def _summary(cut: DataFrame, keys: list[str], names: list[str], order: list[str], tracks: dict[str, Track]) -> DataFrame:
+    """One row per (key, slice): what each track passes on, in `_total_<name>`."""
+    place = F.struct(*order)
+    totals: list[Column] = []
+    deepest = max((t.n for t in tracks.values() if t.kind == "prev" and t.n > 1), default=0)
+    for name, track in tracks.items():
+        value, sliced = track.value, f"_total_{name}"
+        if track.kind in ("count", "sum", "max", "min"):
+            fn = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}[track.kind]
+            totals.append(fn(value).alias(sliced))
+        elif track.kind == "last":
+            totals.append(F.max_by(value, F.when(value.isNotNull(), place)).alias(sliced))
+        elif track.kind == "next":
+            totals.append(F.min_by(value, place).alias(sliced))
+        elif track.kind == "prev" and track.n == 1:
+            totals.append(F.array(F.max_by(value, place)).alias(sliced))
+        elif track.kind == "prev":
+            tail = F.collect_list(F.when(F.col("_from_end") <= track.n, F.struct((-F.col("_from_end")).alias("r"), value.alias("v"))))
+            totals.append(F.transform(F.array_sort(tail), lambda s: s["v"]).alias(sliced))
+        else:
+            raise ValueError(f"unknown track: {track.kind}")
+    summary = cut
+    if deepest:
+        summary = summary.withColumn("_from_end", F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*[F.col(c).desc() for c in order])))
+    summary = summary.groupBy(*keys, *names).agg(*totals, _digest(cut).alias("_digest"))
+    return summary.filter(F.col("_digest").isNotNull()).drop("_digest")
+
+
+def _digest(cut: DataFrame) -> Column:
+    """Over every column, so that the two readers of the exchange are alike."""
+    return F.bit_xor(F.xxhash64(*[f.name for f in cut.schema.fields if _hashable(f.dataType)]))
+
+
+def _with_carry(summary: DataFrame, keys: list[str], names: list[str], carry: DataFrame | None) -> DataFrame:
+    """The carry of an earlier run as one more slice of its key: without a slice value, so before all others."""
+    if carry is None:
+        return summary
+    kinds = {f.name: f.dataType for f in summary.schema}
+    before = carry.select(*[F.lit(None).cast(kinds[c]).alias(c) if c in names else F.col(c) for c in summary.columns])
+    return summary.unionByName(before)
+
+
+def scan(df: DataFrame, keys: list[str], order: list[str], slices: list[Column], carry: DataFrame | None = None, **tracks: Track) -> DataFrame:
+    """Add one column per track. `order` must be unique within a key for a stable result.
+
+    `carry` is what `carry_of` gave for earlier rows of the keys: the scan then goes on from
+    there, and only new rows are read.
+    """
     cut, names = _cut(df, keys, slices)
     ordered = Window.partitionBy(*keys, *names).orderBy(*order)
     here = ordered.rowsBetween(Window.unboundedPreceding, 0)
     along = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*names)
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    place = F.struct(*order)
 
     local: dict[str, Column] = {}
-    totals: list[Column] = []
     carries: list[Column] = []
     out: list[Column] = []
-    deepest = max((t.n for t in tracks.values() if t.kind == "prev" and t.n > 1), default=0)
     for name, track in tracks.items():
         mine, sliced, carried = f"_local_{name}", f"_total_{name}", f"_carry_{name}"
         value, m, p = track.value, F.col(f"_local_{name}"), F.col(f"_carry_{name}")
         if track.kind in ("count", "sum"):
-            fn = F.count if track.kind == "count" else F.sum
-            local[mine] = fn(value).over(here)
-            totals.append(fn(value).alias(sliced))
+            local[mine] = (F.count if track.kind == "count" else F.sum)(value).over(here)
             carries.append(F.sum(sliced).over(earlier).alias(carried))
             result = F.coalesce(m, F.lit(0)) + F.coalesce(p, F.lit(0))
         elif track.kind in ("max", "min"):
             fn, pick = (F.max, F.greatest) if track.kind == "max" else (F.min, F.least)
             local[mine] = fn(value).over(here)
-            totals.append(fn(value).alias(sliced))
             carries.append(fn(sliced).over(earlier).alias(carried))
             result = pick(m, p)
         elif track.kind == "last":
             local[mine] = F.last(value, ignorenulls=True).over(here)
-            totals.append(F.max_by(value, F.when(value.isNotNull(), place)).alias(sliced))
             carries.append(F.last(sliced, ignorenulls=True).over(earlier).alias(carried))
             result = F.coalesce(m, p)
         elif track.kind == "next":
             local[mine] = F.lead(value).over(ordered)
-            totals.append(F.min_by(value, place).alias(sliced))
             carries.append(F.lead(sliced).over(along).alias(carried))
             result = F.coalesce(m, p)
         elif track.kind == "prev":
             # Every slice has a row, so n slices back always hold the n rows needed.
             back = along.rowsBetween(-track.n, -1)
             local[mine] = F.collect_list(value).over(ordered.rowsBetween(-track.n, -1))
-            if track.n == 1:
-                totals.append(F.array(F.max_by(value, place)).alias(sliced))
-            else:
-                tail = F.collect_list(F.when(F.col("_from_end") <= track.n, F.struct((-F.col("_from_end")).alias("r"), value.alias("v"))))
-                totals.append(F.transform(F.array_sort(tail), lambda s: s["v"]).alias(sliced))
             carries.append(F.flatten(F.collect_list(sliced).over(back)).alias(carried))
             both = F.concat(F.coalesce(p, F.array()), m)
             result = F.when(F.size(both) > track.n, F.slice(both, -track.n, track.n)).otherwise(both)
@@ -160,16 +193,42 @@ def scan(df: DataFrame, keys: list[str], order: list[str], slices: list[Column],
             raise ValueError(f"unknown track: {track.kind}")
         out.append(result.alias(name))
 
-    # A digest over every column keeps the two readers of the exchange alike.
-    digest = F.bit_xor(F.xxhash64(*[f.name for f in cut.schema.fields if _hashable(f.dataType)]))
-    local["_mark"] = digest.over(here)
-    summary = cut
-    if deepest:
-        summary = summary.withColumn("_from_end", F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*[F.col(c).desc() for c in order])))
-    summary = summary.groupBy(*keys, *names).agg(*totals, digest.alias("_digest"))
-    carry = summary.filter(F.col("_digest").isNotNull()).select(*keys, *names, *carries)
+    local["_mark"] = _digest(cut).over(here)
+    summary = _with_carry(_summary(cut, keys, names, order, tracks), keys, names, carry)
+    carried_in = summary.select(*keys, *names, *carries)
     scanned = cut.withColumns(local).filter(F.col("_mark").isNotNull())
-    return scanned.join(carry, [*keys, *names]).select(*df.columns, *out)
+    return scanned.join(carried_in, [*keys, *names]).select(*df.columns, *out)
+
+
+def carry_of(df: DataFrame, keys: list[str], order: list[str], slices: list[Column], carry: DataFrame | None = None, **tracks: Track) -> DataFrame:
+    """(keys, _total_..): what a later scan of the same tracks goes on from, one row per key.
+
+    Store it with the results of the scan; keys without new rows keep what they had. A `next`
+    track carries nothing: the last row of a key gets its successor when there is one.
+    """
+    cut, names = _cut(df, keys, slices)
+    summary = _with_carry(_summary(cut, keys, names, order, tracks), keys, names, carry)
+    place = F.struct(*names)
+    merged = []
+    for name, track in tracks.items():
+        sliced = F.col(f"_total_{name}")
+        if track.kind in ("count", "sum"):
+            value = F.sum(sliced)
+        elif track.kind in ("max", "min"):
+            value = (F.max if track.kind == "max" else F.min)(sliced)
+        elif track.kind == "last":
+            value = F.max_by(sliced, F.when(sliced.isNotNull(), place))
+        elif track.kind == "next":
+            value = F.min(F.lit(None).cast(summary.schema[f"_total_{name}"].dataType))
+        else:
+            # The n newest slices hold the n newest rows.
+            newest_first = F.when(F.col("_back") <= track.n, F.struct((-F.col("_back")).alias("r"), sliced.alias("v")))
+            rows = F.flatten(F.transform(F.array_sort(F.collect_list(newest_first)), lambda s: s["v"]))
+            value = F.when(F.size(rows) > track.n, F.slice(rows, -track.n, track.n)).otherwise(rows)
+        merged.append(value.alias(f"_total_{name}"))
+    if any(t.kind == "prev" for t in tracks.values()):
+        summary = summary.withColumn("_back", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in names])))
+    return summary.groupBy(*keys).agg(*merged)
 
 
 def count_back(df: DataFrame, keys: list[str], ts: str, row_id: str, span_micros: int, slices_of, name: str) -> DataFrame:
@@ -195,28 +254,6 @@ def count_back(df: DataFrame, keys: list[str], ts: str, row_id: str, span_micros
     return paired.select(*keys, row_id, "_row.*", name).select(*df.columns, name)
 
 
-def islands(df: DataFrame, keys: list[str], micros: str, gap_micros: int) -> DataFrame:
-    """Add `island`: a number that goes up wherever a key is quiet for longer than the gap (a day or more).
-
-    Such a gap lies between two days that have rows, so it shows in the first and last
-    times per (key, day); only those are scanned. `micros` is a time in microseconds.
-    """
-    day = 86_400_000_000
-    if gap_micros < day:
-        raise ValueError("a gap shorter than a day can lie inside a day")
-    cut, names = _cut(df, keys, [F.floor(F.col(micros) / day)])
-    along = Window.partitionBy(*keys).orderBy(*names)
-    digest = F.bit_xor(F.xxhash64(*[f.name for f in cut.schema.fields if _hashable(f.dataType)]))
-    spans = cut.groupBy(*keys, *names).agg(F.min(micros).alias("_first"), F.max(micros).alias("_last"), digest.alias("_digest"))
-    jump = F.coalesce(F.col("_first") - F.lag("_last").over(along) > gap_micros, F.lit(False)).cast("int")
-    numbered = (
-        spans.filter(F.col("_digest").isNotNull())
-        .withColumn("_jump", jump)
-        .select(*keys, *names, F.sum("_jump").over(along).alias("island"))
-    )
-    return cut.join(numbered, [*keys, *names]).select(*df.columns, "island")
-
-
 def newest(df: DataFrame, keys: list[str], order: list[str], slices: list[Column], n: int, rank: str = "recency") -> DataFrame:
     """The `n` latest rows of each key, ranked from 1. Each slice first keeps its own `n` latest."""
     names = [f"_slice{i}" for i in range(len(slices))]

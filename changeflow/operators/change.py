@@ -13,19 +13,26 @@ from changeflow.functions import align, scans
 ORDER = ["created_at", "snapshot_id"]
 
 
-def pair_snapshots(snapshots: DataFrame, slices: list[Column] | None = None) -> DataFrame:
+def _narrow(snapshots: DataFrame) -> DataFrame:
+    return snapshots.select("monitor_id", "snapshot_id", "text_hash", "created_at")
+
+
+def _pair_tracks() -> dict[str, scans.Track]:
+    return {"prev": scans.before(F.struct("snapshot_id", "text_hash", "created_at"))}
+
+
+def pair_carry(snapshots: DataFrame, carry: DataFrame | None = None, slices: list[Column] | None = None) -> DataFrame:
+    """What `pair_snapshots` of later snapshots goes on from: the last snapshot of every monitor."""
+    return scans.carry_of(_narrow(snapshots), ["monitor_id"], ORDER, slices or [scans.by_time("created_at")], carry, **_pair_tracks())
+
+
+def pair_snapshots(snapshots: DataFrame, slices: list[Column] | None = None, carry: DataFrame | None = None) -> DataFrame:
     """Attach id, hash and time of the previous snapshot of the same monitor.
 
-    Only narrow columns travel; texts are joined later, for changed pairs alone.
+    Only narrow columns travel; texts are joined later, for changed pairs alone. With `carry`
+    (from `pair_carry`) the first new snapshot of a monitor meets the last one of an earlier run.
     """
-    narrow = snapshots.select("monitor_id", "snapshot_id", "text_hash", "created_at")
-    seen = scans.scan(
-        narrow,
-        ["monitor_id"],
-        ORDER,
-        slices or [scans.by_time("created_at")],
-        prev=scans.before(F.struct("snapshot_id", "text_hash", "created_at")),
-    )
+    seen = scans.scan(_narrow(snapshots), ["monitor_id"], ORDER, slices or [scans.by_time("created_at")], carry, **_pair_tracks())
     prev = F.try_element_at("prev", F.lit(-1))
     return seen.select(
         "monitor_id",

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.functions import constants as k
-from changeflow.functions import scans
-from changeflow.functions.spread import python_tasks
+from changeflow.functions import replay, scans
 from changeflow.functions.text import hours, micros, severity_name, severity_rank, string_array, title_words, trim_ws
 
 WINDOW = hours(k.CLUSTER_WINDOW_HOURS)
@@ -128,45 +126,55 @@ def cluster_step(open_clusters: list[dict], alert_id, at: int, categories: froze
     return alert_id, None
 
 
-def _assign_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Alerts sorted by (user, competitor, island, time) stream through; only the open clusters of one key are held."""
-    key, opened = None, []
-    for batch in batches:
-        placed = []
-        for row in batch.itertuples(index=False):
-            here = (row.user_id, row.competitor_name, row.island)
-            if here != key:
-                key, opened = here, []
-            placed.append(cluster_step(opened, row.alert_id, row.t, frozenset(row.categories), frozenset(row.keywords)))
-        yield pd.DataFrame(
-            {"alert_id": batch["alert_id"], "cluster_id": [p[0] for p in placed], "merge_score": [p[1] for p in placed]}
-        ).astype({"merge_score": float})
+class ClusterFold:
+    """Assignment as a fold: the state is the open clusters in order of opening."""
 
+    columns = ["categories", "keywords"]
 
-def assign_clusters(alerts: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Add `cluster_id` (the id of the alert that opened it) and `merge_score` to alerts.
+    def __init__(self, id_type: str) -> None:
+        self.outputs = f"cluster_id {id_type}, merge_score double"
 
-    An alert without a competitor stays unclustered. A key is cut into islands wherever
-    it is silent for more than 48 h: no cluster can be reached across such a gap.
-    """
+    def fresh(self) -> list[dict]:
+        return []
+
+    def run(self, times: list[int], ids: list, columns: dict[str, list], state: list[dict]) -> list[list]:
+        placed = [cluster_step(state, i, t, frozenset(c), frozenset(w)) for i, t, c, w in zip(ids, times, columns["categories"], columns["keywords"], strict=True)]
+        return [[p[0] for p in placed], [p[1] for p in placed]]
+
+    def expire(self, state: list[dict], at: int) -> list[dict]:
+        return [c for c in state if c["at"] >= at - WINDOW]
+
+    def pack(self, state: list[dict]) -> str:
+        return json.dumps([[c["id"], c["at"], sorted(c["categories"]), sorted(c["keywords"])] for c in state])
+
+    def unpack(self, text: str) -> list[dict]:
+        return [{"id": i, "at": at, "categories": set(c), "keywords": set(w)} for i, at, c, w in json.loads(text)]
+
+
+def place_alerts(alerts: DataFrame, partitions: int | None = None, slice_rows: int | None = None, start: DataFrame | None = None) -> tuple[DataFrame, replay.Replayed]:
+    """`assign_clusters`, and the replay behind it: how many rounds it took and the states it ended with."""
     named = alerts.withColumn("competitor_name", trim_ws(F.coalesce("competitor_name", F.lit("")))).filter(
         F.length("competitor_name") > 0
     )
     narrow = named.select(
-        "user_id", "competitor_name", "alert_id", micros(F.col("created_at")).alias("t"),
+        "user_id", "competitor_name", F.col("alert_id").alias("row_id"), micros(F.col("created_at")).alias("t"),
         F.coalesce("categories", F.array().cast("array<string>")).alias("categories"),
         extract_keywords(F.col("summary")).alias("keywords"),
     )
-    replay = scans.islands(narrow, ["user_id", "competitor_name"], "t", WINDOW)
-    keys = ["user_id", "competitor_name", "island"]
-    placed = replay.repartition(partitions or python_tasks(replay), *keys)
-    id_type = alerts.schema["alert_id"].dataType.simpleString()
-    assigned = (
-        placed.sortWithinPartitions(*keys, "t", "alert_id")
-        .select(*keys, "alert_id", "t", "categories", "keywords")
-        .mapInPandas(_assign_sorted, f"alert_id {id_type}, cluster_id {id_type}, merge_score double")
-    )
-    return alerts.join(assigned, "alert_id", "left")
+    keys = ["user_id", "competitor_name"]
+    fold = ClusterFold(alerts.schema["alert_id"].dataType.simpleString())
+    replayed = replay.replay(narrow, keys, fold, narrow.select(*keys, "t"), start, slice_rows, partitions)
+    assigned = replayed.rows.select(F.col("row_id").alias("alert_id"), "cluster_id", "merge_score")
+    return alerts.join(assigned, "alert_id", "left"), replayed
+
+
+def assign_clusters(alerts: DataFrame, partitions: int | None = None, slice_rows: int | None = None) -> DataFrame:
+    """Add `cluster_id` (the id of the alert that opened it) and `merge_score` to alerts.
+
+    An alert without a competitor stays unclustered. A key with many alerts is cut into slices
+    that are replayed side by side until their states agree (`functions/replay.py`).
+    """
+    return place_alerts(alerts, partitions, slice_rows)[0]
 
 
 def cluster_title(competitor: Column, categories: Column, summary: Column) -> Column:
@@ -177,12 +185,12 @@ def cluster_title(competitor: Column, categories: Column, summary: Column) -> Co
     return F.concat(competitor, F.lit(" — "), subject)
 
 
-def cluster_rollup(alerts: DataFrame) -> DataFrame:
-    """One row per cluster: counts, severity, title and the unions of categories and keywords.
+def cluster_cells(alerts: DataFrame) -> DataFrame:
+    """Alerts combined per (cluster, tag, word): tag "c" for categories, "k" for keywords, and one
+    cell without a word for the cluster as a whole.
 
-    The alerts are read once: each gives a row for itself and one per word, which are
-    combined per (cluster, word) before the shuffle, so a cluster of many alike alerts
-    moves only its vocabulary.
+    The alerts are read once and combined before the shuffle, so a cluster of many alike
+    alerts moves only its vocabulary. Cells of several runs combine by `merge_cells`.
     """
     tagged = lambda tag, values: F.transform(values, lambda w: F.struct(F.lit(tag).alias("tag"), w.alias("word")))
     cells = F.concat(
@@ -190,30 +198,42 @@ def cluster_rollup(alerts: DataFrame) -> DataFrame:
         tagged("c", F.array_distinct(F.coalesce("categories", F.array().cast("array<string>")))),
         tagged("k", extract_keywords(F.col("summary"))),
     )
-    whole = F.col("tag") == ""
-    head = F.when(whole, F.struct("user_id", "competitor_name", "categories", "summary"))
-    words = (
+    whole = F.col("_cell.tag") == ""
+    first = F.struct(F.struct("created_at", "alert_id").alias("at"), F.struct("user_id", "competitor_name", "categories", "summary").alias("head"))
+    return merge_cells(
         alerts.filter(F.col("cluster_id").isNotNull())
         .withColumn("_cell", F.explode(cells))
-        .select("*", "_cell.tag", "_cell.word")
-        .groupBy("cluster_id", "tag", "word")
-        .agg(
-            F.min_by(head, F.when(whole, F.struct("created_at", "alert_id"))).alias("f"),
-            F.count(F.lit(1)).alias("n"),
-            F.max(severity_rank(F.col("severity"))).alias("rank"),
-            F.min("created_at").alias("first_at"),
-            F.max("created_at").alias("last_at"),
-        )
+        .select(
+            "cluster_id", "_cell.tag", "_cell.word", F.when(whole, first).alias("first"), F.lit(1).cast("bigint").alias("n"),
+            severity_rank(F.col("severity")).alias("rank"), F.col("created_at").alias("first_at"), F.col("created_at").alias("last_at"),
+        )
     )
 
+
+def merge_cells(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("cluster_id", "tag", "word").agg(
+        F.min_by("first", "first.at").alias("first"),
+        F.sum("n").alias("n"),
+        F.max("rank").alias("rank"),
+        F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
+    )
+
+
+def cluster_rollup(alerts: DataFrame) -> DataFrame:
+    """One row per cluster: counts, severity, title and the unions of categories and keywords."""
+    return rollup_cells(cluster_cells(alerts))
+
+
+def rollup_cells(words: DataFrame) -> DataFrame:
     def of_alerts(value) -> Column:
-        return F.max(F.when(whole, value))
+        return F.max(F.when(F.col("tag") == "", value))
 
     def gathered(tag: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("tag") == tag, F.col("word"))))
 
     base = words.groupBy("cluster_id").agg(
-        F.first("f", ignorenulls=True).alias("f"),
+        F.first("first.head", ignorenulls=True).alias("f"),
         of_alerts(F.col("n")).alias("alert_count"),
         severity_name(of_alerts(F.col("rank"))).alias("severity"),
         of_alerts(F.col("first_at")).alias("created_at"),

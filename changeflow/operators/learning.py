@@ -138,19 +138,24 @@ def safeguard_reason(before: Column, after: Column, competitor: Column | None =
     )
 
 
-def learning_gate(diffs: DataFrame, snapshots: DataFrame, pair_counts: DataFrame | None = None) -> DataFrame:
+def _gate_scan(scanned, snapshots: DataFrame, carry: DataFrame | None) -> DataFrame:
+    rows = snapshots.select("monitor_id", "snapshot_id", "created_at")
+    return scanned(rows, ["monitor_id"], ["created_at", "snapshot_id"], [scans.by_time("created_at")], carry, snapshots_seen=scans.count())
+
+
+def gate_carry(snapshots: DataFrame, carry: DataFrame | None = None) -> DataFrame:
+    """How many snapshots each monitor has had, for a later `learning_gate`."""
+    return _gate_scan(scans.carry_of, snapshots, carry)
+
+
+def learning_gate(diffs: DataFrame, snapshots: DataFrame, pair_counts: DataFrame | None = None, carry: DataFrame | None = None) -> DataFrame:
     """Add `snapshots_seen` and `skip_reason` (null: learn from it) to diffs named after their snapshot.
 
     `pair_counts` is (diff_id, pairs); leave it out when only diffs with pairs matter.
-    `diffs` may carry `changed_lines`; 0 means an empty diff.
+    `diffs` may carry `changed_lines`; 0 means an empty diff. `carry` (from `gate_carry`)
+    counts snapshots of earlier runs.
     """
-    seen = scans.scan(
-        snapshots.select("monitor_id", "snapshot_id", "created_at"),
-        ["monitor_id"],
-        ["created_at", "snapshot_id"],
-        [scans.by_time("created_at")],
-        snapshots_seen=scans.count(),
-    ).select(F.col("snapshot_id").alias("diff_id"), "snapshots_seen")
+    seen = _gate_scan(scans.scan, snapshots, carry).select(F.col("snapshot_id").alias("diff_id"), "snapshots_seen")
     empty = F.col("changed_lines") == 0 if "changed_lines" in diffs.columns else F.lit(False)
     reason = F.when(empty, "empty_diff").when(
         F.coalesce("snapshots_seen", F.lit(0)) < k.MIN_SNAPSHOTS_FOR_LEARNING, "insufficient_snapshot_history"
@@ -163,10 +168,10 @@ def learning_gate(diffs: DataFrame, snapshots: DataFrame, pair_counts: DataFrame
 
 
 def observe_patterns(
-    lines: DataFrame, diffs: DataFrame, snapshots: DataFrame, monitors: DataFrame | None = None
+    lines: DataFrame, diffs: DataFrame, snapshots: DataFrame, monitors: DataFrame | None = None, carry: DataFrame | None = None
 ) -> DataFrame:
     """`pattern_observations` from unfiltered diff lines. `diffs` is (diff_id, monitor_id, created_at)."""
-    gate = learning_gate(diffs.select("diff_id", "monitor_id", "created_at"), snapshots)
+    gate = learning_gate(diffs.select("diff_id", "monitor_id", "created_at"), snapshots, carry=carry)
     ready = gate.filter(F.col("skip_reason").isNull()).select("diff_id", "monitor_id", F.col("created_at").alias("observed_at"))
     pairs = replacement_pairs(lines.join(ready.select("diff_id"), "diff_id", "left_semi"))
     found = candidate_patterns(pairs).join(ready, "diff_id")
@@ -233,44 +238,67 @@ def pattern_history(observations: DataFrame) -> DataFrame:
     ).drop("_similarity", "_blocked")
 
 
-def recent_diff_count(diffs: DataFrame, lookback_days: int = k.LOOKBACK_DAYS) -> DataFrame:
-    """Diffs of the same monitor in the last 60 days, inclusive, counting the diff itself."""
-    return scans.count_back(
-        diffs.select("monitor_id", "diff_id", "created_at"),
-        ["monitor_id"],
-        "created_at",
-        "diff_id",
-        days(lookback_days),
-        scans.by_time,
-        "recent_diffs",
-    )
+def recent_diff_count(diffs: DataFrame, lookback_days: int = k.LOOKBACK_DAYS, tail: DataFrame | None = None) -> DataFrame:
+    """Diffs of the same monitor in the last 60 days, inclusive, counting the diff itself.
+
+    `tail` (from `recent_tail`) holds diffs of earlier runs that are still in reach; they are
+    counted, but get no row.
+    """
+    rows = diffs.select("monitor_id", "diff_id", "created_at")
+    counted = rows
+    if tail is not None:
+        counted = rows.withColumn("_new", F.lit(True)).unionByName(tail.select(*rows.columns).withColumn("_new", F.lit(False)))
+    out = scans.count_back(counted, ["monitor_id"], "created_at", "diff_id", days(lookback_days), scans.by_time, "recent_diffs")
+    return out if tail is None else out.filter("_new").drop("_new")
+
+
+def recent_tail(diffs: DataFrame, tail: DataFrame | None = None, lookback_days: int = k.LOOKBACK_DAYS) -> DataFrame:
+    """(monitor_id, diff_id, created_at): diffs that a later one of the monitor may still count."""
+    rows = diffs.select("monitor_id", "diff_id", "created_at")
+    rows = rows if tail is None else rows.unionByName(tail.select(*rows.columns))
+    newest = rows.groupBy("monitor_id").agg(F.max("created_at").alias("_newest"))
+    near = micros(F.col("created_at")) >= micros(F.col("_newest")) - days(lookback_days)
+    return rows.join(newest, "monitor_id").filter(near).select(*rows.columns)
 
 
 def _may_activate(review: Column, support: Column, score: Column) -> Column:
     return ~review & (support >= k.MIN_SUPPORT) & (score >= k.MIN_CONFIDENCE)
 
 
-def pattern_state(observations: DataFrame, diffs: DataFrame) -> DataFrame:
+def _state_tracks() -> dict[str, scans.Track]:
+    return {
+        **_history_tracks(),
+        "_prev": scans.before(F.struct("observed_at", "recent_diffs")),
+        "superseded_at": scans.following(F.col("observed_at")),
+    }
+
+
+def _promoted_track() -> dict[str, scans.Track]:
+    return {"promoted_at": scans.latest(F.when(F.col("promoted"), F.col("observed_at")))}
+
+
+def pattern_state(observations: DataFrame, diffs: DataFrame, before: dict[str, DataFrame] | None = None) -> DataFrame:
     """The stored state of every pattern after each of its observations.
 
     At an observation the pattern was just seen, so its decay is 1 there; it may have
     decayed since the observation before, which ends an active spell. The state before is
     worked out from the same running sums less this row, so one scan gives both.
     `superseded_at` is the time of the next observation of the pattern.
+
+    `before` (from `pattern_carry`) holds what earlier runs leave behind: the state then goes
+    on from there, and only new observations are read.
     """
-    recent = recent_diff_count(diffs).select("monitor_id", "diff_id", "recent_diffs")
+    before = before or {}
+    recent = recent_diff_count(diffs, tail=before.get("recent")).select("monitor_id", "diff_id", "recent_diffs")
     observed = (
         _once_per_diff(observations)
         .join(recent, ["monitor_id", "diff_id"], "left")
         .withColumn("recent_diffs", F.coalesce("recent_diffs", F.lit(0)))
     )
-    seen = scans.scan(
-        observed, _PATTERN_KEY, _PATTERN_ORDER, _by_day(),
-        **_history_tracks(), _prev=scans.before(F.struct("observed_at", "recent_diffs")),
-    )
+    seen = scans.scan(observed, _PATTERN_KEY, _PATTERN_ORDER, _by_day(), before.get("history"), **_state_tracks())
     n, similarity, blocked = F.col("support_count"), F.col("_similarity"), F.col("_blocked")
     prev = F.try_element_at("_prev", F.lit(-1))
-    before = confidence(n - 1, (similarity - F.col("similarity")) / F.nullif(n - 1, F.lit(0)), prev["recent_diffs"], F.lit(1.0))
+    score_before = confidence(n - 1, (similarity - F.col("similarity")) / F.nullif(n - 1, F.lit(0)), prev["recent_diffs"], F.lit(1.0))
     review_before = blocked - F.col("blocked_reason").isNotNull().cast("int") > 0
     undecayed = decay_score(prev["observed_at"], F.col("observed_at")) >= k.MIN_DECAY
     scored = seen.withColumns(
@@ -278,17 +306,38 @@ def pattern_state(observations: DataFrame, diffs: DataFrame) -> DataFrame:
             "avg_similarity": similarity / n,
             "review_required": blocked > 0,
             "confidence": confidence(n, similarity / n, F.col("recent_diffs"), F.lit(1.0)),
-            "_was_active": F.coalesce(_may_activate(review_before, n - 1, before) & undecayed, F.lit(False)),
+            "_was_active": F.coalesce(_may_activate(review_before, n - 1, score_before) & undecayed, F.lit(False)),
         }
     ).withColumn("is_active", _may_activate(F.col("review_required"), n, F.col("confidence")))
     marked = scored.withColumn("promoted", F.col("is_active") & ~F.col("_was_active")).drop(
         "_prev", "_was_active", "_similarity", "_blocked"
     )
-    return scans.scan(
-        marked, _PATTERN_KEY, _PATTERN_ORDER, _by_day(),
-        promoted_at=scans.latest(F.when(F.col("promoted"), F.col("observed_at"))),
-        superseded_at=scans.following(F.col("observed_at")),
-    )
+    return scans.scan(marked, _PATTERN_KEY, _PATTERN_ORDER, _by_day(), before.get("promoted"), **_promoted_track())
+
+
+def pattern_carry(state: DataFrame, diffs: DataFrame, before: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """What a later `pattern_state` goes on from, out of the (stored) state and diffs of this run.
+
+    history and promoted: one row per pattern. recent: diffs of the last 60 days of each
+    monitor. open: the last state of each pattern, which is in force until it is superseded.
+    """
+    before = before or {}
+    rest = [c for c in state.columns if c not in _PATTERN_KEY]
+    states = state if "open" not in before else before["open"].select(*state.columns).unionByName(state)
+    last = states.groupBy(*_PATTERN_KEY).agg(F.max_by(F.struct(*rest), F.struct(*_PATTERN_ORDER)).alias("_row"))
+    return {
+        "history": scans.carry_of(state, _PATTERN_KEY, _PATTERN_ORDER, _by_day(), before.get("history"), **_state_tracks()),
+        "promoted": scans.carry_of(state, _PATTERN_KEY, _PATTERN_ORDER, _by_day(), before.get("promoted"), **_promoted_track()),
+        "recent": recent_tail(diffs, before.get("recent")),
+        "open": last.select(*_PATTERN_KEY, "_row.*").select(*state.columns),
+    }
+
+
+def superseded_states(open_states: DataFrame, state: DataFrame) -> DataFrame:
+    """`open_states` with `superseded_at` set where this run's state has a successor: corrections of stored rows."""
+    first = state.groupBy(*_PATTERN_KEY).agg(F.min("observed_at").alias("_next"))
+    joined = open_states.join(first, _PATTERN_KEY, "left")
+    return joined.withColumn("superseded_at", F.coalesce("superseded_at", "_next")).select(*open_states.columns)
 
 
 def latest_state(state: DataFrame, now: Column | None = None) -> DataFrame:

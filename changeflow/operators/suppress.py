@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.functions import constants as k
-from changeflow.functions import scans
-from changeflow.functions.spread import python_tasks
+from changeflow.functions import replay, scans
 from changeflow.functions.text import PY_FLAGS, collapse_ws, hours, lookup, micros, severity_name, severity_rank
 
 WINDOW = hours(k.SUPPRESS_HOURS)
@@ -81,15 +78,20 @@ def severity_rule(candidates: DataFrame, history: DataFrame, severity_col: str =
     ).withColumn("recent_max", F.when(F.col("_any"), F.col("recent_max"))).drop("_any")
 
 
-def oscillation_flags(snapshots: DataFrame, slices: list[Column] | None = None) -> DataFrame:
-    """Per snapshot: whether the newest six hashes up to it flip between two states, with counts."""
-    seen = scans.scan(
+def _hash_scan(scanned, snapshots: DataFrame, slices: list[Column] | None, carry: DataFrame | None) -> DataFrame:
+    return scanned(
         snapshots.select("monitor_id", "snapshot_id", "text_hash", "created_at").filter(F.col("text_hash").isNotNull()),
         ["monitor_id"],
         ["created_at", "snapshot_id"],
         slices or [scans.by_time("created_at")],
+        carry,
         prev=scans.before(F.col("text_hash"), k.OSCILLATION_WINDOW - 1),
     )
+
+
+def oscillation_flags(snapshots: DataFrame, slices: list[Column] | None = None, carry: DataFrame | None = None) -> DataFrame:
+    """Per snapshot: whether the newest six hashes up to it flip between two states, with counts."""
+    seen = _hash_scan(scans.scan, snapshots, slices, carry)
     hashes = F.concat("prev", F.array("text_hash"))
     n = F.size("hashes")
     flips = F.size(
@@ -107,24 +109,32 @@ def oscillation_flags(snapshots: DataFrame, slices: list[Column] | None = None)
     )
 
 
-def oscillation_at(candidates: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Per candidate: `oscillates`, `flips` and `n_hashes` of the latest snapshot up to its time (as-of, by one scan).
+_FLAG = "struct<oscillates:boolean,flips:int,n_hashes:int>"
 
-    Keeps monitor_id, diff_id, created_at, rank and text of the candidates.
-    """
-    flags = oscillation_flags(snapshots).select(
+
+def _flag_rows(snapshots: DataFrame, carry: DataFrame | None) -> DataFrame:
+    return oscillation_flags(snapshots, carry=carry).select(
         "monitor_id", "created_at", F.lit(0).alias("_side"), F.col("snapshot_id").alias("diff_id"),
         F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("text"),
-        F.struct("oscillates", "flips", "n_hashes").alias("_flag"),
+        F.struct("oscillates", "flips", "n_hashes").cast(_FLAG).alias("_flag"),
     )
+
+
+def _flag_scan(scanned, rows: DataFrame, carry: DataFrame | None) -> DataFrame:
+    return scanned(rows, ["monitor_id"], ["created_at", "_side", "diff_id"], [scans.by_time("created_at")], carry, _seen=scans.latest(F.col("_flag")))
+
+
+def oscillation_at(candidates: DataFrame, snapshots: DataFrame, before: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Per candidate: `oscillates`, `flips` and `n_hashes` of the latest snapshot up to its time (as-of, by one scan).
+
+    Keeps monitor_id, diff_id, created_at, rank and text of the candidates. `before` (from
+    `oscillation_carry`) holds the newest hashes and flags of earlier runs.
+    """
+    before = before or {}
     asked = candidates.select(
-        "monitor_id", "created_at", F.lit(1).alias("_side"), "diff_id", "rank", "text",
-        F.lit(None).cast(flags.schema["_flag"].dataType).alias("_flag"),
-    )
-    seen = scans.scan(
-        flags.unionByName(asked), ["monitor_id"], ["created_at", "_side", "diff_id"],
-        [scans.by_time("created_at")], _seen=scans.latest(F.col("_flag")),
+        "monitor_id", "created_at", F.lit(1).alias("_side"), "diff_id", "rank", "text", F.lit(None).cast(_FLAG).alias("_flag"),
     )
+    seen = _flag_scan(scans.scan, _flag_rows(snapshots, before.get("hashes")).unionByName(asked), before.get("flags"))
     return seen.filter("_side = 1").select(
         "monitor_id", "diff_id", "created_at", "rank", "text",
         F.coalesce("_seen.oscillates", F.lit(False)).alias("oscillates"),
@@ -133,6 +143,15 @@ def oscillation_at(candidates: DataFrame, snapshots: DataFrame) -> DataFrame:
     )
 
 
+def oscillation_carry(snapshots: DataFrame, before: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Per monitor, for a later `oscillation_at`: the newest hashes, and the flag of the last snapshot."""
+    before = before or {}
+    return {
+        "hashes": _hash_scan(scans.carry_of, snapshots, None, before.get("hashes")),
+        "flags": _flag_scan(scans.carry_of, _flag_rows(snapshots, before.get("hashes")), before.get("flags")),
+    }
+
+
 # ---- the chain: only alerts that were created count as history --------------------
 
 CREATED, SAME, BELOW, FLIPS = 0, 1, 2, 3
@@ -143,96 +162,70 @@ def outcome_name(code: Column) -> Column:
     return lookup(code, OUTCOMES, None)
 
 
-def suppress_run(times, ranks, texts, flips, alive: list[tuple[int, int, str]]):
-    """Decide one monitor's candidates in time order from the alerts still `alive`.
+def suppress_run(times: list[int], ranks: list[int], texts: list[str], flips: list[bool], alive: list[list]) -> tuple[list[int], list[int]]:
+    """Decide one monitor's candidates in time order; `alive` holds the alerts of the last 24 h and is brought up to date.
 
-    Returns (outcome, recent maximum rank or -1) arrays and the alerts alive after the run.
-    An alert is created only when its severity exceeds every alive one, so at most one
-    per severity is alive: the state is tiny, and whole stretches between two changes of
-    state are decided at once.
-    """
-    n = len(times)
-    outcome = np.zeros(n, dtype=np.int8)
-    recent = np.full(n, -1, dtype=np.int8)
-    at = 0
-    while at < n:
-        alive = [a for a in alive if a[0] >= times[at] - WINDOW]
-        # The state cannot change by expiry before `until`.
-        until = int(np.searchsorted(times, min(a[0] for a in alive) + WINDOW, side="right")) if alive else n
-        top = max((a[1] for a in alive), default=-1)
-        same = np.isin(texts[at:until], [a[2] for a in alive])
-        below = ranks[at:until] <= top
-        flip = flips[at:until]
-        blocked = same | below | flip
-        free = np.flatnonzero(~blocked)
-        stop = at + int(free[0]) if len(free) else until
-        part = slice(at, stop)
-        width = stop - at
-        outcome[part] = np.where(same[:width], SAME, np.where(below[:width], BELOW, FLIPS))
-        recent[part] = top
-        if stop < until:
-            recent[stop] = top
-            alive.append((int(times[stop]), int(ranks[stop]), texts[stop]))
-            stop += 1
-        at = stop
-    return outcome, recent, alive
-
-
-def _fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidates sorted by (monitor, island, time) stream through; only the current key's state is held."""
-    key, alive = None, []
-    for batch in batches:
-        if batch.empty:
-            continue
-        keys = list(zip(batch["monitor_id"], batch["island"]))
-        edges = [0] + [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
-        times = batch["t"].to_numpy(np.int64)
-        ranks = batch["rank"].to_numpy(np.int64)
-        texts = batch["text"].to_numpy(object)
-        flips = batch["oscillates"].to_numpy(bool)
-        outcomes, recents = [], []
-        for lo, hi in zip(edges, edges[1:]):
-            if keys[lo] != key:
-                key, alive = keys[lo], []
-            done, recent, alive = suppress_run(times[lo:hi], ranks[lo:hi], texts[lo:hi], flips[lo:hi], alive)
-            outcomes.append(done)
-            recents.append(recent)
-        yield pd.DataFrame(
-            {
-                "diff_id": batch["diff_id"],
-                "_outcome": np.concatenate(outcomes),
-                "_recent": np.concatenate(recents),
-                "_flips": batch["flips"],
-                "_n_hashes": batch["n_hashes"],
-            }
-        )
-
-
-def suppress_alerts(
-    candidates: DataFrame, snapshots: DataFrame, severity_col: str = "severity", partitions: int | None = None
-) -> DataFrame:
-    """Add `outcome` (created, same_summary, severity, oscillation) and `reason` to every candidate.
-
-    The rules feed back on their own result, so a monitor is replayed in order. What is
-    replayed is narrow (no texts beyond the normalised one), cut into islands wherever a
-    monitor is quiet for more than 24 h (nothing can reach across), placed by (monitor,
-    island) so that the islands of one monitor spread over tasks, sorted by Spark, and
-    streamed through in Arrow batches with a state of at most five alerts: a long island
-    costs time in one task, never memory.
+    Returns outcomes and the recent maximum rank (-1: none). An alert is created only when its
+    severity exceeds every alive one, so at most one per severity is alive, in rising order:
+    the last has the maximum, the first expires first.
     """
+    outcomes, recent = [], []
+    for t, rank, text, flip in zip(times, ranks, texts, flips, strict=True):
+        while alive and alive[0][0] < t - WINDOW:
+            del alive[0]
+        top = alive[-1][1] if alive else -1
+        recent.append(top)
+        if any(a[2] == text for a in alive):
+            outcomes.append(SAME)
+        elif rank <= top:
+            outcomes.append(BELOW)
+        elif flip:
+            outcomes.append(FLIPS)
+        else:
+            outcomes.append(CREATED)
+            alive.append([t, rank, text])
+    return outcomes, recent
+
+
+class SuppressFold:
+    """The rules as a fold: the state is the alerts alive, as text [[time, rank, summary], ..]."""
+
+    columns = ["rank", "text", "oscillates", "flips", "n_hashes"]
+    outputs = "_outcome int, _recent int, _flips int, _n_hashes int"
+
+    def fresh(self) -> list[list]:
+        return []
+
+    def run(self, times: list[int], ids: list, columns: dict[str, list], state: list[list]) -> list[list]:
+        return [*suppress_run(times, columns["rank"], columns["text"], columns["oscillates"], state), columns["flips"], columns["n_hashes"]]
+
+    def expire(self, state: list[list], at: int) -> list[list]:
+        return [a for a in state if a[0] >= at - WINDOW]
+
+    def pack(self, state: list[list]) -> str:
+        return json.dumps(state)
+
+    def unpack(self, text: str) -> list[list]:
+        return json.loads(text)
+
+
+def decide_alerts(
+    candidates: DataFrame, snapshots: DataFrame, severity_col: str = "severity", partitions: int | None = None,
+    slice_rows: int | None = None, start: DataFrame | None = None, before: dict[str, DataFrame] | None = None,
+) -> tuple[DataFrame, replay.Replayed]:
+    """`suppress_alerts`, and the replay behind it: how many rounds it took and the states it ended with.
+
+    `start` (monitor_id, state) continues an earlier replay, `before` (from `oscillation_carry`)
+    its view of the pages.
+    """
     narrow = candidates.select(
         "monitor_id", "diff_id", "created_at",
         severity_rank(F.col(severity_col)).alias("rank"), normalize_summary(F.col("summary")).alias("text"),
     )
-    flagged = oscillation_at(narrow, snapshots).withColumn("t", micros(F.col("created_at"))).drop("created_at")
-    replay = scans.islands(flagged, ["monitor_id"], "t", WINDOW)
-    placed = replay.repartition(partitions or python_tasks(replay), "monitor_id", "island")
-    id_type = candidates.schema["diff_id"].dataType.simpleString()
-    decided = (
-        placed.sortWithinPartitions("monitor_id", "island", "t", "diff_id")
-        .select("monitor_id", "island", "diff_id", "t", "rank", "text", "oscillates", "flips", "n_hashes")
-        .mapInPandas(_fold_sorted, f"diff_id {id_type}, _outcome tinyint, _recent tinyint, _flips int, _n_hashes int")
-    )
+    flagged = oscillation_at(narrow, snapshots, before).withColumns({"t": micros(F.col("created_at")), "row_id": F.col("diff_id")})
+    sizes = candidates.select("monitor_id", micros(F.col("created_at")).alias("t"))
+    replayed = replay.replay(flagged, ["monitor_id"], SuppressFold(), sizes, start, slice_rows, partitions)
+    decided = replayed.rows.drop("monitor_id").withColumnRenamed("row_id", "diff_id")
     reason = (
         F.when(F.col("_outcome") == SAME, f"Similar alert sent within last {k.SUPPRESS_HOURS}h")
         .when(
@@ -244,11 +237,25 @@ def suppress_alerts(
             F.format_string("Page oscillating between 2 states (%d flips in last %d snapshots)", F.col("_flips"), F.col("_n_hashes")),
         )
     )
-    return (
+    out = (
         candidates.join(decided, "diff_id")
         .withColumns({"outcome": outcome_name(F.col("_outcome")), "reason": reason})
         .select(*candidates.columns, "outcome", "reason")
     )
+    return out, replayed
+
+
+def suppress_alerts(
+    candidates: DataFrame, snapshots: DataFrame, severity_col: str = "severity", partitions: int | None = None, slice_rows: int | None = None
+) -> DataFrame:
+    """Add `outcome` (created, same_summary, severity, oscillation) and `reason` to every candidate.
+
+    The rules feed back on their own result, so a monitor is replayed in order. What is
+    replayed is narrow (no texts beyond the normalised one), and a monitor with many
+    candidates is cut into slices of equal numbers of rows that are replayed side by side
+    until their states agree (`functions/replay.py`). The state is at most five alerts.
+    """
+    return decide_alerts(candidates, snapshots, severity_col, partitions, slice_rows)[0]
 
 
 def created_alerts(decided: DataFrame) -> DataFrame:

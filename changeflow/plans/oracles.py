@@ -225,9 +225,9 @@ oracle(
 oracle("fingerprint_text", "SELECT doc_id, sha256(text) AS text_hash, CAST(length(text) AS INTEGER) AS text_length FROM documents")
 oracle(
     "flag_js_pages",
-    f"""SELECT page_id, f AS needs_rendering, CASE WHEN f THEN {DUE_AT} + INTERVAL 5 MINUTES END AS recheck_at FROM
-    (SELECT page_id, length(CASE WHEN page_id % 3 = 0 THEN string_split(txt, chr(10))[1] ELSE txt END) < 100
-      AND contains(lower(html || CASE WHEN contains(url, 'example.com') THEN '<NoScript>' ELSE '' END), '<noscript') AS f FROM page_text_v)""",
+    f"""SELECT kind, id, f AS needs_rendering, CASE WHEN f THEN {DUE_AT} + INTERVAL 5 MINUTES END AS recheck_at FROM
+    (SELECT 'page' AS kind, page_id AS id, length(txt) < 100 AND contains(lower(html || CASE WHEN contains(url, 'example.com') THEN '<NoScript>' ELSE '' END), '<noscript') AS f FROM page_text_v
+    UNION ALL SELECT 'document', doc_id, length(text) < 100 AND contains(lower(text || CASE WHEN lang = 'en' THEN '<NoScript>' ELSE '' END), '<noscript') FROM documents)""",
     ("page_text_v",),
 )
 oracle(
@@ -311,7 +311,7 @@ oracle(
     "diff_repeated_lines",
     """SELECT doc_id AS diff_id, sha256(b) AS before_hash, sha256(a) AS after_hash, CAST(0 AS INTEGER) AS last_hunk FROM
     (SELECT doc_id, array_to_string(l, chr(10)) AS b, array_to_string(list_filter(l, lambda x, i: (i - 1) % 5 <> 1), chr(10)) AS a FROM
-      (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: left(x, 2)), lambda x: x <> '') AS l FROM documents))
+      (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> '') AS l FROM documents))
     WHERE a <> b""",
 )
 oracle(
@@ -519,6 +519,12 @@ oracle(
     ("observations_v",),
 )
 oracle("pattern_confidence", "SELECT monitor_id, pattern, diff_id, recent_diffs, confidence FROM state_v", ("state_v",))
+oracle(
+    "pattern_state_resumed",
+    """SELECT monitor_id, pattern, diff_id, support_count, round(avg_similarity, 6) AS avg_similarity, confidence, is_active, promoted, promoted_at, valid_to AS superseded_at FROM state_v""",
+    ("state_v",),
+)
+ORACLES["stream_patterns"] = ORACLES["pattern_state_resumed"]
 oracle("promote_patterns", "SELECT monitor_id, pattern, diff_id, is_active, promoted, promoted_at FROM state_v", ("state_v",))
 oracle(
     "review_flags",
@@ -1068,18 +1074,19 @@ oracle(
 # ---- L: the streams must give what the batch rules give --------------------------------------
 
 ORACLES["stream_pairs"] = ORACLES["pair_snapshots"]
+ORACLES["pair_snapshots_resumed"] = ORACLES["pair_snapshots"]
+ORACLES["stream_diffs"] = ORACLES["diff_snapshots"]
 oracle("stream_suppress", _REPLAY + "SELECT id AS diff_id, outcome FROM replay", ("candidates_v",), recursive=True)
 oracle(
     "stream_clusters",
-    f"+WITH replay AS ({_FIRST} UNION ALL {_LATER}) SELECT id AS alert_id, cluster_id, round(merge_score, 6) AS merge_score FROM replay",
-    ("ordered_alerts_v",),
+    f"+WITH replay AS ({_FIRST} UNION ALL {_LATER}) SELECT a.alert_id, r.cluster_id, round(r.merge_score, 6) AS merge_score FROM alerts_v a LEFT JOIN replay r ON r.id = a.alert_id",
+    ("ordered_alerts_v", "alerts_v"),
     recursive=True,
 )
 oracle(
     "stream_rate_limit",
     """SELECT client, minute, requests, greatest(0, requests - 1) AS rejected FROM (SELECT client, date_trunc('minute', ts) AS minute, count(*) AS requests
-    FROM request_log_v WHERE path NOT LIKE '/api/v1/health%' GROUP BY 1, 2)
-    WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM request_log_v WHERE path NOT LIKE '/api/v1/health%') - INTERVAL 1 MINUTE""",
+    FROM request_log_v WHERE path NOT LIKE '/api/v1/health%' GROUP BY 1, 2)""",
     ("request_log_v",),
 )
 oracle("stream_dedupe", "SELECT snapshot_id, monitor_id, text_hash, created_at FROM snapshots_v", ("snapshots_v",))

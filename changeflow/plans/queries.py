@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from changeflow.operators import change, classify, cluster, ingest, learning, lifecycle, noise, notify, reports, suppress
 from changeflow.plans import monitoring
-from changeflow.plans.storage import new_folder
+from changeflow.plans.storage import cut_lineage, new_folder
 from changeflow.sources import adapters as a
 from changeflow.sources.tables import append_once, upsert_state
 from changeflow.streaming import stages
@@ -86,16 +86,14 @@ def fingerprint_text(spark, sf):
 
 @query
 def flag_js_pages(spark, sf):
-    pages = a.table(spark, sf, "pages").withColumns(
-        {
-            "html": F.concat("html", F.when(F.col("url").contains("example.com"), "<NoScript>").otherwise("")),
-            "at": F.expr(DUE_AT),
-        }
+    """Pages, and documents taken as pages (many of them short); some of each with the sign of a script page."""
+    pages = a.table(spark, sf, "pages").withColumn("html", F.concat("html", F.when(F.col("url").contains("example.com"), "<NoScript>").otherwise("")))
+    pages = ingest.extract_page_text(pages, "html").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "html", "extracted_text")
+    docs = a.table(spark, sf, "documents").select(
+        F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.concat("text", F.when(F.col("lang") == "en", "<NoScript>").otherwise("")).alias("html"), F.col("text").alias("extracted_text")
     )
-    pages = ingest.extract_page_text(pages, "html")
-    # The pages here are long; every third one keeps its title only.
-    short = F.when(F.col("page_id") % 3 == 0, F.split("extracted_text", "\n")[0]).otherwise(F.col("extracted_text"))
-    return ingest.flag_js_pages(pages.withColumn("extracted_text", short), "html", "extracted_text", "at").select("page_id", "needs_rendering", "recheck_at")
+    flagged = ingest.flag_js_pages(pages.unionByName(docs).withColumn("at", F.expr(DUE_AT)), "html", "extracted_text", "at")
+    return flagged.select("kind", "id", "needs_rendering", "recheck_at")
 
 
 @query
@@ -163,6 +161,22 @@ def pair_snapshots(spark, sf):
     return change.pair_snapshots(a.snapshots(spark, sf)).select("snapshot_id", "before_id", "before_hash")
 
 
+def _halves(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """The rows before the middle of their time, and the others."""
+    ends = df.agg(F.unix_micros(F.min(column).cast("timestamp")).alias("a"), F.unix_micros(F.max(column).cast("timestamp")).alias("b")).first()
+    early = F.unix_micros(F.col(column).cast("timestamp")) < ((ends.a or 0) + (ends.b or 0)) // 2
+    return df.filter(early), df.filter(~early)
+
+
+@query
+def pair_snapshots_resumed(spark, sf):
+    """Two runs, the second from what the first stored: the same pairs as one run gives."""
+    early, late = _halves(a.snapshots(spark, sf), "created_at")
+    carry = cut_lineage(change.pair_carry(early), "pair-carry")
+    pairs = change.pair_snapshots(early).unionByName(change.pair_snapshots(late, carry=carry))
+    return pairs.select("snapshot_id", "before_id", "before_hash")
+
+
 @query
 def snapshot_status(spark, sf):
     snaps = a.snapshots(spark, sf)
@@ -186,9 +200,9 @@ def diff_snapshots(spark, sf):
 
 @query
 def diff_repeated_lines(spark, sf):
-    """Both sides rebuilt from the diff of texts whose lines repeat: two letters of each line, every fifth line gone."""
-    letters = F.filter(F.transform(F.split("text", "\n"), lambda x: F.substring(x, 1, 2)), lambda x: x != "")
-    docs = a.table(spark, sf, "documents").select("doc_id", letters.alias("lines"))
+    """Both sides rebuilt from the diff of texts whose lines repeat: one word a line, every fifth line gone."""
+    words = F.filter(F.split("text", r"[ \t\n\r\x0b\x0c]+"), lambda x: x != "")
+    docs = a.table(spark, sf, "documents").select("doc_id", words.alias("lines"))
     pairs = docs.select(
         F.col("doc_id").alias("diff_id"),
         F.array_join("lines", "\n").alias("text_before"),
@@ -377,6 +391,19 @@ def promote_patterns(spark, sf):
     )
 
 
+@query
+def pattern_state_resumed(spark, sf):
+    """Learning in two runs: the second goes on from stored sums, and gives the first its successors."""
+    early, late = _halves(a.observations(spark, sf), "observed_at")
+    first = cut_lineage(learning.pattern_state(early, _observed_diffs(early)), "first-state")
+    before = {name: cut_lineage(df, f"carry-{name}") for name, df in learning.pattern_carry(first, _observed_diffs(early)).items()}
+    second = cut_lineage(learning.pattern_state(late, _observed_diffs(late), before), "second-state")
+    corrected = learning.superseded_states(before["open"], second)
+    key = ["monitor_id", "pattern", "diff_id"]
+    whole = upsert_state(first.unionByName(second), corrected, key, [F.col("superseded_at").isNotNull(), "superseded_at"])
+    return whole.select(*key, "support_count", r6("avg_similarity"), "confidence", "is_active", "promoted", "promoted_at", "superseded_at")
+
+
 @query
 def review_flags(spark, sf):
     obs = a.observations(spark, sf)
@@ -877,43 +904,79 @@ def dedupe_signups(spark, sf):
 # ---- L. streaming: the table is read as a stream of files, what comes out is stored and read back ------------------
 
 
-def _streamed(spark, stream: DataFrame, name: str) -> DataFrame:
+def _streamed(spark, made, name: str) -> DataFrame:
+    """Run `made(folder of closing marks)` over what is there, close it, and read what came out."""
     folder = new_folder(spark, name)
+    stages.closing_folder(spark, f"{folder}/end")
+    stream = made(f"{folder}/end")
+    stages.run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
+    stages.close_stream(spark, f"{folder}/end")
     stages.run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 @query
 def stream_pairs(spark, sf):
-    pairs = stages.stream_pairs(a.snapshots(spark, sf, a.stream_table))
-    return _streamed(spark, pairs, "pairs").select("snapshot_id", "before_id", "before_hash")
+    pairs = _streamed(spark, lambda end: stages.stream_pairs(a.snapshots(spark, sf, a.stream_table), closing=end), "pairs")
+    return stages.on_time(pairs).select("snapshot_id", "before_id", "before_hash")
+
+
+@query
+def stream_diffs(spark, sf):
+    """Diff lines of versions that come in out of order: a file a day, some of them two days late, within the watermark."""
+    folder = new_folder(spark, "arrivals")
+    snaps = ingest.fingerprint_text(a.versions(spark, sf)).drop("version")
+    arrival = F.to_date("created_at") + (F.col("monitor_id") % 3 * (F.col("snapshot_id") % 2)).cast("int")
+    snaps.withColumn("day", arrival).repartition(4, "day").write.partitionBy("day").parquet(folder)
+    arrivals = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 8).parquet(folder)
+    lines = _streamed(spark, lambda end: stages.stream_diffs(arrivals, "30 days", end), "diffs")
+    return lines.select("diff_id", "seq", "hunk_no", "op", F.sha2("text", 256).alias("text_hash"))
+
+
+@query
+def stream_patterns(spark, sf):
+    """Learning as a stream: observations come in a file a month, a third of them a month late, within the watermark."""
+    folder = new_folder(spark, "learning")
+    obs = a.observations(spark, sf)
+    arrival = F.trunc(F.col("observed_at").cast("date") + F.when(F.col("diff_id") % 3 == 0, 30).otherwise(0), "month")
+    obs.withColumn("arrived", arrival).repartition("arrived").write.partitionBy("arrived").parquet(f"{folder}/in")
+    rows = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    stages.closing_folder(spark, f"{folder}/end")
+    learn = lambda: stages.learn_stream(rows, f"{folder}/store", f"{folder}/checkpoint", "400 days", f"{folder}/end")
+    learn()
+    stages.close_stream(spark, f"{folder}/end")
+    learn()
+    states = monitoring.learned_states(spark, f"{folder}/store")
+    return states.select("monitor_id", "pattern", "diff_id", "support_count", r6("avg_similarity"), "confidence", "is_active", "promoted", "promoted_at", "superseded_at")
 
 
 @query
 def stream_suppress(spark, sf):
-    snaps = a.snapshots(spark, sf, a.stream_table)
-    asked = classify.alert_candidates(a.analyses(spark, sf, a.stream_table), "severity")
-    decided = _streamed(spark, stages.stream_suppress(stages.suppression_input(snaps, asked)), "suppressed")
+    def made(end):
+        snaps = a.snapshots(spark, sf, a.stream_table)
+        asked = classify.alert_candidates(a.analyses(spark, sf, a.stream_table), "severity")
+        return stages.stream_suppress(stages.suppression_input(snaps, asked), closing=end)
+
+    decided = stages.on_time(_streamed(spark, made, "suppressed"))
     return decided.select("diff_id", suppress.outcome_name(F.col("outcome")).alias("outcome"))
 
 
 @query
 def stream_clusters(spark, sf):
-    placed = stages.stream_clusters(a.alerts(spark, sf, a.stream_table))
-    return _streamed(spark, placed, "clusters").select("alert_id", "cluster_id", r6("merge_score"))
+    placed = _streamed(spark, lambda end: stages.stream_clusters(a.alerts(spark, sf, a.stream_table), closing=end), "clusters")
+    return stages.on_time(placed).select("alert_id", "cluster_id", r6("merge_score"))
 
 
 @query
 def stream_rate_limit(spark, sf):
-    """Windows that the end of the data has closed."""
-    counted = _streamed(spark, stages.stream_rate_limit(a.request_log(spark, sf, a.stream_table), limit=1), "limits")
+    counted = _streamed(spark, lambda end: stages.stream_rate_limit(a.request_log(spark, sf, a.stream_table), limit=1, closing=end), "limits")
     return counted.select("client", F.col("minute").cast("timestamp_ntz").alias("minute"), "requests", "rejected")
 
 
 @query
 def stream_dedupe(spark, sf):
     rows = a.snapshots(spark, sf, a.stream_table)
-    return _streamed(spark, stages.stream_dedupe(rows.union(rows), ["snapshot_id"], "created_at"), "deduped")
+    return _streamed(spark, lambda end: stages.stream_dedupe(rows.union(rows), ["snapshot_id"], "created_at"), "deduped")
 
 
 @query
@@ -921,7 +984,11 @@ def stream_digest(spark, sf):
     folder = new_folder(spark, "digests")
     alerts = a.alerts(spark, sf, a.stream_table)
     stages.queue_digests(alerts, a.settings(spark, sf), f"{folder}/queue", f"{folder}/checkpoint").awaitTermination()
-    digests = stages.due_digests(spark, f"{folder}/queue", a.monitors(spark, sf), 9)
+    monitors = a.monitors(spark, sf)
+    # The hour is run twice: what the first run sent is consumed, so the second has nothing to send.
+    for _ in range(2):
+        stages.send_digests(spark, f"{folder}/queue", f"{folder}/sent", f"{folder}/digests", monitors, 9)
+    digests = spark.read.parquet(f"{folder}/digests")
     return digests.select("user_id", "channel", "part", "alerts", F.sha2("text", 256).alias("text_hash"))
 
 

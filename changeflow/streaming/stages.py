@@ -6,18 +6,22 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from changeflow.functions import constants as k
 from changeflow.functions.text import micros, severity_rank, trim_ws
-from changeflow.operators import notify
+from changeflow.operators import change, notify
 from changeflow.operators.cluster import WINDOW as CLUSTER_WINDOW
 from changeflow.operators.cluster import cluster_step, extract_keywords
+from changeflow.operators.suppress import WINDOW as SUPPRESS_WINDOW
 from changeflow.operators.suppress import normalize_summary, suppress_run
+from changeflow.plans import monitoring
+from changeflow.plans.storage import CarryStore
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,60 +31,241 @@ def _use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """The rows of one key in one micro-batch, in event order; the trigger size bounds them."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
-
-
 def _id_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+# ---- order, late rows, and the end of a stream ------------------------------------------------
+
+#: The instant of a closing mark: later than any row.
+END = "9999-12-31 00:00:00"
+
+
+def closing_folder(spark: SparkSession, folder: str) -> str:
+    """An empty folder for closing marks; it must be there when the stream begins."""
+    spark.createDataFrame([], "event_time timestamp").coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def close_stream(spark: SparkSession, folder: str) -> None:
+    """Say that no more rows will come: two marks, so that one batch moves the watermark and the next acts on it."""
+    for _ in range(2):
+        spark.range(1).select(F.lit(END).cast("timestamp").alias("event_time")).coalesce(1).write.mode("append").parquet(folder)
+
+
+def _marked(rows: DataFrame, closing: str) -> DataFrame:
+    """`rows` and the marks in a folder. The folder must be there, if empty, when the stream begins."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    marks = rows.sparkSession.readStream.schema("event_time timestamp").option("maxFilesPerTrigger", 1).parquet(closing)
+    # Not null where it can be helped: a null among integers would turn a whole batch into floats in Python.
+    blank = {c: F.lit(None if isinstance(kinds[c], T.ArrayType) else "-1").cast(kinds[c]) for c in rows.columns if c not in ("event_time", "t")}
+    if "t" in kinds:
+        blank["t"] = micros(F.col("event_time"))
+    return rows.unionByName(marks.withColumns(blank).select(*rows.columns))
+
+
+def _timed(rows: DataFrame, watermark: str, closing: str | None) -> DataFrame:
+    """`rows` (with event_time) under a watermark; marks written to `closing` move it past every row.
+
+    A mark is a row of no key of its own that waits for good; it only carries its time.
+    """
+    if closing is not None:
+        rows = _marked(rows, closing)
+    # Without its event-time column Spark drops no late row; the processors set them aside instead.
+    return rows.withWatermark("event_time", watermark).drop("event_time")
+
+
+class InOrder(StatefulProcessor):
+    """Rows of a key in event order, whatever order they come in.
+
+    A row waits until the watermark has passed it; then all that wait are handled in order by
+    `settle`. A row that comes after the watermark has passed it is late: it is given out at
+    once, marked, and touches no state. State: the rows that wait, and what `settle` keeps,
+    as text. `forget` names the instant from which the state is no longer needed.
+    """
+
+    def __init__(self, columns: str, order: list[str], outputs: list[str]) -> None:
+        self.columns, self.order, self.outputs = columns, order, outputs
+        self.names = [c.split()[0] for c in columns.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.columns)
+        self.kept = handle.getValueState("kept", "body string")
+
+    def settle(self, key: tuple, rows: list[dict], state: dict) -> tuple[list[dict], dict]:
+        """Output rows for rows in event order, and the state after them."""
+        raise NotImplementedError
+
+    def forget(self, state: dict, watermark: int) -> tuple[dict | None, int | None]:
+        """The state as far as it is needed at the watermark (microseconds), and when to look again."""
+        return state, None
+
+    def late(self, key: tuple, row: dict) -> dict:
+        return row
+
+    def _out(self, rows: list[dict], late: bool) -> pd.DataFrame:
+        data = {c: pd.Series([r.get(c) for r in rows], dtype=object) for c in self.outputs}
+        return pd.DataFrame({**data, "late": pd.Series([late] * len(rows), dtype=bool)})
+
+    def _plan(self, times: list[int], look_again: int | None) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        moments = [min(times) // 1000 + 1] if times else []
+        if look_again is not None:
+            moments.append(look_again // 1000 + 1)
+        if moments:
+            self.handle.registerTimer(min(moments))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        fresh, late = [], []
+        for frame in rows:
+            for row in zip(*(_plain(frame[c]) for c in self.names), strict=True):
+                (late if row[self.names.index("t")] // 1000 < mark else fresh).append(row)
+        if fresh:
+            self.waiting.appendList(fresh)
+            at = self.names.index("t")
+            least = min(r[at] for r in fresh) // 1000 + 1
+            timers = list(self.handle.listTimers())
+            if not timers or least < min(timers):
+                for timer in timers:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(least)
+        if late:
+            yield self._out([self.late(key, dict(zip(self.names, r, strict=True))) for r in late], True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = [dict(zip(self.names, r, strict=True)) for r in self.waiting.get()]
+        ready = sorted((r for r in held if r["t"] // 1000 < mark), key=lambda r: [r[c] for c in self.order])
+        state = json.loads(self.kept.get()[0]) if self.kept.exists() else {}
+        out, state = self.settle(key, ready, state) if ready else ([], state)
+        state, look_again = self.forget(state, mark * 1000)
+        self.kept.update((json.dumps(state),)) if state else self.kept.clear()
+        left = [r for r in held if r["t"] // 1000 >= mark]
+        if ready:
+            self.waiting.put([tuple(r[c] for c in self.names) for r in left]) if left else self.waiting.clear()
+        self._plan([r["t"] for r in left], look_again)
+        yield self._out(out, False)
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(column: pd.Series) -> list:
+    """Python values, missing ones as None."""
+    if column.dtype == object:
+        return [None if v is None else list(v) if hasattr(v, "tolist") and not isinstance(v, str) else v for v in column]
+    return [None if v != v else v for v in column.tolist()]
+
+
+def on_time(out: DataFrame) -> DataFrame:
+    """What a stage made of the rows that were not late."""
+    return out.filter(~F.col("late")).drop("late")
+
+
+def late_rows(out: DataFrame) -> DataFrame:
+    """The side output: rows that came after the watermark had passed them."""
+    return out.filter("late").drop("late")
+
+
+def _ordered(rows: DataFrame, keys: list[str], processor: InOrder, schema: str, watermark: str, closing: str | None) -> DataFrame:
+    _use_rocksdb(rows.sparkSession)
+    return _timed(rows, watermark, closing).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=f"{schema}, late boolean", outputMode="Append", timeMode="EventTime"
+    )
+
+
+def _columns(rows: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "event_time")
+
+
 # ---- pairs --------------------------------------------------------------------------------
 
 
-def stream_pairs(snapshots: DataFrame, with_text: bool = False) -> DataFrame:
-    """Each snapshot with the one before it. State per monitor: the last id, hash (and text)."""
-    _use_rocksdb(snapshots.sparkSession)
-    ids, monitor = _id_type(snapshots, "snapshot_id"), _id_type(snapshots, "monitor_id")
-    cast = int if ids in ("bigint", "int") else str
-
-    class Pairs(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.last = handle.getValueState("last", "id string, hash string, text string")
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            batch = _in_order(rows, ["t", "snapshot_id"])
-            seen = self.last.get() if self.last.exists() else (None, None, None)
-            text = batch["extracted_text"] if with_text else pd.Series([None] * len(batch), dtype=object)
-            prev = pd.DataFrame({"id": batch["snapshot_id"].astype(str), "hash": batch["text_hash"], "text": text}).shift(1)
-            prev.iloc[0] = list(seen)
-            self.last.update((str(batch["snapshot_id"].iloc[-1]), batch["text_hash"].iloc[-1], text.iloc[-1]))
-            out = pd.DataFrame(
-                {
-                    "monitor_id": batch["monitor_id"],
-                    "snapshot_id": batch["snapshot_id"],
-                    "text_hash": batch["text_hash"],
-                    "t": batch["t"],
-                    "before_id": pd.array([None if v is None or v != v else cast(v) for v in prev["id"]], dtype="Int64" if cast is int else object),
-                    "before_hash": prev["hash"].astype(object).where(prev["hash"].notna(), None),
-                }
-            )
-            if with_text:
-                out["text_before"], out["text_after"] = prev["text"].astype(object).where(prev["text"].notna(), None), text
-            yield out
-
-        def close(self) -> None:
-            pass
+class Pairs(InOrder):
+    """State per monitor: the last id, hash (and text)."""
+
+    def settle(self, key, rows, state):
+        out, last = [], state
+        for row in rows:
+            out.append({**row, "before_id": last.get("id"), "before_hash": last.get("hash"), "text_before": last.get("text"), "text_after": row.get("extracted_text")})
+            last = {"id": row["snapshot_id"], "hash": row["text_hash"], "text": row.get("extracted_text")}
+        return out, last
+
 
+def stream_pairs(snapshots: DataFrame, with_text: bool = False, watermark: str = "1 day", closing: str | None = None) -> DataFrame:
+    """Each snapshot with the one before it in event order, and `late`. State per monitor: the last id, hash (and text)."""
+    ids, monitor = _id_type(snapshots, "snapshot_id"), _id_type(snapshots, "monitor_id")
     columns = ["monitor_id", "snapshot_id", "text_hash", *(["extracted_text"] if with_text else [])]
-    narrow = snapshots.select(*columns, micros(F.col("created_at")).alias("t"))
+    rows = snapshots.select(*columns, micros(F.col("created_at")).alias("t"), F.col("created_at").cast("timestamp").alias("event_time"))
     schema = f"monitor_id {monitor}, snapshot_id {ids}, text_hash string, t bigint, before_id {ids}, before_hash string"
+    outputs = ["monitor_id", "snapshot_id", "text_hash", "t", "before_id", "before_hash"]
     if with_text:
-        schema += ", text_before string, text_after string"
-    return narrow.groupBy("monitor_id").transformWithStateInPandas(
-        statefulProcessor=Pairs(), outputStructType=schema, outputMode="Append", timeMode="None"
-    )
+        schema, outputs = schema + ", text_before string, text_after string", [*outputs, "text_before", "text_after"]
+    return _ordered(rows, ["monitor_id"], Pairs(_columns(rows), ["t", "snapshot_id"], outputs), schema, watermark, closing)
+
+
+def stream_diffs(snapshots: DataFrame, watermark: str = "1 day", closing: str | None = None) -> DataFrame:
+    """Diff lines of changed pages as they come in: `diff_snapshots` on top of `stream_pairs`."""
+    pairs = on_time(stream_pairs(snapshots, True, watermark, closing))
+    changed = pairs.filter(F.col("before_id").isNotNull() & ~F.col("text_hash").eqNullSafe(F.col("before_hash")))
+    named = changed.select(F.col("snapshot_id").alias("diff_id"), "monitor_id", F.timestamp_micros("t").alias("created_at"), "text_before", "text_after")
+    return change.diff_snapshots(named)
+
+
+# ---- rows in order for stages that run batch by batch ----------------------------------------
+
+
+class Gate(InOrder):
+    """Gives rows out as they are, once the watermark has passed them."""
+
+    def settle(self, key, rows, state):
+        return rows, state
+
+
+def in_order(rows: DataFrame, key: str, ts: str, row_id: str, watermark: str, closing: str | None = None) -> DataFrame:
+    """The rows (and `late`), given out when the watermark has passed them: each micro-batch holds
+    rows that are later than those of all batches before it."""
+    timed = rows.withColumns({"t": micros(F.col(ts)), "event_time": F.col(ts).cast("timestamp")}).drop(ts)
+    given = [f.name for f in timed.schema if f.name not in ("event_time",)]
+    schema = ", ".join(f"{c} {_id_type(timed, c)}" for c in given)
+    out = _ordered(timed, [key], Gate(_columns(timed), ["t", row_id], given), schema, watermark, closing)
+    return out.withColumn(ts, F.timestamp_micros("t").cast(rows.schema[ts].dataType)).select(*rows.columns, "late")
+
+
+def watch_stream(snapshots: DataFrame, monitors: DataFrame, model, store: str, checkpoint: str, watermark: str = "1 day", closing: str | None = None, late_path: str | None = None, timeout: int | None = None) -> None:
+    """The whole chain as a stream: pairs, diffs, learning, filtering, classification, suppression and clustering.
+
+    Snapshots wait until the watermark has passed them; every micro-batch then goes through
+    `watch_next`, which goes on from the store and commits its results there. A batch that was
+    committed before a failure is passed over when it is repeated. Late snapshots go to `late_path`.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        if late_path is not None:
+            late_rows(batch).write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
+        settled = on_time(batch)
+        if f"batch-{batch_id}" not in CarryStore(batch.sparkSession, store).known and not settled.isEmpty():
+            monitoring.watch_next(store, f"batch-{batch_id}", settled, monitors, model)
+
+    ready = in_order(snapshots.select("monitor_id", "snapshot_id", "extracted_text", "created_at"), "monitor_id", "created_at", "snapshot_id", watermark, closing)
+    _wait(ready.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), store, timeout)
+
+
+def learn_stream(observations: DataFrame, store: str, checkpoint: str, watermark: str = "1 day", closing: str | None = None, late_path: str | None = None, timeout: int | None = None) -> None:
+    """Pattern states as a stream: observations wait for the watermark, then go through `learn_next` batch by batch."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        if late_path is not None:
+            late_rows(batch).write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
+        settled = on_time(batch)
+        if f"batch-{batch_id}" not in CarryStore(batch.sparkSession, store).known and not settled.isEmpty():
+            monitoring.learn_next(store, f"batch-{batch_id}", settled)
+
+    ready = in_order(observations, "monitor_id", "observed_at", "diff_id", watermark, closing)
+    _wait(ready.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), store, timeout)
 
 
 # ---- suppression ---------------------------------------------------------------------------
@@ -90,134 +275,107 @@ def suppression_input(snapshots: DataFrame, candidates: DataFrame, severity_col:
     """Snapshots and candidates as one stream of narrow rows; a snapshot sorts before a candidate of its instant."""
     left = snapshots.select(
         "monitor_id", F.lit(0).alias("side"), F.col("snapshot_id").alias("row_id"), micros(F.col("created_at")).alias("t"),
-        F.lit(0).alias("rank"), F.col("text_hash").alias("text"),
+        F.lit(0).alias("rank"), F.col("text_hash").alias("text"), F.col("created_at").cast("timestamp").alias("event_time"),
     )
     right = candidates.select(
         "monitor_id", F.lit(1).alias("side"), F.col("diff_id").alias("row_id"), micros(F.col("created_at")).alias("t"),
-        severity_rank(F.col(severity_col)).alias("rank"), normalize_summary(F.col("summary")).alias("text"),
+        severity_rank(F.col(severity_col)).alias("rank"), normalize_summary(F.col("summary")).alias("text"), F.col("created_at").cast("timestamp").alias("event_time"),
     )
     return left.unionByName(right)
 
 
-def _flips(hashes: list[str]) -> bool:
+def _flips(hashes: list[str]) -> tuple[bool, int]:
     changes = sum(a != b for a, b in zip(hashes, hashes[1:]))
-    return len(hashes) >= k.OSCILLATION_MIN_HASHES and len(set(hashes)) == 2 and changes >= k.OSCILLATION_MIN_FLIPS
+    return len(hashes) >= k.OSCILLATION_MIN_HASHES and len(set(hashes)) == 2 and changes >= k.OSCILLATION_MIN_FLIPS, changes
+
+
+class Suppress(InOrder):
+    """State per monitor: at most five alerts of the last 24 h and the newest six hashes."""
 
+    def settle(self, key, rows, state):
+        alive, hashes, out = state.get("alive", []), state.get("hashes", []), []
+        for row in rows:
+            if row["side"] == 0:
+                if row["text"] is not None:
+                    hashes = [*hashes, row["text"]][-k.OSCILLATION_WINDOW :]
+                continue
+            flip, changes = _flips(hashes)
+            outcome, recent = suppress_run([row["t"]], [row["rank"]], [row["text"]], [flip], alive)
+            out.append({"monitor_id": row["monitor_id"], "diff_id": row["row_id"], "outcome": outcome[0], "recent": recent[0], "flips": changes, "n_hashes": len(hashes)})
+        return out, {"alive": alive, "hashes": hashes}
 
-def stream_suppress(rows: DataFrame) -> DataFrame:
-    """(monitor_id, diff_id, outcome code, recent) from `suppression_input`.
+    def forget(self, state, watermark):
+        if not state:
+            return state, None
+        alive = [a for a in state["alive"] if a[0] >= watermark - SUPPRESS_WINDOW]
+        return {**state, "alive": alive}, min(a[0] for a in alive) + SUPPRESS_WINDOW + 1000 if alive else None
 
-    State per monitor: at most five alerts of the last 24 h and the newest six hashes.
+    def late(self, key, row):
+        return {"monitor_id": row["monitor_id"], "diff_id": row["row_id"] if row["side"] else None}
+
+
+def stream_suppress(rows: DataFrame, watermark: str = "1 day", closing: str | None = None) -> DataFrame:
+    """(monitor_id, diff_id, outcome code, recent, flips, n_hashes, late) from `suppression_input`.
+
+    Alerts leave the state 24 h after they were made, once the watermark says so. A late
+    snapshot shows as a late row without a diff.
     """
-    _use_rocksdb(rows.sparkSession)
     ids, monitor = _id_type(rows, "row_id"), _id_type(rows, "monitor_id")
-
-    class Suppress(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("state", "body string")
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            batch = _in_order(rows, ["t", "side", "row_id"])
-            state = json.loads(self.state.get()[0]) if self.state.exists() else {"alive": [], "hashes": []}
-            hashes, flips = state["hashes"], []
-            for side, text in zip(batch["side"], batch["text"]):
-                if side == 0:
-                    hashes = [*hashes, text][-k.OSCILLATION_WINDOW :]
-                else:
-                    flips.append(_flips(hashes))
-            asked = batch[batch["side"] == 1]
-            outcome, recent, alive = suppress_run(
-                asked["t"].to_numpy(np.int64),
-                asked["rank"].to_numpy(np.int64),
-                asked["text"].to_numpy(object),
-                np.array(flips, dtype=bool),
-                [tuple(x) for x in state["alive"]],
-            )
-            self.state.update((json.dumps({"alive": alive, "hashes": hashes}),))
-            yield pd.DataFrame({"monitor_id": asked["monitor_id"], "diff_id": asked["row_id"], "outcome": outcome, "recent": recent})
-
-        def close(self) -> None:
-            pass
-
-    return rows.groupBy("monitor_id").transformWithStateInPandas(
-        statefulProcessor=Suppress(),
-        outputStructType=f"monitor_id {monitor}, diff_id {ids}, outcome tinyint, recent tinyint",
-        outputMode="Append",
-        timeMode="None",
-    )
+    outputs = ["monitor_id", "diff_id", "outcome", "recent", "flips", "n_hashes"]
+    schema = f"monitor_id {monitor}, diff_id {ids}, outcome int, recent int, flips int, n_hashes int"
+    return _ordered(rows, ["monitor_id"], Suppress(_columns(rows), ["t", "side", "row_id"], outputs), schema, watermark, closing)
 
 
 # ---- clustering ------------------------------------------------------------------------------
 
 
-def stream_clusters(alerts: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """(alert_id, cluster_id, merge_score). State per (user, competitor): the open clusters.
+class Clusters(InOrder):
+    """State per (user, competitor): the clusters of the last 48 h."""
+
+    def settle(self, key, rows, state):
+        opened = [{**c, "categories": set(c["categories"]), "keywords": set(c["keywords"])} for c in state.get("opened", [])]
+        out = []
+        for row in rows:
+            cluster_id, score = cluster_step(opened, row["alert_id"], row["t"], frozenset(row["categories"]), frozenset(row["keywords"]))
+            out.append({"alert_id": row["alert_id"], "cluster_id": cluster_id, "merge_score": score})
+        return out, {"opened": [{**c, "categories": sorted(c["categories"]), "keywords": sorted(c["keywords"])} for c in opened]}
+
+    def forget(self, state, watermark):
+        opened = [c for c in state.get("opened", []) if c["at"] >= watermark - CLUSTER_WINDOW]
+        return ({"opened": opened}, min(c["at"] for c in opened) + CLUSTER_WINDOW + 1000) if opened else (None, None)
+
 
-    Keyed state takes the place of a lock. A timer drops clusters 48 h after their last
-    alert, once the watermark says none can arrive for them.
+def stream_clusters(alerts: DataFrame, watermark: str = "1 hour", closing: str | None = None) -> DataFrame:
+    """(alert_id, cluster_id, merge_score, late). State per (user, competitor): the open clusters.
+
+    Keyed state takes the place of a lock; clusters leave it 48 h after their last alert, once
+    the watermark says that none can arrive for them. An alert without a competitor is given
+    out at once, unclustered.
     """
-    _use_rocksdb(alerts.sparkSession)
-    ids, user = _id_type(alerts, "alert_id"), _id_type(alerts, "user_id")
-
-    class Clusters(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.state = handle.getValueState("opened", "body string")
-
-        def _load(self) -> list[dict]:
-            opened = json.loads(self.state.get()[0]) if self.state.exists() else []
-            return [{**c, "categories": set(c["categories"]), "keywords": set(c["keywords"])} for c in opened]
-
-        def _store(self, opened: list[dict]) -> None:
-            plain = [{**c, "categories": sorted(c["categories"]), "keywords": sorted(c["keywords"])} for c in opened]
-            self.state.update((json.dumps(plain),))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer((max(c["at"] for c in opened) + CLUSTER_WINDOW) // 1000 + 1)
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            batch = _in_order(rows, ["t", "alert_id"])
-            opened, placed = self._load(), []
-            for row in batch.itertuples(index=False):
-                alert_id = row.alert_id if isinstance(row.alert_id, str) else int(row.alert_id)
-                placed.append(cluster_step(opened, alert_id, int(row.t), frozenset(row.categories), frozenset(row.keywords)))
-            self._store(opened)
-            yield pd.DataFrame(
-                {"alert_id": batch["alert_id"], "cluster_id": [p[0] for p in placed], "merge_score": [p[1] for p in placed]}
-            ).astype({"merge_score": float})
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            self.state.clear()
-            yield pd.DataFrame({"alert_id": [], "cluster_id": [], "merge_score": []})
-
-        def close(self) -> None:
-            pass
-
-    narrow = (
-        alerts.withColumn("competitor_name", trim_ws(F.coalesce("competitor_name", F.lit(""))))
-        .filter(F.length("competitor_name") > 0)
-        .withColumn("event_time", F.col("created_at").cast("timestamp"))
-        .withWatermark("event_time", watermark)
-        .select(
-            "user_id", "competitor_name", "alert_id", "event_time", micros(F.col("created_at")).alias("t"),
-            F.coalesce("categories", F.array().cast("array<string>")).alias("categories"),
-            extract_keywords(F.col("summary")).alias("keywords"),
-        )
-    )
-    return narrow.groupBy("user_id", "competitor_name").transformWithStateInPandas(
-        statefulProcessor=Clusters(),
-        outputStructType=f"alert_id {ids}, cluster_id {ids}, merge_score double",
-        outputMode="Append",
-        timeMode="EventTime",
-    )
+    ids = _id_type(alerts, "alert_id")
+    trimmed = alerts.withColumn("competitor_name", trim_ws(F.coalesce("competitor_name", F.lit(""))))
+    rows = trimmed.filter(F.length("competitor_name") > 0).select(
+        "user_id", "competitor_name", "alert_id", micros(F.col("created_at")).alias("t"),
+        F.coalesce("categories", F.array().cast("array<string>")).alias("categories"),
+        extract_keywords(F.col("summary")).alias("keywords"), F.col("created_at").cast("timestamp").alias("event_time"),
+    )
+    outputs, schema = ["alert_id", "cluster_id", "merge_score"], f"alert_id {ids}, cluster_id {ids}, merge_score double"
+    placed = _ordered(rows, ["user_id", "competitor_name"], Clusters(_columns(rows), ["t", "alert_id"], outputs), schema, watermark, closing)
+    alone = trimmed.filter(F.length("competitor_name") == 0)
+    return placed.unionByName(alone.select("alert_id", F.lit(None).cast(ids).alias("cluster_id"), F.lit(None).cast("double").alias("merge_score"), F.lit(False).alias("late")))
 
 
 # ---- rate limit, duplicates, digests -----------------------------------------------------------
 
 
-def stream_rate_limit(log: DataFrame, limit: int = k.REQUESTS_PER_MINUTE, watermark: str = "1 minute") -> DataFrame:
-    """Requests and rejections per client and clock minute."""
-    limited = log.filter(~F.col("path").startswith("/api/v1/health")).withColumn("event_time", F.col("ts").cast("timestamp"))
+def stream_rate_limit(log: DataFrame, limit: int = k.REQUESTS_PER_MINUTE, watermark: str = "1 minute", closing: str | None = None) -> DataFrame:
+    """Requests and rejections per client and clock minute.
+
+    A window of the built-in kind; with `closing`, marks close the windows that are open at the end.
+    """
+    limited = log.filter(~F.col("path").startswith("/api/v1/health")).select("client", F.col("ts").cast("timestamp").alias("event_time"))
+    if closing is not None:
+        limited = _marked(limited, closing)
     counted = limited.withWatermark("event_time", watermark).groupBy("client", F.window("event_time", "1 minute").alias("w"))
     return counted.agg(F.count(F.lit(1)).alias("requests")).select(
         "client", F.col("w.start").alias("minute"), "requests", F.greatest(F.lit(0), F.col("requests") - limit).alias("rejected")
@@ -258,6 +416,26 @@ def consumed_routes(spark: SparkSession, queue_path: str, hour: int, sent: DataF
     return used if sent is None else used.join(sent.select("alert_id", "channel"), ["alert_id", "channel"], "left_anti")
 
 
+def send_digests(spark: SparkSession, queue_path: str, sent_path: str, out_path: str, monitors: DataFrame, hour: int) -> None:
+    """Store the digests of the hour and mark what they cover as sent, so that no later run sends it again.
+
+    Both are folders of the queue's state at this time: `sent` is written after the digests,
+    and a run that failed between the two overwrites its own digests when it is repeated.
+    """
+    covered = "alert_id, channel"
+    kinds = {f.name: f.dataType.simpleString() for f in spark.read.parquet(queue_path).schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in covered.split(", "))
+    try:
+        sent = spark.read.schema(schema).parquet(sent_path)
+        number = len([r for r in spark.read.parquet(sent_path).select("run").distinct().collect()])
+    except AnalysisException:
+        sent, number = None, 0
+    due = due_digests(spark, queue_path, monitors, hour, sent)
+    used = consumed_routes(spark, queue_path, hour, sent)
+    due.write.mode("overwrite").parquet(f"{out_path}/run={number}")
+    used.write.mode("overwrite").parquet(f"{sent_path}/run={number}")
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, timeout: int | None = None) -> None:
     """Process what is there into Parquet files, then stop; an error when that takes longer than `timeout` seconds."""
     running = (
@@ -268,6 +446,10 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, timeout: int |
         .trigger(availableNow=True)
         .start()
     )
+    _wait(running, path, timeout)
+
+
+def _wait(running, path: str, timeout: int | None) -> None:
     if not running.awaitTermination(timeout) and timeout is not None:
         running.stop()
         raise TimeoutError(f"the stream was not done after {timeout} s; {path} holds part of its result")

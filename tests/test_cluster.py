@@ -106,3 +106,24 @@ def test_score_given_clusters(spark, at):
     got = {r.alert_id: (r.cluster_id, round(r.score, 6), r.merges) for r in cluster.score_open_clusters(alerts, clusters).collect()}
     assert got[1] == (11, 0.8, True)  # a tie: the older one
     assert got[2] == (14, round(0.4 * 2**-12, 6), False)
+
+
+def test_a_key_that_is_never_silent_is_spread_over_slices(spark):
+    """Slices replayed side by side until they agree give the serial replay, and it can be gone on with."""
+    rng = random.Random(11)
+    start, t, rows = datetime(2024, 1, 1), 0, []
+    words = ["pricing", "launch", "hiring", "partner", "outage", "design", "mobile", "cloud"]
+    for i in range(900):
+        t += rng.randrange(1, 300)
+        rows.append((2**60 + i, "u", "acme", "high", " ".join(rng.sample(words, 3)), rng.sample(["p", "q", "r"], rng.randrange(0, 3)), start + timedelta(minutes=t)))
+    schema = ALERTS.replace("alert_id int", "alert_id bigint")
+    serial = {r.alert_id: (r.cluster_id, r.merge_score) for r in cluster.assign_clusters(spark.createDataFrame(rows, schema), slice_rows=10_000).collect()}
+    assert len({c for c, _ in serial.values()}) > 10
+    mixed = spark.createDataFrame(rng.sample(rows, len(rows)), schema)
+    for slice_rows in (60, 300):
+        placed, replayed = cluster.place_alerts(mixed, slice_rows=slice_rows)
+        assert {r.alert_id: (r.cluster_id, r.merge_score) for r in placed.collect()} == serial
+        assert 1 < replayed.rounds <= 900 // slice_rows + 1
+    one, before = cluster.place_alerts(spark.createDataFrame(rows[:400], schema))
+    two, _ = cluster.place_alerts(spark.createDataFrame(rows[400:], schema), start=before.states)
+    assert {r.alert_id: (r.cluster_id, r.merge_score) for r in [*one.collect(), *two.collect()]} == serial

@@ -72,15 +72,6 @@ def test_newest(rows):
     same(got, want)
 
 
-def test_islands(spark):
-    times = [0, 5, 30, 60, 61, 109, 200]  # hours; gaps over 48 h start an island
-    df = spark.createDataFrame([("a", i, h * 3_600_000_000) for i, h in enumerate(times)], "k string, id int, t bigint")
-    got = scans.islands(df, ["k"], "t", 48 * 3_600_000_000)
-    assert {r.id: r.island for r in got.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 1}
-    with pytest.raises(ValueError):
-        scans.islands(df, ["k"], "t", 3_600_000_000)
-
-
 def test_one_exchange_feeds_both_readers(rows, spark):
     table = spark.range(2000).selectExpr("id % 7 AS k", "id", "timestamp_seconds(id * 1000) AS ts")
     df = scans.scan(table, ["k"], ORDER, [scans.by_day("ts")], n=scans.count()).select("id", "n")

@@ -22,7 +22,12 @@ def feed(spark, tmp_path_factory):
     def read(spark, sf, name):
         return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(base / "in"))
 
-    def run(stream, name):
+    def run(made, name):
+        """`made` gets the folder of closing marks; the stream runs, is closed, and runs again."""
+        end = stages.closing_folder(spark, str(base / f"{name}-end"))
+        stream = made(end)
+        stages.run_available(stream, str(base / name), str(base / f"{name}-checkpoint"), 300)
+        stages.close_stream(spark, end)
         stages.run_available(stream, str(base / name), str(base / f"{name}-checkpoint"), 300)
         return spark.read.schema(stream.schema).parquet(str(base / name))
 
@@ -35,47 +40,137 @@ def same(left, right):
 
 def test_pairs(spark, feed):
     read, run = feed
-    got = run(stages.stream_pairs(a.snapshots(spark, SF, read)), "pairs").select("snapshot_id", "before_id", "before_hash")
-    same(got, change.pair_snapshots(a.snapshots(spark, SF)).select("snapshot_id", "before_id", "before_hash"))
+    got = stages.on_time(run(lambda end: stages.stream_pairs(a.snapshots(spark, SF, read), closing=end), "pairs"))
+    same(got.select("snapshot_id", "before_id", "before_hash"), change.pair_snapshots(a.snapshots(spark, SF)).select("snapshot_id", "before_id", "before_hash"))
 
 
 def test_pairs_with_texts(spark, feed):
     read, run = feed
     texts = a.snapshots(spark, SF, read).withColumn("extracted_text", F.concat("text_hash", F.lit("!")))
-    got = run(stages.stream_pairs(texts, with_text=True), "texts")
+    got = stages.on_time(run(lambda end: stages.stream_pairs(texts, True, closing=end), "texts"))
     assert got.filter("text_before <=> concat(before_hash, '!') AND text_after = concat(text_hash, '!')").count() == 1000
 
 
 def test_suppression(spark, feed):
     read, run = feed
-    asked = classify.alert_candidates(a.analyses(spark, SF, read), "severity")
-    rows = stages.suppression_input(a.snapshots(spark, SF, read), asked)
-    got = run(stages.stream_suppress(rows), "suppressed").select("diff_id", suppress.outcome_name(F.col("outcome")).alias("outcome"))
+
+    def made(end):
+        asked = classify.alert_candidates(a.analyses(spark, SF, read), "severity")
+        return stages.stream_suppress(stages.suppression_input(a.snapshots(spark, SF, read), asked), closing=end)
+
+    got = stages.on_time(run(made, "suppressed")).select("diff_id", suppress.outcome_name(F.col("outcome")).alias("outcome"))
     batch = suppress.suppress_alerts(classify.alert_candidates(a.analyses(spark, SF), "severity"), a.snapshots(spark, SF))
     same(got, batch.select("diff_id", "outcome"))
 
 
+def test_suppression_forgets_after_a_day():
+    fold = stages.Suppress("monitor_id string, side int, row_id int, t bigint, rank int, text string", ["t", "side", "row_id"], [])
+    state = {"alive": [[0, 2, "a"], [10, 3, "b"]], "hashes": ["x"]}
+    assert fold.forget(state, suppress.WINDOW) == (state, suppress.WINDOW + 1000)
+    assert fold.forget(state, suppress.WINDOW + 5)[0] == {"alive": [[10, 3, "b"]], "hashes": ["x"]}
+    assert fold.forget(state, suppress.WINDOW + 11) == ({"alive": [], "hashes": ["x"]}, None)
+
+
 def test_clusters_with_expiring_state(spark, feed):
     read, run = feed
-    got = run(stages.stream_clusters(a.alerts(spark, SF, read)), "clusters").select("alert_id", "cluster_id")
-    same(got, cluster.assign_clusters(a.alerts(spark, SF)).filter("cluster_id IS NOT NULL").select("alert_id", "cluster_id"))
+    got = stages.on_time(run(lambda end: stages.stream_clusters(a.alerts(spark, SF, read), closing=end), "clusters"))
+    want = cluster.assign_clusters(a.alerts(spark, SF))
+    assert want.filter("cluster_id IS NULL").count() > 0
+    same(got.select("alert_id", "cluster_id"), want.select("alert_id", "cluster_id"))
 
 
 def test_rate_limit(spark, feed):
     read, run = feed
-    got = run(stages.stream_rate_limit(a.request_log(spark, SF, read), 1), "limits")
+    got = run(lambda end: stages.stream_rate_limit(a.request_log(spark, SF, read), 1, closing=end), "limits")
     flags = reports.rate_limit_flags(a.request_log(spark, SF), 1)
     totals = flags.groupBy("client", "minute").agg(F.count(F.lit(1)).alias("requests"), F.count_if("rejected").alias("rejected"))
-    # Only windows that the watermark has passed are out.
-    closed = totals.join(got.select("client", "minute"), ["client", "minute"], "left_semi")
-    same(got.select("client", "minute", "requests", "rejected"), closed.select("client", "minute", "requests", "rejected"))
-    assert totals.count() - got.count() <= 5
+    same(got.select("client", "minute", "requests", "rejected"), totals.select("client", "minute", "requests", "rejected"))
+
+
+@pytest.fixture(scope="module")
+def disorder(spark, tmp_path_factory):
+    """The events in six files; a row may come up to six days after its place, and files overlap."""
+    base = tmp_path_factory.mktemp("disorder")
+    events = a.table(spark, SF, "events")
+    schema = events.schema
+    delayed = events.withColumn("file", F.least(F.lit(5), F.floor((F.dayofmonth("ts") + F.col("event_id") % 7) / 6)).cast("int"))
+    for i in range(6):
+        delayed.filter(f"file = {i}").drop("file").coalesce(1).write.mode("append").parquet(str(base / "in"))
+    rows = delayed.select("event_id", "user_id", F.expr("unix_micros(CAST(ts AS TIMESTAMP))").alias("t"), "file").collect()
+
+    def read(spark, sf, name):
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(base / "in"))
+
+    return base, read, rows
+
+
+def run_disordered(spark, base, made, name):
+    end = stages.closing_folder(spark, str(base / f"{name}-end"))
+    stream = made(end)
+    stages.run_available(stream, str(base / name), str(base / f"{name}-checkpoint"), 300)
+    stages.close_stream(spark, end)
+    stages.run_available(stream, str(base / name), str(base / f"{name}-checkpoint"), 300)
+    return spark.read.schema(stream.schema).parquet(str(base / name))
+
+
+def test_disorder_within_the_watermark_changes_nothing(spark, disorder):
+    base, read, _ = disorder
+    out = run_disordered(spark, base, lambda end: stages.stream_pairs(a.snapshots(spark, SF, read), watermark="12 days", closing=end), "pairs")
+    assert stages.late_rows(out).count() == 0
+    same(stages.on_time(out).select("snapshot_id", "before_id"), change.pair_snapshots(a.snapshots(spark, SF)).select("snapshot_id", "before_id"))
+    out = run_disordered(spark, base, lambda end: stages.stream_clusters(a.alerts(spark, SF, read), "12 days", end), "clusters")
+    same(stages.on_time(out).select("alert_id", "cluster_id"), cluster.assign_clusters(a.alerts(spark, SF)).select("alert_id", "cluster_id"))
+
+
+def test_late_rows_are_set_aside_and_counted(spark, disorder):
+    base, read, rows = disorder
+    out = run_disordered(spark, base, lambda end: stages.stream_pairs(a.snapshots(spark, SF, read), watermark="2 days", closing=end), "late")
+    # A row is late when an earlier file has moved the watermark past it.
+    late, newest = set(), 0
+    for i in range(6):
+        mark = (newest - 2 * 86_400_000_000) // 1000
+        late |= {r.event_id for r in rows if r.file == i and newest and r.t // 1000 < mark}
+        newest = max([newest, *(r.t for r in rows if r.file == i)])
+    assert late and {r.snapshot_id for r in stages.late_rows(out).collect()} == late
+    kept = a.snapshots(spark, SF).filter(~F.col("snapshot_id").isin(list(late)))
+    same(stages.on_time(out).select("snapshot_id", "before_id"), change.pair_snapshots(kept).select("snapshot_id", "before_id"))
+
+
+def test_diffs_and_learning_as_streams(spark, disorder, tmp_path):
+    base, read, _ = disorder
+    texts = lambda df: df.withColumn("extracted_text", F.concat_ws("\n", F.lit("same"), "text_hash", F.col("snapshot_id").cast("string")))
+    got = run_disordered(spark, base, lambda end: stages.stream_diffs(texts(a.snapshots(spark, SF, read)), "12 days", end), "diffs")
+    want = change.diff_snapshots(change.changed_pairs(texts(a.snapshots(spark, SF))))
+    columns = ["diff_id", "seq", "op", "text"]
+    same(got.select(*columns), want.select(*columns))
+
+
+def test_the_chain_as_a_stream(spark, tmp_path):
+    """Snapshots in files by arrival, some of them two days after their time: the stored results are those of one run."""
+    from tests import test_incremental as chain
+
+    rows = chain.pages(16, 3)
+    arrived = [(*r, (r[3].day + (2 if i % 5 == 0 else 0)) // 3) for i, r in enumerate(rows)]
+    for i in sorted({r[4] for r in arrived}):
+        spark.createDataFrame([r[:4] for r in arrived if r[4] == i], chain.SNAPSHOTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    snapshots, monitors = spark.createDataFrame(rows, chain.SNAPSHOTS), spark.createDataFrame(chain.MONITORS[:3], chain.MONITOR_SCHEMA)
+    stream = spark.readStream.schema(chain.SNAPSHOTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    store, end = str(tmp_path / "store"), stages.closing_folder(spark, str(tmp_path / "end"))
+    for _ in range(2):
+        stages.watch_stream(stream, monitors, chain.make_model(), store, str(tmp_path / "checkpoint"), "6 days", end, str(tmp_path / "late"), 900)
+        stages.close_stream(spark, end)
+    history = stages.CarryStore(spark, store)
+    assert len(history.commits) > 1 and spark.read.parquet(str(tmp_path / "late")).count() == 0
+    parts = []
+    for commit in history.commits:
+        parts.append({name: spark.read.parquet(path) for name, path in commit.results.items()})
+    chain.check_against_one_run(spark, store, parts, snapshots, monitors)
 
 
 def test_dedupe(spark, feed):
     read, run = feed
     rows = a.snapshots(spark, SF, read)
-    got = run(stages.stream_dedupe(rows.union(rows), ["snapshot_id"], "created_at"), "deduped")
+    got = run(lambda end: stages.stream_dedupe(rows.union(rows), ["snapshot_id"], "created_at"), "deduped")
     assert got.count() == 1000 == got.select("snapshot_id").distinct().count()
 
 

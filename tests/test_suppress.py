@@ -1,7 +1,6 @@
 import random
 from datetime import datetime, timedelta
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,12 +33,12 @@ def test_runs_equal_a_plain_replay(n, minutes):
     for _ in range(n):
         t += rng.choice([0, 1, rng.randrange(1, minutes * 2), DAY // 60_000_000 if rng.random() < 0.02 else 1]) * 60_000_000
         rows.append((t, rng.choice([2, 2, 2, 3, 3, 4]), rng.choice("abcdef"), rng.random() < 0.1))
-    cols = [np.array(c, dtype=d) for c, d in zip(zip(*rows), (np.int64, np.int64, object, bool))]
+    cols = [list(c) for c in zip(*rows)]
     for step in (n, 7, 64, 65, 200):  # any cut into batches gives the same
         got, alive = [], []
         for lo in range(0, n, step):
-            outcome, _, alive = suppress.suppress_run(*[c[lo : lo + step] for c in cols], alive)
-            got += list(outcome)
+            outcome, _ = suppress.suppress_run(*[c[lo : lo + step] for c in cols], alive)
+            got += outcome
             assert len(alive) <= 5
         assert got == replay(rows)
 
@@ -128,3 +127,39 @@ def test_rules_against_a_given_history(spark, at):
     assert same == {10: True, 11: False, 12: False, 13: False}
     below = {r.diff_id: (r.recent_max, r.not_above) for r in suppress.severity_rule(asked, history).collect()}
     assert below == {10: ("high", True), 11: ("low", False), 12: ("low", True), 13: (None, False)}
+
+
+def hot_monitor(n, quiet=None, seed=7):
+    """One monitor, never silent for long, out of order in the table; and what the serial replay decides."""
+    rng = random.Random(seed)
+    start, t, rows = datetime(2024, 1, 1), 0, []
+    for i in range(n):
+        t += quiet if quiet and i % 300 == 299 else rng.randrange(1, 40)
+        rows.append((i, "hot", rng.choice(["medium", "medium", "high", "critical"]), rng.choice("abcdefgh"), start + timedelta(minutes=t)))
+    ranks = {"medium": 2, "high": 3, "critical": 4}
+    outcome = replay([(int((r[4] - start).total_seconds()) * 1_000_000, ranks[r[2]], r[3], False) for r in rows])
+    return rng.sample(rows, n), {r[0]: suppress.OUTCOMES[o] for r, o in zip(rows, outcome)}
+
+
+@pytest.mark.parametrize("slice_rows, quiet, most", [(300, None, 8), (100, 3 * 24 * 60, 5), (100_000, None, 1)])
+def test_a_monitor_that_is_never_silent_is_spread_over_slices(spark, slice_rows, quiet, most):
+    rows, want = hot_monitor(2400, quiet)
+    snaps = spark.createDataFrame([("hot", 1, "h", datetime(2024, 1, 1))], "monitor_id string, snapshot_id int, text_hash string, created_at timestamp")
+    decided, replayed = suppress.decide_alerts(spark.createDataFrame(rows, CAND), snaps, slice_rows=slice_rows)
+    assert {r.diff_id: r.outcome for r in decided.collect()} == want
+    assert 1 <= replayed.rounds <= most
+    assert replayed.states.count() == 1
+
+
+def test_a_replay_goes_on_from_its_states(spark):
+    rows, want = hot_monitor(1500)
+    rows.sort(key=lambda r: r[4])
+    rows += [(9000 + i, "other", "high", "x", rows[0][4] + timedelta(hours=i)) for i in range(3)]
+    snaps = spark.createDataFrame([("hot", 1, "h", datetime(2024, 1, 1))], "monitor_id string, snapshot_id int, text_hash string, created_at timestamp")
+    first, second = rows[:700] + rows[1500:], rows[700:1500]
+    for slice_rows in (100, 100_000):
+        one, before = suppress.decide_alerts(spark.createDataFrame(first, CAND), snaps, slice_rows=slice_rows)
+        two, after = suppress.decide_alerts(spark.createDataFrame(second, CAND), snaps, slice_rows=slice_rows, start=before.states)
+        got = {r.diff_id: r.outcome for r in [*one.collect(), *two.collect()]}
+        assert {i: o for i, o in got.items() if i < 9000} == want
+        assert {r.monitor_id for r in after.states.collect()} == {"hot", "other"}

@@ -78,7 +78,7 @@ def con():
     return con
 
 
-SLOW = {"stream_pairs", "stream_suppress", "stream_clusters", "stream_rate_limit", "stream_dedupe", "stream_digest"}
+SLOW = {"stream_pairs", "stream_diffs", "stream_patterns", "stream_suppress", "stream_clusters", "stream_rate_limit", "stream_dedupe", "stream_digest"}
 
 
 @pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
