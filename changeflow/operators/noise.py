@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
-import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from changeflow.functions import constants as k
 from changeflow.functions import scans
-from changeflow.functions.text import PY_FLAGS_NOCASE, days, matches, remove_all, trim_ws
+from changeflow.functions.pattern_index import Index, Patterns
+from changeflow.functions.text import days, matches, remove_all, trim_ws
 from changeflow.operators.change import FILE_HEADER, _range_text
 from changeflow.operators.ingest import compiles
 
@@ -35,71 +35,80 @@ def strip_global(c: Column) -> Column:
     return F.when(matches(c, anywhere), stripped).otherwise(c)
 
 
-def _compiled(pattern: str):
-    """The pattern ready to use, or None when it is broken: a broken one is passed over."""
-    try:
-        return re.compile(pattern, re.IGNORECASE)
-    except re.error:
-        return None
+#: The operator of a row that carries the patterns of a diff ahead of its lines.
+HEADER = "#"
 
+_STRIPPED = "residual string, hits array<string>"
 
-@F.pandas_udf(T.StringType())
-def _strip_listed(text: pd.Series, patterns: pd.Series) -> pd.Series:
-    out, known = [], {}
-    for line, listed in zip(text, patterns):
-        if line is not None and listed is not None:
-            for pattern in listed:
-                if pattern not in known:
-                    known[pattern] = _compiled(pattern)
-                if known[pattern] is not None:
-                    line = known[pattern].sub("", line)
-        out.append(line)
-    return pd.Series(out, dtype=object)
 
+def _strippers():
+    """A pandas UDF over rows sorted by (diff, header first): it keeps the patterns of the diff it is in."""
 
-def _strip_learned(c: Column, patterns: Column) -> Column:
-    """struct(text, hits): learned patterns in order, and those that changed the text.
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        compiled, built = Patterns(), {}
+        here, index = None, None
+        for diffs, texts, monitor_lists, learned_lists in batches:
+            out_text, out_hits = [], []
+            for diff, text, own, learned in zip(diffs, texts, monitor_lists, learned_lists, strict=True):
+                if own is not None or learned is not None:
+                    own, learned = tuple(own if own is not None else ()), tuple(learned if learned is not None else ())
+                    if (own, learned) not in built:
+                        if len(built) >= 64:
+                            built.clear()
+                        built[own, learned] = Index([*own, *learned], len(own), compiled)
+                    here, index = diff, built[own, learned]
+                elif diff != here:
+                    here, index = diff, None
+                text, hits = index.strip(text) if index is not None and text is not None else (text, [])
+                out_text.append(text)
+                out_hits.append(hits)
+            yield pd.DataFrame({"residual": pd.Series(out_text, dtype=object), "hits": pd.Series(out_hits, dtype=object)})
 
-    Learned patterns are literals, blanks and lazy gaps, so their meaning is the same in Java.
-    """
-    start = F.struct(c.alias("text"), F.array().cast("array<string>").alias("hits"))
-
-    def step(acc: Column, p: Column) -> Column:
-        flagged = F.concat(F.lit(PY_FLAGS_NOCASE), p)
-        left = F.regexp_replace(acc["text"], flagged, F.lit(""))
-        hits = F.when(left != acc["text"], F.concat(acc["hits"], F.array(p))).otherwise(acc["hits"])
-        return F.when(F.rlike(acc["text"], flagged), F.struct(left.alias("text"), hits.alias("hits"))).otherwise(acc)
+    # Not deterministic to the optimizer: the rows must come as they are sorted, all of them.
+    return F.pandas_udf(run, _STRIPPED, F.PandasUDFType.SCALAR_ITER).asNondeterministic()
 
-    return F.aggregate(F.coalesce(patterns, F.array().cast("array<string>")), start, step)
 
+def attach_patterns(lines: DataFrame, monitors: DataFrame | None = None, learned: DataFrame | None = None, heads: DataFrame | None = None) -> DataFrame:
+    """Diff lines, and one header row (op `#`) ahead of each diff that has patterns.
 
-def attach_patterns(lines: DataFrame, monitors: DataFrame | None = None, learned: DataFrame | None = None) -> DataFrame:
-    """Add `monitor_patterns` (by monitor) and `learned_patterns` (by diff) to diff lines.
-
-    Only monitors that have patterns enter the join.
+    The header carries `monitor_patterns` (of the diff's monitor) and `learned_patterns` (of the
+    diff); the lines carry none, so a pattern travels once per diff however many lines it has.
+    `heads` (diff_id, monitor_id) saves reading the lines for them.
     """
+    kind = "array<string>"
+    parts = []
     if monitors is not None:
+        heads = lines.select("diff_id", "monitor_id").distinct() if heads is None else heads.select("diff_id", "monitor_id")
         own = monitors.filter(F.size("noise_patterns") > 0).select("monitor_id", F.col("noise_patterns").alias("monitor_patterns"))
-        lines = lines.join(own, "monitor_id", "left")
+        parts.append(heads.join(own, "monitor_id").select("diff_id", "monitor_patterns", F.lit(None).cast(kind).alias("learned_patterns")))
     if learned is not None:
-        lines = lines.join(learned.select("diff_id", "learned_patterns"), "diff_id", "left")
-    return lines
+        parts.append(learned.filter(F.size("learned_patterns") > 0).select("diff_id", F.lit(None).cast(kind).alias("monitor_patterns"), "learned_patterns"))
+    if not parts:
+        return lines
+    listed = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    listed = listed.groupBy("diff_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("monitor_patterns", "learned_patterns")])
+    headers = listed.withColumns({"op": F.lit(HEADER), "seq": F.lit(-1)})
+    return lines.unionByName(headers, allowMissingColumns=True)
 
 
 def strip_noise(lines: DataFrame) -> DataFrame:
     """Add `residual` and `hit_patterns`: what is left of a line after all patterns, and the learned ones that bit.
 
-    Context lines are passed through untouched. Columns `monitor_patterns` and
-    `learned_patterns` are used when present; without the first no Python runs.
+    Context lines are passed through untouched. Header rows from `attach_patterns` are used
+    and dropped; without them no Python runs. Global patterns are built-in expressions; the
+    others are found by an index (`functions/pattern_index.py`), so a line is tried against
+    those that can match it, and a pattern is compiled once.
+
+    With headers the lines are placed by diff, in the only shuffle that moves lines; the
+    groupings of `filter_diffs` then move a row per hunk and a row per diff.
     """
     changed = F.col("op").isin("+", "-")
     out = lines.withColumn("residual", F.when(changed, strip_global(F.col("text"))))
-    if "monitor_patterns" in lines.columns:
-        out = out.withColumn("residual", _strip_listed("residual", "monitor_patterns"))
     if "learned_patterns" in lines.columns:
-        # Two columns, so that the fold is computed once and then read twice.
-        out = out.withColumn("_fold", F.when(changed, _strip_learned(F.col("residual"), F.col("learned_patterns"))))
-        out = out.withColumns({"residual": F.col("_fold.text"), "hit_patterns": F.col("_fold.hits")}).drop("_fold")
+        placed = out.repartition("diff_id").sortWithinPartitions("diff_id", "seq")
+        stripped = _strippers()(F.xxhash64("diff_id"), F.col("residual"), F.col("monitor_patterns"), F.col("learned_patterns"))
+        out = placed.withColumn("_s", stripped).withColumns({"residual": F.col("_s.residual"), "hit_patterns": F.col("_s.hits")})
+        out = out.filter(F.col("op") != HEADER).drop("_s", "monitor_patterns", "learned_patterns")
     else:
         out = out.withColumn("hit_patterns", F.array().cast("array<string>"))
     return out.withColumn("residual", trim_ws(F.col("residual")))
@@ -142,7 +151,8 @@ def filter_diffs(lines: DataFrame, min_residual: int = k.MIN_RESIDUAL_CHARS, wit
 
     One shuffle: rows are placed by diff, and both groupings below use that placement.
     """
-    marked = classify_noise_lines(lines.repartition("diff_id"), min_residual)
+    placed = lines if "learned_patterns" in lines.columns else lines.repartition("diff_id")
+    marked = classify_noise_lines(placed, min_residual)
     changed = F.col("op").isin("+", "-")
     kept_change = changed & ~F.col("is_noise")
     per_hunk = [

@@ -47,7 +47,7 @@ def _run(snapshots: DataFrame, monitors: DataFrame, model: Model, before: dict[s
     known = state if superseded is None else state.unionByName(superseded)
     in_force = noise.pattern_lists(noise.patterns_as_of(heads, known))
 
-    patterned = noise.attach_patterns(lines, monitors, in_force)
+    patterned = noise.attach_patterns(lines, monitors, in_force, heads)
     diffs = noise.filter_diffs(patterned, carry=("monitor_id", "created_at"))
     diffs = cut_lineage(diffs.withColumn("snapshot_after_id", F.col("diff_id")), "diffs")
 

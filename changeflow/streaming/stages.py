@@ -58,7 +58,7 @@ def _marked(rows: DataFrame, closing: str) -> DataFrame:
     kinds = {f.name: f.dataType for f in rows.schema}
     marks = rows.sparkSession.readStream.schema("event_time timestamp").option("maxFilesPerTrigger", 1).parquet(closing)
     # Not null where it can be helped: a null among integers would turn a whole batch into floats in Python.
-    blank = {c: F.lit(None if isinstance(kinds[c], T.ArrayType) else "-1").cast(kinds[c]) for c in rows.columns if c not in ("event_time", "t")}
+    blank = {c: F.lit("-1" if isinstance(kinds[c], (T.StringType, T.NumericType)) else None).cast(kinds[c]) for c in rows.columns if c not in ("event_time", "t")}
     if "t" in kinds:
         blank["t"] = micros(F.col("event_time"))
     return rows.unionByName(marks.withColumns(blank).select(*rows.columns))

@@ -161,25 +161,14 @@ def check_against_one_run(spark, store, parts, snapshots, monitors):
 
 
 def test_the_chain_goes_on(spark, tmp_path):
-    snapshots, monitors = spark.createDataFrame(pages(), SNAPSHOTS), spark.createDataFrame(MONITORS, MONITOR_SCHEMA)
-    store = str(tmp_path / "store")
-    # A cut within a day, and an empty batch.
-    parts = [monitoring.watch_next(store, f"run {i}", part, monitors, make_model()) for i, part in enumerate(cut(snapshots, "created_at", "2024-01-13 02:30:00", "2024-01-13 02:31:00"))]
-    check_against_one_run(spark, store, parts, snapshots, monitors)
-
-
-def test_a_run_reads_the_batch_and_the_store_only(spark, tmp_path):
-    """The file scans of the second run list its own batch and carries, nothing of the first batch."""
-    rows, monitors = pages(14, 2), spark.createDataFrame(MONITORS[:2], MONITOR_SCHEMA)
-    early, late = [r for r in rows if r[3] < datetime(2024, 1, 12)], [r for r in rows if r[3] >= datetime(2024, 1, 12)]
-    for name, part in (("early", early), ("late", late)):
+    """A cut within a day. The second run reads its own batch and the store: the first batch is gone by then."""
+    rows, monitors = pages(), spark.createDataFrame(MONITORS, MONITOR_SCHEMA)
+    middle = datetime(2024, 1, 13, 2, 30)
+    for name, part in (("early", [r for r in rows if r[3] < middle]), ("late", [r for r in rows if r[3] >= middle])):
         spark.createDataFrame(part, SNAPSHOTS).write.parquet(str(tmp_path / name))
     store = str(tmp_path / "store")
-    monitoring.watch_next(store, "one", spark.read.parquet(str(tmp_path / "early")), monitors, make_model())
+    parts = [monitoring.watch_next(store, "one", spark.read.parquet(str(tmp_path / "early")), monitors, make_model())]
     (tmp_path / "early").rename(tmp_path / "gone")
-    out = monitoring.watch_next(store, "two", spark.read.parquet(str(tmp_path / "late")), monitors, make_model())
-    assert out["snapshots"].count() == len(late)
-    assert out["snapshots"].filter("status = 'baseline'").count() == 0
-    scanned = {f for f in CarryStore(spark, store).tables()["texts"].inputFiles()}
-    assert all("/carries/texts" in f for f in scanned)
-    assert CarryStore(spark, store).tables()["texts"].count() == 2
+    parts.append(monitoring.watch_next(store, "two", spark.read.parquet(str(tmp_path / "late")), monitors, make_model()))
+    assert CarryStore(spark, store).tables()["texts"].count() == len(MONITORS)
+    check_against_one_run(spark, store, parts, spark.createDataFrame(rows, SNAPSHOTS), monitors)

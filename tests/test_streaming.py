@@ -149,15 +149,15 @@ def test_the_chain_as_a_stream(spark, tmp_path):
     """Snapshots in files by arrival, some of them two days after their time: the stored results are those of one run."""
     from tests import test_incremental as chain
 
-    rows = chain.pages(16, 3)
-    arrived = [(*r, (r[3].day + (2 if i % 5 == 0 else 0)) // 3) for i, r in enumerate(rows)]
+    rows = chain.pages(14, 2)
+    arrived = [(*r, (r[3].day + (2 if i % 5 == 0 else 0)) // 13) for i, r in enumerate(rows)]
     for i in sorted({r[4] for r in arrived}):
         spark.createDataFrame([r[:4] for r in arrived if r[4] == i], chain.SNAPSHOTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    snapshots, monitors = spark.createDataFrame(rows, chain.SNAPSHOTS), spark.createDataFrame(chain.MONITORS[:3], chain.MONITOR_SCHEMA)
+    snapshots, monitors = spark.createDataFrame(rows, chain.SNAPSHOTS), spark.createDataFrame(chain.MONITORS[:2], chain.MONITOR_SCHEMA)
     stream = spark.readStream.schema(chain.SNAPSHOTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     store, end = str(tmp_path / "store"), stages.closing_folder(spark, str(tmp_path / "end"))
     for _ in range(2):
-        stages.watch_stream(stream, monitors, chain.make_model(), store, str(tmp_path / "checkpoint"), "6 days", end, str(tmp_path / "late"), 900)
+        stages.watch_stream(stream, monitors, chain.make_model(), store, str(tmp_path / "checkpoint"), "2 days", end, str(tmp_path / "late"), 900)
         stages.close_stream(spark, end)
     history = stages.CarryStore(spark, store)
     assert len(history.commits) > 1 and spark.read.parquet(str(tmp_path / "late")).count() == 0
