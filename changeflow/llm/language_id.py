@@ -14,7 +14,8 @@ Only text and language are learned from, over all rows that are not held out. Wo
 than `RUN` bytes are parted where no piece of the vocabulary lies across, which leaves the sum
 as it is; what is still longer is passed over byte by byte in logarithms. Nothing is cut off.
 
-Defined cases: null texts and texts without a letter are `und` with score 0; rows without a
+Defined cases: null texts and texts without a letter (Unicode's L; number signs are none) are
+`und` with score 0; an empty table gives none; rows without a
 language teach nothing; without any language to learn all is `und`; repeated rows repeat;
 columns that clash are left alone by the filter and not carried by `predict`.
 """
@@ -22,11 +23,11 @@ columns that clash are left alone by the filter and not carried by `predict`.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ _REMEMBERED, _REMEMBERED_BYTES = 1_000_000, 1 << 26
 _AT_ONCE = 1 << 16
 #: Words less probable than this in a language are summed again in logarithms.
 LEAST = 1e-250
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def vocabulary_path() -> str:

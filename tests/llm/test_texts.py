@@ -349,3 +349,16 @@ def test_context_tree_without_training(docs):
     assert context_tree.score_texts(docs([]), F.lit(True)).count() == 0
     row = context_tree.score_texts(docs([(1, "ab")]), F.lit(True)).first()
     assert row["score"] == pytest.approx(-24 * math.log10(2)) and row["train_tokens"] == 0 and row["n_known"] == 0
+
+
+def test_number_signs_are_no_letters(docs):
+    """Superscripts, circled and Roman numbers, marks and digits make no word of any language; one letter does."""
+    rows = [(i, t, "en" if i % 2 else "de") for i, t in enumerate(["the words of a text", "die Wörter im Text"] * 20)]
+    odd = [(100, "² ½"), (101, "①②"), (102, "Ⅷ"), (103, "١٢٣ 4"), (104, "́ _ !"), (105, "² a"), (106, "日"), (107, "ª")]
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs(rows + odd).withColumn("teaches", F.col("doc_id") < 100), "teaches", language_id.vocabulary_path()).collect()}
+    assert {got[i] for i in range(100, 105)} == {"und"}
+    assert "und" not in {got[i] for i in (105, 106, 107)}
+
+
+def test_no_rows_no_languages(docs):
+    assert language_id.predict(docs([]).withColumn("teaches", F.lit(True)), "teaches", language_id.vocabulary_path()).collect() == []
