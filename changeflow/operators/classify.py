@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changeflow.functions import constants as k
 from changeflow.functions.text import PY_FLAGS_NOCASE, is_blank, severity_rank, string_array, trim_ws
+from changeflow.plans.storage import cut_lineage, new_folder
 from changeflow.sources.tables import append_once
 
 
@@ -86,6 +91,45 @@ def classify_with(prompts: DataFrame, model: Callable[[pd.DataFrame], pd.DataFra
     return prompts.select("diff_id", "prompt").mapInPandas(run, schema)
 
 
+def classify_from_ledger(
+    prompts: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], ledger: str, wave: int = 1000, per_minute: int | None = None, retries: int = 2
+) -> DataFrame:
+    """`classify_with`, wave by wave, with every answer kept in the folder `ledger`.
+
+    Prompts whose answer is in the ledger are not asked again: neither in a later run nor when
+    a run goes on after a failure, which costs the wave it happened in. A wave holds about
+    `wave` prompts; with `per_minute`, waves are started no faster than that allows. Error
+    rows are not kept, so what failed is asked in the next run.
+    """
+    spark = prompts.sparkSession
+    id_type = prompts.schema["diff_id"].dataType.simpleString()
+    schema = f"diff_id {id_type}, body string, is_structured boolean, prompt_tokens int, completion_tokens int, error string"
+
+    def answered() -> DataFrame | None:
+        try:
+            return spark.read.schema(schema).parquet(ledger)
+        except AnalysisException:  # nothing asked yet
+            return None
+
+    known = answered()
+    todo = prompts if known is None else prompts.join(known.select("diff_id"), "diff_id", "left_anti")
+    folder = new_folder(spark, "prompts")
+    waves = max(1, math.ceil(todo.count() / wave))
+    todo.withColumn("wave", F.pmod(F.xxhash64("diff_id"), F.lit(waves))).repartition("wave").write.partitionBy("wave").parquet(folder)
+    asked = spark.read.schema(T.StructType([*prompts.schema.fields, T.StructField("wave", T.LongType())])).parquet(folder)
+    failed = None
+    for number in range(waves):
+        started = time.monotonic()
+        answers = cut_lineage(classify_with(asked.filter(F.col("wave") == number).drop("wave"), model, retries), "answers")
+        answers.filter(F.col("error").isNull()).write.mode("append").parquet(ledger)
+        lost = answers.filter(F.col("error").isNotNull())
+        failed = lost if failed is None else failed.unionByName(lost)
+        if per_minute and number + 1 < waves:
+            time.sleep(max(0.0, 60.0 * wave / per_minute - (time.monotonic() - started)))
+    return answered().join(prompts.select("diff_id"), "diff_id", "left_semi").unionByName(failed)
+
+
+
 def _first_level(text: Column) -> Column:
     level = None
     for name in k.SEVERITIES:

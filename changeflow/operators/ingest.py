@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changeflow.functions import constants as k
-from changeflow.functions import scans
+from changeflow.functions import ranks, scans
 from changeflow.functions.text import matches, micros, trim_ws
 
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -139,13 +139,14 @@ def flag_bot_pages(df: DataFrame, text_col: str = "extracted_text") -> DataFrame
 def due_monitors(monitors: DataFrame, now: Column, batch_size: int = k.SCRAPE_BATCH_SIZE) -> DataFrame:
     """Live monitors to check, oldest first, with their place in line and batch number.
 
-    The place is a global rank: ranked inside each hour, hours added up (no single-task sort).
+    The place is a global rank over range partitions (`functions/ranks.py`): no task sees all
+    rows, however many are due in one hour.
     """
     due = monitors.filter(
         F.col("is_active") & F.col("deleted_at").isNull() & (F.col("next_check_at") <= now)
     )
-    ranked = scans.scan(due, [], ["next_check_at", "monitor_id"], [scans.by_hour("next_check_at")], place=scans.count())
-    return ranked.withColumn("batch_no", F.floor((F.col("place") - 1) / batch_size))
+    placed = ranks.ranked(due, ["next_check_at", "monitor_id"], "place")
+    return placed.withColumn("batch_no", F.floor((F.col("place") - 1) / batch_size))
 
 
 def skip_recent(monitors: DataFrame, now: Column, minutes: int = k.RECENT_MINUTES, force: bool = False) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changeflow.functions import constants as k
-from changeflow.functions import scans
+from changeflow.functions import ranks, scans
+from changeflow.functions.similarity import matching_runs, similarity
 from changeflow.functions.text import PY_FLAGS, collapse_ws, days, matches, micros, steady_round, string_array
 
 _TOKEN = re.compile(r"\s+|\S+")
@@ -57,17 +57,13 @@ def replacement_pairs(lines: DataFrame) -> DataFrame:
 
 def propose_pattern(before: str, after: str):
     """(pattern, template, similarity) for a pair of lines, or None."""
-    whole = SequenceMatcher(None, before, after, autojunk=False)
-    # Both quick ratios are upper bounds of the ratio.
-    if whole.real_quick_ratio() < k.MIN_SIMILARITY or whole.quick_ratio() < k.MIN_SIMILARITY:
-        return None
-    similarity = whole.ratio()
-    if similarity < k.MIN_SIMILARITY:
+    alike = similarity(before, after, k.MIN_SIMILARITY)
+    if alike is None:
         return None
     old, new = _TOKEN.findall(before), _TOKEN.findall(after)
     regex, words, fixed_chars, gaps = "", [], 0, 0
     seen_old = seen_new = 0
-    for a, b, size in SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks():
+    for a, b, size in [*matching_runs(old, new), (len(old), len(new), 0)]:
         if a > seen_old or b > seen_new:
             gaps += 1
             regex += ".+?"
@@ -82,7 +78,7 @@ def propose_pattern(before: str, after: str):
         seen_old, seen_new = a + size, b + size
     if not gaps or fixed_chars < k.MIN_LITERAL_CHARS:
         return None
-    return f"^{regex}$", " ".join(words), similarity
+    return f"^{regex}$", " ".join(words), alike
 
 
 _PROPOSAL = T.StructType(
@@ -108,13 +104,17 @@ def _proposals(before: pd.Series, after: pd.Series) -> pd.DataFrame:
 def candidate_patterns(pairs: DataFrame, max_chars: int | None = None) -> DataFrame:
     """(diff_id, pattern, template, similarity, before, after): first pair per pattern of a diff.
 
-    Equality is tested natively; only what is left reaches Python. With `max_chars`, pairs
-    with a longer line are left out.
+    Equality is tested natively, and so is a bound that only needs the lengths; a pair that
+    recurs in many diffs reaches Python once. With `max_chars`, pairs with a longer line are
+    left out.
     """
     if max_chars is not None:
         pairs = pairs.filter((F.length("before") <= max_chars) & (F.length("after") <= max_chars))
-    tested = pairs.filter(F.col("before") != F.col("after")).withColumn("_p", _proposals("before", "after"))
-    found = tested.filter(F.col("_p.pattern").isNotNull()).select("diff_id", "seq", "before", "after", "_p.*")
+    shorter, both = F.least(F.length("before"), F.length("after")), F.length("before") + F.length("after")
+    tested = pairs.filter((F.col("before") != F.col("after")) & (2 * shorter >= k.MIN_SIMILARITY * both))
+    proposed = tested.select("before", "after").distinct().withColumn("_p", _proposals("before", "after"))
+    known = proposed.select("before", "after", "_p.*").filter(F.col("pattern").isNotNull())
+    found = tested.select("diff_id", "seq", "before", "after").join(known, ["before", "after"])
     first = F.min_by(F.struct("template", "similarity", "before", "after"), "seq")
     return found.groupBy("diff_id", "pattern").agg(first.alias("_first")).select("diff_id", "pattern", "_first.*")
 
@@ -420,11 +420,12 @@ def summarize_patterns(used: DataFrame, monitors: DataFrame | None = None) -> Da
 
 
 def learning_overview(summary: DataFrame, monitors: DataFrame, user_id=None) -> DataFrame:
-    """Live monitors that have patterns, with their summary; sort with `OVERVIEW_ORDER`."""
+    """Live monitors that have patterns, with their summary and `place` in `OVERVIEW_ORDER`."""
     live = monitors.filter(F.col("deleted_at").isNull())
     if user_id is not None:
         live = live.filter(F.col("user_id") == user_id)
-    return live.select("monitor_id", "user_id", "name", "competitor_name").join(summary.filter("learned_patterns > 0"), "monitor_id")
+    items = live.select("monitor_id", "user_id", "name", "competitor_name").join(summary.filter("learned_patterns > 0"), "monitor_id")
+    return ranks.ranked(items, OVERVIEW_ORDER)
 
 
 OVERVIEW_ORDER = ["lines_filtered_7d desc", "learned_patterns desc", "avg_confidence desc", "monitor_id"]

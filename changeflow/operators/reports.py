@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.functions import constants as k
+from changeflow.functions import ranks
 from changeflow.functions import scans
 from changeflow.functions.text import like_literal
 
@@ -100,10 +101,22 @@ def page_bounds(page: int = 1, per_page: int = 20, limit: int | None = None) ->
     return (max(1, page) - 1) * rows, rows
 
 
-def paginate(df: DataFrame, order: list[str], page: int = 1, per_page: int = 20, limit: int | None = None) -> DataFrame:
-    """One page of `df`. `order` entries are "column" or "column desc" and must end in a unique column."""
+#: Up to here a page is cut from the first rows, which every task finds among its own.
+NEAR_ROWS = 10_000
+
+
+def paginate(df: DataFrame, order: list[str], page: int = 1, per_page: int = 20, limit: int | None = None, near_rows: int = NEAR_ROWS) -> DataFrame:
+    """One page of `df`. `order` entries are "column" or "column desc" and must end in a unique column.
+
+    A page near the top needs the first rows only. One further down is found by its places in
+    the range-partitioned order, so that no task gathers all rows before it.
+    """
     offset, rows = page_bounds(page, per_page, limit)
-    return df.orderBy(*[F.expr(o.removesuffix(" desc")).desc() if o.endswith(" desc") else F.col(o) for o in order]).offset(offset).limit(rows)
+    by = ranks.sort_columns(order)
+    if offset + rows <= near_rows:
+        return df.orderBy(*by).offset(offset).limit(rows)
+    placed = ranks.ranked(df, order, "_place")
+    return placed.filter((F.col("_place") > offset) & (F.col("_place") <= offset + rows)).orderBy("_place").drop("_place")
 
 
 def page_totals(df: DataFrame, by: list[str] | None = None, per_page: int = 20) -> DataFrame:

@@ -581,7 +581,7 @@ oracle(
 )
 oracle(
     "learning_overview",
-    """SELECT m.monitor_id, name, learned_patterns, active_patterns, lines_filtered_7d, avg_confidence FROM monitors_v m JOIN summary_v s ON m.monitor_id = s.monitor_id
+    """SELECT row_number() OVER (ORDER BY lines_filtered_7d DESC, learned_patterns DESC, avg_confidence DESC, m.monitor_id) AS place, m.monitor_id, name, learned_patterns, active_patterns, lines_filtered_7d, avg_confidence FROM monitors_v m JOIN summary_v s ON m.monitor_id = s.monitor_id
     WHERE deleted_at IS NULL""",
     ("monitors_v", "summary_v"),
 )
@@ -955,7 +955,18 @@ oracle(
 )
 oracle("list_diffs", "SELECT diff_id, monitor_id, original_lines FROM filtered_v WHERE NOT is_empty_after_filter", ("filtered_v",))
 oracle("list_snapshots", "SELECT snapshot_id, monitor_id, version, created_at FROM versions_v", ("versions_v",))
+_TYPED = "CAST(snapshot_id AS VARCHAR) AS snapshot_id, CAST(monitor_id AS VARCHAR) AS monitor_id, text_hash, CAST(length(text_hash) AS INTEGER) AS text_length, created_at"
+oracle("read_table_snapshots", f"SELECT {_TYPED} FROM snapshots_v WHERE CAST(created_at AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'", ("snapshots_v",))
+oracle("stream_table_snapshots", f"SELECT {_TYPED} FROM snapshots_v", ("snapshots_v",))
+oracle("append_stream_analyses", "SELECT diff_id, monitor_id, severity, created_at FROM analyses_v", ("analyses_v",))
+ORACLES["classify_from_ledger"] = ORACLES["classify_with"]
 oracle("paginate", "SELECT alert_id, created_at FROM alerts_v ORDER BY created_at DESC, alert_id LIMIT 50 OFFSET 100", ("alerts_v",))
+oracle(
+    "paginate_deep",
+    """SELECT alert_id, created_at FROM (SELECT alert_id, created_at, row_number() OVER (ORDER BY created_at DESC, alert_id) AS place, count(*) OVER () AS n FROM alerts_v)
+    WHERE place > 50 * greatest(CAST(ceil(n / 50.0) AS BIGINT) - 2, 0) AND place <= 50 * greatest(CAST(ceil(n / 50.0) AS BIGINT) - 1, 1)""",
+    ("alerts_v",),
+)
 oracle(
     "page_totals",
     "SELECT user_id, count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages FROM alerts_v GROUP BY user_id",

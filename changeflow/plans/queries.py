@@ -16,7 +16,7 @@ from changeflow.operators import change, classify, cluster, ingest, learning, li
 from changeflow.plans import monitoring
 from changeflow.plans.storage import cut_lineage, new_folder
 from changeflow.sources import adapters as a
-from changeflow.sources.tables import append_once, upsert_state
+from changeflow.sources.tables import append_once, append_stream, read_table, stream_table, upsert_state, write_table
 from changeflow.streaming import stages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,50 @@ def joined(name: str):
 # ---- A. sources and sinks ----------------------------------------------------------
 
 
+def _snapshot_table(spark, sf, name: str) -> str:
+    """The snapshots as a canonical table in date folders."""
+    rows = a.snapshots(spark, sf).select(
+        F.col("snapshot_id").cast("string").alias("snapshot_id"), F.col("monitor_id").cast("string").alias("monitor_id"), F.lit(None).cast("string").alias("url"),
+        F.lit(None).cast("string").alias("extracted_text"), "text_hash", F.length("text_hash").alias("text_length"), F.col("created_at").cast("timestamp").alias("created_at"),
+    )
+    folder = new_folder(spark, name)
+    write_table(rows, f"{folder}/table", "created_at")
+    return folder
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    return rows.select("snapshot_id", "monitor_id", "text_hash", "text_length", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
+@query
+def read_table_snapshots(spark, sf):
+    """Snapshots of one week, read with their declared schema from the folders of those days."""
+    folder = _snapshot_table(spark, sf, "snapshots")
+    rows = read_table(spark, "snapshots", f"{folder}/table")
+    return _typed(rows.filter("day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'"))
+
+
+@query
+def stream_table_snapshots(spark, sf):
+    """The same table as a typed stream of files, a few at a time."""
+    folder = _snapshot_table(spark, sf, "snapshot-stream")
+    rows = stream_table(spark, "snapshots", f"{folder}/table", files_per_trigger=16)
+    stages.run_available(_typed(rows), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema("snapshot_id string, monitor_id string, text_hash string, text_length int, created_at timestamp_ntz").parquet(f"{folder}/out")
+
+
+@query
+def append_stream_analyses(spark, sf):
+    """Analyses that arrive twice, in several micro-batches: each is stored once, in its first version."""
+    folder = new_folder(spark, "appended")
+    rows = a.analyses(spark, sf).select("diff_id", "monitor_id", "severity", "created_at")
+    rows.repartition(3, "diff_id").write.parquet(f"{folder}/in")
+    rows.repartition(2).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    append_stream(stream, f"{folder}/stored", ["diff_id"], f"{folder}/checkpoint", ["created_at"])
+    return spark.read.schema(rows.schema).parquet(f"{folder}/stored").select(*rows.columns)
+
+
 @query
 def append_once_analyses(spark, sf):
     rows = a.analyses(spark, sf).select("diff_id", "monitor_id", "severity", "created_at")
@@ -453,7 +497,7 @@ def summarize_patterns(spark, sf):
 @query
 def learning_overview(spark, sf):
     items = learning.learning_overview(learning.summarize_patterns(_used_patterns(spark, sf)), a.monitors(spark, sf))
-    return items.select("monitor_id", "name", "learned_patterns", "active_patterns", "lines_filtered_7d", "avg_confidence")
+    return items.select("place", "monitor_id", "name", "learned_patterns", "active_patterns", "lines_filtered_7d", "avg_confidence")
 
 
 @query
@@ -562,6 +606,17 @@ def classify_with(spark, sf):
     return parsed.select("diff_id", "significance_level", "summary", "prompt_tokens", "total_cost_usd")
 
 
+@query
+def classify_from_ledger(spark, sf):
+    """Twice over one ledger: a third of the prompts, then all; the second run asks those that are left."""
+    prompts = classify.classification_inputs(_stored_diffs(spark, sf), a.monitors(spark, sf))
+    ledger = new_folder(spark, "ledger")
+    wave = max(1, prompts.count() // 3)
+    classify.classify_from_ledger(prompts.filter("diff_id % 3 = 0"), stub_model, ledger, wave)
+    parsed = classify.parse_responses(classify.classify_from_ledger(prompts, stub_model, ledger, wave))
+    return parsed.select("diff_id", "significance_level", "summary", "prompt_tokens", "total_cost_usd")
+
+
 # ---- G. suppression -----------------------------------------------------------------------------
 
 
@@ -781,6 +836,14 @@ def paginate(spark, sf):
     return reports.paginate(a.alerts(spark, sf), ["created_at desc", "alert_id"], page=3, per_page=50).select("alert_id", "created_at")
 
 
+@query
+def paginate_deep(spark, sf):
+    """The last pages but one of all alerts, found by their places."""
+    alerts = a.alerts(spark, sf)
+    pages = reports.page_count(alerts.count(), 50)
+    return reports.paginate(alerts, ["created_at desc", "alert_id"], page=max(1, pages - 1), per_page=50, near_rows=0).select("alert_id", "created_at")
+
+
 @query
 def page_totals(spark, sf):
     return reports.page_totals(a.alerts(spark, sf), ["user_id"])

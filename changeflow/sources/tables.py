@@ -9,7 +9,10 @@ from changeflow.schemas import SCHEMAS
 
 
 def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read a canonical table with its declared schema; nothing is inferred."""
+    """Read a canonical table with its declared schema; nothing is inferred.
+
+    A table in date folders (`write_table`) has their `day` as a last column, to filter on.
+    """
     return spark.read.schema(SCHEMAS[name]).format(fmt).load(path)
 
 
@@ -50,6 +53,27 @@ def append_once(
     return fresh if existing is None else fresh.join(existing.select(*key), key, "left_anti")
 
 
+def append_stream(stream: DataFrame, path: str, key: list[str], checkpoint: str, version: list[str] | None = None, timeout: int | None = None) -> None:
+    """`append_once` batch by batch: rows of keys that are stored already are left out.
+
+    Each micro-batch has a folder of its own. A batch that is repeated after a failure does not
+    see what its first attempt stored, and overwrites it, so a key is stored once whatever fails.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stored = None
+        if batch_id:
+            schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in batch.schema if f.name in key)}, batch bigint"
+            stored = spark.read.schema(schema).parquet(path).filter(F.col("batch") < batch_id)
+        append_once(stored, batch, key, version).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    running = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if not running.awaitTermination(timeout) and timeout is not None:
+        running.stop()
+        raise TimeoutError(f"the stream was not done after {timeout} s; {path} holds part of its result")
+
+
 def upsert_state(current: DataFrame, changes: DataFrame, key: list[str], version: list[str | Column]) -> DataFrame:
     """Last write wins per key over `current` and `changes`."""
     rest = [c for c in current.columns if c not in key]

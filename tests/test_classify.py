@@ -1,6 +1,7 @@
 import json
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from changeflow.functions import constants as k
@@ -146,3 +147,44 @@ def test_one_bad_prompt_costs_only_itself(spark):
     prompts = spark.createDataFrame([(i, "bad" if i == 7 else "good") for i in range(20)], "diff_id int, prompt string").coalesce(1)
     got = {r.diff_id: r.error for r in classify.classify_with(prompts, model).collect()}
     assert got == {i: "no" if i == 7 else None for i in range(20)}
+
+
+def make_counting_model(log, broken):
+    """A model that notes what it is asked; it dies on ids in `broken`, and gives an error for one id."""
+
+    def model(batch):
+        with open(log, "a") as out:
+            out.write("".join(f"{i}\n" for i in batch["diff_id"]))
+        if set(batch["diff_id"]) & set(broken):
+            raise SystemExit("lost")
+        return pd.DataFrame({"diff_id": batch["diff_id"], "body": "{}", "is_structured": True, "prompt_tokens": 1, "completion_tokens": 1, "error": None})
+
+    return model
+
+
+def test_no_answer_is_asked_for_twice(spark, tmp_path):
+    from collections import Counter
+
+    log, ledger = str(tmp_path / "log"), str(tmp_path / "ledger")
+    prompts = spark.range(200).selectExpr("id AS diff_id", "concat('p', id) AS prompt")
+    with pytest.raises(Exception):
+        classify.classify_from_ledger(prompts, make_counting_model(log, [77]), ledger, wave=20)
+    before = Counter(open(log).read().split())
+    kept = {r.diff_id for r in spark.read.parquet(ledger).collect()} if (tmp_path / "ledger").exists() else set()
+    open(log, "w").close()
+    got = classify.classify_from_ledger(prompts, make_counting_model(log, []), ledger, wave=20)
+    assert sorted(r.diff_id for r in got.collect()) == list(range(200))
+    asked = Counter(open(log).read().split())
+    assert {int(i) for i in asked} == set(range(200)) - kept and max(asked.values()) == 1 and before
+    open(log, "w").close()
+    assert classify.classify_from_ledger(prompts, make_counting_model(log, []), ledger, wave=20).count() == 200
+    assert open(log).read() == ""
+
+
+def test_waves_keep_to_a_budget(spark, tmp_path):
+    import time
+
+    prompts = spark.range(40).selectExpr("id AS diff_id", "concat('p', id) AS prompt")
+    started = time.monotonic()
+    classify.classify_from_ledger(prompts, make_counting_model(str(tmp_path / "log"), []), str(tmp_path / "ledger"), wave=10, per_minute=300)
+    assert time.monotonic() - started >= 6
