@@ -170,15 +170,21 @@ def attempt_streaks(attempts: DataFrame, id_col: str = "attempt_id") -> DataFram
 def fold_attempts(
     attempts: DataFrame, interval_hours: int = 6, id_col: str = "attempt_id", pause_after: int = k.PAUSE_AFTER_FAILURES, max_error: int | None = None
 ) -> DataFrame:
-    """State of each monitor after its attempt log; the last error whole, or its first `max_error` characters."""
-    streaks = attempt_streaks(attempts, id_col)
-    last = F.struct("ok", "error", "attempted_at", "consecutive_failures")
-    folded = streaks.groupBy("monitor_id").agg(
-        F.max_by(last, F.struct("attempted_at", id_col)).alias("last"),
+    """State of each monitor after its attempt log; the last error whole, or its first `max_error` characters.
+
+    Only narrow columns are scanned; of the errors, each task passes on the last one of a monitor.
+    """
+    newest = F.struct("attempted_at", id_col)
+    streaks = attempt_streaks(attempts.select(id_col, "monitor_id", "attempted_at", "ok"), id_col)
+    last = F.struct("ok", "attempted_at", "consecutive_failures")
+    state = streaks.groupBy("monitor_id").agg(
+        F.max_by(last, newest).alias("_last"),
         F.max(F.when(F.col("ok"), F.col("attempted_at"))).alias("last_checked_at"),
         F.max("consecutive_failures").alias("worst_streak"),
         F.count(F.lit(1)).alias("attempts"),
     )
+    errors = attempts.groupBy("monitor_id").agg(F.max_by(F.struct("error"), newest).alias("_error"))
+    folded = state.join(errors, "monitor_id").withColumn("last", F.struct("_last.*", "_error.error"))
     return folded.select(
         "monitor_id",
         "attempts",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.functions import constants as k
@@ -76,16 +76,16 @@ def build_digests(routes: DataFrame, monitors: DataFrame, hour: int, max_summary
     A digest of more than `QUEUE_PART` alerts continues in further parts; only part 0 has
     the header. Empty digests do not exist.
     """
-    queued = queued_alerts(routes).filter(F.col("digest_hour_utc") == hour)
+    queued = queued_alerts(routes.filter(digest_hour(F.col("digest_hour_utc")) == hour))
     named = queued.join(monitors.select("monitor_id", F.col("name").alias("monitor_name")), "monitor_id", "left")
     line = F.concat(
         F.lit("• ["), F.upper("severity"), F.lit("] "), F.coalesce("monitor_name", F.lit("Unknown")), F.lit(": "),
         F.col("summary") if max_summary is None else F.substring("summary", 1, max_summary),
     )
     lines = F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda s: s["line"])
-    parts = named.groupBy(*_QUEUE, "part").agg(F.array_join(lines, "\n").alias("body"), F.max("place").alias("_last"))
-    # Places are numbered from 1, so the highest is the total; by now there is one row per part.
-    parts = parts.withColumn("alerts", F.max("_last").over(Window.partitionBy(*_QUEUE)))
+    parts = named.groupBy(*_QUEUE, "part").agg(F.array_join(lines, "\n").alias("body"))
+    # Places are numbered from 1, so the highest is the total; bodies do not meet in one task for it.
+    parts = parts.join(queued.groupBy(*_QUEUE).agg(F.max("place").alias("alerts")), _QUEUE)
     header = F.concat(F.lit("📊 **Daily Digest** — "), F.col("alerts").cast("string"), F.lit(" alert(s)\n\n"))
     return parts.select(
         *_QUEUE, "part", "alerts", F.concat(F.when(F.col("part") == 0, header).otherwise(""), F.col("body")).alias("text")
