@@ -1033,7 +1033,7 @@ def stream_clusters(spark, sf):
 @query
 def stream_rate_limit(spark, sf):
     counted = _streamed(spark, lambda end: stages.stream_rate_limit(a.request_log(spark, sf, a.stream_table), limit=1, closing=end), "limits")
-    return counted.select("client", F.col("minute").cast("timestamp_ntz").alias("minute"), "requests", "rejected")
+    return stages.on_time(counted).select("client", F.col("minute").cast("timestamp_ntz").alias("minute"), "requests", "rejected")
 
 
 @query

@@ -84,6 +84,9 @@ class InOrder(StatefulProcessor):
     as text. `forget` names the instant from which the state is no longer needed.
     """
 
+    #: A row is passed by the watermark a millisecond after its own.
+    margin = 1
+
     def __init__(self, columns: str, order: list[str], outputs: list[str]) -> None:
         self.columns, self.order, self.outputs = columns, order, outputs
         self.names = [c.split()[0] for c in columns.split(", ")]
@@ -111,7 +114,7 @@ class InOrder(StatefulProcessor):
     def _plan(self, times: list[int], look_again: int | None) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        moments = [min(times) // 1000 + 1] if times else []
+        moments = [min(times) // 1000 + self.margin] if times else []
         if look_again is not None:
             moments.append(look_again // 1000 + 1)
         if moments:
@@ -368,18 +371,52 @@ def stream_clusters(alerts: DataFrame, watermark: str = "1 hour", closing: str |
 # ---- rate limit, duplicates, digests -----------------------------------------------------------
 
 
+class Minutes(InOrder):
+    """State per client: a count for every minute that is still open. `t` is the end of a row's minute."""
+
+    margin = 0  # the end of a minute is no part of it
+
+    def _state(self) -> dict[str, int]:
+        return json.loads(self.kept.get()[0]) if self.kept.exists() else {}
+
+    def _keep(self, counts: dict[str, int]) -> None:
+        self.kept.update((json.dumps(counts),)) if counts else self.kept.clear()
+        self._plan([int(t) for t in counts], None)
+
+    def _rows(self, key: tuple, counts: dict[str, int], late: bool) -> pd.DataFrame:
+        return self._out([{"client": key[0], "ended": int(t), "requests": n} for t, n in sorted(counts.items())], late)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        counts, late = self._state(), {}
+        for frame in rows:
+            for t, n in frame["t"].value_counts().items():
+                into = late if int(t) // 1000 <= mark else counts
+                into[str(t)] = into.get(str(t), 0) + int(n)
+        self._keep(counts)
+        if late:
+            yield self._rows(key, late, True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        counts = self._state()
+        ended = {t: n for t, n in counts.items() if int(t) // 1000 <= mark}
+        self._keep({t: n for t, n in counts.items() if t not in ended})
+        yield self._rows(key, ended, False)
+
+
 def stream_rate_limit(log: DataFrame, limit: int = k.REQUESTS_PER_MINUTE, watermark: str = "1 minute", closing: str | None = None) -> DataFrame:
-    """Requests and rejections per client and clock minute.
+    """Requests and rejections per client and clock minute, and `late`.
 
-    A window of the built-in kind; with `closing`, marks close the windows that are open at the end.
+    A minute is given out once the watermark has reached its end. Requests of a minute that is
+    over by then are late: they are counted in rows of their own.
     """
-    limited = log.filter(~F.col("path").startswith("/api/v1/health")).select("client", F.col("ts").cast("timestamp").alias("event_time"))
-    if closing is not None:
-        limited = _marked(limited, closing)
-    counted = limited.withWatermark("event_time", watermark).groupBy("client", F.window("event_time", "1 minute").alias("w"))
-    return counted.agg(F.count(F.lit(1)).alias("requests")).select(
-        "client", F.col("w.start").alias("minute"), "requests", F.greatest(F.lit(0), F.col("requests") - limit).alias("rejected")
-    )
+    client = _id_type(log, "client")
+    ended = F.date_trunc("minute", F.col("ts").cast("timestamp")) + F.expr("INTERVAL 1 MINUTE")
+    limited = log.filter(~F.col("path").startswith("/api/v1/health")).select("client", micros(ended).alias("t"), F.col("ts").cast("timestamp").alias("event_time"))
+    out = _ordered(limited, ["client"], Minutes(_columns(limited), ["t"], ["client", "ended", "requests"]), f"client {client}, ended bigint, requests bigint", watermark, closing)
+    minute = F.timestamp_micros("ended") - F.expr("INTERVAL 1 MINUTE")
+    return out.select("client", minute.alias("minute"), "requests", F.greatest(F.lit(0), F.col("requests") - limit).alias("rejected"), "late")
 
 
 def stream_dedupe(df: DataFrame, keys: list[str], ts: str, watermark: str = "1 day") -> DataFrame:

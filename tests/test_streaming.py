@@ -81,7 +81,7 @@ def test_clusters_with_expiring_state(spark, feed):
 
 def test_rate_limit(spark, feed):
     read, run = feed
-    got = run(lambda end: stages.stream_rate_limit(a.request_log(spark, SF, read), 1, closing=end), "limits")
+    got = stages.on_time(run(lambda end: stages.stream_rate_limit(a.request_log(spark, SF, read), 1, closing=end), "limits"))
     flags = reports.rate_limit_flags(a.request_log(spark, SF), 1)
     totals = flags.groupBy("client", "minute").agg(F.count(F.lit(1)).alias("requests"), F.count_if("rejected").alias("rejected"))
     same(got.select("client", "minute", "requests", "rejected"), totals.select("client", "minute", "requests", "rejected"))
@@ -136,6 +136,19 @@ def test_late_rows_are_set_aside_and_counted(spark, disorder):
     same(stages.on_time(out).select("snapshot_id", "before_id"), change.pair_snapshots(kept).select("snapshot_id", "before_id"))
 
 
+def test_late_requests_are_counted_by_minute(spark, disorder):
+    base, read, rows = disorder
+    out = run_disordered(spark, base, lambda end: stages.stream_rate_limit(a.request_log(spark, SF, read), 1, "2 days", end), "late-limits")
+    asked = {r.event_id for r in spark.read.parquet(f"{SF}/events.parquet").filter("event_type <> 'view'").collect()}
+    late, newest, minute = 0, 0, 60_000_000
+    for i in range(6):
+        mark = (newest - 2 * 86_400_000_000) // 1000
+        late += sum(1 for r in rows if r.file == i and newest and r.event_id in asked and (r.t // minute + 1) * minute // 1000 <= mark)
+        newest = max([newest, *(r.t for r in rows if r.file == i and r.event_id in asked)])
+    assert late and stages.late_rows(out).agg(F.sum("requests")).first()[0] == late
+    assert stages.on_time(out).agg(F.sum("requests")).first()[0] == len(asked) - late
+
+
 def test_diffs_and_learning_as_streams(spark, disorder, tmp_path):
     base, read, _ = disorder
     texts = lambda df: df.withColumn("extracted_text", F.concat_ws("\n", F.lit("same"), "text_hash", F.col("snapshot_id").cast("string")))
