@@ -967,12 +967,17 @@ def dedupe_signups(spark, sf):
 # ---- L. streaming: the table is read as a stream of files, what comes out is stored and read back ------------------
 
 
-def _streamed(spark, made, name: str) -> DataFrame:
-    """Run `made(folder of closing marks)` over what is there, close it, and read what came out."""
+def _streamed(spark, made, name: str, at_once: bool = True) -> DataFrame:
+    """Run `made(folder of closing marks)` over what is there, close it, and read what came out.
+
+    `at_once`: all rows that are there make one micro-batch, and the mark comes with them.
+    Rows of later batches would be late then, so such a stream is run first and closed after.
+    """
     folder = new_folder(spark, name)
     stages.closing_folder(spark, f"{folder}/end")
     stream = made(f"{folder}/end")
-    stages.run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
+    if not at_once:
+        stages.run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
     stages.close_stream(spark, f"{folder}/end")
     stages.run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -992,7 +997,7 @@ def stream_diffs(spark, sf):
     arrival = F.to_date("created_at") + (F.col("monitor_id") % 3 * (F.col("snapshot_id") % 2)).cast("int")
     snaps.withColumn("day", arrival).repartition(4, "day").write.partitionBy("day").parquet(folder)
     arrivals = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 8).parquet(folder)
-    lines = _streamed(spark, lambda end: stages.stream_diffs(arrivals, "30 days", end), "diffs")
+    lines = _streamed(spark, lambda end: stages.stream_diffs(arrivals, "30 days", end), "diffs", at_once=False)
     return lines.select("diff_id", "seq", "hunk_no", "op", F.sha2("text", 256).alias("text_hash"))
 
 

@@ -102,7 +102,7 @@ spec = importlib.util.spec_from_file_location("__spark_entry__", {entry_point.__
 entry = importlib.util.module_from_spec(spec)
 spec.loader.exec_module(entry)
 from pyspark.sql import SparkSession
-spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
 for name in ("extract_page_text", "strip_noise", "valid_patterns", "candidate_patterns", "classify_with", "suppress_alerts", "assign_clusters", "stream_pairs"):
     assert entry.queries()[name](spark, {SF!r}).collect(), name
 print("all ran")
