@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from changeflow.functions import align, scans
 
@@ -72,24 +76,131 @@ def snapshot_status(pairs: DataFrame, diffs: DataFrame | None = None, analyses:
     return out
 
 
-def changed_pairs(snapshots: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+#: A monitor with more snapshots than this is not gathered in one task.
+GATHERED = 1000
+_PACK_BYTES, _BATCH_BYTES = 4_000_000, 16_000_000
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (monitor, id, text) to packs (monitor, ids, sizes, raw, body): the texts of one monitor that lie in one
+    batch, compressed together, so that versions of a page cost little more than one of them."""
+    codec = pa.Codec("zstd", compression_level=3)
+    for batch in batches:
+        batch = batch.take(pc.sort_indices(batch.column(0)))
+        owners, ids, texts = batch.column(0), batch.column(1), batch.column(2).cast(pa.large_binary())
+        known = pc.is_valid(texts).to_numpy(zero_copy_only=False)
+        filled = pc.fill_null(texts, b"")
+        ends = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1]
+        body = memoryview(filled.buffers()[2] or b"")
+        sizes = np.where(known, np.diff(ends), -1)
+        cuts, first = [], 0
+        heads = owners.to_pylist()
+        for i in range(1, len(heads) + 1):
+            if i == len(heads) or heads[i] != heads[first] or ends[i] - ends[first] > _PACK_BYTES:
+                cuts.append((first, i))
+                first = i
+        starts = pa.array([low for low, _ in cuts], pa.int32())
+        lists = pa.array([low for low, _ in cuts] + [len(heads)], pa.int32())
+        raw = [int(ends[high] - ends[low]) for low, high in cuts]
+        packed = [codec.compress(body[ends[low] : ends[high]], asbytes=True) for low, high in cuts]
+        yield pa.RecordBatch.from_arrays(
+            [
+                owners.take(starts), pa.ListArray.from_arrays(lists, ids), pa.ListArray.from_arrays(lists, pa.array(sizes, pa.int64())),
+                pa.array(raw, pa.int64()), pa.array(packed, pa.binary()),
+            ],
+            names=["monitor_id", "ids", "sizes", "raw", "body"],
+        )
+
+
+def _unpack(ids: list, sizes: list, raw: int, body: bytes) -> Iterator[tuple]:
+    texts, at = pa.decompress(body, raw, "zstd", asbytes=True) if raw else b"", 0
+    for name, size in zip(ids, sizes, strict=True):
+        yield name, None if size < 0 else texts[at : at + size].decode()
+        at += max(size, 0)
+
+
+def _meeting(schema: pa.Schema):
+    """Rows sorted by monitor, its pairs first, then its packs: pairs with both texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in schema]
+        held = 0
+
+        def given():
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], names=schema.names)
+
+        def met(pairs: list[tuple], texts: dict) -> Iterator[tuple]:
+            for diff, monitor, before, at in pairs:
+                if before in texts and diff in texts:
+                    yield diff, monitor, before, at, texts[before], texts[diff]
+
+        def groups() -> Iterator[tuple]:
+            here, pairs, texts = None, [], {}
+            for batch in batches:
+                for monitor, diff, before, at, ids, sizes, raw, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if monitor != here:
+                        yield from met(pairs, texts)
+                        here, pairs, texts = monitor, [], {}
+                    if body is None:
+                        pairs.append((diff, monitor, before, at))
+                    elif pairs:
+                        texts.update(_unpack(ids, sizes, raw, body))
+            yield from met(pairs, texts)
+
+        for row in groups():
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+            held += len(row[-2] or "") + len(row[-1] or "")
+            if held > _BATCH_BYTES or len(out[0]) >= 10_000:
+                yield given()
+                out, held = [[] for _ in schema], 0
+        if out[0]:
+            yield given()
+
+    return run
+
+
+def _texts_by_id(changed: DataFrame, texts: DataFrame) -> DataFrame:
+    """The earlier text is fetched first, then the later one, whose id is the diff's: nothing gathers at a monitor."""
+    before = texts.select(F.col("snapshot_id").alias("snapshot_before_id"), F.col("extracted_text").alias("text_before"))
+    after = texts.select(F.col("snapshot_id").alias("diff_id"), F.col("extracted_text").alias("text_after"))
+    return changed.join(before, "snapshot_before_id").join(after, "diff_id").select(*_PAIR, "text_before", "text_after")
+
+
+_PAIR = ["diff_id", "monitor_id", "snapshot_before_id", "created_at"]
+
+
+def _texts_by_monitor(changed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Texts are packed where they lie and move once, to the pairs of their monitor."""
+    kinds = {f.name: f.dataType.simpleString() for f in changed.schema}
+    ids = texts.schema["snapshot_id"].dataType.simpleString()
+    packed = texts.mapInArrow(_packs, f"monitor_id {kinds['monitor_id']}, ids array<{ids}>, sizes array<bigint>, raw bigint, body binary")
+    columns = [*_PAIR, "ids", "sizes", "raw", "body"]
+    rows = changed.unionByName(packed, allowMissingColumns=True).repartition("monitor_id")
+    rows = rows.sortWithinPartitions("monitor_id", F.col("raw").asc_nulls_first()).select("monitor_id", *[c for c in columns if c != "monitor_id"])
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in _PAIR), "text_before string", "text_after string"])
+    return rows.mapInArrow(_meeting(to_arrow_schema(T.StructType.fromDDL(schema))), schema)
+
+
+def changed_pairs(snapshots: DataFrame, pairs: DataFrame | None = None, gathered: int = GATHERED) -> DataFrame:
     """Both texts of every pair whose hash differs; the diff is named after the later snapshot.
 
-    The earlier text is fetched first, then the later one, whose id is the diff's: the
-    texts are placed by id once for both joins, only the earlier text moves again, and
-    the pairs end up placed by diff.
+    The texts of a monitor are packed together where they lie, and the packs move once, to the
+    monitor's pairs. A monitor with more than `gathered` snapshots is left out of that: its
+    texts are fetched by id, so a busy monitor does not meet itself in one task.
     """
     pairs = pair_snapshots(snapshots) if pairs is None else pairs
     changed = pairs.filter(F.col("before_id").isNotNull() & ~F.col("text_hash").eqNullSafe(F.col("before_hash")))
-    texts = snapshots.select("snapshot_id", "extracted_text")
-    before = texts.select(F.col("snapshot_id").alias("before_id"), F.col("extracted_text").alias("text_before"))
-    after = texts.select(F.col("snapshot_id").alias("diff_id"), F.col("extracted_text").alias("text_after"))
-    return (
-        changed.select("monitor_id", F.col("snapshot_id").alias("diff_id"), "before_id", "created_at")
-        .join(before, "before_id")
-        .join(after, "diff_id")
-        .select("diff_id", "monitor_id", F.col("before_id").alias("snapshot_before_id"), "created_at", "text_before", "text_after")
-    )
+    changed = changed.select(F.col("snapshot_id").alias("diff_id"), "monitor_id", F.col("before_id").alias("snapshot_before_id"), "created_at")
+    texts = snapshots.filter(F.col("monitor_id").isNotNull()).select("monitor_id", "snapshot_id", "extracted_text")
+    busy = texts.groupBy("monitor_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > gathered).select("monitor_id")
+    if busy.isEmpty():
+        return _texts_by_monitor(changed, texts)
+    # One row per `gathered` snapshots at most, so it is small beside the texts.
+    busy = F.broadcast(busy)
+    few = _texts_by_monitor(changed.join(busy, "monitor_id", "left_anti"), texts.join(busy, "monitor_id", "left_anti"))
+    many = _texts_by_id(changed.join(busy, "monitor_id", "left_semi"), texts.join(busy, "monitor_id", "left_semi"))
+    return few.unionByName(many)
 
 
 def _keep_ends(text: str | None) -> list[str]:
@@ -110,57 +221,114 @@ def line_diff(before: str | None, after: str | None, context: int = 3):
             yield hunk, start_old, start_new, op, bare_new[place] if op == "+" else bare_old[place]
 
 
-def diff_snapshots(
+HUNKS = (
+    "array<struct<hunk_no: int, before_start: int, after_start: int, lines: array<struct<seq: int, op: string, text: string>>,"
+    " blocks: array<struct<at: int, removed: int, added: int>>>>"
+)
+
+
+def _blocks(ops: list[str]) -> list[dict]:
+    """Stretches of changed lines of a hunk: where they begin, how many lines go and how many come after them."""
+    out, i = [], 0
+    while i < len(ops):
+        at = i
+        while i < len(ops) and ops[i] == "-":
+            i += 1
+        middle = i
+        while i < len(ops) and ops[i] == "+":
+            i += 1
+        if i > at:
+            out.append({"at": at, "removed": middle - at, "added": i - middle})
+        else:
+            i += 1
+    return out
+
+
+def _hunk_list(before: str | None, after: str | None, context: int) -> list[dict]:
+    old, new = _keep_ends(before), _keep_ends(after)
+    bare_old = [s.splitlines()[0] for s in old]
+    bare_new = [s.splitlines()[0] for s in new]
+    out, seq = [], 0
+    for hunk, (start_old, start_new, lines) in enumerate(align.hunks(old, new, context)):
+        rows = [{"seq": seq + i, "op": op, "text": bare_new[at] if op == "+" else bare_old[at]} for i, (op, at) in enumerate(lines)]
+        out.append({"hunk_no": hunk, "before_start": start_old, "after_start": start_new, "lines": rows, "blocks": _blocks([op for op, _ in lines])})
+        seq += len(lines)
+    return out
+
+
+def diff_hunks(
     pairs: DataFrame, context: int = 3, partitions: int | None = None, carry: tuple[str, ...] = ("monitor_id", "created_at")
 ) -> DataFrame:
-    """Line diff of every pair, one row per line: (diff_id, carry.., seq, hunk_no, before_start, after_start, op, text).
+    """Line diff of every pair that has one, a row per diff: (diff_id, carry.., hunks).
 
-    Pairs from `changed_pairs` are already placed by diff id, so a busy monitor does not
-    meet itself in one task; give `partitions` for pairs that lie unevenly. The rows come
-    out in Arrow batches; everything after this step is native.
+    Both texts of a pair are one row already, and so is its diff: what is asked of a diff as a
+    whole (its statistics, its text, what is left without noise, replaced lines) is computed
+    inside the row, and no line has to move. `blocks` names the stretches of changed lines
+    between context lines by their place in `lines`.
     """
     spread = pairs.repartition(partitions, "diff_id") if partitions else pairs
     spread = spread.select("diff_id", *carry, "text_before", "text_after")
     types = {f.name: f.dataType.simpleString() for f in spread.schema}
-    head = ", ".join(f"{c} {types[c]}" for c in ("diff_id", *carry))
-    schema = f"{head}, seq int, hunk_no int, before_start int, after_start int, op string, text string"
-    flush_rows = 20_000
+    schema = ", ".join([*(f"{c} {types[c]}" for c in ("diff_id", *carry)), f"hunks {HUNKS}"])
+    kind = to_arrow_schema(T.StructType.fromDDL(schema)).field("hunks").type
 
     def diff_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [batch.column(i) for i in range(1 + len(carry))]
             before, after = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            take, seqs, rows = [], [], []
+            take, cells, lines = [], [], 0
 
             def flush():
                 picks = pa.array(take, pa.int32())
-                cells = list(zip(*rows)) if rows else [[]] * 5
-                columns = [key.take(picks) for key in keys] + [pa.array(seqs, pa.int32())]
-                for values, kind in zip(cells, (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())):
-                    columns.append(pa.array(values, kind))
-                names = ["diff_id", *carry, "seq", "hunk_no", "before_start", "after_start", "op", "text"]
-                return pa.RecordBatch.from_arrays(columns, names=names)
+                return pa.RecordBatch.from_arrays([*(key.take(picks) for key in keys), pa.array(cells, kind)], names=["diff_id", *carry, "hunks"])
 
             for i in range(batch.num_rows):
-                for seq, row in enumerate(line_diff(before[i].as_py(), after[i].as_py(), context)):
+                if found := _hunk_list(before[i].as_py(), after[i].as_py(), context):
                     take.append(i)
-                    seqs.append(seq)
-                    rows.append(row)
-                if len(rows) >= flush_rows:
+                    cells.append(found)
+                    lines += sum(len(h["lines"]) for h in found)
+                if lines >= 20_000:
                     yield flush()
-                    take, seqs, rows = [], [], []
-            if rows:
+                    take, cells, lines = [], [], 0
+            if take:
                 yield flush()
 
     return spread.mapInArrow(diff_batches, schema)
 
 
+def hunk_lines(diffs: DataFrame) -> DataFrame:
+    """One row per line of diffs in hunks: (diff_id, carry.., seq, hunk_no, before_start, after_start, op, text)."""
+    carry = [c for c in diffs.columns if c != "hunks"]
+    hunks = diffs.select(*carry, F.inline("hunks")).drop("blocks")
+    lines = hunks.select(*carry, "hunk_no", "before_start", "after_start", F.inline("lines"))
+    return lines.select(*carry, "seq", "hunk_no", "before_start", "after_start", "op", "text")
+
+
+def all_lines(hunks: Column) -> Column:
+    return F.flatten(F.transform(hunks, lambda h: h["lines"]))
+
+
+def diff_snapshots(
+    pairs: DataFrame, context: int = 3, partitions: int | None = None, carry: tuple[str, ...] = ("monitor_id", "created_at")
+) -> DataFrame:
+    """Line diff of every pair, one row per line: (diff_id, carry.., seq, hunk_no, before_start, after_start, op, text)."""
+    return hunk_lines(diff_hunks(pairs, context, partitions, carry))
+
+
 def _range_text(start: Column, length: Column) -> Column:
     """A unified-diff range: the count is left out when it is 1, an empty range names the line before it."""
     begin = F.when(length == 0, start).otherwise(start + 1)
     return F.when(length == 1, begin.cast("string")).otherwise(F.concat_ws(",", begin.cast("string"), length.cast("string")))
 
 
+def _hunk_header(hunk: Column, lines: Column) -> Column:
+    """The header of one hunk of `diff_hunks`."""
+    counted = lambda other: F.size(F.filter(lines, lambda s: s["op"] != other))
+    return F.concat(
+        F.lit("@@ -"), _range_text(hunk["before_start"], counted("+")), F.lit(" +"), _range_text(hunk["after_start"], counted("-")), F.lit(" @@")
+    )
+
+
 def _with_hunk_headers(lines: DataFrame) -> DataFrame:
     """One row per hunk: its header text and its lines in order. A hunk is part of one document."""
     header = F.concat(
@@ -189,9 +357,26 @@ FILE_HEADER = ["--- previous", "+++ current"]
 
 
 def diff_stats(lines: DataFrame) -> DataFrame:
-    """lines_added, lines_removed, changed_hunks and the size of the unified text, without rendering it."""
-    hunks = _with_hunk_headers(lines)
+    """lines_added, lines_removed, changed_hunks and the size of the unified text, without rendering it.
+
+    `lines` are rows of lines, or diffs in hunks (`diff_hunks`), which are measured where they are.
+    """
     file_bytes = sum(len(h) + 1 for h in FILE_HEADER)
+    if "hunks" in lines.columns:
+        rows, ops = all_lines(F.col("hunks")), F.transform(all_lines(F.col("hunks")), lambda s: s["op"])
+        size = lambda texts: F.aggregate(texts, F.lit(0).cast("long"), lambda n, x: n + x)
+        return lines.select(
+            "diff_id",
+            F.size(F.filter(ops, lambda op: op == "+")).cast("long").alias("lines_added"),
+            F.size(F.filter(ops, lambda op: op == "-")).cast("long").alias("lines_removed"),
+            F.size("hunks").cast("long").alias("changed_hunks"),
+            (
+                size(F.transform(rows, lambda s: F.octet_length(s["text"]) + 2))
+                + size(F.transform("hunks", lambda h: F.octet_length(_hunk_header(h, h["lines"])) + 1))
+                + file_bytes
+            ).alias("diff_size_bytes"),
+        )
+    hunks = _with_hunk_headers(lines)
     return hunks.groupBy("diff_id").agg(
         F.sum("added").alias("lines_added"),
         F.sum("removed").alias("lines_removed"),
@@ -209,7 +394,15 @@ def mark_identical(pairs: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def render_unified(lines: DataFrame, headers: DataFrame | None = None, name: str = "unified_diff", keep_end: bool = True) -> DataFrame:
-    """Unified text per diff. `headers` keeps the ranges of the unfiltered diff when `lines` is a filtered one."""
+    """Unified text per diff. `headers` keeps the ranges of the unfiltered diff when `lines` is a filtered one.
+
+    Diffs in hunks (`diff_hunks`) are rendered inside their row.
+    """
+    top = "\n".join(FILE_HEADER) + "\n"
+    if "hunks" in lines.columns:
+        body = lambda h: F.concat_ws("\n", _hunk_header(h, h["lines"]), F.transform(h["lines"], lambda s: F.concat(s["op"], s["text"])))
+        whole = F.concat(F.lit(top), F.array_join(F.transform("hunks", body), "\n"), F.lit("\n" if keep_end else ""))
+        return lines.select("diff_id", whole.alias(name))
     hunks = _with_hunk_headers(lines if headers is None else headers)
     body = lines.select("diff_id", "hunk_no", F.col("seq"), F.concat("op", "text").alias("line"))
     present = lines.select("diff_id", "hunk_no").distinct()
@@ -219,7 +412,6 @@ def render_unified(lines: DataFrame, headers: DataFrame | None = None, name: str
     text = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("hunk_no", "seq", "line"))), lambda s: s["line"]), "\n"
     )
-    top = "\n".join(FILE_HEADER) + "\n"
     return (
         body.unionByName(tops)
         .groupBy("diff_id")

@@ -252,42 +252,38 @@ def diff_repeated_lines(spark, sf):
         F.array_join("lines", "\n").alias("text_before"),
         F.array_join(F.filter("lines", lambda x, i: i % 5 != 1), "\n").alias("text_after"),
     ).filter("text_before <> text_after")
-    rows = change.diff_snapshots(pairs, context=1_000_000_000, carry=())
+    diffs = change.diff_hunks(pairs, context=1_000_000_000, carry=())
+    last = F.array_max(F.transform("hunks", lambda h: h["hunk_no"]))
+    return diffs.select("diff_id", _side("+").alias("before_hash"), _side("-").alias("after_hash"), last.alias("last_hunk"))
 
-    def side(skipped: str) -> Column:
-        kept = F.array_sort(F.collect_list(F.when(F.col("op") != skipped, F.struct("seq", "text"))))
-        return F.sha2(F.array_join(F.transform(kept, lambda s: s["text"]), "\n"), 256)
 
-    built = rows.groupBy("diff_id").agg(side("+").alias("before_hash"), side("-").alias("after_hash"), F.max("hunk_no").alias("last_hunk"))
-    return built
+def _side(skipped: str):
+    """The hash of one side of a diff in hunks: its lines but those of the other side."""
+    kept = F.filter(change.all_lines(F.col("hunks")), lambda s: s["op"] != skipped)
+    return F.sha2(F.array_join(F.transform(kept, lambda s: s["text"]), "\n"), 256)
 
 
 @query
 def diff_roundtrip(spark, sf):
     """With all context kept, context and removed lines give back the text before, context and added the text after."""
-    lines = change.diff_snapshots(version_pairs(spark, sf), context=1_000_000)
-
-    def side(drop: str):
-        rows = F.array_sort(F.collect_list(F.when(F.col("op") != drop, F.struct("seq", "text"))))
-        return F.sha2(F.array_join(F.transform(rows, lambda s: s["text"]), "\n"), 256)
-
-    return lines.groupBy("diff_id").agg(side("+").alias("before_hash"), side("-").alias("after_hash"))
+    diffs = change.diff_hunks(version_pairs(spark, sf), context=1_000_000)
+    return diffs.select("diff_id", _side("+").alias("before_hash"), _side("-").alias("after_hash"))
 
 
 @query
 def diff_stats(spark, sf):
-    return change.diff_stats(change.diff_snapshots(version_pairs(spark, sf)))
+    return change.diff_stats(change.diff_hunks(version_pairs(spark, sf)))
 
 
 @query
 def diff_line_balance(spark, sf):
-    stats = change.diff_stats(change.diff_snapshots(version_pairs(spark, sf)))
+    stats = change.diff_stats(change.diff_hunks(version_pairs(spark, sf)))
     return stats.select("diff_id", (F.col("lines_added") - F.col("lines_removed")).cast("long").alias("net_lines"))
 
 
 @query
 def render_unified(spark, sf):
-    text = change.render_unified(change.diff_snapshots(version_pairs(spark, sf)))
+    text = change.render_unified(change.diff_hunks(version_pairs(spark, sf)))
     return text.select("diff_id", F.octet_length("unified_diff").alias("bytes"), F.sha2("unified_diff", 256).alias("text_hash"))
 
 
