@@ -23,7 +23,12 @@ def replacement_pairs(lines: DataFrame) -> DataFrame:
     Inside a block (between context lines and hunk borders) the oldest unmatched removed
     line is taken first. The count of added lines that found none is a running maximum,
     so this needs no loop and no order of signs. Everything is placed by diff once.
+
+    In diffs in hunks (`diff_hunks`) the removed lines of a block come before the added ones, so
+    the n-th added line replaces the n-th removed one; the pairs are made inside the row.
     """
+    if "hunks" in lines.columns:
+        return _replaced_in_hunks(lines)
     by_diff = Window.partitionBy("diff_id").orderBy("seq")
     placed = lines.repartition("diff_id")
     breaks = (F.col("op") == " ") | ~F.col("hunk_no").eqNullSafe(F.lag("hunk_no").over(by_diff))
@@ -55,6 +60,29 @@ def replacement_pairs(lines: DataFrame) -> DataFrame:
     )
 
 
+def _replaced_in_hunks(diffs: DataFrame) -> DataFrame:
+    def content(rows: Column) -> Column:
+        seen = F.transform(rows, lambda s: F.struct(s["seq"].alias("seq"), collapse_ws(s["text"]).alias("content")))
+        return F.filter(seen, lambda s: F.length(s["content"]) > 0)
+
+    def pairs_of(h: Column, b: Column) -> Column:
+        sides = F.struct(
+            content(F.slice(h["lines"], b["at"] + 1, b["removed"])).alias("old"), content(F.slice(h["lines"], b["at"] + b["removed"] + 1, b["added"])).alias("new")
+        )
+        # A row of both sides first, so that each is made once.
+        def zipped(s: Column) -> Column:
+            both = F.zip_with(s["old"], s["new"], lambda o, n: F.struct(n["seq"].alias("seq"), o["content"].alias("before"), n["content"].alias("after")))
+            return F.filter(both, lambda p: p["before"].isNotNull() & p["after"].isNotNull())
+
+        return F.flatten(F.transform(F.array(sides), zipped))
+
+    def of_hunk(h: Column) -> Column:
+        replaced = F.filter(h["blocks"], lambda b: (b["removed"] > 0) & (b["added"] > 0))
+        return F.flatten(F.transform(replaced, lambda b: pairs_of(h, b)))
+
+    return diffs.select("diff_id", F.inline(F.flatten(F.transform("hunks", of_hunk))))
+
+
 def propose_pattern(before: str, after: str):
     """(pattern, template, similarity) for a pair of lines, or None."""
     alike = similarity(before, after, k.MIN_SIMILARITY)

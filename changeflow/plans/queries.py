@@ -374,7 +374,7 @@ def replacement_pairs(spark, sf):
 
 @query
 def candidate_patterns(spark, sf):
-    pairs = learning.replacement_pairs(change.diff_snapshots(version_pairs(spark, sf)))
+    pairs = learning.replacement_pairs(change.diff_hunks(version_pairs(spark, sf)))
     return learning.candidate_patterns(pairs).select("diff_id", "pattern", "template", r6("similarity"))
 
 
