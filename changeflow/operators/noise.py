@@ -13,7 +13,7 @@ from changeflow.functions import constants as k
 from changeflow.functions import scans
 from changeflow.functions.pattern_index import Index, Patterns
 from changeflow.functions.text import days, matches, remove_all, trim_ws
-from changeflow.operators.change import FILE_HEADER, _range_text
+from changeflow.operators.change import FILE_HEADER, _hunk_header, _range_text
 from changeflow.operators.ingest import compiles
 
 # How long a pattern stays in force after it was last seen.
@@ -146,11 +146,59 @@ def drop_empty_hunks(marked: DataFrame) -> DataFrame:
     return kept.withColumn("_alive", alive).filter("_alive").drop("_alive")
 
 
+def _is_noise(op: Column, text: Column, min_residual: int) -> Column:
+    """What `classify_noise_lines` says of a line that only global patterns touch."""
+    bare = trim_ws(text)
+    left = F.transform(F.array(trim_ws(strip_global(text))), lambda r: (F.length(r) < min_residual) & ((r != bare) | (bare == "")))[0]
+    return op.isin("+", "-") & left
+
+
+def _filter_hunks(diffs: DataFrame, min_residual: int, with_text: bool, carry: tuple[str, ...]) -> DataFrame:
+    def marked(h: Column) -> Column:
+        lines = F.transform(
+            h["lines"], lambda s: F.struct(s["op"].alias("op"), *([F.concat(s["op"], s["text"]).alias("line")] if with_text else []), _is_noise(s["op"], s["text"], min_residual).alias("noise"))
+        )
+        return F.struct(h["before_start"].alias("before_start"), h["after_start"].alias("after_start"), lines.alias("lines"))
+
+    hunks = diffs.select("diff_id", *carry, F.transform("hunks", marked).alias("hunks"))
+    count = lambda h, keep: F.size(F.filter(h["lines"], keep))
+    counted = F.transform(
+        "hunks",
+        lambda h: F.struct(
+            h.alias("hunk"),
+            count(h, lambda s: s["op"].isin("+", "-")).cast("long").alias("changed"),
+            count(h, lambda s: s["noise"]).cast("long").alias("noise"),
+        ),
+    )
+    total = lambda name: F.aggregate("_h", F.lit(0).cast("long"), lambda n, h: n + h[name])
+    original, noisy = F.col("original_lines"), F.col("noise_lines_removed")
+    out = (
+        hunks.withColumn("_h", counted)
+        .withColumns({"original_lines": total("changed"), "noise_lines_removed": total("noise")})
+        .withColumns({"learned_noise_lines_removed": F.lit(0).cast("long"), "is_empty_after_filter": original == noisy})
+    )
+    text = []
+    if with_text:
+        left = F.filter("_h", lambda h: h["changed"] > h["noise"])
+        body = lambda h: F.concat_ws(
+            "\n", _hunk_header(h["hunk"], h["hunk"]["lines"]), F.transform(F.filter(h["hunk"]["lines"], lambda s: ~s["noise"]), lambda s: s["line"])
+        )
+        whole = F.concat_ws("\n", F.lit("\n".join(FILE_HEADER)), F.transform(left, body))
+        text = [F.when(original > noisy, whole).alias("filtered_diff")]
+    return out.select(
+        "diff_id", "original_lines", "noise_lines_removed", "learned_noise_lines_removed", "is_empty_after_filter", *carry, *text,
+        F.map_from_entries(F.array().cast("array<struct<key: string, value: int>>")).alias("learned_hits"),
+    )
+
+
 def filter_diffs(lines: DataFrame, min_residual: int = k.MIN_RESIDUAL_CHARS, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per diff: counts, hit map, emptiness and (optionally) the filtered text, null when empty.
 
-    One shuffle: rows are placed by diff, and both groupings below use that placement.
+    One shuffle: rows are placed by diff, and both groupings below use that placement. Diffs in
+    hunks (`diff_hunks`) that carry no patterns of their own are filtered inside their row.
     """
+    if "hunks" in lines.columns:
+        return _filter_hunks(lines, min_residual, with_text, carry)
     placed = lines if "learned_patterns" in lines.columns else lines.repartition("diff_id")
     marked = classify_noise_lines(placed, min_residual)
     changed = F.col("op").isin("+", "-")

@@ -352,7 +352,7 @@ def filter_diffs(spark, sf):
 @query
 def filtered_text(spark, sf):
     """Filtered unified text of every version pair, global patterns only."""
-    diffs = noise.filter_diffs(change.diff_snapshots(version_pairs(spark, sf)))
+    diffs = noise.filter_diffs(change.diff_hunks(version_pairs(spark, sf)))
     return diffs.select("diff_id", "is_empty_after_filter", F.sha2("filtered_diff", 256).alias("text_hash"))
 
 
@@ -1073,6 +1073,6 @@ def watched_changes(spark, sf):
 
 @query
 def meaningful_changes(spark, sf):
-    lines = change.diff_snapshots(version_pairs(spark, sf))
-    diffs = noise.filter_diffs(lines, with_text=False, carry=("monitor_id",))
+    hunks = change.diff_hunks(version_pairs(spark, sf))
+    diffs = noise.filter_diffs(hunks, with_text=False, carry=("monitor_id",))
     return reports.noise_share_report(diffs, ["monitor_id"])
