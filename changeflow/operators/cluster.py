@@ -64,29 +64,49 @@ def consecutive_similarity(alerts: DataFrame) -> DataFrame:
 def score_open_clusters(alerts: DataFrame, clusters: DataFrame) -> DataFrame:
     """Best open cluster for each new alert, clusters given: (alert_id, cluster_id, score, merges).
 
-    A cluster is laid out on the two-day cells it can be reached from, so the join is an
-    equality on (user, competitor, cell); one best row per alert is kept by a combined max.
+    Clusters of one (user, competitor) with the same categories and keywords differ for an alert
+    only by their time, and the latest of them scores best. So an alert meets each such likeness
+    that can be reached from its two-day cell once, and a scan along time finds the latest
+    cluster of it: the rows follow the alerts and the likenesses, not the clusters.
     """
     cell = lambda c: F.floor(micros(c) / WINDOW)
+    likeness = ["user_id", "competitor_name", "_like"]
     named = alerts.withColumn("competitor_name", trim_ws(F.col("competitor_name"))).filter(F.length("competitor_name") > 0)
     new = named.select(
         "alert_id", "user_id", "competitor_name", "categories", extract_keywords(F.col("summary")).alias("keywords"),
         F.col("created_at").alias("at"), cell(F.col("created_at")).alias("cell"),
     )
-    unresolved = clusters.filter(~F.col("is_resolved")).select(
-        "cluster_id", "user_id", "competitor_name", F.col("categories").alias("c_categories"),
-        F.col("keywords").alias("c_keywords"), F.col("updated_at").alias("c_at"), F.col("created_at").alias("c_opened"),
-        F.explode(F.sequence(cell(F.col("updated_at")), cell(F.col("updated_at")) + 1)).alias("cell"),
-    )
-    met = new.join(unresolved, ["user_id", "competitor_name", "cell"]).filter(
-        (F.col("c_at") <= F.col("at")) & (micros(F.col("c_at")) >= micros(F.col("at")) - WINDOW)
+    as_set = lambda c: F.array_sort(F.array_distinct(c))
+    unresolved = (
+        clusters.filter(~F.col("is_resolved"))
+        .withColumn("_like", F.to_json(F.struct(as_set("categories").alias("c"), as_set("keywords").alias("k"))))
+        .groupBy(*likeness, F.col("updated_at").alias("at"))
+        .agg(
+            F.min_by(F.struct("cluster_id", "created_at"), F.struct("created_at", "cluster_id")).alias("_first"),
+            F.first("categories").alias("c_categories"),
+            F.first("keywords").alias("c_keywords"),
+        )
+    )
+    reach = F.explode(F.sequence(cell(F.col("at")), cell(F.col("at")) + 1)).alias("cell")
+    reached = unresolved.select(*likeness, reach).distinct()
+    asking = new.join(reached, ["user_id", "competitor_name", "cell"]).select(
+        *likeness, "at", F.lit(1).alias("_side"), F.struct("alert_id", "categories", "keywords").alias("_alert")
     )
-    scored = met.withColumn(
-        "score",
-        alert_similarity(F.col("categories"), F.col("keywords"), F.col("at"), F.col("c_categories"), F.col("c_keywords"), F.col("c_at"))["combined"],
+    given = unresolved.select(
+        *likeness, "at", F.lit(0).alias("_side"),
+        F.struct(F.col("at"), F.col("_first.cluster_id"), F.col("_first.created_at").alias("opened"), "c_categories", "c_keywords").alias("_cluster"),
+    )
+    # A cluster comes before the alerts of its instant. Alerts of one instant all see the same clusters.
+    seen = scans.scan(
+        given.unionByName(asking, allowMissingColumns=True), likeness, ["at", "_side"], [scans.by_time("at")], c=scans.latest(F.col("_cluster"))
     )
+    met = seen.filter((F.col("_side") == 1) & (micros(F.col("c.at")) >= micros(F.col("at")) - WINDOW))
+    scored = met.select(
+        "_alert.alert_id", "c.cluster_id", "c.opened",
+        alert_similarity(F.col("_alert.categories"), F.col("_alert.keywords"), F.col("at"), F.col("c.c_categories"), F.col("c.c_keywords"), F.col("c.at"))["combined"].alias("score"),
+    )
     # Of equal scores the oldest cluster wins, of equally old ones the least id.
-    best = F.min_by(F.struct("cluster_id", "score"), F.struct(-F.col("score"), F.col("c_opened"), F.col("cluster_id")))
+    best = F.min_by(F.struct("cluster_id", "score"), F.struct(-F.col("score"), F.col("opened"), F.col("cluster_id")))
     return scored.groupBy("alert_id").agg(best.alias("b")).select(
         "alert_id", "b.cluster_id", "b.score", (F.col("b.score") >= k.MERGE_THRESHOLD).alias("merges")
     )
