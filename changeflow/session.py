@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A batch for Python ends here, not only at its ten thousandth row, which may be a long page.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
