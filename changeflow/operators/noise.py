@@ -20,10 +20,16 @@ from changeflow.operators.ingest import compiles
 DECAY_MICROS = int(days(k.DECAY_HALF_LIFE_DAYS * math.log2(1 / k.MIN_DECAY)))
 
 
+#: Without any of these a pattern cannot fail to compile.
+_MAY_FAIL = r"[\\\[(){}*+?]"
+
+
 def valid_patterns(patterns: DataFrame) -> DataFrame:
-    """Add `is_valid` to (source, pattern) rows. Each distinct pattern is compiled once."""
-    verdict = patterns.select("pattern").distinct().withColumn("is_valid", compiles("pattern"))
-    return patterns.join(verdict, "pattern", "left")
+    """Add `is_valid` to (source, pattern) rows. Only patterns with a sign that can be wrong are compiled,
+    those that recur close together once; the rows stay where they are."""
+    plain = ~F.col("pattern").rlike(_MAY_FAIL)
+    verdict = F.when(plain, F.lit(True)).otherwise(compiles(F.when(~plain, F.col("pattern"))))
+    return patterns.withColumn("is_valid", F.when(F.col("pattern").isNotNull(), verdict))
 
 
 def strip_global(c: Column) -> Column:
