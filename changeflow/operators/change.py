@@ -227,7 +227,7 @@ HUNKS = (
 )
 
 
-def _blocks(ops: list[str]) -> list[dict]:
+def _blocks(ops: list[str]) -> list[tuple[int, int, int]]:
     """Stretches of changed lines of a hunk: where they begin, how many lines go and how many come after them."""
     out, i = [], 0
     while i < len(ops):
@@ -238,22 +238,61 @@ def _blocks(ops: list[str]) -> list[dict]:
         while i < len(ops) and ops[i] == "+":
             i += 1
         if i > at:
-            out.append({"at": at, "removed": middle - at, "added": i - middle})
+            out.append((at, middle - at, i - middle))
         else:
             i += 1
     return out
 
 
-def _hunk_list(before: str | None, after: str | None, context: int) -> list[dict]:
-    old, new = _keep_ends(before), _keep_ends(after)
-    bare_old = [s.splitlines()[0] for s in old]
-    bare_new = [s.splitlines()[0] for s in new]
-    out, seq = [], 0
-    for hunk, (start_old, start_new, lines) in enumerate(align.hunks(old, new, context)):
-        rows = [{"seq": seq + i, "op": op, "text": bare_new[at] if op == "+" else bare_old[at]} for i, (op, at) in enumerate(lines)]
-        out.append({"hunk_no": hunk, "before_start": start_old, "after_start": start_new, "lines": rows, "blocks": _blocks([op for op, _ in lines])})
-        seq += len(lines)
-    return out
+class _Hunks:
+    """Diffs in columns: lines, blocks and hunks one after the other, and where each list begins."""
+
+    def __init__(self) -> None:
+        self.seqs, self.ops, self.texts = [], [], []
+        self.blocks: list[tuple[int, int, int]] = []
+        self.heads: list[tuple[int, int, int]] = []
+        self.line_ends, self.block_ends, self.diff_ends = [0], [0], [0]
+
+    def add(self, before: str | None, after: str | None, context: int) -> bool:
+        """Whether there is a difference."""
+        old, new = (before or "").splitlines(), (after or "").splitlines()
+        seq, number = 0, 0
+        for start_old, start_new, lines in align.hunks(_keep_ends(before), _keep_ends(after), context):
+            ops = [op for op, _ in lines]
+            self.ops += ops
+            self.texts += [new[at] if op == "+" else old[at] for op, at in lines]
+            self.seqs += range(seq, seq + len(lines))
+            self.blocks += _blocks(ops)
+            self.heads.append((number, start_old, start_new))
+            self.line_ends.append(len(self.ops))
+            self.block_ends.append(len(self.blocks))
+            seq, number = seq + len(lines), number + 1
+        if number:
+            self.diff_ends.append(len(self.heads))
+        return number > 0
+
+    def column(self, kind: pa.DataType) -> pa.Array:
+        def lists(ends: list[int], values: pa.Array, of: pa.DataType) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, of)
+
+        def structs(columns, of: pa.DataType) -> pa.Array:
+            fields = [of.field(i) for i in range(of.num_fields)]
+            return pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+
+        hunk = kind.value_type
+        lines, blocks = hunk.field("lines").type, hunk.field("blocks").type
+        return lists(
+            self.diff_ends,
+            structs(
+                [
+                    *(list(zip(*self.heads, strict=True)) or [[]] * 3),
+                    lists(self.line_ends, structs([self.seqs, self.ops, self.texts], lines.value_type), lines),
+                    lists(self.block_ends, structs(list(zip(*self.blocks, strict=True)) or [[]] * 3, blocks.value_type), blocks),
+                ],
+                hunk,
+            ),
+            kind,
+        )
 
 
 def diff_hunks(
@@ -276,20 +315,18 @@ def diff_hunks(
         for batch in batches:
             keys = [batch.column(i) for i in range(1 + len(carry))]
             before, after = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            take, cells, lines = [], [], 0
+            take, found = [], _Hunks()
 
             def flush():
                 picks = pa.array(take, pa.int32())
-                return pa.RecordBatch.from_arrays([*(key.take(picks) for key in keys), pa.array(cells, kind)], names=["diff_id", *carry, "hunks"])
+                return pa.RecordBatch.from_arrays([*(key.take(picks) for key in keys), found.column(kind)], names=["diff_id", *carry, "hunks"])
 
             for i in range(batch.num_rows):
-                if found := _hunk_list(before[i].as_py(), after[i].as_py(), context):
+                if found.add(before[i].as_py(), after[i].as_py(), context):
                     take.append(i)
-                    cells.append(found)
-                    lines += sum(len(h["lines"]) for h in found)
-                if lines >= 20_000:
+                if len(found.ops) >= 20_000:
                     yield flush()
-                    take, cells, lines = [], [], 0
+                    take, found = [], _Hunks()
             if take:
                 yield flush()
 
@@ -305,7 +342,7 @@ def hunk_lines(diffs: DataFrame) -> DataFrame:
 
 
 def all_lines(hunks: Column) -> Column:
-    return F.flatten(F.transform(hunks, lambda h: h["lines"]))
+    return F.flatten(hunks["lines"])
 
 
 def diff_snapshots(
@@ -363,7 +400,7 @@ def diff_stats(lines: DataFrame) -> DataFrame:
     """
     file_bytes = sum(len(h) + 1 for h in FILE_HEADER)
     if "hunks" in lines.columns:
-        rows, ops = all_lines(F.col("hunks")), F.transform(all_lines(F.col("hunks")), lambda s: s["op"])
+        rows, ops = all_lines(F.col("hunks")), all_lines(F.col("hunks"))["op"]
         size = lambda texts: F.aggregate(texts, F.lit(0).cast("long"), lambda n, x: n + x)
         return lines.select(
             "diff_id",
@@ -371,7 +408,7 @@ def diff_stats(lines: DataFrame) -> DataFrame:
             F.size(F.filter(ops, lambda op: op == "-")).cast("long").alias("lines_removed"),
             F.size("hunks").cast("long").alias("changed_hunks"),
             (
-                size(F.transform(rows, lambda s: F.octet_length(s["text"]) + 2))
+                size(F.transform(rows["text"], lambda t: F.octet_length(t) + 2))
                 + size(F.transform("hunks", lambda h: F.octet_length(_hunk_header(h, h["lines"])) + 1))
                 + file_bytes
             ).alias("diff_size_bytes"),

@@ -260,7 +260,7 @@ def diff_repeated_lines(spark, sf):
 def _side(skipped: str):
     """The hash of one side of a diff in hunks: its lines but those of the other side."""
     kept = F.filter(change.all_lines(F.col("hunks")), lambda s: s["op"] != skipped)
-    return F.sha2(F.array_join(F.transform(kept, lambda s: s["text"]), "\n"), 256)
+    return F.sha2(F.array_join(kept["text"], "\n"), 256)
 
 
 @query
