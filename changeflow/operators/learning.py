@@ -198,10 +198,13 @@ def learning_gate(diffs: DataFrame, snapshots: DataFrame, pair_counts: DataFrame
 def observe_patterns(
     lines: DataFrame, diffs: DataFrame, snapshots: DataFrame, monitors: DataFrame | None = None, carry: DataFrame | None = None
 ) -> DataFrame:
-    """`pattern_observations` from unfiltered diff lines. `diffs` is (diff_id, monitor_id, created_at)."""
+    """`pattern_observations` from unfiltered diff lines, or diffs in hunks. `diffs` is (diff_id, monitor_id, created_at)."""
     gate = learning_gate(diffs.select("diff_id", "monitor_id", "created_at"), snapshots, carry=carry)
     ready = gate.filter(F.col("skip_reason").isNull()).select("diff_id", "monitor_id", F.col("created_at").alias("observed_at"))
-    pairs = replacement_pairs(lines.join(ready.select("diff_id"), "diff_id", "left_semi"))
+    if "hunks" in lines.columns:  # replaced lines are few beside all lines, so only they meet the gate
+        pairs = replacement_pairs(lines).join(ready.select("diff_id"), "diff_id", "left_semi")
+    else:
+        pairs = replacement_pairs(lines.join(ready.select("diff_id"), "diff_id", "left_semi"))
     found = candidate_patterns(pairs).join(ready, "diff_id")
     competitor = None
     if monitors is not None:

@@ -38,16 +38,16 @@ def _run(snapshots: DataFrame, monitors: DataFrame, model: Model, before: dict[s
     every = snaps
     if "texts" in before:
         every = snaps.select("monitor_id", "snapshot_id", "extracted_text").unionByName(before["texts"])
-    lines = cut_lineage(change.diff_snapshots(change.changed_pairs(every, pairs)), "diff_lines")
-    heads = lines.select("diff_id", "monitor_id", "created_at").distinct()
+    hunks = cut_lineage(change.diff_hunks(change.changed_pairs(every, pairs)), "diff_hunks")
+    heads = hunks.select("diff_id", "monitor_id", "created_at")
 
-    observations = cut_lineage(learning.observe_patterns(lines, heads, snaps, monitors, before.get("seen")), "observations")
+    observations = cut_lineage(learning.observe_patterns(hunks, heads, snaps, monitors, before.get("seen")), "observations")
     state = cut_lineage(learning.pattern_state(observations, heads, patterns_before), "pattern_state")
     superseded = learning.superseded_states(before["open"], state) if "open" in before else None
     known = state if superseded is None else state.unionByName(superseded)
     in_force = noise.pattern_lists(noise.patterns_as_of(heads, known))
 
-    patterned = noise.attach_patterns(lines, monitors, in_force, heads)
+    patterned = noise.attach_patterns(change.hunk_lines(hunks), monitors, in_force, heads)
     diffs = noise.filter_diffs(patterned, carry=("monitor_id", "created_at"))
     diffs = cut_lineage(diffs.withColumn("snapshot_after_id", F.col("diff_id")), "diffs")
 

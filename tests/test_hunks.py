@@ -96,3 +96,15 @@ def test_no_query_moves_lines(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     rows = re.split(r"MapInArrow", plan)[0]
     assert rows.count("Exchange hashpartitioning(diff_id") == 0
+
+
+def test_patterns_are_observed_in_hunks_as_in_lines(spark):
+    """The chain stored a row per line and moved all of them to the gate and to their pairs."""
+    from changeflow.sources import adapters as a
+
+    snaps = ingest.fingerprint_text(a.versions(spark, SF))
+    hunks = change.diff_hunks(change.changed_pairs(snaps)).cache()
+    heads = hunks.select("diff_id", "monitor_id", "created_at")
+    got = learning.observe_patterns(hunks, heads, snaps)
+    want = learning.observe_patterns(change.hunk_lines(hunks), heads, snaps)
+    assert rows_of(got) == rows_of(want) and got.count() > 100
