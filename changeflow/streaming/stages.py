@@ -4,11 +4,12 @@ rows its batch twin gives, as long as rows are not later than the watermark."""
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -23,6 +24,9 @@ from changeflow.operators.suppress import normalize_summary, suppress_run
 from changeflow.plans import monitoring
 from changeflow.plans.storage import CarryStore
 
+#: Rows that wait are packed by so many, or so many characters of text.
+PACK_ROWS, PACK_CHARS = 10_000, 4_000_000
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -79,23 +83,24 @@ class InOrder(StatefulProcessor):
 
     A row waits until the watermark has passed it; then all that wait are handled in order by
     `settle`. A row that comes after the watermark has passed it is late: it is given out at
-    once, marked, and touches no state. State: the rows that wait, and what `settle` keeps,
-    as text. `forget` names the instant from which the state is no longer needed.
+    once, marked, and touches no state. State: the rows that wait, packed by micro-batch, and
+    what `settle` keeps, as text. `forget` names the instant from which the state is no longer
+    needed. A key has one timer at a time.
     """
 
-    #: A row is passed by the watermark a millisecond after its own.
-    margin = 1
-
     def __init__(self, columns: str, order: list[str], outputs: list[str]) -> None:
         self.columns, self.order, self.outputs = columns, order, outputs
         self.names = [c.split()[0] for c in columns.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.columns)
+        self.codec = pa.Codec("zstd", compression_level=3)
+        self.waiting = handle.getListState("waiting", "least bigint, size int, body binary")
         self.kept = handle.getValueState("kept", "body string")
+        self.at = self.names.index("t") if "t" in self.names else None
+        self.texts = [i for i, c in enumerate(self.columns.split(", ")) if c.endswith(" string")]
 
-    def settle(self, key: tuple, rows: list[dict], state: dict) -> tuple[list[dict], dict]:
+    def settle(self, key: tuple, rows: Iterable[dict], state: dict) -> tuple[Iterable[dict], dict]:
         """Output rows for rows in event order, and the state after them."""
         raise NotImplementedError
 
@@ -106,62 +111,96 @@ class InOrder(StatefulProcessor):
     def late(self, key: tuple, row: dict) -> dict:
         return row
 
-    def _out(self, rows: list[dict], late: bool) -> pd.DataFrame:
-        data = {c: pd.Series([r.get(c) for r in rows], dtype=object) for c in self.outputs}
-        return pd.DataFrame({**data, "late": pd.Series([late] * len(rows), dtype=bool)})
-
-    def _plan(self, times: list[int], look_again: int | None) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        moments = [min(times) // 1000 + self.margin] if times else []
-        if look_again is not None:
-            moments.append(look_again // 1000 + 1)
-        if moments:
-            self.handle.registerTimer(min(moments))
+    def _out(self, rows: Iterable[dict], late: bool) -> Iterator[Row]:
+        made = Row(*self.outputs, "late")
+        return (made(*(r.get(c) for c in self.outputs), late) for r in rows)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        fresh, late = [], []
-        for frame in rows:
-            for row in zip(*(_plain(frame[c]) for c in self.names), strict=True):
-                (late if row[self.names.index("t")] // 1000 < mark else fresh).append(row)
-        if fresh:
-            self.waiting.appendList(fresh)
-            at = self.names.index("t")
-            least = min(r[at] for r in fresh) // 1000 + 1
-            timers = list(self.handle.listTimers())
-            if not timers or least < min(timers):
-                for timer in timers:
-                    self.handle.deleteTimer(timer)
-                self.handle.registerTimer(least)
-        if late:
-            yield self._out([self.late(key, dict(zip(self.names, r, strict=True))) for r in late], True)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def _packs(self, rows: Iterable[tuple]) -> Iterator[tuple]:
+        """Rows as elements of the state, so that a row costs no call and versions of a text little room."""
+        held, size = [], 0
+        for row in rows:
+            held.append(row)
+            size += sum(len(row[i] or "") for i in self.texts)
+            if len(held) >= PACK_ROWS or size >= PACK_CHARS:
+                yield self._pack(held)
+                held, size = [], 0
+        if held:
+            yield self._pack(held)
+
+    def _pack(self, rows: list[tuple]) -> tuple:
+        body = pickle.dumps(list(zip(*rows, strict=True)), 5)
+        return min(r[self.at] for r in rows), len(body), self.codec.compress(body, asbytes=True)
+
+    def _unpack(self, pack: tuple) -> Iterator[tuple]:
+        return zip(*pickle.loads(self.codec.decompress(bytes(pack[2]), pack[1], asbytes=True)), strict=True)
+
+    def _wake(self, moment: int) -> None:
+        """The key's timer, at this moment (milliseconds) or before."""
+        timers = list(self.handle.listTimers())
+        if not timers or moment < min(timers):
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(moment)
+
+    def _state(self) -> str | None:
+        kept = self.kept.get()
+        return kept[0] if kept else None
+
+    def _keep(self, before: str | None, state: dict | None) -> None:
+        body = json.dumps(state) if state else None
+        if body is not None and body != before:
+            self.kept.update((body,))
+        elif body is None and before is not None:
+            self.kept.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        mark, late = timerValues.getCurrentWatermarkInMs(), []
+
+        def fresh() -> Iterator[tuple]:
+            for row in rows:
+                values = tuple(row[c] for c in self.names)
+                if values[self.at] // 1000 < mark:
+                    late.append(values)
+                else:
+                    yield values
+
+        packs = list(self._packs(fresh()))
+        if packs:
+            self.waiting.appendList(packs)
+            # A row is passed by the watermark a millisecond after its own.
+            self._wake(min(p[0] for p in packs) // 1000 + 1)
+        yield from self._out([self.late(key, dict(zip(self.names, r, strict=True))) for r in late], True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        held = [dict(zip(self.names, r, strict=True)) for r in self.waiting.get()]
-        ready = sorted((r for r in held if r["t"] // 1000 < mark), key=lambda r: [r[c] for c in self.order])
-        state = json.loads(self.kept.get()[0]) if self.kept.exists() else {}
-        out, state = self.settle(key, ready, state) if ready else ([], state)
-        state, look_again = self.forget(state, mark * 1000)
-        self.kept.update((json.dumps(state),)) if state else self.kept.clear()
-        left = [r for r in held if r["t"] // 1000 >= mark]
+        due, later, ready, left = [], [], [], []
+        for pack in self.waiting.get():
+            (due if pack[0] // 1000 < mark else later).append(pack)
+        for pack in due:
+            for row in self._unpack(pack):
+                (ready if row[self.at] // 1000 < mark else left).append(row)
+        before = self._state()
+        state = json.loads(before) if before else {}
+        out = []
         if ready:
-            self.waiting.put([tuple(r[c] for c in self.names) for r in left]) if left else self.waiting.clear()
-        self._plan([r["t"] for r in left], look_again)
-        yield self._out(out, False)
+            places = [self.names.index(c) for c in self.order]
+            ready.sort(key=lambda r: [r[i] for i in places])
+            out, state = self.settle(key, (dict(zip(self.names, r, strict=True)) for r in ready), state)
+        state, look_again = self.forget(state, mark * 1000)
+        self._keep(before, state)
+        if due:
+            later += self._packs(left)
+            self.waiting.put(later) if later else self.waiting.clear()
+        # The timer that fired is gone after this, and there is no other.
+        moments = [p[0] // 1000 + 1 for p in later] + ([look_again // 1000 + 1] if look_again is not None else [])
+        if moments:
+            self.handle.registerTimer(min(moments))
+        yield from self._out(out, False)
 
     def close(self) -> None:
         pass
 
 
-def _plain(column: pd.Series) -> list:
-    """Python values, missing ones as None."""
-    if column.dtype == object:
-        return [None if v is None else list(v) if hasattr(v, "tolist") and not isinstance(v, str) else v for v in column]
-    return [None if v != v else v for v in column.tolist()]
-
-
 def on_time(out: DataFrame) -> DataFrame:
     """What a stage made of the rows that were not late."""
     return out.filter(~F.col("late")).drop("late")
@@ -174,7 +213,7 @@ def late_rows(out: DataFrame) -> DataFrame:
 
 def _ordered(rows: DataFrame, keys: list[str], processor: InOrder, schema: str, watermark: str, closing: str | None) -> DataFrame:
     _use_rocksdb(rows.sparkSession)
-    return _timed(rows, watermark, closing).groupBy(*keys).transformWithStateInPandas(
+    return _timed(rows, watermark, closing).groupBy(*keys).transformWithState(
         statefulProcessor=processor, outputStructType=f"{schema}, late boolean", outputMode="Append", timeMode="EventTime"
     )
 
@@ -373,35 +412,33 @@ def stream_clusters(alerts: DataFrame, watermark: str = "1 hour", closing: str |
 class Minutes(InOrder):
     """State per client: a count for every minute that is still open. `t` is the end of a row's minute."""
 
-    margin = 0  # the end of a minute is no part of it
+    def _counts(self) -> tuple[str | None, dict[str, int]]:
+        body = self._state()
+        return body, json.loads(body) if body else {}
 
-    def _state(self) -> dict[str, int]:
-        return json.loads(self.kept.get()[0]) if self.kept.exists() else {}
-
-    def _keep(self, counts: dict[str, int]) -> None:
-        self.kept.update((json.dumps(counts),)) if counts else self.kept.clear()
-        self._plan([int(t) for t in counts], None)
-
-    def _rows(self, key: tuple, counts: dict[str, int], late: bool) -> pd.DataFrame:
+    def _rows(self, key: tuple, counts: dict[str, int], late: bool) -> Iterator[Row]:
         return self._out([{"client": key[0], "ended": int(t), "requests": n} for t, n in sorted(counts.items())], late)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        counts, late = self._state(), {}
-        for frame in rows:
-            for t, n in frame["t"].value_counts().items():
-                into = late if int(t) // 1000 <= mark else counts
-                into[str(t)] = into.get(str(t), 0) + int(n)
-        self._keep(counts)
-        if late:
-            yield self._rows(key, late, True)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        mark, late = timerValues.getCurrentWatermarkInMs(), {}
+        before, counts = self._counts()
+        for row in rows:
+            into = late if row["t"] // 1000 <= mark else counts
+            into[str(row["t"])] = into.get(str(row["t"]), 0) + 1
+        self._keep(before, counts)
+        if counts:
+            self._wake(min(map(int, counts)) // 1000)  # the end of a minute is no part of it
+        yield from self._rows(key, late, True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        counts = self._state()
+        before, counts = self._counts()
         ended = {t: n for t, n in counts.items() if int(t) // 1000 <= mark}
-        self._keep({t: n for t, n in counts.items() if t not in ended})
-        yield self._rows(key, ended, False)
+        left = {t: n for t, n in counts.items() if t not in ended}
+        self._keep(before, left)
+        if left:
+            self.handle.registerTimer(min(map(int, left)) // 1000)
+        yield from self._rows(key, ended, False)
 
 
 def stream_rate_limit(log: DataFrame, limit: int = k.REQUESTS_PER_MINUTE, watermark: str = "1 minute", closing: str | None = None) -> DataFrame:

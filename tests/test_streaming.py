@@ -220,3 +220,91 @@ def test_a_stream_that_takes_too_long_is_an_error(spark, tmp_path):
     slow = a.stream_table(spark, SF, "events")
     with pytest.raises(TimeoutError):
         stages.run_available(slow, str(tmp_path / "out"), str(tmp_path / "checkpoint"), timeout=0.001)
+
+
+class _Value:
+    """A state variable and a handle as the keyed processors see them, and how often each call was made."""
+
+    def __init__(self):
+        self.rows, self.calls, self.timers = [], [], []
+
+    def getListState(self, name, schema):
+        made = _Value()
+        made.get = lambda: iter(made.rows)
+        setattr(self, name, made)
+        return made
+
+    def getValueState(self, name, schema):
+        made = _Value()
+        made.get = lambda: made.rows[0] if made.rows else None
+        setattr(self, name, made)
+        return made
+
+    def appendList(self, rows):
+        self.calls.append("append")
+        self.rows += rows
+
+    def put(self, rows):
+        self.calls.append("put")
+        self.rows = list(rows)
+
+    def update(self, row):
+        self.calls.append("update")
+        self.rows = [row]
+
+    def clear(self):
+        self.calls.append("clear")
+        self.rows = []
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def deleteTimer(self, timer):
+        self.timers.remove(timer)
+
+    def registerTimer(self, timer):
+        self.timers.append(timer)
+
+
+class _Mark:
+    def __init__(self, mark):
+        self.mark = mark
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+
+def test_rows_wait_in_packs_and_come_out_in_order():
+    """A key's rows of a micro-batch are one element of the state; texts that repeat take little room."""
+    fold = stages.Pairs("monitor_id bigint, snapshot_id bigint, text_hash string, extracted_text string, t bigint", ["t", "snapshot_id"], ["snapshot_id", "before_id", "text_after", "t"])
+    handle = _Value()
+    fold.init(handle)
+    text = " ".join(str(n * 7919 % 10007) for n in range(2000))
+    rows = [{"monitor_id": 1, "snapshot_id": i, "text_hash": str(i), "extracted_text": f"{text}{i}" if i else None, "t": i * 1_000_000} for i in (5, 3, 0, 4, 1, 2)]
+    assert list(fold.handleInputRows((1,), rows, _Mark(0))) == []
+    assert len(handle.waiting.rows) == 1 and len(handle.waiting.rows[0][2]) < 2 * len(text)
+    assert handle.timers == [1]
+    handle.timers.clear()
+    got = list(fold.handleExpiredTimer((1,), _Mark(3500), None))
+    assert [(r.snapshot_id, r.before_id, r.text_after) for r in got] == [(i, i - 1 if i else None, f"{text}{i}" if i else None) for i in range(4)]
+    assert handle.timers == [4001]
+    late = list(fold.handleInputRows((1,), [{**rows[0], "t": 3_000_000}, {**rows[0], "snapshot_id": 9, "t": 4_500_000}], _Mark(3500)))
+    assert [(r.snapshot_id, r.late) for r in late] == [(5, True)] and len(handle.waiting.rows) == 2
+    handle.timers.clear()
+    assert [(r.snapshot_id, r.before_id) for r in fold.handleExpiredTimer((1,), _Mark(9999), None)] == [(4, 3), (9, 4), (5, 9)]
+    assert handle.waiting.rows == [] and handle.timers == []
+
+
+def test_minutes_write_their_state_only_when_it_changes():
+    fold = stages.Minutes("client bigint, t bigint", ["t"], ["client", "ended", "requests"])
+    handle = _Value()
+    fold.init(handle)
+    assert list(fold.handleInputRows((1,), [{"client": 1, "t": t} for t in (120_000_000, 60_000_000, 120_000_000)], _Mark(0))) == []
+    assert handle.timers == [60_000]
+    late = list(fold.handleInputRows((1,), [{"client": 1, "t": 60_000_000}], _Mark(60_000)))
+    assert [(r.ended, r.requests, r.late) for r in late] == [(60_000_000, 1, True)] and handle.kept.calls.count("update") == 1
+    handle.timers.clear()
+    assert [(r.ended, r.requests) for r in fold.handleExpiredTimer((1,), _Mark(60_000), None)] == [(60_000_000, 1)]
+    assert handle.timers == [120_000]
+    handle.timers.clear()
+    assert [(r.ended, r.requests) for r in fold.handleExpiredTimer((1,), _Mark(10**9), None)] == [(120_000_000, 2)] and handle.kept.rows == []
