@@ -116,8 +116,9 @@ def score_open_clusters(alerts: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def _overlap(a: frozenset, b: set) -> float:
-    union = len(a | b)
-    return len(a & b) / union if union else 0.0
+    both = len(a & b)
+    union = len(a) + len(b) - both
+    return both / union if union else 0.0
 
 
 def cluster_step(open_clusters: list[dict], alert_id, at: int, categories: frozenset, keywords: frozenset):
