@@ -989,12 +989,16 @@ def stream_pairs(spark, sf):
 def stream_diffs(spark, sf):
     """Diff lines of versions that come in out of order: a file a day, some of them two days late, within the watermark."""
     folder = new_folder(spark, "arrivals")
-    snaps = ingest.fingerprint_text(a.versions(spark, sf)).drop("version")
+    texts = a.versions(spark, sf)
+    snaps = ingest.fingerprint_text(texts).select("snapshot_id", "monitor_id", "text_hash", "created_at")
     arrival = F.to_date("created_at") + (F.col("monitor_id") % 3 * (F.col("snapshot_id") % 2)).cast("int")
-    snaps.withColumn("day", arrival).repartition(4, "day").write.partitionBy("day").parquet(folder)
-    arrivals = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 8).parquet(folder)
-    lines = _streamed(spark, lambda end: stages.stream_diffs(arrivals, "30 days", end), "diffs", at_once=False)
-    return lines.select("diff_id", "seq", "hunk_no", "op", F.sha2("text", 256).alias("text_hash"))
+    snaps.withColumn("day", arrival).repartition(4, "day").write.partitionBy("day").parquet(f"{folder}/in")
+    arrivals = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
+    stages.closing_folder(spark, f"{folder}/end")
+    diffs = lambda: stages.diff_stream(arrivals, texts, f"{folder}/diffs", f"{folder}/checkpoint", "30 days", f"{folder}/end")
+    diffs()
+    stages.close_stream(spark, f"{folder}/end")
+    return diffs().select("diff_id", "seq", "hunk_no", "op", F.sha2("text", 256).alias("text_hash"))
 
 
 @query

@@ -226,36 +226,71 @@ def _columns(rows: DataFrame) -> str:
 
 
 class Pairs(InOrder):
-    """State per monitor: the last id, hash (and text)."""
+    """State per monitor: the last id, hash, time (and text)."""
 
     def settle(self, key, rows, state):
         out, last = [], state
         for row in rows:
-            out.append({**row, "before_id": last.get("id"), "before_hash": last.get("hash"), "text_before": last.get("text"), "text_after": row.get("extracted_text")})
-            last = {"id": row["snapshot_id"], "hash": row["text_hash"], "text": row.get("extracted_text")}
+            out.append({**row, "before_id": last.get("id"), "before_hash": last.get("hash"), "before_t": last.get("t"), "text_before": last.get("text"), "text_after": row.get("extracted_text")})
+            last = {"id": row["snapshot_id"], "hash": row["text_hash"], "t": row["t"], "text": row.get("extracted_text")}
         return out, last
 
 
 def stream_pairs(snapshots: DataFrame, with_text: bool = False, watermark: str = "1 day", closing: str | None = None) -> DataFrame:
-    """Each snapshot with the one before it in event order, and `late`. State per monitor: the last id, hash (and text)."""
+    """Each snapshot with the one before it in event order, and `late`. State per monitor: the last id, hash, time (and text)."""
     ids, monitor = _id_type(snapshots, "snapshot_id"), _id_type(snapshots, "monitor_id")
     columns = ["monitor_id", "snapshot_id", "text_hash", *(["extracted_text"] if with_text else [])]
     rows = snapshots.select(*columns, micros(F.col("created_at")).alias("t"), F.col("created_at").cast("timestamp").alias("event_time"))
-    schema = f"monitor_id {monitor}, snapshot_id {ids}, text_hash string, t bigint, before_id {ids}, before_hash string"
-    outputs = ["monitor_id", "snapshot_id", "text_hash", "t", "before_id", "before_hash"]
+    schema = f"monitor_id {monitor}, snapshot_id {ids}, text_hash string, t bigint, before_id {ids}, before_hash string, before_t bigint"
+    outputs = ["monitor_id", "snapshot_id", "text_hash", "t", "before_id", "before_hash", "before_t"]
     if with_text:
         schema, outputs = schema + ", text_before string, text_after string", [*outputs, "text_before", "text_after"]
     return _ordered(rows, ["monitor_id"], Pairs(_columns(rows), ["t", "snapshot_id"], outputs), schema, watermark, closing)
 
 
 def stream_diffs(snapshots: DataFrame, watermark: str = "1 day", closing: str | None = None) -> DataFrame:
-    """Diff lines of changed pages as they come in: `diff_snapshots` on top of `stream_pairs`."""
+    """Diff lines of changed pages as they come in: `diff_snapshots` on top of `stream_pairs`.
+
+    For streams that carry their texts: those wait in the state. Where texts are stored, see `diff_stream`.
+    """
     pairs = on_time(stream_pairs(snapshots, True, watermark, closing))
     changed = pairs.filter(F.col("before_id").isNotNull() & ~F.col("text_hash").eqNullSafe(F.col("before_hash")))
     named = changed.select(F.col("snapshot_id").alias("diff_id"), "monitor_id", F.timestamp_micros("t").alias("created_at"), "text_before", "text_after")
     return change.diff_snapshots(named)
 
 
+def diff_stream(snapshots: DataFrame, texts: DataFrame, path: str, checkpoint: str, watermark: str = "1 day", closing: str | None = None, timeout: int | None = None) -> DataFrame:
+    """Diff lines of changed pages whose texts are stored: the stream carries ids, hashes and times only.
+
+    `texts` (monitor_id, snapshot_id, extracted_text, created_at) is read once per micro-batch that
+    settles a change, between the earliest and the latest version its changes name; the texts of a
+    monitor are packed where they lie and move once (`changed_pairs`). Every batch has a folder of
+    pairs and one of lines, and overwrites them when it is repeated.
+    """
+    spark = snapshots.sparkSession
+    kinds = {c: _id_type(snapshots, c) for c in ("snapshot_id", "monitor_id")}
+    schema = f"diff_id {kinds['snapshot_id']}, monitor_id {kinds['monitor_id']}, created_at timestamp, seq int, hunk_no int, before_start int, after_start int, op string, text string"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        changed = on_time(batch).filter(F.col("before_id").isNotNull() & ~F.col("text_hash").eqNullSafe(F.col("before_hash")))
+        # Stored first: a batch that is read again would run its keyed state again.
+        changed.withColumn("created_at", F.timestamp_micros("t")).write.mode("overwrite").parquet(f"{path}/pairs/batch={batch_id}")
+        pairs = batch.sparkSession.read.schema(stored).parquet(f"{path}/pairs/batch={batch_id}")
+        first, last = pairs.agg(F.min("before_t"), F.max("t")).first()
+        if last is None:
+            return
+        named = texts.filter(micros(F.col("created_at")).between(first, last))
+        change.diff_snapshots(change.changed_pairs(named, pairs)).write.mode("overwrite").parquet(f"{path}/lines/batch={batch_id}")
+
+    pairs = stream_pairs(snapshots, False, watermark, closing)
+    stored = T.StructType([*on_time(pairs).schema.fields, T.StructField("created_at", T.TimestampType())])
+    _wait(pairs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), path, timeout)
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/lines").drop("batch")
+    except AnalysisException:  # no change has settled yet
+        return spark.createDataFrame([], schema)
+
+
 # ---- rows in order for stages that run batch by batch ----------------------------------------
 
 

@@ -158,6 +158,22 @@ def test_diffs_and_learning_as_streams(spark, disorder, tmp_path):
     same(got.select(*columns), want.select(*columns))
 
 
+def test_diffs_of_stored_texts_leave_the_texts_out_of_the_state(spark, disorder, tmp_path):
+    base, read, _ = disorder
+    long = F.concat_ws(" ", F.sequence(F.lit(0), F.lit(3000)).cast("array<string>"))
+    texts = lambda df: df.withColumn("extracted_text", F.concat_ws("\n", long, "text_hash", F.sha2(F.col("snapshot_id").cast("string"), 512), F.col("snapshot_id").cast("string")))
+    stored, end = texts(a.snapshots(spark, SF)), stages.closing_folder(spark, str(tmp_path / "end"))
+    run = lambda: stages.diff_stream(a.snapshots(spark, SF, read), stored, str(tmp_path / "out"), str(tmp_path / "checkpoint"), "12 days", end, 300)
+    early = run().select("diff_id").distinct().count()
+    stages.close_stream(spark, end)
+    got, want = run(), change.diff_snapshots(change.changed_pairs(stored))
+    columns = ["diff_id", "seq", "op", "text"]
+    same(got.select(*columns), want.select(*columns))
+    assert 0 < early < want.select("diff_id").distinct().count()
+    state = [p.stat().st_size for p in (tmp_path / "checkpoint" / "state").rglob("*") if p.is_file()]
+    assert 0 < sum(state) < 14_000_000  # one text is 14,000 characters, and there are a thousand
+
+
 def test_the_chain_as_a_stream(spark, tmp_path):
     """Snapshots in files by arrival, some of them two days after their time: the stored results are those of one run."""
     from tests import test_incremental as chain
