@@ -311,6 +311,15 @@ def in_order(rows: DataFrame, key: str, ts: str, row_id: str, watermark: str, cl
     return out.withColumn(ts, F.timestamp_micros("t").cast(rows.schema[ts].dataType)).select(*rows.columns, "late")
 
 
+def _stored(batch: DataFrame, path: str) -> DataFrame:
+    """The rows of a micro-batch out of a folder that the next one overwrites.
+
+    What reads the batch itself runs its keyed state again, and carries its plan along.
+    """
+    batch.write.mode("overwrite").parquet(path)
+    return batch.sparkSession.read.schema(batch.schema).parquet(path)
+
+
 def watch_stream(snapshots: DataFrame, monitors: DataFrame, model, store: str, checkpoint: str, watermark: str = "1 day", closing: str | None = None, late_path: str | None = None, timeout: int | None = None) -> None:
     """The whole chain as a stream: pairs, diffs, learning, filtering, classification, suppression and clustering.
 
@@ -320,6 +329,7 @@ def watch_stream(snapshots: DataFrame, monitors: DataFrame, model, store: str, c
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        batch = _stored(batch, f"{store}/arrived")
         if late_path is not None:
             late_rows(batch).write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
         settled = on_time(batch)
@@ -334,6 +344,7 @@ def learn_stream(observations: DataFrame, store: str, checkpoint: str, watermark
     """Pattern states as a stream: observations wait for the watermark, then go through `learn_next` batch by batch."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        batch = _stored(batch, f"{store}/arrived")
         if late_path is not None:
             late_rows(batch).write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
         settled = on_time(batch)

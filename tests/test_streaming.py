@@ -174,6 +174,21 @@ def test_diffs_of_stored_texts_leave_the_texts_out_of_the_state(spark, disorder,
     assert 0 < sum(state) < 14_000_000  # one text is 14,000 characters, and there are a thousand
 
 
+def test_a_micro_batch_is_stored_before_it_is_read(spark, disorder, tmp_path, monkeypatch):
+    """What learns from a batch reads files: the keyed state of the stream runs once a batch."""
+    base, read, _ = disorder
+    read_rows = []
+    monkeypatch.setattr(stages.monitoring, "learn_next", lambda store, run, rows: read_rows.append(rows.count() if rows.inputFiles() else 0))
+    observed = read(spark, SF, "events").selectExpr(
+        "user_id AS monitor_id", "event_type AS pattern", "event_id AS diff_id", "0.9D AS similarity", "CAST(NULL AS STRING) AS blocked_reason", "ts AS observed_at"
+    )
+    end = stages.closing_folder(spark, str(tmp_path / "end"))
+    for _ in range(2):
+        stages.learn_stream(observed, str(tmp_path / "store"), str(tmp_path / "checkpoint"), "12 days", end, timeout=300)
+        stages.close_stream(spark, end)
+    assert len(read_rows) > 1 and 0 not in read_rows and sum(read_rows) == 1000
+
+
 def test_the_chain_as_a_stream(spark, tmp_path):
     """Snapshots in files by arrival, some of them two days after their time: the stored results are those of one run."""
     from tests import test_incremental as chain
