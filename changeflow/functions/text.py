@@ -27,7 +27,8 @@ def collapse_ws(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return F.coalesce(F.length(trim_ws(c)), F.lit(0)) == 0
+    """Null, or whitespace only; a long text is read up to its first other character."""
+    return F.coalesce(~c.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(True))
 
 
 def matches(c: Column, pattern: str) -> Column:

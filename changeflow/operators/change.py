@@ -120,7 +120,7 @@ def _unpack(ids: list, sizes: list, raw: int, body: bytes) -> Iterator[tuple]:
 
 
 def _meeting(schema: pa.Schema):
-    """Rows sorted by monitor, its pairs first, then its packs: pairs with both texts."""
+    """Rows (monitor, pair.., pack..) sorted by monitor, its pairs first, then its packs: pairs with both texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in schema]
@@ -130,19 +130,20 @@ def _meeting(schema: pa.Schema):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], names=schema.names)
 
         def met(pairs: list[tuple], texts: dict) -> Iterator[tuple]:
-            for diff, monitor, before, at in pairs:
+            for pair in pairs:
+                diff, before = pair[0], pair[2]
                 if before in texts and diff in texts:
-                    yield diff, monitor, before, at, texts[before], texts[diff]
+                    yield *pair, texts[before], texts[diff]
 
         def groups() -> Iterator[tuple]:
             here, pairs, texts = None, [], {}
             for batch in batches:
-                for monitor, diff, before, at, ids, sizes, raw, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for monitor, diff, *noted, ids, sizes, raw, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if monitor != here:
                         yield from met(pairs, texts)
                         here, pairs, texts = monitor, [], {}
                     if body is None:
-                        pairs.append((diff, monitor, before, at))
+                        pairs.append((diff, monitor, *noted))
                     elif pairs:
                         texts.update(_unpack(ids, sizes, raw, body))
             yield from met(pairs, texts)
@@ -164,45 +165,77 @@ def _texts_by_id(changed: DataFrame, texts: DataFrame) -> DataFrame:
     """The earlier text is fetched first, then the later one, whose id is the diff's: nothing gathers at a monitor."""
     before = texts.select(F.col("snapshot_id").alias("snapshot_before_id"), F.col("extracted_text").alias("text_before"))
     after = texts.select(F.col("snapshot_id").alias("diff_id"), F.col("extracted_text").alias("text_after"))
-    return changed.join(before, "snapshot_before_id").join(after, "diff_id").select(*_PAIR, "text_before", "text_after")
+    return changed.join(before, "snapshot_before_id").join(after, "diff_id").select(*changed.columns, "text_before", "text_after")
 
 
 _PAIR = ["diff_id", "monitor_id", "snapshot_before_id", "created_at"]
 
 
-def _texts_by_monitor(changed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Texts are packed where they lie and move once, to the pairs of their monitor."""
+def _texts_by_monitor(changed: DataFrame, texts: DataFrame, context: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Texts are packed where they lie and move once, to the pairs of their monitor. With `context` the pairs
+    are diffed where they meet, so their texts never leave the Python worker."""
     kinds = {f.name: f.dataType.simpleString() for f in changed.schema}
     ids = texts.schema["snapshot_id"].dataType.simpleString()
     packed = texts.mapInArrow(_packs, f"monitor_id {kinds['monitor_id']}, ids array<{ids}>, sizes array<bigint>, raw bigint, body binary")
-    columns = [*_PAIR, "ids", "sizes", "raw", "body"]
+    columns = [*changed.columns, "ids", "sizes", "raw", "body"]
     rows = changed.unionByName(packed, allowMissingColumns=True).repartition("monitor_id")
     rows = rows.sortWithinPartitions("monitor_id", F.col("raw").asc_nulls_first()).select("monitor_id", *[c for c in columns if c != "monitor_id"])
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in _PAIR), "text_before string", "text_after string"])
-    return rows.mapInArrow(_meeting(to_arrow_schema(T.StructType.fromDDL(schema))), schema)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in changed.columns), "text_before string, text_after string"])
+    meet = _meeting(to_arrow_schema(T.StructType.fromDDL(schema)))
+    if context is None:
+        return rows.mapInArrow(meet, schema)
+    diffed, given = _diffing(kinds, context, carry)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ["diff_id", *carry, "text_before", "text_after"]
+        return diffed(batch.select(columns) for batch in meet(batches))
 
-def changed_pairs(snapshots: DataFrame, pairs: DataFrame | None = None, gathered: int = GATHERED) -> DataFrame:
-    """Both texts of every pair whose hash differs; the diff is named after the later snapshot.
+    return rows.mapInArrow(run, given)
 
-    The texts of a monitor are packed together where they lie, and the packs move once, to the
-    monitor's pairs. A monitor with more than `gathered` snapshots is left out of that: its
-    texts are fetched by id, so a busy monitor does not meet itself in one task.
-    """
-    pairs = pair_snapshots(snapshots) if pairs is None else pairs
+
+def named_changes(pairs: DataFrame) -> DataFrame:
+    """The pairs whose hash differs, as (diff_id, monitor_id, snapshot_before_id, created_at); the diff is named after the later snapshot."""
     changed = pairs.filter(F.col("before_id").isNotNull() & ~F.col("text_hash").eqNullSafe(F.col("before_hash")))
-    changed = changed.select(F.col("snapshot_id").alias("diff_id"), "monitor_id", F.col("before_id").alias("snapshot_before_id"), "created_at")
+    return changed.select(F.col("snapshot_id").alias("diff_id"), "monitor_id", F.col("before_id").alias("snapshot_before_id"), "created_at")
+
+
+def _by_monitor_or_id(snapshots: DataFrame, changed: DataFrame, gathered: int, by_monitor, by_id) -> DataFrame:
     texts = snapshots.filter(F.col("monitor_id").isNotNull()).select("monitor_id", "snapshot_id", "extracted_text")
     busy = texts.groupBy("monitor_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > gathered).select("monitor_id")
     if busy.isEmpty():
-        return _texts_by_monitor(changed, texts)
+        return by_monitor(changed, texts)
     # One row per `gathered` snapshots at most, so it is small beside the texts.
     busy = F.broadcast(busy)
-    few = _texts_by_monitor(changed.join(busy, "monitor_id", "left_anti"), texts.join(busy, "monitor_id", "left_anti"))
-    many = _texts_by_id(changed.join(busy, "monitor_id", "left_semi"), texts.join(busy, "monitor_id", "left_semi"))
+    few = by_monitor(changed.join(busy, "monitor_id", "left_anti").select(*changed.columns), texts.join(busy, "monitor_id", "left_anti"))
+    many = by_id(changed.join(busy, "monitor_id", "left_semi").select(*changed.columns), texts.join(busy, "monitor_id", "left_semi"))
     return few.unionByName(many)
 
 
+def changed_pairs(snapshots: DataFrame, pairs: DataFrame | None = None, gathered: int = GATHERED) -> DataFrame:
+    """Both texts of every pair whose hash differs; the diff is named after the later snapshot.
+
+    The texts of a monitor are packed together where they lie, and the packs move once, to the
+    monitor's pairs. A monitor with more than `gathered` snapshots is left out of that: its
+    texts are fetched by id, so a busy monitor does not meet itself in one task.
+    """
+    changed = named_changes(pair_snapshots(snapshots) if pairs is None else pairs)
+    return _by_monitor_or_id(snapshots, changed, gathered, _texts_by_monitor, _texts_by_id)
+
+
+def changed_hunks(
+    snapshots: DataFrame, changed: DataFrame, context: int = 3, carry: tuple[str, ...] = ("monitor_id", "created_at"), gathered: int = GATHERED
+) -> DataFrame:
+    """`diff_hunks` of `changed_pairs` in one pass: both texts of a pair are diffed where they meet.
+
+    `changed` is (diff_id, monitor_id, snapshot_before_id, created_at) and whatever else the
+    diffs shall carry; columns that are not carried need not be there.
+    """
+    changed = changed.select(*dict.fromkeys([*_PAIR, *carry]))
+    by_monitor = lambda some, texts: _texts_by_monitor(some, texts, context, carry)
+    by_id = lambda some, texts: diff_hunks(_texts_by_id(some, texts), context, carry=carry)
+    return _by_monitor_or_id(snapshots, changed, gathered, by_monitor, by_id)
+
+
 def _keep_ends(text: str | None) -> list[str]:
     parts = (text or "").splitlines(keepends=True)
     # A last line without its end would differ from the same line further up.
@@ -307,7 +340,11 @@ def diff_hunks(
     """
     spread = pairs.repartition(partitions, "diff_id") if partitions else pairs
     spread = spread.select("diff_id", *carry, "text_before", "text_after")
-    types = {f.name: f.dataType.simpleString() for f in spread.schema}
+    return spread.mapInArrow(*_diffing({f.name: f.dataType.simpleString() for f in spread.schema}, context, carry))
+
+
+def _diffing(types: dict[str, str], context: int, carry: tuple[str, ...]):
+    """A function over batches (diff_id, carry.., text_before, text_after), and the schema of the diffs it gives."""
     schema = ", ".join([*(f"{c} {types[c]}" for c in ("diff_id", *carry)), f"hunks {HUNKS}"])
     kind = to_arrow_schema(T.StructType.fromDDL(schema)).field("hunks").type
 
@@ -330,7 +367,7 @@ def diff_hunks(
             if take:
                 yield flush()
 
-    return spread.mapInArrow(diff_batches, schema)
+    return diff_batches, schema
 
 
 def hunk_lines(diffs: DataFrame) -> DataFrame:

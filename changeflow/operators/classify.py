@@ -237,15 +237,27 @@ def cost_totals(analyses: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+_CONTEXT = ["competitor_name", "page_type", "url"]
+
+
+def page_contexts(monitors: DataFrame) -> DataFrame:
+    """(monitor_id, contexts): what a prompt says of a monitor, for narrow rows that become diffs later."""
+    return monitors.groupBy("monitor_id").agg(F.collect_list(F.struct(*_CONTEXT)).alias("contexts"))
+
+
 def classification_inputs(diffs: DataFrame, monitors: DataFrame, limit: int | None = None) -> DataFrame:
     """Text and context per diff to classify: the filtered diff, or the raw one when that is empty.
 
-    The whole text goes into the prompt, unless a `limit` in characters is given.
+    The whole text goes into the prompt, unless a `limit` in characters is given. Diffs that carry the
+    `contexts` of their monitor (`page_contexts`) stay where they are.
     """
     raw = F.col("unified_diff") if "unified_diff" in diffs.columns else F.lit("")
     text = F.when(is_blank(F.col("filtered_diff")), raw).otherwise(F.col("filtered_diff"))
-    context = monitors.select("monitor_id", "competitor_name", "page_type", "url")
-    rows = diffs.select("diff_id", "monitor_id", text.alias("filtered_diff")).join(context, "monitor_id")
+    if "contexts" in diffs.columns:
+        rows = diffs.select("diff_id", "monitor_id", text.alias("filtered_diff"), F.inline("contexts"))
+    else:
+        context = monitors.select("monitor_id", *_CONTEXT)
+        rows = diffs.select("diff_id", "monitor_id", text.alias("filtered_diff")).join(context, "monitor_id")
     whole = rows.withColumns({"diff_text": F.col("filtered_diff"), "was_truncated": F.lit(False)})
     return build_prompts(whole if limit is None else truncate_diffs(rows, limit=limit))
 

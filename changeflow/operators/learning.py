@@ -27,8 +27,10 @@ def replacement_pairs(lines: DataFrame) -> DataFrame:
     In diffs in hunks (`diff_hunks`) the removed lines of a block come before the added ones, so
     the n-th added line replaces the n-th removed one; the pairs are made inside the row.
     """
+    if "replaced" in lines.columns:
+        return lines.select("diff_id", F.inline("replaced"))
     if "hunks" in lines.columns:
-        return _replaced_in_hunks(lines)
+        return lines.select("diff_id", F.inline(_replaced(F.col("hunks"))))
     by_diff = Window.partitionBy("diff_id").orderBy("seq")
     placed = lines.repartition("diff_id")
     breaks = (F.col("op") == " ") | ~F.col("hunk_no").eqNullSafe(F.lag("hunk_no").over(by_diff))
@@ -60,7 +62,21 @@ def replacement_pairs(lines: DataFrame) -> DataFrame:
     )
 
 
-def _replaced_in_hunks(diffs: DataFrame) -> DataFrame:
+def replaced_lines(diffs: DataFrame, carry: tuple[str, ...] = ("monitor_id", "created_at"), learns: Column | None = None) -> DataFrame:
+    """Diffs in hunks to (diff_id, carry.., replaced): the pairs of each that `candidate_patterns` looks at.
+
+    A row per diff, for `observe_patterns`; `learns` says which diffs can be learned from, the others get no pairs.
+    """
+    tested = F.filter(_replaced(F.col("hunks")), lambda p: _may_propose(p["before"], p["after"]))
+    return diffs.select("diff_id", *carry, (tested if learns is None else F.when(learns, tested)).alias("replaced"))
+
+
+def _may_propose(before: Column, after: Column) -> Column:
+    shorter, both = F.least(F.length(before), F.length(after)), F.length(before) + F.length(after)
+    return (before != after) & (2 * shorter >= k.MIN_SIMILARITY * both)
+
+
+def _replaced(hunks: Column) -> Column:
     def content(rows: Column) -> Column:
         seen = F.transform(rows, lambda s: F.struct(s["seq"].alias("seq"), collapse_ws(s["text"]).alias("content")))
         return F.filter(seen, lambda s: F.length(s["content"]) > 0)
@@ -80,7 +96,7 @@ def _replaced_in_hunks(diffs: DataFrame) -> DataFrame:
         replaced = F.filter(h["blocks"], lambda b: (b["removed"] > 0) & (b["added"] > 0))
         return F.flatten(F.transform(replaced, lambda b: pairs_of(h, b)))
 
-    return diffs.select("diff_id", F.inline(F.flatten(F.transform("hunks", of_hunk))))
+    return F.flatten(F.transform(hunks, of_hunk))
 
 
 def propose_pattern(before: str, after: str):
@@ -138,8 +154,7 @@ def candidate_patterns(pairs: DataFrame, max_chars: int | None = None) -> DataFr
     """
     if max_chars is not None:
         pairs = pairs.filter((F.length("before") <= max_chars) & (F.length("after") <= max_chars))
-    shorter, both = F.least(F.length("before"), F.length("after")), F.length("before") + F.length("after")
-    tested = pairs.filter((F.col("before") != F.col("after")) & (2 * shorter >= k.MIN_SIMILARITY * both))
+    tested = pairs.filter(_may_propose(F.col("before"), F.col("after")))
     proposed = tested.select("before", "after").distinct().withColumn("_p", _proposals("before", "after"))
     known = proposed.select("before", "after", "_p.*").filter(F.col("pattern").isNotNull())
     found = tested.select("diff_id", "seq", "before", "after").join(known, ["before", "after"])
@@ -198,10 +213,10 @@ def learning_gate(diffs: DataFrame, snapshots: DataFrame, pair_counts: DataFrame
 def observe_patterns(
     lines: DataFrame, diffs: DataFrame, snapshots: DataFrame, monitors: DataFrame | None = None, carry: DataFrame | None = None
 ) -> DataFrame:
-    """`pattern_observations` from unfiltered diff lines, or diffs in hunks. `diffs` is (diff_id, monitor_id, created_at)."""
+    """`pattern_observations` from unfiltered diff lines, or diffs in hunks, or their `replaced_lines`. `diffs` is (diff_id, monitor_id, created_at)."""
     gate = learning_gate(diffs.select("diff_id", "monitor_id", "created_at"), snapshots, carry=carry)
     ready = gate.filter(F.col("skip_reason").isNull()).select("diff_id", "monitor_id", F.col("created_at").alias("observed_at"))
-    if "hunks" in lines.columns:  # replaced lines are few beside all lines, so only they meet the gate
+    if "hunks" in lines.columns or "replaced" in lines.columns:  # replaced lines are few beside all lines, so only they meet the gate
         pairs = replacement_pairs(lines).join(ready.select("diff_id"), "diff_id", "left_semi")
     else:
         pairs = replacement_pairs(lines.join(ready.select("diff_id"), "diff_id", "left_semi"))

@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from changeflow.functions import constants as k
 from changeflow.functions import scans
 from changeflow.functions.pattern_index import Index, Patterns
 from changeflow.functions.text import days, matches, remove_all, trim_ws
+from changeflow.operators import change
 from changeflow.operators.change import FILE_HEADER, _hunk_header, _range_text
 from changeflow.operators.ingest import compiles
 
@@ -47,22 +49,32 @@ HEADER = "#"
 _STRIPPED = "residual string, hits array<string>"
 
 
+class _Indexes:
+    """Pattern indexes of a worker, kept while lists recur."""
+
+    def __init__(self) -> None:
+        self.compiled, self.built = Patterns(), {}
+
+    def of(self, own, learned) -> Index:
+        own, learned = tuple(own if own is not None else ()), tuple(learned if learned is not None else ())
+        if (own, learned) not in self.built:
+            if len(self.built) >= 64:
+                self.built.clear()
+            self.built[own, learned] = Index([*own, *learned], len(own), self.compiled)
+        return self.built[own, learned]
+
+
 def _strippers():
     """A pandas UDF over rows sorted by (diff, header first): it keeps the patterns of the diff it is in."""
 
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        compiled, built = Patterns(), {}
+        indexes = _Indexes()
         here, index = None, None
         for diffs, texts, monitor_lists, learned_lists in batches:
             out_text, out_hits = [], []
             for diff, text, own, learned in zip(diffs, texts, monitor_lists, learned_lists, strict=True):
                 if own is not None or learned is not None:
-                    own, learned = tuple(own if own is not None else ()), tuple(learned if learned is not None else ())
-                    if (own, learned) not in built:
-                        if len(built) >= 64:
-                            built.clear()
-                        built[own, learned] = Index([*own, *learned], len(own), compiled)
-                    here, index = diff, built[own, learned]
+                    here, index = diff, indexes.of(own, learned)
                 elif diff != here:
                     here, index = diff, None
                 text, hits = index.strip(text) if index is not None and text is not None else (text, [])
@@ -97,6 +109,39 @@ def attach_patterns(lines: DataFrame, monitors: DataFrame | None = None, learned
     return lines.unionByName(headers, allowMissingColumns=True)
 
 
+_STRIPPED_LINES = pa.list_(pa.struct([("residual", pa.string()), ("hits", pa.list_(pa.string()))]))
+
+
+def _strip_lists(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """Per diff (residuals of its lines, monitor's patterns, learned patterns): residual and hits of each line, null where no pattern bit."""
+    indexes = _Indexes()
+    for diffs, monitor_lists, learned_lists in batches:
+        ends, texts, hit_ends, hits, unknown = [0], [], [0], [], []
+        for lines, own, learned in zip(diffs.to_pylist(), monitor_lists.to_pylist(), learned_lists.to_pylist(), strict=True):
+            unknown.append(lines is None)
+            index = None if lines is None else indexes.of(own, learned)
+            for line in lines or ():
+                left, found = index.strip(line) if line is not None else (line, ())
+                texts.append(None if left == line else left)
+                hits += found
+                hit_ends.append(len(hits))
+            ends.append(len(texts))
+        lists = pa.ListArray.from_arrays(pa.array(hit_ends, pa.int32()), pa.array(hits, pa.string()))
+        rows = pa.StructArray.from_arrays([pa.array(texts, pa.string()), lists], fields=list(_STRIPPED_LINES.value_type))
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, _STRIPPED_LINES, mask=pa.array(unknown, pa.bool_()))
+
+
+def list_patterns(changed: DataFrame, monitors: DataFrame, learned: DataFrame) -> DataFrame:
+    """Add `monitor_patterns` and `learned_patterns`, null where there are none, to a row per diff (diff_id, monitor_id).
+
+    What `attach_patterns` puts ahead of lines, for diffs in hunks: asked of narrow rows before they are diffed,
+    so that neither hunks nor lines have to move to their patterns.
+    """
+    own = monitors.filter(F.size("noise_patterns") > 0).groupBy("monitor_id").agg(F.first("noise_patterns").alias("monitor_patterns"))
+    known = learned.filter(F.size("learned_patterns") > 0).groupBy("diff_id").agg(F.first("learned_patterns").alias("learned_patterns"))
+    return changed.join(own, "monitor_id", "left").join(known, "diff_id", "left")
+
+
 def strip_noise(lines: DataFrame) -> DataFrame:
     """Add `residual` and `hit_patterns`: what is left of a line after all patterns, and the learned ones that bit.
 
@@ -152,21 +197,55 @@ def drop_empty_hunks(marked: DataFrame) -> DataFrame:
     return kept.withColumn("_alive", alive).filter("_alive").drop("_alive")
 
 
-def _is_noise(op: Column, text: Column, min_residual: int) -> Column:
-    """What `classify_noise_lines` says of a line that only global patterns touch."""
+def _falls_short(op: Column, text: Column, residual: Column, min_residual: int) -> Column:
+    """What `classify_noise_lines` says of a line. What is asked first is cheap, and most lines end there."""
     bare = trim_ws(text)
-    left = F.transform(F.array(trim_ws(strip_global(text))), lambda r: (F.length(r) < min_residual) & ((r != bare) | (bare == "")))[0]
+    left = F.transform(F.array(trim_ws(residual)), lambda r: (F.length(r) < min_residual) & ((r != bare) | (bare == "")))[0]
     return op.isin("+", "-") & left
 
 
+def _is_noise(op: Column, text: Column, min_residual: int) -> Column:
+    """The same of a line that only global patterns touch."""
+    return _falls_short(op, text, strip_global(text), min_residual)
+
+
+def _marked_lines(diffs: DataFrame, min_residual: int, carry: tuple[str, ...]) -> DataFrame:
+    """Diffs in hunks with `_marks`: for every line of a diff whether it is noise, and the learned patterns that made it so."""
+    texts = lambda: change.all_lines(F.col("hunks"))
+    left = F.transform(texts(), lambda s: F.when(s["op"].isin("+", "-"), strip_global(s["text"])))
+    strip = F.arrow_udf(_strip_lists, "array<struct<residual:string,hits:array<string>>>", F.ArrowUDFType.SCALAR_ITER)
+    listed = F.col("monitor_patterns").isNotNull() | F.col("learned_patterns").isNotNull()
+    stripped = diffs.withColumn("_left", left).withColumn("_stripped", strip(F.when(listed, F.col("_left")), F.col("monitor_patterns"), F.col("learned_patterns")))
+
+    def mark(line: Column, found: Column) -> Column:
+        return F.struct(_falls_short(line["op"], line["text"], found["residual"], min_residual).alias("noise"), found["hits"].alias("hits"))
+
+    bitten = F.coalesce("_stripped", F.array().cast("array<struct<residual:string,hits:array<string>>>"))
+    found = F.zip_with("_left", bitten, lambda r, s: F.struct(F.coalesce(s["residual"], r).alias("residual"), s["hits"].alias("hits")))
+    return stripped.select("diff_id", *carry, "hunks", F.zip_with(texts(), found, mark).alias("_marks"))
+
+
 def _filter_hunks(diffs: DataFrame, min_residual: int, with_text: bool, carry: tuple[str, ...]) -> DataFrame:
+    listed = "learned_patterns" in diffs.columns
+    if listed:
+        diffs = _marked_lines(diffs, min_residual, carry)
+
     def marked(h: Column) -> Column:
+        noise = lambda s: F.col("_marks")[s["seq"]]["noise"] if listed else _is_noise(s["op"], s["text"], min_residual)
         lines = F.transform(
-            h["lines"], lambda s: F.struct(s["op"].alias("op"), *([F.concat(s["op"], s["text"]).alias("line")] if with_text else []), _is_noise(s["op"], s["text"], min_residual).alias("noise"))
+            h["lines"], lambda s: F.struct(s["op"].alias("op"), *([F.concat(s["op"], s["text"]).alias("line")] if with_text else []), noise(s).alias("noise"))
         )
         return F.struct(h["before_start"].alias("before_start"), h["after_start"].alias("after_start"), lines.alias("lines"))
 
-    hunks = diffs.select("diff_id", *carry, F.transform("hunks", marked).alias("hunks"))
+    hits, learned = F.array().cast("array<string>"), F.lit(0)
+    if listed:
+        # A learned pattern counts as a hit only where the line ended up noise.
+        hit = F.filter("_marks", lambda m: m["noise"] & (F.size(m["hits"]) > 0))
+        hits, learned = F.flatten(F.transform(hit, lambda m: m["hits"])), F.size(hit)
+    hunks = diffs.select(
+        "diff_id", *carry, F.transform("hunks", marked).alias("hunks"), hits.alias("_hits"),
+        learned.cast("long").alias("learned_noise_lines_removed"),
+    )
     count = lambda h, keep: F.size(F.filter(h["lines"], keep))
     counted = F.transform(
         "hunks",
@@ -181,7 +260,7 @@ def _filter_hunks(diffs: DataFrame, min_residual: int, with_text: bool, carry: t
     out = (
         hunks.withColumn("_h", counted)
         .withColumns({"original_lines": total("changed"), "noise_lines_removed": total("noise")})
-        .withColumns({"learned_noise_lines_removed": F.lit(0).cast("long"), "is_empty_after_filter": original == noisy})
+        .withColumn("is_empty_after_filter", original == noisy)
     )
     text = []
     if with_text:
@@ -193,15 +272,25 @@ def _filter_hunks(diffs: DataFrame, min_residual: int, with_text: bool, carry: t
         text = [F.when(original > noisy, whole).alias("filtered_diff")]
     return out.select(
         "diff_id", "original_lines", "noise_lines_removed", "learned_noise_lines_removed", "is_empty_after_filter", *carry, *text,
-        F.map_from_entries(F.array().cast("array<struct<key: string, value: int>>")).alias("learned_hits"),
+        _tally("_hits").alias("learned_hits"),
     )
 
 
+def _tally(hits: str) -> Column:
+    """How often each pattern is in a list of hits."""
+    return F.map_from_entries(
+        F.transform(
+            F.array_sort(F.array_distinct(hits)),
+            lambda p: F.struct(p, F.size(F.filter(hits, lambda x: x == p))),
+        )
+    )
+
+
 def filter_diffs(lines: DataFrame, min_residual: int = k.MIN_RESIDUAL_CHARS, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per diff: counts, hit map, emptiness and (optionally) the filtered text, null when empty.
 
     One shuffle: rows are placed by diff, and both groupings below use that placement. Diffs in
-    hunks (`diff_hunks`) that carry no patterns of their own are filtered inside their row.
+    hunks (`diff_hunks`) are filtered inside their row, with the patterns they carry (`list_patterns`) if any.
     """
     if "hunks" in lines.columns:
         return _filter_hunks(lines, min_residual, with_text, carry)
@@ -253,13 +342,7 @@ def filter_diffs(lines: DataFrame, min_residual: int = k.MIN_RESIDUAL_CHARS, wit
             ).alias("filtered_diff")
         )
     diffs = hunks.groupBy("diff_id").agg(*per_diff)
-    tally = F.map_from_entries(
-        F.transform(
-            F.array_sort(F.array_distinct("hits")),
-            lambda p: F.struct(p, F.size(F.filter("hits", lambda x: x == p))),
-        )
-    )
-    return diffs.withColumn("learned_hits", tally).drop("hits")
+    return diffs.withColumn("learned_hits", _tally("hits")).drop("hits")
 
 
 def active_spells(state: DataFrame) -> DataFrame:

@@ -113,7 +113,8 @@ _FLAG = "struct<oscillates:boolean,flips:int,n_hashes:int>"
 
 
 def _flag_rows(snapshots: DataFrame, carry: DataFrame | None) -> DataFrame:
-    return oscillation_flags(snapshots, carry=carry).select(
+    flagged = snapshots if "oscillates" in snapshots.columns else oscillation_flags(snapshots, carry=carry)
+    return flagged.select(
         "monitor_id", "created_at", F.lit(0).alias("_side"), F.col("snapshot_id").alias("diff_id"),
         F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("text"),
         F.struct("oscillates", "flips", "n_hashes").cast(_FLAG).alias("_flag"),
@@ -127,8 +128,9 @@ def _flag_scan(scanned, rows: DataFrame, carry: DataFrame | None) -> DataFrame:
 def oscillation_at(candidates: DataFrame, snapshots: DataFrame, before: dict[str, DataFrame] | None = None) -> DataFrame:
     """Per candidate: `oscillates`, `flips` and `n_hashes` of the latest snapshot up to its time (as-of, by one scan).
 
-    Keeps monitor_id, diff_id, created_at, rank and text of the candidates. `before` (from
-    `oscillation_carry`) holds the newest hashes and flags of earlier runs.
+    Keeps monitor_id, diff_id, created_at, rank and text of the candidates. `snapshots` may have
+    their `oscillation_flags` already. `before` (from `oscillation_carry`) holds the newest hashes
+    and flags of earlier runs.
     """
     before = before or {}
     asked = candidates.select(

@@ -29,36 +29,44 @@ def _run(snapshots: DataFrame, monitors: DataFrame, model: Model, before: dict[s
     then joined to the diffs as of their time; no stage waits for its own output except
     suppression and clustering, which replay narrow rows per key.
 
-    Steps that more than one later stage reads (line diffs, model answers, decisions) are
-    stored once, so a branch or a lost executor never makes them run again.
+    Steps that more than one later stage reads (replaced lines, filtered diffs, model answers,
+    decisions) are stored once, so a branch or a lost executor never makes them run again.
+
+    Texts are diffed twice: for learning, and to be filtered with the patterns learned by then. The
+    patterns and the monitor's context go with the narrow pairs, and everything that is asked of a
+    diff happens where its texts meet: neither hunks nor lines are stored or moved.
     """
     patterns_before = {k: before[k] for k in ("history", "promoted", "recent", "open") if k in before}
-    snaps = ingest.fingerprint_text(snapshots)
+    printed = ingest.fingerprint_text(snapshots)
+    snaps = cut_lineage(printed.select("monitor_id", "snapshot_id", "text_hash", "created_at"), "snapshots")
+    # First, while little else is stored: hashes are the widest of what is scanned.
+    flags = cut_lineage(suppress.oscillation_flags(snaps, carry=before.get("hashes")).drop("text_hash"), "oscillation_flags")
     pairs = change.pair_snapshots(snaps, carry=before.get("pairs"))
-    every = snaps
+    every = snapshots.select("monitor_id", "snapshot_id", "extracted_text")
     if "texts" in before:
-        every = snaps.select("monitor_id", "snapshot_id", "extracted_text").unionByName(before["texts"])
-    hunks = cut_lineage(change.diff_hunks(change.changed_pairs(every, pairs)), "diff_hunks")
-    heads = hunks.select("diff_id", "monitor_id", "created_at")
+        every = every.unionByName(before["texts"])
+    changed = _changed_pairs(pairs, snaps, before.get("seen"))
+    replaced = learning.replaced_lines(change.changed_hunks(every, changed, carry=("monitor_id", "created_at", "learns")), learns=F.col("learns"))
+    replaced = cut_lineage(replaced, "replaced_lines")
+    heads = replaced.select("diff_id", "monitor_id", "created_at")
 
-    observations = cut_lineage(learning.observe_patterns(hunks, heads, snaps, monitors, before.get("seen")), "observations")
+    observations = cut_lineage(learning.observe_patterns(replaced, heads, snaps, monitors, before.get("seen")), "observations")
     state = cut_lineage(learning.pattern_state(observations, heads, patterns_before), "pattern_state")
     superseded = learning.superseded_states(before["open"], state) if "open" in before else None
     known = state if superseded is None else state.unionByName(superseded)
-    in_force = noise.pattern_lists(noise.patterns_as_of(heads, known))
+    in_force = cut_lineage(noise.pattern_lists(noise.patterns_as_of(heads, known)), "patterns_in_force")
 
-    patterned = noise.attach_patterns(change.hunk_lines(hunks), monitors, in_force, heads)
-    diffs = noise.filter_diffs(patterned, carry=("monitor_id", "created_at"))
-    diffs = cut_lineage(diffs.withColumn("snapshot_after_id", F.col("diff_id")), "diffs")
+    noted = cut_lineage(_filtered_diffs(every, changed, heads, monitors, in_force).withColumn("snapshot_after_id", F.col("diff_id")), "diffs")
+    diffs = noted.drop("contexts")
 
-    meaningful = diffs.filter(~F.col("is_empty_after_filter"))
+    meaningful = noted.filter(~F.col("is_empty_after_filter"))
     prompts = classify.classification_inputs(meaningful, monitors)
     responses = cut_lineage(classify.classify_with(prompts, model), "responses")
     analyses = cut_lineage(classify.build_analyses(diffs, monitors, responses), "analyses")
 
     owners = monitors.select("monitor_id", "user_id", "competitor_name")
     candidates = classify.alert_candidates(analyses).withColumnRenamed("significance_level", "severity").join(owners, "monitor_id")
-    decisions, suppressed = suppress.decide_alerts(candidates, snaps, start=before.get("suppression"), before=before)
+    decisions, suppressed = suppress.decide_alerts(candidates, flags, start=before.get("suppression"), before=before)
     decided = cut_lineage(decisions, "decisions")
     created = suppress.created_alerts(decided).withColumn("alert_id", F.col("diff_id")).withColumn(
         "notified_at", F.lit(None).cast("timestamp")
@@ -87,6 +95,29 @@ def _run(snapshots: DataFrame, monitors: DataFrame, model: Model, before: dict[s
     return out, behind
 
 
+def _changed_pairs(pairs: DataFrame, snaps: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """The changed pairs, stored: `learns` where a diff can be learned from, `repeated` where its id comes more than once."""
+    changed = change.named_changes(pairs)
+    ready = learning.learning_gate(changed, snaps, carry=seen).filter(F.col("skip_reason").isNull())
+    ready = ready.select("diff_id").distinct().withColumn("learns", F.lit(True))
+    copies = changed.groupBy("diff_id").agg((F.count(F.lit(1)) > 1).alias("repeated"))
+    return cut_lineage(changed.join(ready, "diff_id", "left").join(copies, "diff_id", "left"), "changed_pairs")
+
+
+def _filtered_diffs(every: DataFrame, changed: DataFrame, heads: DataFrame, monitors: DataFrame, in_force: DataFrame) -> DataFrame:
+    """Diffs filtered with all patterns, and the `contexts` of their monitor. Rows of one id are one diff."""
+    carry, contexts = ("monitor_id", "created_at"), classify.page_contexts(monitors)
+    single = noise.list_patterns(changed.filter(~F.col("repeated")), monitors, in_force).join(contexts, "monitor_id", "left")
+    hunks = change.changed_hunks(every, single, carry=(*carry, "monitor_patterns", "learned_patterns", "contexts"))
+    diffs = noise.filter_diffs(hunks, carry=(*carry, "contexts"))
+    several = changed.filter("repeated")
+    if several.isEmpty():
+        return diffs
+    lines = change.hunk_lines(change.changed_hunks(every, several, carry=carry))
+    merged = noise.filter_diffs(noise.attach_patterns(lines, monitors, in_force, heads), carry=carry)
+    return diffs.unionByName(merged.join(contexts, "monitor_id", "left"))
+
+
 def watch(snapshots: DataFrame, monitors: DataFrame, model: Model, settings: DataFrame | None = None) -> dict[str, DataFrame]:
     """Run all stages over a history of snapshots (snapshot_id, monitor_id, extracted_text, created_at)."""
     out, _ = _run(snapshots, monitors, model, {})

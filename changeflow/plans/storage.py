@@ -27,15 +27,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a query go when it has run, not when the driver happens to collect its garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Store `df` as a Parquet table in the shared folder and go on from it.
 
     Dear steps run once, lost executors do not matter, and later stages read only the
-    columns they use. The folder is the caller's to keep or drop.
+    columns they use. The folder is the caller's to keep or drop. Versions of a page lie side by
+    side, which zstd makes use of; what was shuffled on the way is not needed any more.
     """
-    folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, name)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 class CarryStore:

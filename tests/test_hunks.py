@@ -108,3 +108,42 @@ def test_patterns_are_observed_in_hunks_as_in_lines(spark):
     got = learning.observe_patterns(hunks, heads, snaps)
     want = learning.observe_patterns(change.hunk_lines(hunks), heads, snaps)
     assert rows_of(got) == rows_of(want) and got.count() > 100
+
+
+PATTERNS = "monitor_id int, noise_patterns array<string>"
+
+
+@pytest.mark.parametrize("with_text", [True, False])
+def test_filtering_with_patterns_is_that_of_the_lines(spark, pairs, with_text):
+    """Diffs with patterns were laid out in lines, and every line moved twice."""
+    monitors = spark.createDataFrame([(0, [r"VISITED: \d+", "[broken"]), (1, [])], PATTERNS)
+    learned = spark.createDataFrame([(i, ["line", r"^a.*?$", r"^Visited:\s+.+?$"][: i % 4]) for i in range(0, 400, 2)], "diff_id int, learned_patterns array<string>")
+    heads = pairs.select("diff_id", "monitor_id")
+    listed = noise.list_patterns(heads, monitors, learned)
+    carry = ("monitor_id", "monitor_patterns", "learned_patterns")
+    of_hunks = noise.filter_diffs(change.diff_hunks(pairs.join(listed.drop("monitor_id"), "diff_id"), carry=carry), with_text=with_text, carry=("monitor_id",))
+    of_lines = noise.filter_diffs(noise.attach_patterns(change.diff_snapshots(pairs), monitors, learned, heads), with_text=with_text, carry=("monitor_id",))
+    assert rows_of(of_hunks.select(sorted(of_hunks.columns))) == rows_of(of_lines.select(sorted(of_lines.columns)))
+    assert of_hunks.filter("learned_noise_lines_removed > 0").count() > 5 and of_hunks.filter("size(learned_hits) > 0").count() > 5
+    above = of_hunks._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert "Exchange" not in above
+
+
+@pytest.mark.parametrize("gathered", [1000, 8, 1])
+def test_texts_are_diffed_where_they_meet(spark, at, gathered):
+    snaps = version_snapshots(spark, at)
+    changed = change.named_changes(change.pair_snapshots(snaps)).withColumn("note", F.array(F.col("diff_id").cast("string")))
+    got = change.changed_hunks(snaps, changed, carry=("monitor_id", "note"), gathered=gathered)
+    want = change.diff_hunks(change.changed_pairs(snaps)).withColumn("note", F.array(F.col("diff_id").cast("string")))
+    columns = ["diff_id", "monitor_id", "note", "hunks"]
+    assert rows_of(got.select(columns)) == rows_of(want.select(columns)) and got.count() > 20
+    if gathered == 1000:
+        assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+
+
+def test_replaced_lines_are_kept_with_their_diff(pairs):
+    hunks = change.diff_hunks(pairs)
+    pairs_of = lambda df: learning.candidate_patterns(learning.replacement_pairs(df))
+    kept = learning.replaced_lines(hunks)
+    assert rows_of(pairs_of(kept)) == rows_of(pairs_of(hunks)) and kept.count() == hunks.count()
+    assert learning.replaced_lines(hunks, learns=F.col("diff_id") < 0).filter("size(replaced) > 0").isEmpty()

@@ -1,5 +1,6 @@
 """The whole chain, the registry, and the comparison with SQL on a small scale factor."""
 
+import time
 from datetime import datetime, timedelta
 
 import duckdb
@@ -58,6 +59,63 @@ def test_chain(spark):
     assert out["clusters"].agg({"alert_count": "sum"}).first()[0] == len(alerts)
 
 
+def stored_tables(spark, monkeypatch, snapshots, monitors):
+    """What `watch` writes on its way, by name, and its results."""
+    from changeflow.plans import storage
+
+    kept = {}
+
+    def noted(df, name):
+        kept[name] = df._jdf.queryExecution().executedPlan().toString()
+        return storage.cut_lineage(df, name)
+
+    monkeypatch.setattr(monitoring, "cut_lineage", noted)
+    return monitoring.watch(snapshots, monitors, make_model()), kept
+
+
+MONITOR = "monitor_id int, user_id string, competitor_name string, page_type string, url string, noise_patterns array<string>"
+
+
+def test_chain_moves_neither_lines_nor_diffs(spark, monkeypatch):
+    """A row per line was moved twice with its text, every diff to its monitor's context, and the hunks were stored."""
+    rows = [(m * 100 + d, m, f"page {m}\nPro costs ${90 + d // 3} a month\nLast visited by reader number r{d}x\nend", datetime(2024, 1, 1) + timedelta(days=d)) for m in range(5) for d in range(13)]
+    snapshots = spark.createDataFrame(rows, "snapshot_id int, monitor_id int, extracted_text string, created_at timestamp")
+    monitors = spark.createDataFrame([(m, "u", "Acme", "pricing", "https://acme.example", [r"page \d+"]) for m in range(4)], MONITOR)
+    out, kept = stored_tables(spark, monkeypatch, snapshots, monitors)
+    assert "MapInArrow" not in kept["responses"] and "Exchange" not in kept["responses"]
+    above, *below = kept["diffs"].split("MapInArrow")
+    assert "Exchange" not in above and len(below) == 2 and "diff_hunks" not in kept
+    assert out["diffs"].count() == 60 and out["diffs"].filter("filtered_diff LIKE '%reader number r12x%'").count() == 5
+    # A monitor that is not listed is not asked about; its diffs are there all the same.
+    errors = {r.monitor_id: r.error for r in out["analyses"].filter("error IS NOT NULL").collect()}
+    assert errors == {4: "monitor_not_found"} and "contexts" not in out["diffs"].columns
+
+
+def test_rows_of_one_diff_are_one_diff(spark):
+    """Two monitors whose snapshots have the same ids: their lines count as lines of one diff, as they did."""
+    rows = [(d, m, f"a\nline {d} of the page\nend", datetime(2024, 1, 1) + timedelta(days=d)) for d in range(3) for m in (1, 2)]
+    rows += [(10 + r[0], 3, *r[2:]) for r in rows if r[1] == 1]
+    snapshots = spark.createDataFrame(rows, "snapshot_id int, monitor_id int, extracted_text string, created_at timestamp")
+    monitors = spark.createDataFrame([(m, "u", "Acme", "pricing", "https://acme.example", []) for m in (1, 2, 3)], MONITOR)
+    diffs = monitoring.watch(snapshots, monitors, make_model())["diffs"].collect()
+    assert {r.diff_id: r.original_lines for r in diffs} == {1: 4, 2: 4, 11: 2, 12: 2} and len(diffs) == 4
+
+
+def test_stored_tables_leave_no_shuffle_behind(spark, tmp_path):
+    """Shuffle files of every stored step lay on the disk until the driver collected its garbage."""
+    from changeflow.plans.storage import cut_lineage
+
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager()
+    blocks = lambda: sum(b.isShuffle() for b in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.diskBlockManager().getAllBlocks()))
+    before = blocks()
+    kept = cut_lineage(spark.range(1000).repartition(3, "id"), "moved")
+    for _ in range(50):
+        if blocks() <= before:
+            break
+        time.sleep(0.1)
+    assert blocks() <= before and kept.count() == 1000
+
+
 def test_registry():
     queries, oracles = entry_point.queries(), entry_point.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 90
