@@ -992,7 +992,7 @@ def stream_diffs(spark, sf):
     texts = a.versions(spark, sf)
     snaps = ingest.fingerprint_text(texts).select("snapshot_id", "monitor_id", "text_hash", "created_at")
     arrival = F.to_date("created_at") + (F.col("monitor_id") % 3 * (F.col("snapshot_id") % 2)).cast("int")
-    snaps.withColumn("day", arrival).repartition(4, "day").write.partitionBy("day").parquet(f"{folder}/in")
+    snaps.withColumn("day", arrival).repartition("day").write.partitionBy("day").parquet(f"{folder}/in")
     arrivals = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
     stages.closing_folder(spark, f"{folder}/end")
     diffs = lambda: stages.diff_stream(arrivals, texts, f"{folder}/diffs", f"{folder}/checkpoint", "30 days", f"{folder}/end")

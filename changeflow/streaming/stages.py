@@ -158,7 +158,8 @@ class InOrder(StatefulProcessor):
 
         def fresh() -> Iterator[tuple]:
             for row in rows:
-                values = tuple(row[c] for c in self.names)
+                # By place where the columns lie as named: a name is looked up anew for every value.
+                values = tuple(row) if getattr(row, "__fields__", None) == self.names else tuple(row[c] for c in self.names)
                 if values[self.at] // 1000 < mark:
                     late.append(values)
                 else:
@@ -236,8 +237,27 @@ class Pairs(InOrder):
         return out, last
 
 
+#: Monitors share keyed state by so many groups: a call to the state costs more than a row.
+GROUPS = 4096
+
+
+class PairsOfGroup(InOrder):
+    """State per group of monitors: the last id, hash and time of each."""
+
+    def settle(self, key, rows, state):
+        out, last = [], {monitor: rest for monitor, *rest in state.get("last", [])}
+        for row in rows:
+            monitor, now = row["monitor_id"], [row["snapshot_id"], row["text_hash"], row["t"]]
+            out.append({**row, **dict(zip(("before_id", "before_hash", "before_t"), last.get(monitor, (None, None, None)), strict=True))})
+            last[monitor] = now
+        return out, {"last": [[monitor, *rest] for monitor, rest in last.items()]}
+
+
 def stream_pairs(snapshots: DataFrame, with_text: bool = False, watermark: str = "1 day", closing: str | None = None) -> DataFrame:
-    """Each snapshot with the one before it in event order, and `late`. State per monitor: the last id, hash, time (and text)."""
+    """Each snapshot with the one before it in event order, and `late`. State per monitor: the last id, hash, time (and text).
+
+    Without texts the state of a monitor is narrow, and monitors whose ids hash alike keep it together.
+    """
     ids, monitor = _id_type(snapshots, "snapshot_id"), _id_type(snapshots, "monitor_id")
     columns = ["monitor_id", "snapshot_id", "text_hash", *(["extracted_text"] if with_text else [])]
     rows = snapshots.select(*columns, micros(F.col("created_at")).alias("t"), F.col("created_at").cast("timestamp").alias("event_time"))
@@ -245,6 +265,9 @@ def stream_pairs(snapshots: DataFrame, with_text: bool = False, watermark: str =
     outputs = ["monitor_id", "snapshot_id", "text_hash", "t", "before_id", "before_hash", "before_t"]
     if with_text:
         schema, outputs = schema + ", text_before string, text_after string", [*outputs, "text_before", "text_after"]
+    elif isinstance(snapshots.schema["monitor_id"].dataType, (T.StringType, T.IntegralType)):
+        rows = rows.withColumn("monitors", F.pmod(F.xxhash64("monitor_id"), F.lit(GROUPS)).cast("int"))
+        return _ordered(rows, ["monitors"], PairsOfGroup(_columns(rows), ["t", "snapshot_id"], outputs), schema, watermark, closing)
     return _ordered(rows, ["monitor_id"], Pairs(_columns(rows), ["t", "snapshot_id"], outputs), schema, watermark, closing)
 
 
@@ -264,12 +287,13 @@ def diff_stream(snapshots: DataFrame, texts: DataFrame, path: str, checkpoint: s
 
     `texts` (monitor_id, snapshot_id, extracted_text, created_at) is read once per micro-batch that
     settles a change, between the earliest and the latest version its changes name; the texts of a
-    monitor are packed where they lie and move once (`changed_pairs`). Every batch has a folder of
-    pairs and one of lines, and overwrites them when it is repeated.
+    monitor are packed where they lie, move once and are diffed where they meet (`changed_hunks`).
+    Every batch has a folder of pairs and one of diffs in hunks, and overwrites them when it is
+    repeated; the lines are laid out when they are read.
     """
     spark = snapshots.sparkSession
     kinds = {c: _id_type(snapshots, c) for c in ("snapshot_id", "monitor_id")}
-    schema = f"diff_id {kinds['snapshot_id']}, monitor_id {kinds['monitor_id']}, created_at timestamp, seq int, hunk_no int, before_start int, after_start int, op string, text string"
+    schema = f"diff_id {kinds['snapshot_id']}, monitor_id {kinds['monitor_id']}, created_at timestamp, hunks {change.HUNKS}"
 
     def step(batch: DataFrame, batch_id: int) -> None:
         changed = on_time(batch).filter(F.col("before_id").isNotNull() & ~F.col("text_hash").eqNullSafe(F.col("before_hash")))
@@ -280,15 +304,17 @@ def diff_stream(snapshots: DataFrame, texts: DataFrame, path: str, checkpoint: s
         if last is None:
             return
         named = texts.filter(micros(F.col("created_at")).between(first, last))
-        change.diff_snapshots(change.changed_pairs(named, pairs)).write.mode("overwrite").parquet(f"{path}/lines/batch={batch_id}")
+        diffs = change.changed_hunks(named, change.named_changes(pairs))
+        diffs.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/diffs/batch={batch_id}")
 
     pairs = stream_pairs(snapshots, False, watermark, closing)
     stored = T.StructType([*on_time(pairs).schema.fields, T.StructField("created_at", T.TimestampType())])
     _wait(pairs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), path, timeout)
     try:
-        return spark.read.schema(schema).parquet(f"{path}/lines").drop("batch")
+        diffs = spark.read.schema(schema).parquet(f"{path}/diffs").drop("batch")
     except AnalysisException:  # no change has settled yet
-        return spark.createDataFrame([], schema)
+        diffs = spark.createDataFrame([], schema)
+    return change.hunk_lines(diffs)
 
 
 # ---- rows in order for stages that run batch by batch ----------------------------------------

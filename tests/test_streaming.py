@@ -1,5 +1,7 @@
 """Streams in several micro-batches give what the batch operators give."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +176,32 @@ def test_diffs_of_stored_texts_leave_the_texts_out_of_the_state(spark, disorder,
     assert 0 < sum(state) < 14_000_000  # one text is 14,000 characters, and there are a thousand
 
 
+def test_monitors_share_keyed_state(spark, disorder, tmp_path):
+    """A key was a monitor, and the calls to its state cost more than its rows."""
+    base, read, _ = disorder
+    pairs = stages.stream_pairs(a.snapshots(spark, SF, read).withColumn("monitor_id", F.col("snapshot_id")), closing=stages.closing_folder(spark, str(tmp_path / "end")))
+    grouping = [x for x in pairs._jdf.queryExecution().analyzed().toString().split("\n") if "TransformWithState" in x]
+    assert grouping and all("monitors#" in x for x in grouping)
+    fold = stages.PairsOfGroup("monitor_id bigint, snapshot_id bigint, text_hash string, t bigint, monitors int", ["t", "snapshot_id"], ["snapshot_id", "before_id"])
+    rows = [dict(monitor_id=m, snapshot_id=10 * m + i, text_hash=str(i), t=i, monitors=0) for i in range(6) for m in (1, 2)]
+    first, state = fold.settle((0,), rows[:5], {})
+    rest, state = fold.settle((0,), rows[5:], json.loads(json.dumps(state)))
+    assert {r["snapshot_id"]: r["before_id"] for r in [*first, *rest]} == {10 * m + i: 10 * m + i - 1 if i else None for m in (1, 2) for i in range(6)}
+    assert sorted(state["last"]) == [[1, 15, "5", 5], [2, 25, "5", 5]]
+
+
+def test_stored_diffs_stay_in_hunks(spark, disorder, tmp_path):
+    """A row per line was stored, with the text of the line, where one row per diff does."""
+    base, read, _ = disorder
+    stored = a.snapshots(spark, SF).withColumn("extracted_text", F.concat_ws("\n", F.lit("same"), "text_hash"))
+    end = stages.closing_folder(spark, str(tmp_path / "end"))
+    for _ in range(2):
+        got = stages.diff_stream(a.snapshots(spark, SF, read), stored, str(tmp_path / "out"), str(tmp_path / "checkpoint"), "12 days", end, 300)
+        stages.close_stream(spark, end)
+    diffs = spark.read.parquet(str(tmp_path / "out" / "diffs"))
+    assert "hunks" in diffs.columns and diffs.count() == got.select("diff_id").distinct().count() < got.count()
+
+
 def test_a_micro_batch_is_stored_before_it_is_read(spark, disorder, tmp_path, monkeypatch):
     """What learns from a batch reads files: the keyed state of the stream runs once a batch."""
     base, read, _ = disorder
